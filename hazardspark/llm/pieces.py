@@ -44,6 +44,7 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.kind, self.limit = kind, limit
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.width = np.dtype(self.dtype).itemsize
         self.known, self.blobs = pa.array([], pa.string()), pa.array([], pa.binary())
 
     def _text(self, piece: str) -> str:
@@ -101,10 +102,9 @@ class PieceEncoder:
         """Ids of the pieces one after another, and where each piece's begin (one more for the end)."""
         codes = pa.array(self._codes(pieces))
         got = self.blobs.take(codes)
-        width = np.dtype(self.dtype).itemsize
         at = np.frombuffer(got.buffers()[1], np.int32, len(got) + 1, got.offset * 4)
         data = got.buffers()[2]
-        return (np.frombuffer(data, self.dtype, at[-1] // width) if data is not None and at[-1] else np.zeros(0, self.dtype)), at // width
+        return (np.frombuffer(data, self.dtype, at[-1] // self.width) if data is not None and at[-1] else np.zeros(0, self.dtype)), at // self.width
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text; null counts as empty."""

@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazardspark.llm.chat import format_chats, read_chats
+from hazardspark.llm.cotraining import score_quality
 from hazardspark.llm.crossparse import held_out, identify, sample_texts
 from hazardspark.llm.decontam import find_matches, n_hit
 from hazardspark.llm.exact_dedup import exact_groups
 from hazardspark.llm.line_dedup import dedup_lines
+from hazardspark.llm.packing import pack
 from hazardspark.llm.sharding import assign_shards
 from hazardspark.llm.simhash import near_groups
+from hazardspark.llm.token_files import read_token_files, token_file_path, write_token_files
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +32,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "text_score", "page_score", "score", "keep")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), sample_texts(docs))
@@ -47,20 +62,58 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    path = token_file_path(spark)
+    write_token_files(_table(spark, sf_dir, "documents"), path, tokenizer or _tokenizer("word_bpe_49k.json"))
+    docs = read_token_files(spark, path)
+    return docs.select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def packed_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    pieces = pack(docs, tokenizer or _tokenizer("byte_bpe_50k.json"))
+    length = F.expr("octet_length(ids) div 4").cast("long").alias("length")
+    return pieces.select("doc_id", "start", length, F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return packed_digests(_table(spark, sf_dir, "documents"), tokenizer)
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql("SELECT -7L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
+    chats = read_chats(format_chats(turns.unionByName(probe)))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign_shards(_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op3_language_id, op4_exact_dedup, op5_decontamination, op6_line_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_language_id, op4_exact_dedup, op5_decontamination, op6_line_dedup, op7_token_files, op8_packing, op9_chat_formatting, op10_sharding)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def oracle_sql() -> dict[str, str]:
+    esc = r"regexp_replace(text, '(<|\[)(\\*)(\|im_start\|>|\|im_end\|>|\|image\|>|\|audio\|>|\|document\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\])', '\1\\\2\3', 'g')"
     return {
+        "op9_chat_formatting": f"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>' || role || '<|im_end|>') + 2 + length({esc}))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""",
         "op4_exact_dedup": r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
