@@ -1,0 +1,17 @@
+"""Registered queries of the library."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    from hazardspark.plans import q_belief, q_functions, q_rain  # noqa: F401
+    from hazardspark.plans.registry import QUERIES
+
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    queries()
+    from hazardspark.plans.registry import ORACLES
+
+    return dict(ORACLES)
