@@ -13,12 +13,12 @@ def brier_murphy(df: DataFrame, p: str = "score", y: str = "y", bins: int = 10,
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).alias("bin")
     cells = df.groupBy(*by, b).agg(F.count("*").alias("n"), F.sum(p).alias("sp"), F.sum(F.col(y).cast("double")).alias("sy"), F.sum(F.pow(F.col(p) - F.col(y), 2)).alias("se"))
     every = Window.partitionBy(*by)
-    cells = cells.withColumns({"N": F.sum("n").over(every), "Y": F.sum("sy").over(every)})
-    base = F.col("Y") / F.col("N")
+    cells = cells.withColumns({"all_n": F.sum("n").over(every), "all_y": F.sum("sy").over(every)})
+    base = F.col("all_y") / F.col("all_n")
     return cells.groupBy(*by).agg(
-        (F.sum("se") / F.first("N")).alias("brier"),
-        (F.sum(F.col("n") * F.pow((F.col("sp") - F.col("sy")) / F.col("n"), 2)) / F.first("N")).alias("reliability"),
-        (F.sum(F.col("n") * F.pow(F.col("sy") / F.col("n") - base, 2)) / F.first("N")).alias("resolution"),
+        (F.sum("se") / F.first("all_n")).alias("brier"),
+        (F.sum(F.col("n") * F.pow((F.col("sp") - F.col("sy")) / F.col("n"), 2)) / F.first("all_n")).alias("reliability"),
+        (F.sum(F.col("n") * F.pow(F.col("sy") / F.col("n") - base, 2)) / F.first("all_n")).alias("resolution"),
         F.first(base * (1 - base)).alias("uncertainty"),
     )
 
@@ -64,10 +64,10 @@ def weighted_ap_auc(df: DataFrame, score: str = "score", y: str = "y", w: str =
     by = by or []
     at = df.groupBy(*by, score).agg(F.sum(F.col(w) * F.col(y)).alias("tp"), F.sum(F.col(w) * (1 - F.col(y))).alias("fp"))
     down = Window.partitionBy(*by).orderBy(F.desc(score))
-    at = at.withColumns({"ctp": F.sum("tp").over(down), "cfp": F.sum("fp").over(down), "P": F.sum("tp").over(Window.partitionBy(*by)), "N": F.sum("fp").over(Window.partitionBy(*by))})
+    at = at.withColumns({"ctp": F.sum("tp").over(down), "cfp": F.sum("fp").over(down), "pos": F.sum("tp").over(Window.partitionBy(*by)), "neg": F.sum("fp").over(Window.partitionBy(*by))})
     return at.groupBy(*by).agg(
-        F.when(F.first("P") > 0, F.sum(F.col("tp") * F.col("ctp") / (F.col("ctp") + F.col("cfp"))) / F.first("P")).alias("ap"),
-        F.when((F.first("P") > 0) & (F.first("N") > 0), F.sum(F.col("tp") * (F.col("N") - F.col("cfp") + F.col("fp") / 2)) / (F.first("P") * F.first("N"))).alias("auc"),
+        F.when(F.first("pos") > 0, F.sum(F.col("tp") * F.col("ctp") / (F.col("ctp") + F.col("cfp"))) / F.first("pos")).alias("ap"),
+        F.when((F.first("pos") > 0) & (F.first("neg") > 0), F.sum(F.col("tp") * (F.col("neg") - F.col("cfp") + F.col("fp") / 2)) / (F.first("pos") * F.first("neg"))).alias("auc"),
     )
 
 
