@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from hazardspark.llm.common import by_bytes
 
 _SEGMENT, _LANES = 4096, 2048
-_ENDS = 1 << 30
+_BEGINS = 1 << 30
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -65,7 +65,7 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
 
 class CrossParser:
     """The automata of all languages as tables over one alphabet. Where a state has no transition for a symbol the table holds
-    the state that the symbol leads to from the start, marked as the end of a phrase."""
+    the state that the symbol leads to from the start, marked as the begin of a phrase; a symbol that no text has leads to the start."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
@@ -78,14 +78,13 @@ class CrossParser:
 
     def _table(self, nexts: list[dict[str, int]], letters: list[str]) -> np.ndarray:
         at = {c: i + 1 for i, c in enumerate(letters)}
-        start = np.full(self.width, _ENDS, dtype=np.int32)
+        start = np.full(self.width, _BEGINS, dtype=np.int32)
         for c, q in nexts[0].items():
             start[at[c]] |= q * self.width
         table = np.tile(start, (len(nexts), 1))
-        for s, moves in enumerate(nexts):
+        for s, moves in enumerate(nexts[1:], 1):
             for c, q in moves.items():
                 table[s, at[c]] = q * self.width
-        table[0, 0] = _ENDS
         return table.ravel()
 
     def phrases(self, texts: list[str]) -> np.ndarray:
@@ -109,11 +108,11 @@ class CrossParser:
             for j, (f, k) in enumerate(zip(first.tolist(), n.tolist(), strict=True)):
                 grid[:k, j] = codes[f : f + k]
             for lang, table in enumerate(self.tables):
-                state, count = np.zeros(len(lanes), dtype=np.int32), np.ones(len(lanes), dtype=np.int64)
+                state, count = np.zeros(len(lanes), dtype=np.int32), np.zeros(len(lanes), dtype=np.int64)
                 for step, a in enumerate(active.tolist()):
                     got = table[state[:a] + grid[step, :a]]
                     count[:a] += got >> 30
-                    state[:a] = got & (_ENDS - 1)
+                    state[:a] = got & (_BEGINS - 1)
                 np.add.at(out[:, lang], owner[lanes], count)
         return out
 

@@ -56,7 +56,7 @@ class LineRuns:
             firsts = firsts.join(self.spark.table(name).filter("NOT seen").select("h", F.lit(True).alias(f"in_{i}")), "h", "left")
             seen = seen | F.coalesce(F.col(f"in_{i}"), F.lit(False))
         run = self._write(firsts.select("h", "first_id", "last_id", seen.alias("seen")))
-        twice = self.spark.read.parquet(run[1]).filter("seen OR last_id > first_id")  # by path: no buckets, so a hot key's lines can be split
+        twice = self.spark.read.schema(self.spark.table(run[0]).schema).parquet(run[1]).filter("seen OR last_id > first_id")  # by path: no buckets, so a hot key's lines can be split
         dropped = lines.join(twice, "h").filter("seen OR doc_id > first_id").select("rid", "pos")
         dropped = written(dropped, "line-drops")
         self.levels.setdefault(0, []).append(run)
@@ -81,7 +81,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     rid = F.xxhash64(F.col(id_col), F.col(text_col))
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), rid.alias("rid"), F.col(text_col).alias("text"))
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
+    cuts = sorted(set(ids.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     lines = ids.select("doc_id", "rid", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= least_chars)
     batch = sum((F.when(F.col("doc_id") > F.lit(int(c)), 1).otherwise(0) for c in cuts), F.lit(0))
