@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -11,11 +11,22 @@ from pyspark.sql import functions as F
 
 from hazardspark.tables import new_path, written
 
-__all__ = ["by_bytes", "lower_ascii", "new_path", "partitions", "remove", "written"]
+__all__ = ["by_bytes", "held", "lower_ascii", "new_path", "partitions", "remove", "written"]
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, build: Callable[[], object]) -> object:
+    """The one large object (a tokenizer's pieces, automata) that a worker process keeps for its next tasks; another key replaces it."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
 
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -24,7 +24,7 @@ _BIN = 0.05
 
 class _Buckets(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = zlib.crc32(word) % WORDS
         return found

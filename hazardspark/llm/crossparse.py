@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardspark.llm.common import by_bytes
+from hazardspark.llm.common import by_bytes, held
 
 _SEGMENT, _LANES = 4096, 2048
 _BEGINS = 1 << 30
@@ -20,7 +20,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def sample_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = 64, chars: int = 1024) -> dict[str, str]:
+def sample_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = 48, chars: int = 768) -> dict[str, str]:
     """The labelled sample of each language: the first `chars` code points of `texts` documents in the order of a hash of id and
     text, never of held-out rows. So a language has at most texts * chars code points, whatever the size of docs."""
     rows = docs.filter(F.col(lang_col).isNotNull() & ~held_out(id_col) & F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
@@ -117,15 +117,8 @@ class CrossParser:
         return out
 
 
-_parsers: dict[int, CrossParser] = {}
-
-
 def _parser(samples: dict[str, str]) -> CrossParser:
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(samples)
-    return _parsers[key]
+    return held(("automata", tuple(sorted(samples.items()))), lambda: CrossParser(samples))
 
 
 def predict(texts: list[str | None], samples: dict[str, str]) -> list[tuple[str, float]]:
@@ -154,7 +147,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(it, text_col, 8 << 20):
+        for b in by_bytes(it, text_col, 4 << 20):
             found = predict(b[text_col].to_pylist(), samples)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names, "lang_pred", "lang_score"]

@@ -120,7 +120,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 def _searcher(shared, window: int, text_col: str):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(shared.value, window)
-        for b in by_bytes(it, text_col, 8 << 20):
+        for b in by_bytes(it, text_col, 4 << 20):
             docs = [words_of(t) for t in b[text_col].to_pylist()]
             new = [[dict(zip(("item_id", "item_word", "doc_word", "words"), m, strict=True)) for m in found] for found in windows.search(docs)]
             old = b["matches"].to_pylist()

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from hazardspark.llm.common import held
+
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _STEM = re.compile(rf"([{_LATIN}]+)([.,;:!?]*)\Z")
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -35,7 +37,7 @@ class PieceEncoder:
     it; one that really begins with a space stands for the rest without one (no cut piece holds a space).
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 1_200_000):
+    def __init__(self, path: str, kind: str, limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -142,11 +144,6 @@ def _split(ids: np.ndarray, at: np.ndarray, ends: np.ndarray) -> list[np.ndarray
     return [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
-_encoders: dict[tuple[str, str], PieceEncoder] = {}
-
-
 def encoder(path: str, kind: str) -> PieceEncoder:
-    """One per worker process, kept across its tasks."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = PieceEncoder(path, kind)
-    return _encoders[path, kind]
+    """Kept in the worker process across its tasks."""
+    return held(("pieces", path, kind), lambda: PieceEncoder(path, kind))
