@@ -23,8 +23,10 @@ def intensity_band(mm_h: Column) -> Column:
     return F.when(mm_h.isNotNull(), bands(mm_h, INTENSITY, "none"))
 
 
-def rain_level(accumulation: Column, peak: Column) -> Column:
-    return F.when((accumulation >= 15) | (peak >= 25), "active").when((accumulation >= 8) | (peak >= 7.6), "watch").otherwise("dry")
+def rain_level(accumulation: Column, peak: Column, active: tuple[float, float] = (15.0, 25.0), watch: tuple[float, float] = (8.0, 7.6)) -> Column:
+    """Levels by accumulated mm or peak mm/h."""
+    over = lambda limits: (accumulation >= limits[0]) | (peak >= limits[1])
+    return F.when(over(active), "active").when(over(watch), "watch").otherwise("dry")
 
 
 def level_number(level: Column) -> Column:

@@ -11,7 +11,10 @@ from hazardspark.functions.geo import haversine_m
 
 Written = Callable[[DataFrame, str], DataFrame]
 KMH = {"trunk": 60.0, "primary": 45.0, "secondary": 40.0, "tertiary": 30.0}
-BY_WAY = Window.partitionBy("way").orderBy("seq")
+
+
+def by_way():
+    return Window.partitionBy("way").orderBy("seq")
 
 
 def profile_edges(edges: DataFrame, profile: tuple) -> DataFrame:
@@ -44,11 +47,11 @@ def junction_nodes(points: DataFrame) -> DataFrame:
 def split_ways(points: DataFrame) -> DataFrame:
     """points with `segment`: the number of junctions passed, so a segment runs from one junction to the next."""
     marks = points.join(junction_nodes(points).withColumn("junction", F.lit(1)), "node", "left")
-    return marks.withColumn("segment", F.coalesce(F.sum("junction").over(BY_WAY.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("junction", F.coalesce("junction", F.lit(0)))
+    return marks.withColumn("segment", F.coalesce(F.sum("junction").over(by_way().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("junction", F.coalesce("junction", F.lit(0)))
 
 
 def way_lengths(points: DataFrame) -> DataFrame:
-    step = haversine_m(F.col("lat"), F.col("lon"), F.lead("lat").over(BY_WAY), F.lead("lon").over(BY_WAY))
+    step = haversine_m(F.col("lat"), F.col("lon"), F.lead("lat").over(by_way()), F.lead("lon").over(by_way()))
     return points.withColumn("step", step).groupBy("way").agg(F.sum("step").alias("length_m"), F.count("*").alias("points"))
 
 
@@ -56,8 +59,8 @@ def build_graph(points: DataFrame) -> DataFrame:
     """Directed edges (way, segment, from_node, to_node, length_m, seconds, highway, backward) between junctions; loops are left out.
     points: way, seq, node, lat, lon, highway, oneway ('yes', '-1' or other)."""
     marked = split_ways(points)
-    step = haversine_m(F.lag("lat").over(BY_WAY), F.lag("lon").over(BY_WAY), F.col("lat"), F.col("lon"))
-    steps = marked.withColumns({"step": step, "before": F.lag("node").over(BY_WAY)}).filter("before IS NOT NULL")
+    step = haversine_m(F.lag("lat").over(by_way()), F.lag("lon").over(by_way()), F.col("lat"), F.col("lon"))
+    steps = marked.withColumns({"step": step, "before": F.lag("node").over(by_way())}).filter("before IS NOT NULL")
     segments = steps.groupBy("way", "segment").agg(
         F.min_by("before", "seq").alias("a"), F.max_by("node", "seq").alias("b"), F.sum("step").alias("length_m"), F.first("highway").alias("highway"), F.first("oneway").alias("oneway")
     )

@@ -80,8 +80,8 @@ def state_holds(levels: DataFrame, active_s: int = 6 * 3600, watch_s: int = 12 *
     return levels.withColumn("state", state)
 
 
-def with_levels(signals: DataFrame) -> DataFrame:
-    level = rain_level(F.col("acc_mm"), F.col("peak_mm_h"))
+def with_levels(signals: DataFrame, **limits: tuple[float, float]) -> DataFrame:
+    level = rain_level(F.col("acc_mm"), F.col("peak_mm_h"), **limits)
     return signals.withColumns({"name": level, "level": level_number(level)})
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from hazardspark.plans import q_belief, q_functions, q_rain, q_scoring, q_text  # noqa: F401
+    from hazardspark.plans import q_belief, q_functions, q_rain, q_scoring, q_streams, q_studies, q_text  # noqa: F401
     from hazardspark.plans.registry import QUERIES
 
     return dict(QUERIES)

@@ -61,13 +61,12 @@ def _(t: Tables):
 
 
 _ACC = "ac AS (SELECT slot, sum(mean_mm_h) OVER w * 0.5e0 AS acc_mm, max(peak_mm_h) OVER w AS peak_mm_h, 6 - count(*) OVER w AS missing FROM {rain_slices} WINDOW w AS (ORDER BY slot RANGE BETWEEN 9000 PRECEDING AND CURRENT ROW))"
-_LEVELS = f"{_ACC}, lv AS (SELECT slot AS t, CASE WHEN acc_mm >= 33 OR peak_mm_h >= 24.49e0 THEN 2 WHEN acc_mm >= 31 OR peak_mm_h >= 24.4e0 THEN 1 ELSE 0 END AS level FROM ac)"
+_LEVELS = f"{_ACC}, lv AS (SELECT slot AS t, CASE WHEN acc_mm >= 12 OR peak_mm_h >= 18 THEN 2 WHEN acc_mm >= 9.5e0 OR peak_mm_h >= 13 THEN 1 ELSE 0 END AS level FROM ac)"
 
 
 def _levels(t: Tables):
-    acc, peak = c("acc_mm"), c("peak_mm_h")
-    level = F.when((acc >= 33) | (peak >= 24.49), 2).when((acc >= 31) | (peak >= 24.4), 1).otherwise(0)  # this rain is steadier than real rain
-    return rain.accumulation(t.rain_slices).select(c("slot").alias("t"), level.alias("level"))
+    rows = rain.with_levels(rain.accumulation(t.rain_slices), active=(12.0, 18.0), watch=(9.5, 13.0))  # this rain is steadier than real rain
+    return rows.select(c("slot").alias("t"), "level")
 
 
 @query("a14_rain_accumulation", f"WITH {_ACC} SELECT slot, round(acc_mm, 6) AS acc_mm, round(peak_mm_h, 6) AS peak_mm_h, missing FROM ac")
