@@ -117,17 +117,21 @@ def _normal_cdf(z: np.ndarray) -> np.ndarray:
 
 
 def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta by Gauss-Legendre quadrature after the substitution x = u^(1/a) that takes out the end's singularity."""
+    """Regularised incomplete beta by Gauss-Legendre quadrature on the side of the mean where x lies. A low first parameter p is taken with
+    t = u^(1/p), which removes the singularity at 0; a high one as it is, where that substitution would squeeze the mass to one end."""
     from math import lgamma
 
     nodes, weights = np.polynomial.legendre.leggauss(200)
     swap = x > a / (a + b)
     p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
-    top = y**p  # integral of (1 - u^(1/p))^(q-1) / p over 0..y^p
+    low = p < 3
+    top = np.where(low, y ** np.where(low, p, 1.0), y)
     u = (nodes[None, :] + 1) / 2 * top[:, None]
-    inner = (1 - np.minimum(u ** (1 / p[:, None]), 1 - 1e-15)) ** (q[:, None] - 1)
+    t = np.where(low[:, None], u ** (1 / np.where(low, p, 1.0))[:, None], u)
+    rest = np.log(np.maximum(1 - t, 1e-300)) * (q[:, None] - 1)
     log_b = np.array([lgamma(i) + lgamma(j) - lgamma(i + j) for i, j in zip(a, b, strict=True)])
-    part = np.clip((inner * weights[None, :]).sum(axis=1) / 2 * top / p / np.exp(log_b), 0, 1)
+    log_f = rest + np.where(low[:, None], -np.log(p)[:, None], np.log(np.maximum(t, 1e-300)) * (p[:, None] - 1)) - log_b[:, None]
+    part = np.clip((np.exp(log_f) * weights[None, :]).sum(axis=1) / 2 * top, 0, 1)
     return np.where(swap, 1 - part, part)
 
 
