@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hazardspark.tables import new_path, written
 
-__all__ = ["by_bytes", "held", "lower_ascii", "new_path", "partitions", "remove", "written"]
+__all__ = ["by_bytes", "held", "lower_ascii", "new_path", "partitions", "remove", "text_batches", "written"]
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,6 +33,14 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Arrow carry at most so many rows at a time: documents are long, and the default of 10,000 would put tens of MB of text, in
+    several copies, into every running task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

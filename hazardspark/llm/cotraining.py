@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import by_bytes, written
+from hazardspark.llm.common import by_bytes, text_batches, written
 
 WORDS, LANGS, SOURCES = 128, 16, 64
 #: Bytes whose shares are features: ASCII marks one by one, then upper case, lower case, digits, white space and all beyond ASCII.
@@ -229,6 +229,7 @@ def score_quality(
     Texts and metadata may be null; a label table with repeated ids gives the majority (a tie: no label). Without labels of both
     classes every score is the base rate, (ones + 1) / (labels + 2).
     """
+    text_batches(docs.sparkSession)
     cols = {"id": id_col, "text": text_col, "lang": lang_col, "source": source_col, "n_chars": size_col, "label": label_col}
     features = written(_features(docs, labels, cols, folds), "quality-features")
     sums = _class_sums(features, None, None)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardspark.llm.common import by_bytes, held
+from hazardspark.llm.common import by_bytes, held, text_batches
 
 _SEGMENT, _LANES = 4096, 2048
 _BEGINS = 1 << 30
@@ -143,6 +143,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -
 
     Null texts, texts without a letter and all texts when there is no labelled row are 'und' with score 0. Equal counts go to the
     language whose name comes first. Rows stay where they are: nothing is shuffled."""
+    text_batches(docs.sparkSession)
     rows = docs.drop("lang_pred", "lang_score")
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 

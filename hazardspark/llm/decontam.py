@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardspark.llm.common import by_bytes, written
+from hazardspark.llm.common import by_bytes, text_batches, written
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_word", T.IntegerType()), T.StructField("doc_word", T.IntegerType()), T.StructField("words", T.IntegerType())]))
@@ -104,6 +104,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     they are: nothing is shuffled. Null texts have no words; a null item id counts as an empty one; repeated items count once.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).filter("text IS NOT NULL").distinct()
     held = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-held // block_bytes))

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import by_bytes
+from hazardspark.llm.common import by_bytes, text_batches
 from hazardspark.llm.pieces import encoder
 
 Piece = tuple[int | None, int, np.ndarray, int]  # document id, ids before it in its document, ids, ids of the whole document
@@ -95,6 +95,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "space", size: int = 1024,
     nothing is shuffled, memory holds the open windows only, and a lost task packs the same rows again. sequence_id is unique and
     ascends within a partition (partition number times 2^33 and a count); a partition leaves one window with a gap at most.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

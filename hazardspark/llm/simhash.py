@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import by_bytes, written
+from hazardspark.llm.common import by_bytes, text_batches, written
 from hazardspark.operators.components import connected_components
 
 BITS = 64
@@ -42,6 +42,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint's 64 bits as a signed long."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = pa.schema([("doc_id", pa.from_numpy_dtype(np.int64)), ("fp", pa.int64())])
 

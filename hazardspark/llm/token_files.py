@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import by_bytes, new_path, partitions, written
+from hazardspark.llm.common import by_bytes, new_path, partitions, text_batches, written
 from hazardspark.llm.pieces import encoder
 
 #: For each control byte: the byte lengths (1 to 4) of its four values, and which of 4 bytes each value has in the data.
@@ -80,6 +80,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, kind: str = "d
     whole corpus (ties by id), so the most frequent 256 take one byte. Null texts count as empty; an empty table has no blocks.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     width = 2 if end_id < 1 << 16 and encoder(tokenizer, kind).width == 2 else 4
     tokens = written(_tokens(docs, tokenizer, kind, end_id, id_col, text_col), "tokens")
     ranked = _frequencies(tokens, width).orderBy(F.desc("n"), "id").collect()  # the vocabulary at most
