@@ -32,7 +32,7 @@ def _(t: Tables):
 
 
 @query("m4_auroc", """WITH k AS (SELECT grp, y, rank() OVER (PARTITION BY grp ORDER BY score) + (count(*) OVER (PARTITION BY grp, score) - 1) / 2 AS r FROM {scored})
-    SELECT grp, round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) AS auroc FROM k GROUP BY grp""")
+    SELECT grp, round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0), 6) AS auroc FROM k GROUP BY grp""")
 def _(t: Tables):
     return scoring.auroc(t.scored, by=["grp"]).select("grp", r6(c("auroc")).alias("auroc"))
 
