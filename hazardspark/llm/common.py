@@ -51,14 +51,19 @@ def lower_ascii(text: Column) -> Column:
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in order, in batches of about `limit` bytes of `column` (one row at least)."""
+    """The same rows in order, in batches of about `limit` bytes of `column` (one row at least); small batches are put together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0).to_pylist()
-        start = held = 0
+        start = 0
         for i, n in enumerate(sizes):
-            if held and held + n > limit:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += n
+            if size and size + n > limit:
+                held.append(batch.slice(start, i - start))
+                yield pa.concat_batches(held)
+                held, size, start = [], 0, i
+            size += n
         if start < len(sizes):
-            yield batch.slice(start)
+            held.append(batch.slice(start))
+    if held:
+        yield pa.concat_batches(held)

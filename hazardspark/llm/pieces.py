@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from hazardspark.llm.common import held
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-_STEM = re.compile(rf"([{_LATIN}]+)([.,;:!?]*)\Z")
+_STEM = re.compile(rf"([{_LATIN}]+)([!-&(-/:-@\[-`{{-~]*)\Z")
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECE = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 _WHITE_RE2 = re.sub(r"\\u(\w{4})", r"\\x{\1}", _WHITE)
@@ -33,11 +33,11 @@ _SPACE = _ALPHABET[32]
 class PieceEncoder:
     """kind 'space': a space belongs to the word after it (byte-level BPE); 'drop': white space has no ids.
 
-    Known pieces and their ids are two aligned Arrow arrays. In kind 'space' a piece stands for itself with a space before
+    `place` numbers the known pieces in the order of their learning, `blobs` holds their ids at these numbers. In kind 'space' a piece stands for itself with a space before
     it; one that really begins with a space stands for the rest without one (no cut piece holds a space).
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 800_000):
+    def __init__(self, path: str, kind: str, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -47,7 +47,8 @@ class PieceEncoder:
         self.kind, self.limit = kind, limit
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.width = np.dtype(self.dtype).itemsize
-        self.known, self.blobs = pa.array([], pa.string()), pa.array([], pa.binary())
+        self.place: dict[str, int] = {}
+        self.blobs = pa.array([], pa.binary())
 
     def _text(self, piece: str) -> str:
         if self.kind == "drop":
@@ -77,42 +78,37 @@ class PieceEncoder:
         return out
 
     def _add(self, pieces: list[str], blobs: list[bytes]) -> None:
-        self.known = pa.concat_arrays([self.known, pa.array(pieces, pa.string())])
+        self.place.update(zip(pieces, range(len(self.blobs), len(self.blobs) + len(pieces)), strict=True))
         self.blobs = pa.concat_arrays([self.blobs, pa.array(blobs, pa.binary())])
 
-    def _missing(self, pieces: pa.Array) -> tuple[pa.Array, list[str]]:
-        codes = pc.index_in(pieces, value_set=self.known)
-        return codes, pc.unique(pieces.filter(pc.is_null(codes))).to_pylist() if codes.null_count else []
-
-    def _codes(self, pieces: pa.Array) -> np.ndarray:
-        """Places of the pieces among the known ones; unknown pieces are learned first, as a word and the marks after it where they end so."""
-        codes, new = self._missing(pieces)
-        if new:
-            cut = {p: (m[1], f" {m[2]}" if self.kind == "space" else m[2]) for p in new if (m := _STEM.match(p)) and m[2]}
-            parts = [x for p in new for x in cut.get(p, (p,))]
-            _, parts = self._missing(pa.array(parts, pa.string()))
-            self._add(parts, self._tokenized(parts))
-            if cut:
-                found = [pc.index_in(pa.array([x[k] for x in cut.values()], pa.string()), value_set=self.known) for k in (0, 1)]
-                ids = [self.blobs.take(x).to_pylist() for x in found]
-                self._add(list(cut), [a + b for a, b in zip(*ids, strict=True)])
-            gaps = pc.is_null(codes)
-            codes = pc.replace_with_mask(codes, gaps, pc.index_in(pieces.filter(gaps), value_set=self.known))
-        return codes.to_numpy()
+    def _learn(self, new: list[str]) -> None:
+        """Ids of unknown pieces; a word and the marks after it are learned apart and put together."""
+        cut = {p: (m[1], f" {m[2]}" if self.kind == "space" else m[2]) for p in new if (m := _STEM.match(p)) and m[2]}
+        parts = [x for x in dict.fromkeys(x for p in new for x in cut.get(p, (p,))) if x not in self.place]
+        self._add(parts, self._tokenized(parts))
+        if cut:
+            ids = [self.blobs.take(pa.array([self.place[x[k]] for x in cut.values()])).to_pylist() for k in (0, 1)]
+            self._add(list(cut), [a + b for a, b in zip(*ids, strict=True)])
 
     def _taken(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces one after another, and where each piece's begin (one more for the end)."""
-        codes = pa.array(self._codes(pieces))
-        got = self.blobs.take(codes)
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        places = list(map(self.place.get, distinct))
+        if None in places:
+            self._learn([p for p, i in zip(distinct, places, strict=True) if i is None])
+            places = list(map(self.place.get, distinct))
+        got = self.blobs.take(pa.array(places, pa.int32())).take(coded.indices)
         at = np.frombuffer(got.buffers()[1], np.int32, len(got) + 1, got.offset * 4)
         data = got.buffers()[2]
         return (np.frombuffer(data, self.dtype, at[-1] // self.width) if data is not None and at[-1] else np.zeros(0, self.dtype)), at // self.width
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text; null counts as empty."""
-        if len(self.known) > self.limit:
-            self.known, self.blobs = self.known.slice(len(self.known) // 2), self.blobs.slice(len(self.blobs) // 2)
-            self.known, self.blobs = pa.concat_arrays([self.known]), pa.concat_arrays([self.blobs])
+        if len(self.place) > self.limit:
+            kept = list(self.place)[len(self.place) // 2 :]
+            self.blobs = self.blobs.take(pa.array(range(len(self.place) - len(kept), len(self.place))))
+            self.place = dict(zip(kept, range(len(kept)), strict=True))
         texts = pc.fill_null(texts, "")
         if self.kind == "drop":
             lists = pc.ascii_split_whitespace(texts)
