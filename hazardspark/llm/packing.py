@@ -99,7 +99,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "space", size: int = 1024,
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer = encoder(tokenizer, kind), Packer(size, TaskContext.get().partitionId() << 33)
+        enc, packer = encoder(tokenizer, kind, 350_000), Packer(size, TaskContext.get().partitionId() << 33)
 
         def batch(found: list[tuple]) -> pa.RecordBatch:
             doc, start, ids, total, seq, offset = zip(*found, strict=True) if found else ((),) * 6
@@ -107,7 +107,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "space", size: int = 1024,
             columns = [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), raw, pa.array(total, pa.int64()), pa.array(seq, pa.int64()), pa.array(offset, pa.int64())]
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for b in by_bytes(it):
+        for b in by_bytes(it, limit=4 << 20):
             out: list[tuple] = []
             for doc, ids in zip(b["doc_id"].to_pylist(), enc.encode(b["text"]), strict=True):
                 out.extend(packer.add(doc, np.append(ids, ids.dtype.type(end_id))))

@@ -140,6 +140,6 @@ def _split(ids: np.ndarray, at: np.ndarray, ends: np.ndarray) -> list[np.ndarray
     return [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def encoder(path: str, kind: str) -> PieceEncoder:
+def encoder(path: str, kind: str, limit: int = 600_000) -> PieceEncoder:
     """Kept in the worker process across its tasks."""
-    return held(("pieces", path, kind), lambda: PieceEncoder(path, kind))
+    return held(("pieces", path, kind, limit), lambda: PieceEncoder(path, kind, limit))
