@@ -9,8 +9,8 @@ from hazardspark.llm.common import written
 from hazardspark.llm.crossparse import identify, sample_texts
 from hazardspark.llm.decontam import drop_contaminated
 from hazardspark.llm.exact_dedup import drop_exact_copies
+from hazardspark.llm.minhash import drop_similar
 from hazardspark.llm.queries import packed_digests
-from hazardspark.llm.simhash import drop_near_copies
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_copies(docs)
+    """Texts linked by 0.8 of their five-word shingles; the fingerprints of op1_simhash are too coarse for that."""
+    return drop_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
