@@ -93,11 +93,14 @@ def street_stretches(edges: DataFrame, components: Callable[[DataFrame], DataFra
     return rows.groupBy("street_name", "stretch").agg(F.count("*").alias("edges"), F.sum("length_m").alias("length_m"))
 
 
-def reachable(edges: DataFrame, sources: DataFrame, written: Written, rounds: int = 1000) -> DataFrame:
-    """(source, node, hops) for every node reached along directed edges, by rounds from the frontier."""
+def reachable(edges: DataFrame, sources: DataFrame, written: Written, hops: int | None = None, rounds: int = 1_000_000) -> DataFrame:
+    """(source, node, hops) for every node reached along directed edges (in at most `hops`, if stated), by rounds from the frontier until
+    it is empty; an error where the round limit is met before."""
     seen = written(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")), "reached")
     front = seen
     for hop in range(1, rounds + 1):
+        if hops is not None and hop > hops:
+            break
         step = front.join(edges, front["node"] == edges["from_node"]).select("source", F.col("to_node").alias("node")).distinct()
         front = written(step.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)), "frontier")
         if front.isEmpty():
@@ -105,12 +108,14 @@ def reachable(edges: DataFrame, sources: DataFrame, written: Written, rounds: in
         seen = seen.unionByName(front)
         if hop % 10 == 0:
             seen = written(seen, "reached")
+    else:
+        raise RuntimeError(f"reachable: nodes are left after {rounds} rounds")
     return seen
 
 
-def shortest_costs(edges: DataFrame, sources: DataFrame, written: Written, rounds: int = 1000, limit: float | None = None) -> DataFrame:
+def shortest_costs(edges: DataFrame, sources: DataFrame, written: Written, rounds: int = 1_000_000, limit: float | None = None) -> DataFrame:
     """(source, node, cost) of the cheapest paths over priced edges (from_node, to_node, cost; null cost: removed). Each round relaxes
-    the edges out of nodes whose cost has just improved, for all sources at once."""
+    the edges out of nodes whose cost has just improved, for all sources at once, until none does; an error where the round limit is met before."""
     edges = edges.filter("cost IS NOT NULL").groupBy("from_node", "to_node").agg(F.min("cost").alias("step"))
     best = written(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost")), "costs")
     front = best
@@ -122,24 +127,34 @@ def shortest_costs(edges: DataFrame, sources: DataFrame, written: Written, round
         best, front = merged.drop("better"), merged.filter("better").drop("better")
         if front.isEmpty():
             break
+    else:
+        raise RuntimeError(f"shortest_costs: costs still improve after {rounds} rounds")
     return best
 
 
-def routes(costs: DataFrame, edges: DataFrame, pairs: DataFrame, written: Written, rounds: int = 1000) -> DataFrame:
+def routes(costs: DataFrame, edges: DataFrame, pairs: DataFrame, written: Written, rounds: int = 1_000_000) -> DataFrame:
     """(source, target, path): nodes from source to target, walked back over the edge that completes the cheapest cost (ties to the
-    lower node)."""
+    lower node); an error where the round limit is met before all have arrived."""
     steps = edges.filter("cost IS NOT NULL").groupBy("from_node", "to_node").agg(F.min("cost").alias("step"))
     before = costs.select("source", F.col("node").alias("from_node"), F.col("cost").alias("cost0"))
     on = costs.join(steps, costs["node"] == steps["to_node"]).join(before, ["source", "from_node"]).filter("abs(cost0 + step - cost) < 1e-6 AND node <> source")
     back = written(on.groupBy("source", "node").agg(F.min("from_node").alias("prev")), "predecessors")
     walk = written(pairs.select("source", "target", F.col("target").alias("node"), F.array("target").alias("path")), "walk")
-    done = []
+    done, kept = [], []
     for _ in range(rounds):
         done.append(walk.filter("node = source").select("source", "target", "path"))
+        if len(done) == 10:
+            done, kept = [], [*kept, written(_union(done), "routes")]
         walk = written(walk.filter("node <> source").join(back, ["source", "node"]).select("source", "target", F.col("prev").alias("node"), F.concat(F.array("prev"), "path").alias("path")), "walk")
         if walk.isEmpty():
             break
-    out = done[0]
-    for d in done[1:]:
+    else:
+        raise RuntimeError(f"routes: walks are left after {rounds} rounds")
+    return _union([*kept, *done])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for d in parts[1:]:
         out = out.unionByName(d)
     return out

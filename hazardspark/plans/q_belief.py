@@ -225,7 +225,13 @@ def _(t: Tables):
 @query("g3_reachable", """WITH RECURSIVE r AS (SELECT DISTINCT node AS source, node, 0 AS hops FROM {lattice_nodes} WHERE node % 500 = 0
     UNION SELECT r.source, e.to_node, r.hops + 1 FROM r JOIN {lattice_edges} e ON e.from_node = r.node WHERE r.hops < 6) SELECT source, node, CAST(min(hops) AS BIGINT) AS hops FROM r GROUP BY source, node""")
 def _(t: Tables):
-    rows = graph.reachable(t.lattice_edges, t.lattice_nodes.filter("node % 500 = 0"), written, rounds=6)
+    rows = graph.reachable(t.lattice_edges, t.lattice_nodes.filter("node % 500 = 0"), written, hops=6)
+    return rows.select("source", "node", c("hops").cast("long").alias("hops"))
+
+
+@query("g3_reachable_all")
+def _(t: Tables):
+    rows = graph.reachable(t.lattice_edges, t.lattice_nodes.filter("node % 20 = 0"), written)
     return rows.select("source", "node", c("hops").cast("long").alias("hops"))
 
 
@@ -236,11 +242,17 @@ def _(t: Tables):
     return graph.shortest_costs(edges, t.lattice_nodes.filter("node % 500 = 0"), written, limit=450.0).select("source", "node", F.round("cost", 4).alias("cost"))
 
 
+@query("g5_shortest_costs_all")
+def _(t: Tables):
+    edges = t.lattice_edges.withColumn("cost", c("free_flow_seconds"))
+    return graph.shortest_costs(edges, t.lattice_nodes.filter("node % 20 = 0"), written).select("source", "node", F.round("cost", 4).alias("cost"))
+
+
 @query("g6_routes")
 def _(t: Tables):
     edges = t.lattice_edges.withColumn("cost", c("free_flow_seconds"))
-    costs = graph.shortest_costs(edges, t.lattice_nodes.filter("node % 500 = 0"), written, limit=900.0)
-    return graph.routes(costs, edges, costs.filter("node % 7 = 0").select("source", c("node").alias("target")), written)
+    costs = graph.shortest_costs(edges, t.lattice_nodes.filter("node % 20 = 0"), written)
+    return graph.routes(costs, edges, costs.select("source", c("node").alias("target")), written)
 
 
 @query("g8_restricted_edges", f"""WITH {_BETA}, v AS (SELECT o.*, h.tau FROM {{obs_edge}} o JOIN {{hazards}} h ON h.hazard_class = o.hazard_class WHERE EPOCH({_AT}) - EPOCH(observed_at) BETWEEN 0 AND 2 * h.tau),

@@ -37,7 +37,7 @@ def _(t: Tables):
 
 @query("g4_sample_od_pairs")
 def _(t: Tables):
-    reached = graph.reachable(t.lattice_edges, t.lattice_nodes.filter("node % 500 = 0"), written, rounds=5)
+    reached = graph.reachable(t.lattice_edges, t.lattice_nodes.filter("node % 20 = 0"), written)
     return studies.sample_pairs(reached, 20, 20260914)
 
 
