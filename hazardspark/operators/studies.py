@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardspark.functions.geo import DEGREE_M, cell, haversine_m
 
+Written = Callable[[DataFrame, str], DataFrame]
+
 
 def summarise_routes(routes: DataFrame, by: str) -> DataFrame:
     """routes (by, duration_s, best_s; null duration: disconnected): detour mean and percentiles, disconnected, share at least 1.5 times as long."""
@@ -96,25 +99,30 @@ def farthest_points(points: DataFrame, n: int) -> list[int]:
     return picked
 
 
-def _greedy(radius_m: float):
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["area", "zone_id"], ascending=[False, True]).reset_index(drop=True)
-        owner = [-1] * len(rows)
-        for i in range(len(rows)):
-            if owner[i] < 0:
-                dy = (rows["lat"] - rows["lat"][i]) * DEGREE_M
-                dx = (rows["lon"] - rows["lon"][i]) * DEGREE_M * 0.975
-                for j in ((dx * dx + dy * dy) <= radius_m**2).to_numpy().nonzero()[0]:
-                    owner[j] = rows["zone_id"][i] if owner[j] < 0 else owner[j]
-        return pd.DataFrame({"zone_id": rows["zone_id"], "cluster": owner})
-
-    return cluster
-
-
-def greedy_clusters(zones: DataFrame, radius_m: float, region: Column) -> DataFrame:
-    """Zones in falling area take all free zones within the radius; order matters, so each coarse region is one group (regions are the unit
-    that must fit a task)."""
-    return zones.withColumn("region", region).select("region", "zone_id", "area", "lat", "lon").groupBy("region").applyInPandas(_greedy(radius_m), "zone_id long, cluster long")
+def greedy_clusters(zones: DataFrame, radius_m: float, written: Written) -> DataFrame:
+    """(zone_id, cluster): in falling area (ties: lower id), each zone that is still free becomes a centre and takes all free zones within
+    the radius. In each round the free zones that lead all their free neighbours become centres, which gives the same centres as one
+    zone after another; a zone then belongs to the first centre in reach."""
+    order = F.struct((-F.col("area")).alias("k"), F.col("zone_id").alias("i"))
+    free = written(zones.select("zone_id", order.alias("place")), "free-zones")
+    near = link_neighbours(zones.select(F.col("zone_id").alias("link"), "lat", "lon"), radius_m)
+    place = lambda on: free.select(F.col("zone_id").alias(on), F.col("place").alias(f"{on}_place"))
+    pairs = written(near.join(place("link"), "link").join(place("other"), "other"), "zone-pairs")
+    live, centres = pairs, free.limit(0)
+    while True:
+        beaten = live.filter("other_place < link_place").select(F.col("link").alias("zone_id")).distinct()
+        found = written(free.join(beaten, "zone_id", "left_anti"), "centres")
+        centres = written(centres.unionByName(found), "centres")
+        taken = live.join(found.select(F.col("zone_id").alias("link")), "link", "left_semi").select(F.col("other").alias("zone_id"))
+        free = written(free.join(found.select("zone_id").unionByName(taken).distinct(), "zone_id", "left_anti"), "free-zones")
+        if free.isEmpty():
+            break
+        left = free.select("zone_id")
+        live = written(live.join(left, live["link"] == left["zone_id"], "left_semi").join(left, live["other"] == left["zone_id"], "left_semi"), "zone-pairs")
+    reach = pairs.join(centres.select(F.col("zone_id").alias("other")), "other", "left_semi").groupBy("link").agg(F.min_by("other", "other_place").alias("cluster"))
+    own = centres.select("zone_id", F.col("zone_id").alias("cluster"))
+    members = reach.join(own.select(F.col("zone_id").alias("link")), "link", "left_anti")
+    return own.unionByName(members.select(F.col("link").alias("zone_id"), "cluster"))
 
 
 def corridor_passes(rows: DataFrame, before_m: float, after_m: float) -> DataFrame:

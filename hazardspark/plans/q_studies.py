@@ -140,7 +140,7 @@ def _(t: Tables):
 
 @query("m28_greedy_clusters")
 def _(t: Tables):
-    return studies.greedy_clusters(t.zones, 3000.0, F.floor(c("lat") / 0.25))
+    return studies.greedy_clusters(t.zones, 3000.0, written)
 
 
 @query("m30_unseen_blocks", """WITH s AS (SELECT *, CAST(floor(id / 3e0) AS BIGINT) % 90 AS blk FROM {scored}), tr AS (SELECT DISTINCT blk FROM s WHERE id % 10 < 2), te AS (SELECT * FROM s WHERE id % 10 >= 2 AND blk NOT IN (SELECT blk FROM tr)),
