@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardspark.operators import events, spatial
+from hazardspark.operators import events, signals, spatial
 from hazardspark.operators.components import connected_components
 from hazardspark.plans.registry import Tables, query
 from hazardspark.tables import new_path, written
@@ -67,3 +67,9 @@ def _(t: Tables):
     point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
     t.obs.select(c("id").cast("string"), "hazard_class", "polarity", point.alias("geometry"), c("observed_at").cast("timestamp"), F.create_map(F.lit("depth_mm"), "depth_mm").alias("intensity")).write.json(path)
     return read_observations_ndjson(t.spark, path).select("id", r6(c("depth_mm")).alias("depth_mm"))
+
+
+@query("m26_cycle_candidates_all")
+def _(t: Tables):
+    rows = t.events.filter("event_type = 'click'").select((c("user_id") % 10).alias("site"), (F.unix_timestamp("ts") % 86400).alias("t"))
+    return signals.cycle_candidates(rows, "site", "t").select("site", "cycle", r6(c("resultant")).alias("resultant"), "n")

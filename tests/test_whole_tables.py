@@ -1,5 +1,6 @@
 """Queries over whole tables against plain versions of them."""
 
+import math
 from datetime import timedelta
 
 from hazardspark.plans import queries
@@ -29,3 +30,14 @@ def test_gauges_and_reports_of_all_rows(spark, sf_dir):
     assert {r for r in whole if r[0] % 3 == 0} == third and {r[0] % 3 for r in whole} == {0, 1, 2}
     found = {r.id: r.depth_mm for r in run["s1_observations_ndjson_all"](spark, sf_dir).collect()}
     assert found == {str(r.event_id): round(r.value, 6) if r.event_id % 3 == 0 else None for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value").collect()}
+
+
+def test_cycles_in_quarter_seconds(spark, sf_dir):
+    sites = {}
+    for r in spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type = 'click'").selectExpr("user_id % 10 AS site", "unix_timestamp(ts) % 86400 AS t").collect():
+        sites.setdefault(r.site, []).append(r.t)
+    got = {(r.site, r.cycle): r.resultant for r in queries()["m26_cycle_candidates_all"](spark, sf_dir).collect()}
+    assert set(got) == {(s, 40 + k / 4) for s in sites for k in range(561)}
+    for (site, cycle), found in got.items():
+        phases = [2 * math.pi * x / cycle for x in sites[site]]
+        assert abs(found - math.hypot(sum(map(math.cos, phases)), sum(map(math.sin, phases))) / len(phases)) < 2e-6
