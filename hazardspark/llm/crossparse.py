@@ -21,11 +21,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def sample_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = 48, chars: int = 768) -> dict[str, str]:
-    """The labelled sample of each language: the first `chars` code points of `texts` documents in the order of a hash of id and
-    text, never of held-out rows. So a language has at most texts * chars code points, whatever the size of docs."""
+    """The labelled sample of each language: `chars` code points of each of `texts` documents in the order of a hash of id and text,
+    from an offset in the whole text that the hash fixes, so that bodies count and not only openings; never of held-out rows. So a language has at most texts * chars code points, whatever the size of docs."""
     rows = docs.filter(F.col(lang_col).isNotNull() & ~held_out(id_col) & F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     order = Window.partitionBy("lang").orderBy("k", "part")
-    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"), F.substring(text_col, 1, chars).alias("part"))
+    hashed = F.xxhash64(F.col(id_col), F.col(text_col))
+    start = F.pmod(hashed, F.greatest(F.char_length(text_col) - chars, F.lit(0)) + 1) + 1
+    rows = rows.select(F.col(lang_col).alias("lang"), hashed.alias("k"), F.col(text_col).substr(start.cast("int"), F.lit(chars)).alias("part"))
     found: dict[str, list[str]] = {}
     for r in rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= texts).orderBy("lang", "n").collect():
         found.setdefault(r["lang"], []).append(r["part"])
