@@ -59,7 +59,7 @@ class Packer:
             pieces = self.open[h].pop()
             self.counts[h] -= 1
             self.n_open -= 1
-        pieces.append((doc, whole, rest, len(ids)))
+        pieces.append((doc, whole, rest.copy(), len(ids)))  # a view would keep its whole batch
         if h + len(rest) == self.size:
             yield from self._closed(pieces)
             return
@@ -91,7 +91,8 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, kind: str = "space", size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, ids, doc_tokens, sequence_id, offset) of every piece; ids are little-endian unsigned 32 bit.
 
-    A document is the ids of its whole text (null: empty) and end_id. Every input partition is packed on its own as it is read, so
+    A document is the ids of its whole text (null: empty) by the plain library call without added special tokens (a control string
+    in the text gets its own id), and end_id. Every input partition is packed on its own as it is read, so
     nothing is shuffled, memory holds the open windows only, and a lost task packs the same rows again. sequence_id is unique and
     ascends within a partition (partition number times 2^33 and a count); a partition leaves one window with a gap at most.
     """
@@ -109,8 +110,9 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "space", size: int = 1024,
 
         for b in by_bytes(it, limit=4 << 20):
             out: list[tuple] = []
-            for doc, ids in zip(b["doc_id"].to_pylist(), enc.encode(b["text"]), strict=True):
-                out.extend(packer.add(doc, np.append(ids, ids.dtype.type(end_id))))
+            ids, ends = enc.encode_flat(b["text"], end_id)
+            for doc, first, end in zip(b["doc_id"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                out.extend(packer.add(doc, ids[first:end]))
             yield batch(out)
         yield batch(list(packer.finish()))
 

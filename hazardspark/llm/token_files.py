@@ -37,44 +37,52 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _tokens(docs: DataFrame, tokenizer: str, kind: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(part, at, doc_id, n, ids): rows in ascending id; at counts the ids before the row in its part, a range of doc ids."""
+    """(part, at, doc_id, n, ids, seen): rows in ascending id; at counts the ids before the row in its part, a range of doc ids. The
+    last row of each part is none of a document (at is null): its `seen` holds how often each id occurs in the part."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    names = ["part", "at", "doc_id", "n", "ids", "seen"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoder(tokenizer, kind), TaskContext.get().partitionId(), 0
+        seen = np.zeros(0, dtype=np.int64)
         for b in by_bytes(it):
-            ids = [np.append(x, x.dtype.type(end_id)) for x in enc.encode(b["text"])]
-            n = np.array([len(x) for x in ids], dtype=np.int64)
-            before = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), part, np.int32)), pa.array(before), b["doc_id"], pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())],
-                ["part", "at", "doc_id", "n", "ids"],
-            )
+            ids, ends = enc.encode_flat(b["text"], end_id)
+            got = np.bincount(ids, minlength=len(seen))
+            got[: len(seen)] += seen
+            seen, n = got, np.diff(ends)
+            raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+            columns = [np.full(len(n), part, np.int32), at + ends[:-1], b["doc_id"], n, raw, pa.nulls(len(n), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, np.ndarray) else c for c, k in zip(columns, kinds, strict=True)], names)
+            at += int(ends[-1])
+        last = [part, None, None, None, None, seen.tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(last, kinds, strict=True)], names)
 
-    return rows.mapInArrow(batches, "part int, at long, doc_id long, n long, ids binary")
+    return rows.mapInArrow(batches, "part int, at long, doc_id long, n long, ids binary, seen binary")
 
 
-def _frequencies(tokens: DataFrame, width: int) -> DataFrame:
+def _frequencies(tokens: DataFrame) -> DataFrame:
     """(id, n) of the ids in all documents; at most as many rows as the vocabulary."""
 
     def counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
-        for b in it:
-            got = np.bincount(np.frombuffer(b"".join(b["ids"].to_pylist()), f"<u{width}"))
-            total, got = (total, got) if len(total) >= len(got) else (got, total)
+        for raw in (x for b in it for x in b["seen"].to_pylist()):
+            got = np.frombuffer(raw, np.int64)
+            if len(got) > len(total):
+                total, got = got.copy(), total
             total[: len(got)] += got
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.filter("at IS NULL").select("seen").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, kind: str = "drop", end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of every whole text, and end_id after each, below path in ascending id (rows that repeat an id by text; null
     ids first).
 
+    Ids are those of the plain library call without added special tokens: a control string in a text gets its own id.
     path/blocks holds, in Parquet (so Spark commits and reads them in any store), blocks of about 2^18 ids: the documents' ids and
     token counts, the control bytes and the data bytes of the ids' ranks. path/ranks lists the ids by falling frequency over the
     whole corpus (ties by id), so the most frequent 256 take one byte. Null texts count as empty; an empty table has no blocks.
@@ -83,7 +91,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, kind: str = "d
     text_batches(spark)
     width = 2 if end_id < 1 << 16 and encoder(tokenizer, kind).width == 2 else 4
     tokens = written(_tokens(docs, tokenizer, kind, end_id, id_col, text_col), "tokens")
-    ranked = _frequencies(tokens, width).orderBy(F.desc("n"), "id").collect()  # the vocabulary at most
+    ranked = _frequencies(tokens).orderBy(F.desc("n"), "id").collect()  # the vocabulary at most
     order = np.array([r["id"] for r in ranked], dtype=np.int64)
     spark.createDataFrame(list(enumerate(order.tolist())), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(int(order.max(initial=0)) + 1, dtype=np.uint32)
@@ -113,7 +121,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, kind: str = "d
         if held:
             yield block()
 
-    tokens.mapInArrow(blocks, "part int, at long, n_ids long, doc_ids array<bigint>, counts array<bigint>, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    rows = tokens.filter("at IS NOT NULL").select("part", "at", "doc_id", "n", "ids")
+    rows.mapInArrow(blocks, "part int, at long, n_ids long, doc_ids array<bigint>, counts array<bigint>, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -25,7 +25,6 @@ _plain: dict = {}
 def plain(kind):
     if kind not in _plain:
         _plain[kind] = Tokenizer.from_file(public_tokenizers.path(KINDS[kind]))
-        _plain[kind].encode_special_tokens = True
     return _plain[kind]
 
 
@@ -33,13 +32,22 @@ _encoders = {k: PieceEncoder(public_tokenizers.path(f), k, limit=3000) for k, f
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(" \n\t\r\x0b.,'!?;:sdtABcéñßÀÉ12²́  　中文|<>_-"), max_size=40) | st.text(max_size=30), max_size=6))
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", " a", "b. ", "\n", "<|", "é"]), max_size=8).map("".join) | st.text(alphabet=st.sampled_from(" \n\t\r\x0b.,'!?;:sdtABcéñßÀÉ12²́  　中文|<>_-"), max_size=40) | st.text(max_size=30), max_size=6))
 def test_pieces_give_the_tokenizers_ids(texts):
     for kind, enc in _encoders.items():
         want = [e.ids for e in plain(kind).encode_batch(texts, add_special_tokens=False)]
         assert [x.tolist() for x in enc.encode(pa.array(texts, pa.string()))] == want
 
 
+def test_control_strings_and_end_ids():
+    texts = ["x <|endoftext|> y", "<|startoftext|>", "<|endoftext|><|endoftext|> a", None, "", "a  <|endoftext|>\n b", "<|ENDOFTEXT|>", "plain text"]
+    for kind, enc in _encoders.items():
+        for end_id in (7, 1 << 17):
+            ids, at = enc.encode_flat(pa.array(texts, pa.string()), end_id)
+            want = [[*e.ids, end_id] for e in plain(kind).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=50))
 def test_value_coding_round_trip(values):
