@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardspark.llm.common import by_bytes, held, text_batches
+from hazardspark.llm.common import by_bytes, text_batches
 
 _SEGMENT, _LANES = 4096, 2048
-_BEGINS = 1 << 30
+_NONE = (1 << 31) - 1
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -65,72 +66,143 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return nexts
 
 
+class Automaton:
+    """A suffix automaton as one compact table by row displacement: a state is its own offset, and cell state + symbol holds the state
+    that the cell belongs to and the next one. So memory follows the transitions (under three for each code point of the sample),
+    whatever the alphabet. `start` has the state after the first symbol of a phrase; in state `dead` every symbol begins a phrase."""
+
+    def __init__(self, nexts: list[dict[str, int]], at: dict[str, int]):
+        width = len(at) + 1
+        rows = [np.array(sorted(at[c] for c in moves), np.int64) for moves in nexts]
+        size = sum(map(len, rows)) + 4 * len(rows) + 2 * width + (1 << 16)
+        self._used, self._taken = np.zeros(2 * size, bool), np.zeros(2 * size, bool)
+        base = np.zeros(len(rows), np.int64)
+        alone: dict[int, list[int]] = defaultdict(list)
+        low: dict[int, int] = defaultdict(int)
+        for s in sorted(range(1, len(rows)), key=lambda s: -len(rows[s])):
+            if len(rows[s]) == 1:
+                alone[int(rows[s][0])].append(s)
+            else:
+                base[s] = low[len(rows[s])] = self._place(rows[s], low[len(rows[s])])
+        for c, states in alone.items():
+            base[states] = self._places(c, len(states))
+        self.dead = self._place(rows[0][:0], 0)
+        base[0] = self.dead
+        end = int(base.max()) + width + 1
+        if end >= _NONE:
+            raise ValueError("the language sample is too large")
+        self.cells = np.full(end, _NONE << 32, np.int64)
+        for s, moves in enumerate(nexts[1:], 1):
+            for c, q in moves.items():
+                self.cells[base[s] + at[c]] = base[s] << 32 | base[q]
+        self.start = np.full(width, self.dead, np.int64)
+        for c, q in nexts[0].items():
+            self.start[at[c]] = base[q]
+        del self._used, self._taken
+
+    def _place(self, codes: np.ndarray, low: int) -> int:
+        """The first free offset from low on, at which no cell of the row is used."""
+        while True:
+            free = ~self._taken[low : low + 1024]
+            for c in codes.tolist():
+                free &= ~self._used[low + c : low + c + 1024]
+            if free.any():
+                found = low + int(free.argmax())
+                self._taken[found] = True
+                self._used[found + codes] = True
+                return found
+            low += 1024
+
+    def _places(self, code: int, n: int) -> np.ndarray:
+        """Offsets of n rows with one cell each, of the same symbol."""
+        found = np.flatnonzero(~self._taken[: len(self._taken) - code] & ~self._used[code:])[:n]
+        self._taken[found] = self._used[found + code] = True
+        return found
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and whether the symbol begins a phrase."""
+        cell = self.cells[state + codes]
+        begins = (cell >> 32) != state
+        return np.where(begins, self.start[codes], cell & 0xFFFFFFFF), begins
+
+
 class CrossParser:
-    """The automata of all languages as tables over one alphabet. Where a state has no transition for a symbol the table holds
-    the state that the symbol leads to from the start, marked as the begin of a phrase; a symbol that no text has leads to the start."""
+    """The automata of all languages over one alphabet; symbols that no sample has share one code."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        letters = sorted({c for t in samples.values() for c in t})
-        self.width = len(letters) + 1
-        self.code = np.zeros(0x110000, dtype=np.uint16)
-        for i, c in enumerate(letters):
-            self.code[ord(c)] = i + 1
-        self.tables = [self._table(suffix_automaton(samples[lang]), letters) for lang in self.langs]
-
-    def _table(self, nexts: list[dict[str, int]], letters: list[str]) -> np.ndarray:
-        at = {c: i + 1 for i, c in enumerate(letters)}
-        start = np.full(self.width, _BEGINS, dtype=np.int32)
-        for c, q in nexts[0].items():
-            start[at[c]] |= q * self.width
-        table = np.tile(start, (len(nexts), 1))
-        for s, moves in enumerate(nexts[1:], 1):
-            for c, q in moves.items():
-                table[s, at[c]] = q * self.width
-        return table.ravel()
+        at = {c: i + 1 for i, c in enumerate(sorted({c for t in samples.values() for c in t}))}
+        self.code = np.zeros(0x110000, dtype=np.int32)
+        self.code[[ord(c) for c in at]] = list(at.values())
+        self.automata = [Automaton(suffix_automaton(samples[lang]), at) for lang in self.langs]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """Phrases of each text in each language, over whole texts. Texts are cut into segments of 4096 code points, each parsed
-        from its own start; many segments advance together, one symbol a step, and each new phrase begins at the symbol that
-        ended the one before."""
+        """Phrases of each text in each language, over whole texts: each phrase is the longest that occurs in the language's sample
+        (one symbol at least) and the next begins at the symbol that ended it.
+
+        To advance many lanes together, texts are cut into segments, which are first parsed from their own starts. Then each segment's
+        parse is carried on past its end until it begins a phrase where the following text's own parse does too; from there on both
+        are one. So the counts are those of one parse of the whole text.
+        """
         out = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
-        codes = self.code[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        ends = np.cumsum([len(t) for t in texts])
-        begin = np.concatenate([np.arange(e - len(t), e, _SEGMENT) for t, e in zip(texts, ends, strict=True)]) if texts else np.zeros(0, np.int64)
-        owner = np.concatenate([np.full(-(-len(t) // _SEGMENT), i) for i, t in enumerate(texts)]) if texts else np.zeros(0, np.int64)
-        size = np.minimum(begin + _SEGMENT, ends[owner.astype(np.int64)]) - begin if len(begin) else begin
-        order = np.argsort(-size, kind="stable")
-        for lanes in np.array_split(order, max(1, -(-len(order) // _LANES))):
-            if not len(lanes):
-                continue
-            first, n = begin[lanes].astype(np.int64), size[lanes]
-            steps = np.arange(n[0])
-            active = np.searchsorted(-n, -steps, side="left")  # lanes are sorted by length: those still running come first
-            grid = np.zeros((len(steps), len(lanes)), dtype=np.uint16)
-            for j, (f, k) in enumerate(zip(first.tolist(), n.tolist(), strict=True)):
-                grid[:k, j] = codes[f : f + k]
-            for lang, table in enumerate(self.tables):
-                state, count = np.zeros(len(lanes), dtype=np.int32), np.zeros(len(lanes), dtype=np.int64)
-                for step, a in enumerate(active.tolist()):
-                    got = table[state[:a] + grid[step, :a]]
-                    count[:a] += got >> 30
-                    state[:a] = got & (_BEGINS - 1)
-                np.add.at(out[:, lang], owner[lanes], count)
+        codes = self.code[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        if not len(codes):
+            return out
+        n = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(n)
+        segments = -(-n // _SEGMENT)
+        owner = np.repeat(np.arange(len(texts)), segments)
+        first_of = np.cumsum(segments) - segments
+        begin = (ends - n)[owner] + _SEGMENT * (np.arange(len(owner)) - first_of[owner])
+        stop = np.minimum(begin + _SEGMENT, ends[owner])
+        for lang, automaton in enumerate(self.automata):
+            marks, state = np.zeros(len(codes), bool), np.full(len(owner), automaton.dead, np.int64)
+            order = np.argsort(begin - stop, kind="stable")
+            for first in range(0, len(order), _LANES):
+                lanes = order[first : first + _LANES]  # the longest first, so those still running come first
+                at, size, now = begin[lanes], (stop - begin)[lanes], state[lanes]
+                for step, a in enumerate(np.searchsorted(-size, -np.arange(size[0]), side="left").tolist()):
+                    p = at[:a] + step
+                    now[:a], marks[p] = automaton.step(now[:a], codes[p])
+                state[lanes] = now
+            total = np.concatenate([[0], np.cumsum(marks)])
+            whole = segments == 1
+            out[whole, lang] = (total[ends] - total[ends - n])[whole]
+            if not whole.all():
+                extra, joins = self._carried(automaton, codes, marks, state, stop, ends[owner])
+                for t in np.flatnonzero(segments > 1).tolist():
+                    k, at = int(first_of[t]), int(begin[first_of[t]])
+                    while at < ends[t]:
+                        out[t, lang] += total[stop[k]] - total[at] + extra[k]
+                        at = int(joins[k])
+                        k = int(first_of[t] + (at - begin[first_of[t]]) // _SEGMENT)
         return out
 
-
-def _parser(samples: dict[str, str]) -> CrossParser:
-    return held(("automata", tuple(sorted(samples.items()))), lambda: CrossParser(samples))
-
-
-def predict(texts: list[str | None], samples: dict[str, str]) -> list[tuple[str, float]]:
+    @staticmethod
+    def _carried(automaton: Automaton, codes: np.ndarray, marks: np.ndarray, state: np.ndarray, stop: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each segment, how many phrases its carried-on parse begins before it joins the text's own parse, and where it joins
+        (the text's end if it does not)."""
+        extra, joins = np.zeros(len(stop), np.int64), end.copy()
+        lanes = np.flatnonzero(stop < end)
+        at, now = stop[lanes], state[lanes]
+        while len(lanes):
+            now, begins = automaton.step(now, codes[at])
+            joined = begins & marks[at]
+            joins[lanes[joined]] = at[joined]
+            extra[lanes] += begins & ~joined
+            at = at + 1
+            on = ~joined & (at < end[lanes])
+            lanes, at, now = lanes[on], at[on], now[on]
+        return extra, joins
+
+
+def predict(texts: list[str | None], parser: CrossParser) -> list[tuple[str, float]]:
     """The language and the score of each text: 1 less the ratio of the fewest phrases to the second fewest; with one language,
     1 less phrases per code point. ('und', 0) if the text is null or has no letter, or nothing was learned."""
     out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
     lowered = [t.lower() if t else "" for t in texts]
-    ask = [i for i, t in enumerate(lowered) if any(map(str.isalpha, t))] if samples else []
+    ask = [i for i, t in enumerate(lowered) if any(map(str.isalpha, t))] if parser.langs else []
     if ask:
-        parser = _parser(samples)
         counts = parser.phrases([lowered[i] for i in ask])
         for i, row in zip(ask, counts, strict=True):
             best = int(row.argmin())
@@ -144,14 +216,16 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -
     """docs with lang_pred and lang_score added (columns of these names are replaced), predicted from text_col alone.
 
     Null texts, texts without a letter and all texts when there is no labelled row are 'und' with score 0. Equal counts go to the
-    language whose name comes first. Rows stay where they are: nothing is shuffled."""
+    language whose name comes first. Rows stay where they are: nothing is shuffled. The automata are built once, from the bounded
+    samples, and sent to the workers (8 bytes a transition and 4.5 MB of symbol codes)."""
     text_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(CrossParser(samples))
     rows = docs.drop("lang_pred", "lang_score")
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(it, text_col, 4 << 20):
-            found = predict(b[text_col].to_pylist(), samples)
+            found = predict(b[text_col].to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names, "lang_pred", "lang_score"]
             )
