@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardspark.tables import new_path, written
 
-__all__ = ["by_bytes", "held", "lower_ascii", "new_path", "partitions", "remove", "text_batches", "written"]
+__all__ = ["by_bytes", "free_names", "held", "lower_ascii", "new_path", "partitions", "remove", "text_batches", "written"]
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,6 +41,17 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes to clash with no column of df (whatever its case)."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import partitions, written
+from hazardspark.llm.common import free_names, partitions, written
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_hot: int = 256) -> DataFrame:
@@ -48,8 +48,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns. Rows that repeat an id and a text leave one of them, whichever."""
-    keys = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__keep_id"), F.col("digest").alias("__keep_digest"))
+    keep, digest = free_names(docs, "__keep_id", "__keep_digest")
+    keys = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(keep), F.col("digest").alias(digest))
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    rows = docs.withColumns({"__keep_id": F.col(id_col), "__keep_digest": F.unhex(F.sha2(norm, 256))})
-    same = rows["__keep_id"].eqNullSafe(keys["__keep_id"]) & (rows["__keep_digest"] == keys["__keep_digest"])
-    return rows.join(keys, same, "left_semi").dropDuplicates(["__keep_id", "__keep_digest"]).select(docs.columns)
+    rows = docs.withColumns({keep: F.col(id_col), digest: F.unhex(F.sha2(norm, 256))})
+    same = rows[keep].eqNullSafe(keys[keep]) & (rows[digest] == keys[digest])
+    return rows.join(keys, same, "left_semi").dropDuplicates([keep, digest]).select(docs.columns)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import SPACES, lower_ascii, new_path, partitions, remove, written
+from hazardspark.llm.common import SPACES, free_names, lower_ascii, new_path, partitions, remove, written
 
 _LAST = (1 << 63) - 1
 
@@ -48,7 +48,7 @@ class LineRuns:
         self._compact(level + 1)
 
     def absorb(self, lines: DataFrame) -> DataFrame:
-        """lines (h, doc_id, rid, pos) of documents whose ids follow all earlier ones: (rid, pos) of the lines to drop. A line goes
+        """lines (h, doc_id, rid, pos) of documents whose ids follow all earlier ones: (rid, doc_id, pos) of the lines to drop. A line goes
         if an earlier batch or a smaller id of this batch holds its key. The batch's new keys become a run."""
         firsts = lines.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
         seen = F.lit(False)
@@ -57,7 +57,7 @@ class LineRuns:
             seen = seen | F.coalesce(F.col(f"in_{i}"), F.lit(False))
         run = self._write(firsts.select("h", "first_id", "last_id", seen.alias("seen")))
         twice = self.spark.read.schema(self.spark.table(run[0]).schema).parquet(run[1]).filter("seen OR last_id > first_id")  # by path: no buckets, so a hot key's lines can be split
-        dropped = lines.join(twice, "h").filter("seen OR doc_id > first_id").select("rid", "pos")
+        dropped = lines.join(twice, "h").filter("seen OR doc_id > first_id").select("rid", "doc_id", "pos")
         dropped = written(dropped, "line-drops")
         self.levels.setdefault(0, []).append(run)
         self._compact(0)
@@ -80,7 +80,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     rid = F.xxhash64(F.col(id_col), F.col(text_col))
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), rid.alias("rid"), F.col(text_col).alias("text"))
+    number = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+    ids = docs.select(number.alias("doc_id"), rid.alias("rid"), F.col(text_col).alias("text"))
     cuts = sorted(set(ids.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     lines = ids.select("doc_id", "rid", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= least_chars)
@@ -88,22 +89,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = written(lines.select("doc_id", "rid", "pos", F.unhex(F.md5("key")).alias("h"), batch.alias("batch")), "lines", "batch")
 
     runs = LineRuns(spark, fanout)
-    drops = [runs.absorb(lines.filter(F.col("batch") == b).select("h", "doc_id", "rid", "pos")) for b in range(len(cuts) + 1)]
-    runs.close()
+    try:
+        drops = [runs.absorb(lines.filter(F.col("batch") == b).select("h", "doc_id", "rid", "pos")) for b in range(len(cuts) + 1)]
+    finally:
+        runs.close()
+    own_rid, own_id, gone_at, all_lines = free_names(docs, "__rid", "__id", "__gone", "__lines")
     gone = drops[0]
     for d in drops[1:]:
         gone = gone.unionByName(d)
-    gone = gone.groupBy("rid").agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
+    gone = gone.groupBy(F.col("rid").alias(own_rid), F.col("doc_id").alias(own_id)).agg(F.array_sort(F.collect_set("pos")).alias(gone_at))
 
     parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     # kept lines are the stretches between dropped positions: as many slices as drops, each line copied once
     stretch = lambda k: F.slice(
-        F.col("__lines"),
-        F.when(k == 0, 1).otherwise(F.get("__gone", k - 1) + 2),
-        F.coalesce(F.get("__gone", k), F.size("__lines")) - F.when(k == 0, 0).otherwise(F.get("__gone", k - 1) + 1),
+        F.col(all_lines),
+        F.when(k == 0, 1).otherwise(F.get(gone_at, k - 1) + 2),
+        F.coalesce(F.get(gone_at, k), F.size(all_lines)) - F.when(k == 0, 0).otherwise(F.get(gone_at, k - 1) + 1),
     )
-    text = F.when(F.col("__gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("__gone")), stretch)), "\n"))
-    kept = docs.withColumn("__rid", rid).join(gone.withColumnRenamed("rid", "__rid"), "__rid", "left").withColumn("__lines", parts)
-    counts = {"n_lines": F.size("__lines").cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
+    text = F.when(F.col(gone_at).isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone_at)), stretch)), "\n"))
+    keyed = docs.withColumns({own_rid: rid, own_id: number})
+    kept = keyed.join(gone, [own_rid, own_id], "left").withColumn(all_lines, parts)
+    counts = {"n_lines": F.size(all_lines).cast("long"), "n_dropped": F.coalesce(F.size(gone_at), F.lit(0)).cast("long")}
     out = kept.withColumns({text_col: text} | counts)
     return out.select(*[c for c in docs.columns if c not in counts], *counts)
