@@ -22,18 +22,23 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Majority bits of the XXH64 (seed 42) of all word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 (seed 42) of all word shingles, repeats included; a text of fewer words is one shingle, one without words has none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, 42)
+        return np.array([xxhash.xxh64_intdigest(line, 42)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
+    return np.array([digest(line[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Majority bits of the hashes of all word shingles; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -203,9 +208,3 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = labelled.join(first, "component").select("fp", "component_id")
     return hashed.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its group."""
-    kept = near_groups(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep_id"]), "left_semi")

@@ -85,6 +85,18 @@ def simhash_groups(docs):
     return sorted(((i, f, least.get(named[f])) for f, ids in fps.items() for i in ids), key=str)
 
 
+def word_runs(text, n=5):
+    words = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(UP))
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def similar_groups(docs, n=5, least=0.8):
+    """{id: smallest id linked by Jaccard similarity of word runs, step by step}; ids differ."""
+    sets = {i: word_runs(t, n) for i, t in docs}
+    linked = lambda a, b: bool(sets[a]) and bool(sets[b]) and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])
+    return components(list(sets), linked)
+
+
 def contaminated(docs, bench, width=10):
     """(id, n_words, n_hit, items)."""
     windows = defaultdict(set)

@@ -25,6 +25,7 @@ def make_docs(seed=1, n=60):
     docs += [(200 + k, docs[k % 5][1].replace(" ", "  \t")) for k in range(12)]  # copies but for white space
     docs += [(300 + k, docs[7][1] + f" tail{k}") for k in range(4)]
     docs += [(400, None), (401, ""), (402, " \n\t "), (403, None), (404, "a"), (405, "A B"), (406, "...")]
+    docs += [(410, "x <|endoftext|> y"), (411, "<|startoftext|>"), (412, "<|endoftext|>\n<|endoftext|> z")]
     docs += [(407, "x y z " * 40_000), (408, "one line\n" * 3000 + "LAST Line of it"), (409, "  last line of it\r\n")]
     docs += [docs[3], docs[3], (None, "no id at all"), (None, "no id at all"), (None, docs[0][1])]
     return docs
@@ -137,15 +138,28 @@ def test_longest_matches(spark):
     assert sorted((m.item_word, m.doc_word, m.words) for m in found.matches) == [(0, 14, 10), (1, 1, 12)]
 
 
-def test_cross_parsing_counts_phrases():
-    samples = {"a": "the cat sat on the mat and the dog ran", "b": "le chat est sur la table é", "c": "zzzz"}
+def test_cross_parsing_counts_phrases(monkeypatch):
+    """Whole texts, also where segments are cut inside phrases and where a periodic text never joins its segments' own parses."""
+    samples = {"a": "the cat sat on the mat and the dog ran", "b": "le chat est sur la table é", "c": "zzzz", "d": "abcabcabcabcabcabcabc"}
     parser = crossparse.CrossParser(samples)
-    texts = ["the cat ran", "le chat", "", "q", "qqq the", "the mat est sur zz " * 700, "é"]
-    got = parser.phrases(texts)
-    for i, t in enumerate(texts):
-        parts = [t[k : k + crossparse._SEGMENT] for k in range(0, len(t), crossparse._SEGMENT)]
-        for j, lang in enumerate(parser.langs):
-            assert got[i, j] == sum(brute.phrases(p, samples[lang]) for p in parts), (t[:20], lang)
+    texts = ["the cat ran", "le chat", "", "q", "qqq the", "the mat est sur zz " * 700, "é", "abc" * 50, "z" * 99]
+    for segment in (4096, 64, 7):
+        monkeypatch.setattr(crossparse, "_SEGMENT", segment)
+        got = parser.phrases(texts)
+        for i, t in enumerate(texts):
+            for j, lang in enumerate(parser.langs):
+                assert got[i, j] == brute.phrases(t, samples[lang]), (segment, t[:20], lang)
+
+
+def test_cross_parsing_with_a_large_alphabet():
+    """Memory follows the sample, not states times letters; a text of 20,000 words is parsed whole."""
+    r = random.Random(4)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 15_000)]
+    samples = {"zh": "".join(r.choices(letters, k=30_000)), "xx": "".join(r.choices("abcdefg hij", k=30_000))}
+    parser = crossparse.CrossParser(samples)
+    assert sum(a.cells.nbytes + a.start.nbytes for a in parser.automata) < 8 << 20
+    text = " ".join("".join(r.choices(letters[:500] + list("abcdefghij") * 40, k=4)) for _ in range(20_000))
+    assert parser.phrases([text]).tolist() == [[brute.phrases(text, samples[lang]) for lang in parser.langs]]
 
 
 def test_language_id_on_held_out(spark):

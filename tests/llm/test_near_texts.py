@@ -2,7 +2,14 @@
 
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from hazardspark.llm import near_copies
+from tests.llm import brute
+from tests.llm.test_dedup import EXTRA, frame, make_docs
 
 
 def shingles(text):
@@ -26,3 +33,77 @@ def test_planted_copies_of_similarity_08_to_097_go(spark):
     docs = spark.createDataFrame([*texts, (500, "A short one"), (501, "a  SHORT one"), (None, None)], "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert kept == {None, 500, *range(0, 120, 2), *apart}
+
+
+def edits(draw, words, n, tag):
+    words = list(words)
+    for at in draw.sample(range(len(words)), n):
+        words[at] = f"{tag}{at}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize(("window", "unit"), [(32, 2048), (2, 8)])
+def test_large_groups_of_edits_of_edits_lose_no_link(spark, monkeypatch, window, unit):
+    """Two bases with 120 copies each, of similarities from 0.5 to 1, among other texts; small windows and units make the probes hot."""
+    monkeypatch.setattr(near_copies, "_WINDOW", window)
+    monkeypatch.setattr(near_copies, "_UNIT", unit)
+    draw = random.Random(9)
+    docs = []
+    for base in range(2):
+        words = [f"b{base}w{draw.randrange(3000)}" for _ in range(160)]
+        for k in range(120):
+            docs.append((1000 * base + k, edits(draw, words, k % 12, f"e{k}x")))
+    docs += [(3000 + k, " ".join(f"w{draw.randrange(4000)}" for _ in range(draw.randint(1, 200)))) for k in range(150)]
+    want = brute.similar_groups(docs)
+    got = {r.doc_id for r in near_copies.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i for i, least in want.items() if i == least}
+
+
+def test_odd_rows(spark):
+    docs = make_docs()
+    df = frame(spark, docs, [*EXTRA, "__near_node", "__NEAR_ID", "part", "value", "node", "n"])
+    out = near_copies.drop_near_copies(df)
+    assert out.columns == df.columns
+    some = list({i: (i, t) for i, t in docs if i is not None}.values())
+    want = brute.similar_groups(some)
+    kept = {r.doc_id for r in near_copies.drop_near_copies(frame(spark, some)).collect()}
+    assert kept == {i for i, least in want.items() if i == least}
+    rows = out.collect()
+    assert {r.part for r in rows} == {"clash"} and sum(r.doc_id == docs[3][0] for r in rows) in (0, 3)
+    assert near_copies.drop_near_copies(frame(spark, [])).count() == 0
+    assert near_copies.drop_near_copies(df.filter(F.col("text").isNull())).count() == 2
+
+
+def test_wide_fingerprints_are_majorities():
+    draw = np.random.default_rng(1)
+    sets = [np.unique(draw.integers(0, 1 << 64, n, np.uint64)) for n in (1, 0, 2, 254, 255, 256, 700, 3)]
+    got = near_copies.wide_fingerprints(sets, 3)
+    factors = np.random.default_rng(42).integers(0, 1 << 64, 3, np.uint64) | np.uint64(1)
+    for x, row in zip(sets, got):
+        for k, factor in enumerate(factors):
+            mixed = x * factor
+            mixed ^= mixed >> np.uint64(32)
+            assert int(row[k]) == sum(1 << b for b in range(64) if 2 * int(((mixed >> np.uint64(b)) & np.uint64(1)).sum()) > len(x))
+
+
+def test_plan_meets_the_asked_recall():
+    for n in (10, 10**5, 10**7, 10**9):
+        plan = near_copies.make_plan(n, 0.8, 0.02)
+        differ = 0.1515
+        assert plan.words * (64 // plan.width) >= plan.needed
+        assert (1 - (1 - differ) ** plan.width) ** plan.needed <= 0.0201
+        assert n / 2**plan.width <= 4
+
+
+def test_planted_recall_of_met_pairs(spark):
+    """Of 400 pairs with similarities from 0.8 to 0.97, at least 97 in 100 are linked."""
+    draw = random.Random(3)
+    docs, pairs = [], 0
+    for k in range(400):
+        words = [f"w{draw.randrange(20000)}" for _ in range(300)]
+        a, b = " ".join(words), edits(draw, words, (1, 3, 5, 6)[k % 4], f"y{k}x")
+        x, y = brute.word_runs(a), brute.word_runs(b)
+        pairs += len(x & y) >= 0.8 * len(x | y)
+        docs += [(2 * k, a), (2 * k + 1, b)]
+    kept = near_copies.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).count()
+    assert pairs >= 380 and 800 - kept >= 0.97 * pairs and 800 - kept <= pairs

@@ -17,13 +17,12 @@ def expected(docs, bench):
     kept = [(i, t) for i, t in docs if t and any(map(str.isalpha, t))]
     texts = dict(kept)
     kept = [(r[0], texts[r[0]]) for r in brute.exact(kept) if r[3]]
-    kept = [(i, texts[i]) for i, _, least in brute.simhash_groups(kept) if i == least]
+    kept = [(i, texts[i]) for i, least in brute.similar_groups(kept).items() if i == least]
     return {r[0] for r in brute.contaminated(kept, bench) if not r[2]}
 
 
 def check(rows, docs, ids):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces, windows = defaultdict(list), defaultdict(list)
     for r in rows:
         pieces[r.doc_id].append(r)
