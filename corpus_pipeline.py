@@ -9,7 +9,7 @@ from hazardspark.llm.common import written
 from hazardspark.llm.crossparse import identify, sample_texts
 from hazardspark.llm.decontam import drop_contaminated
 from hazardspark.llm.exact_dedup import drop_exact_copies
-from hazardspark.llm.minhash import drop_similar
+from hazardspark.llm.near_copies import drop_near_copies
 from hazardspark.llm.queries import packed_digests
 
 
@@ -23,8 +23,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts linked by 0.8 of their five-word shingles; the fingerprints of op1_simhash are too coarse for that."""
-    return drop_similar(docs)
+    """Texts linked by 0.8 of their five-word shingles: probes of wide fingerprints, then an exact check."""
+    return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
