@@ -68,7 +68,7 @@ def site_board(log: DataFrame, sites: DataFrame, now: str, stale_hours: float =
 
 def lag_summary(log: DataFrame) -> DataFrame:
     lag = (F.unix_timestamp("received_at") - F.unix_timestamp("observed_at")).alias("lag")
-    return log.select(lag).agg(F.percentile("lag", 0.5).alias("median"), F.max("lag").alias("most"), F.count("*").alias("n"))
+    return log.select(lag).agg(F.percentile("lag", 0.5).alias("median"), F.percentile("lag", 0.95).alias("p95"), F.max("lag").alias("most"), F.count("*").alias("n"))
 
 
 def hourly_counts(log: DataFrame, key: str, limit: int) -> DataFrame:

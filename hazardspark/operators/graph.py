@@ -50,15 +50,31 @@ def split_ways(points: DataFrame) -> DataFrame:
     return marks.withColumn("segment", F.coalesce(F.sum("junction").over(by_way().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("junction", F.coalesce("junction", F.lit(0)))
 
 
+def split_ways_capped(points: DataFrame, cap_m: float) -> DataFrame:
+    """points with `segment` where a stretch also ends once it is cap_m long. A way's points are folded in order; a way is bounded."""
+    step = F.coalesce(haversine_m(F.lag("lat").over(by_way()), F.lag("lon").over(by_way()), F.col("lat"), F.col("lon")), F.lit(0.0))
+    marks = points.join(junction_nodes(points).withColumn("junction", F.lit(1)), "node", "left").withColumns({"step": step, "junction": F.coalesce("junction", F.lit(0))})
+    ways = marks.groupBy("way").agg(F.array_sort(F.collect_list(F.struct("seq", "step", "junction"))).alias("p"))
+    start = F.struct(F.lit(0.0).alias("m"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("segments"))
+
+    def fold(s, x):
+        m = s["m"] + x["step"]
+        cut = (x["junction"] == 1) | (m >= cap_m)
+        return F.struct(F.when(cut, 0.0).otherwise(m).alias("m"), (s["n"] + cut.cast("int")).alias("n"), F.concat(s["segments"], F.array(s["n"])).alias("segments"))
+
+    numbers = ways.select("way", F.explode(F.arrays_zip(F.col("p.seq").alias("seq"), F.aggregate("p", start, fold, lambda s: s["segments"]).alias("segment"))).alias("x"))
+    return marks.drop("step").join(numbers.select("way", "x.seq", "x.segment"), ["way", "seq"])
+
+
 def way_lengths(points: DataFrame) -> DataFrame:
     step = haversine_m(F.col("lat"), F.col("lon"), F.lead("lat").over(by_way()), F.lead("lon").over(by_way()))
     return points.withColumn("step", step).groupBy("way").agg(F.sum("step").alias("length_m"), F.count("*").alias("points"))
 
 
-def build_graph(points: DataFrame) -> DataFrame:
-    """Directed edges (way, segment, from_node, to_node, length_m, seconds, highway, backward) between junctions; loops are left out.
-    points: way, seq, node, lat, lon, highway, oneway ('yes', '-1' or other)."""
-    marked = split_ways(points)
+def build_graph(points: DataFrame, cap_m: float | None = None) -> DataFrame:
+    """Directed edges (way, segment, from_node, to_node, length_m, seconds, highway, backward) between junctions, which also end once they
+    are cap_m long, if given; loops are left out. points: way, seq, node, lat, lon, highway, oneway ('yes', '-1' or other)."""
+    marked = split_ways(points) if cap_m is None else split_ways_capped(points, cap_m)
     step = haversine_m(F.lag("lat").over(by_way()), F.lag("lon").over(by_way()), F.col("lat"), F.col("lon"))
     steps = marked.withColumns({"step": step, "before": F.lag("node").over(by_way())}).filter("before IS NOT NULL")
     segments = steps.groupBy("way", "segment").agg(

@@ -7,24 +7,29 @@ from pyspark.sql import functions as F
 
 from hazardspark.functions.geo import DEGREE_M
 
-#: (tag, value or None for any, category): the first match wins. Fixed values.
-CATEGORIES = [
-    ("amenity", "hospital", "hospital"),
-    ("amenity", "clinic", "hospital"),
-    ("amenity", "school", "school"),
-    ("amenity", "college", "school"),
-    ("railway", "station", "station"),
-    ("shop", None, "shop"),
-    ("place", None, "area"),
-]
+#: Category by amenity. Fixed values.
+AMENITIES = {
+    "hospital": "health", "clinic": "health", "doctors": "health", "pharmacy": "health", "school": "education", "college": "education", "university": "education", "police": "emergency", "fire_station": "emergency",
+    "fuel": "fuel", "bank": "money", "atm": "money", "restaurant": "food", "cafe": "food", "fast_food": "food", "bus_station": "bus", "parking": "parking", "place_of_worship": "worship",
+}
+LANDMARKS, PARKS = ["attraction", "museum", "viewpoint", "hotel", "zoo"], ["park", "garden", "playground", "stadium", "sports_centre"]
 
 
 def place_category(tags: Column) -> Column:
-    tests = []
-    for tag, value, category in CATEGORIES:
-        has = tags[tag].isNotNull() if value is None else tags[tag] == value
-        tests.append(F.when(has, category))
-    return F.coalesce(*tests)
+    """The category of a place by its tags; the first rule that holds wins, null where none does."""
+    tag = lambda k: tags[k]
+    is_in = lambda k, *v: tag(k).isin(*v)
+    return F.coalesce(
+        F.element_at(F.create_map(*[F.lit(x) for kv in AMENITIES.items() for x in kv]), tag("amenity")),
+        F.when(is_in("highway", "bus_stop"), "bus"),
+        F.when(is_in("highway", "traffic_signals"), "signal"),
+        F.when(is_in("railway", "station", "halt") | (is_in("public_transport", "station") & tag("railway").isNotNull()), "rail"),
+        F.when(tag("shop") != "", "shop"),
+        F.when(is_in("tourism", *LANDMARKS) | (tag("historic") != ""), "landmark"),
+        F.when(is_in("leisure", *PARKS), "park"),
+        F.when(is_in("emergency", "ambulance_station"), "health"),
+        F.when(is_in("office", "government") | is_in("power", "substation", "plant") | is_in("man_made", "water_tower", "water_works", "wastewater_plant"), "utility"),
+    )
 
 
 def any_tag_says(tags: Column, names: str, words: list[str]) -> Column:
@@ -54,3 +59,21 @@ def rank_places(df: DataFrame, asked: str, limit: int) -> DataFrame:
     rank = F.when(name == asked.lower(), 0).when(name.startswith(asked.lower()), 1).when(every, 2)
     ranked = df.withColumn("rank", rank).filter("rank IS NOT NULL")
     return ranked.orderBy("rank", "kind", F.char_length("name"), "name", "place_id").limit(limit)
+
+
+def with_aliases_and_extras(places: DataFrame, aliases: DataFrame, extras: DataFrame, kinds: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Places with further spellings and further places, and what was refused (name, reason).
+
+    places and extras: name, lat, lon, kind, alt (array); aliases: name, spelling. A spelling joins `alt` of all places of its name
+    unless it is the name or there already. An extra must have a known kind and a name that no place has, in any case; refused are
+    others, and aliases of names that are no places."""
+    spellings = aliases.filter("spelling <> ''").groupBy("name").agg(F.array_sort(F.collect_set("spelling")).alias("more"))
+    named = places.join(spellings, "name", "left").withColumn("more", F.coalesce("more", F.array().cast("array<string>")))
+    full = named.withColumn("alt", F.concat("alt", F.array_except("more", F.concat("alt", F.array("name"))))).drop("more")
+    key = lambda df: df.select(F.lower("name").alias("k")).distinct()
+    judged = extras.withColumn("k", F.lower("name")).join(key(places).withColumn("known", F.lit(True)), "k", "left")
+    reason = F.when(~F.col("kind").isin(*kinds), "unknown kind").when(F.col("known"), "already there")
+    judged = judged.withColumn("reason", reason)
+    kept = full.unionByName(judged.filter("reason IS NULL").select(full.columns))
+    lost = spellings.join(places, "name", "left_anti").select("name", F.lit("no such place").alias("reason"))
+    return kept, judged.filter("reason IS NOT NULL").select("name", "reason").unionByName(lost)

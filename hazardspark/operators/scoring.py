@@ -1,6 +1,7 @@
 """Scores of forecasts: calibration, discrimination, conformal flags and resampling.
 
-Ranks over all rows never meet in one task as rows: scores are counted by distinct value first."""
+Ranks over all rows come from buckets: scores are cut at quantiles, rows are ranked inside a bucket, and a small table of bucket totals
+gives each bucket's start. So no window orders all rows in one task, even if all scores differ or one score holds most rows."""
 
 from __future__ import annotations
 
@@ -29,13 +30,49 @@ def reliability_table(df: DataFrame, p: str = "score", y: str = "y", bins: int =
     return df.groupBy(b).agg(F.count("*").alias("n"), (F.sum(weight * F.col(p)) / F.sum(weight)).alias("mean_p"), (F.sum(weight * F.col(y)) / F.sum(weight)).alias("rate"))
 
 
-def ranked(df: DataFrame, score: str, ties: str, by: list[str] | None = None) -> DataFrame:
-    """df with `rank` from 1 by score and then id, exact and without one window over all rows: rows are counted by score, a running sum of
-    the counts gives each score's first rank, and rows of one score are numbered among themselves."""
+def _cuts(df: DataFrame, columns: list[str], buckets: int) -> list[list[float]]:
+    return [sorted(set(q)) for q in df.approxQuantile(columns, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))]
+
+
+def _below(value: Column, cuts: list[float]) -> Column:
+    """How many cuts are less than the value."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if cuts else F.lit(0)
+
+
+def _with_starts(df: DataFrame, keys: list[str], by: list[str], sums: dict[str, Column], descending: bool = False) -> DataFrame:
+    """df with, for each of `sums`, its total over the buckets (keys) before the row's own: `before_<name>`."""
+    totals = df.groupBy(*by, *keys).agg(*[s.alias(f"before_{n}") for n, s in sums.items()])  # few rows by group
+    w = Window.partitionBy(*by).orderBy(*[F.desc(k) if descending else F.asc(k) for k in keys])
+    starts = totals.select(*[F.col(k).alias(f"__k_{k}") for k in (*by, *keys)], *[(F.sum(f"before_{n}").over(w) - F.col(f"before_{n}")).alias(f"before_{n}") for n in sums])
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in (*by, *keys)]
+    return df.join(starts, same).drop(*[f"__k_{k}" for k in (*by, *keys)])
+
+
+def running(at: DataFrame, value: str, sums: list[str], by: list[str] | None = None, descending: bool = False, buckets: int = 64) -> DataFrame:
+    """at (one row per value and group) with `c_<sum>`: the sum up to and including the row in the order of value."""
+    by = by or []
+    (cuts,) = _cuts(at, [value], buckets)
+    rows = _with_starts(at.withColumn("__b", F.coalesce(_below(F.col(value), cuts), F.lit(-1))), ["__b"], by, {s: F.sum(s) for s in sums}, descending)
+    inside = Window.partitionBy(*by, "__b").orderBy(F.desc(value) if descending else F.asc(value))
+    return rows.withColumns({f"c_{s}": F.sum(s).over(inside) + F.col(f"before_{s}") for s in sums}).drop("__b", *[f"before_{s}" for s in sums])
+
+
+def ranked(df: DataFrame, score: str, ties: str, by: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """df with `rank` from 1 by score and then ties; rows without a score are left out.
+
+    A score that holds more than a share of 1/buckets of the rows is a cut itself and a bucket of its own, which is cut again by ties
+    (where these are numbers), so buckets stay small whatever the scores.
+    """
     by = by or []
-    counts = df.groupBy(*by, score).agg(F.count("*").alias("__n"))
-    starts = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(*by).orderBy(score)) - F.col("__n")).drop("__n")
-    return df.join(starts, [*by, score]).withColumn("rank", F.col("__before") + F.row_number().over(Window.partitionBy(*by, score).orderBy(ties))).drop("__before")
+    rows = df.filter(F.col(score).isNotNull())
+    number = dict(df.dtypes)[ties].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"))
+    cuts, *tie_cuts = _cuts(rows, [score, ties] if number else [score], buckets)
+    alone = F.array_contains(F.array(*map(F.lit, cuts)), F.col(score).cast("double")) if cuts else F.lit(False)
+    fine = F.when(alone, _below(F.col(ties), tie_cuts[0])).otherwise(0) if number else F.lit(0)
+    rows = rows.withColumns({"__b": 2 * _below(F.col(score), cuts) + alone.cast("int"), "__f": F.coalesce(fine, F.lit(-1))})
+    rows = _with_starts(rows, ["__b", "__f"], by, {"rank": F.count("*")})
+    inside = F.row_number().over(Window.partitionBy(*by, "__b", "__f").orderBy(score, ties))
+    return rows.withColumn("rank", F.col("before_rank") + inside).drop("__b", "__f", "before_rank")
 
 
 def adaptive_ece(df: DataFrame, n: int, p: str = "score", y: str = "y", ties: str = "id", bins: int = 10) -> DataFrame:
@@ -53,8 +90,8 @@ def auroc(df: DataFrame, p: str = "score", y: str = "y", by: list[str] | None =
     """By midranks; null if a class is missing."""
     by = by or []
     at = df.groupBy(*by, p).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
-    mid = F.sum("n").over(Window.partitionBy(*by).orderBy(p)) - F.col("n") + (F.col("n") + 1) / 2
-    sums = at.withColumn("mid", mid).groupBy(*by).agg(F.sum(F.col("pos") * F.col("mid")).alias("r"), F.sum("pos").alias("np"), (F.sum("n") - F.sum("pos")).alias("nn"))
+    mid = F.col("c_n") - F.col("n") + (F.col("n") + 1) / 2
+    sums = running(at, p, ["n"], by).withColumn("mid", mid).groupBy(*by).agg(F.sum(F.col("pos") * F.col("mid")).alias("r"), F.sum("pos").alias("np"), (F.sum("n") - F.sum("pos")).alias("nn"))
     value = (F.col("r") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * F.col("nn"))
     return sums.select(*by, F.when((F.col("np") > 0) & (F.col("nn") > 0), value).alias("auroc"))
 
@@ -63,11 +100,11 @@ def weighted_ap_auc(df: DataFrame, score: str = "score", y: str = "y", w: str =
     """Average precision and AUC with row weights; rows of one score count together, positives before their own negatives' half."""
     by = by or []
     at = df.groupBy(*by, score).agg(F.sum(F.col(w) * F.col(y)).alias("tp"), F.sum(F.col(w) * (1 - F.col(y))).alias("fp"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score))
-    at = at.withColumns({"ctp": F.sum("tp").over(down), "cfp": F.sum("fp").over(down), "pos": F.sum("tp").over(Window.partitionBy(*by)), "neg": F.sum("fp").over(Window.partitionBy(*by))})
-    return at.groupBy(*by).agg(
-        F.when(F.first("pos") > 0, F.sum(F.col("tp") * F.col("ctp") / (F.col("ctp") + F.col("cfp"))) / F.first("pos")).alias("ap"),
-        F.when((F.first("pos") > 0) & (F.first("neg") > 0), F.sum(F.col("tp") * (F.col("neg") - F.col("cfp") + F.col("fp") / 2)) / (F.first("pos") * F.first("neg"))).alias("auc"),
+    pos, neg = F.sum("tp"), F.sum("fp")
+    behind = F.sum(F.col("tp") * (F.col("fp") / 2 - F.col("c_fp")))  # the negatives behind a score are neg - c_fp
+    return running(at, score, ["tp", "fp"], by, descending=True).groupBy(*by).agg(
+        F.when(pos > 0, F.sum(F.col("tp") * F.col("c_tp") / (F.col("c_tp") + F.col("c_fp"))) / pos).alias("ap"),
+        F.when((pos > 0) & (neg > 0), (behind + pos * neg) / (pos * neg)).alias("auc"),
     )
 
 

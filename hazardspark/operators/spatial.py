@@ -90,7 +90,36 @@ def points_in_polygons(points: DataFrame, rings: DataFrame, size: float = 0.05)
 
 
 def nearest_by_day(obs: DataFrame, gauges: DataFrame, max_km: float = 10.0) -> DataFrame:
-    """(id, gauge, mm, km): the nearest gauge with a reading on the observation's day. gauges: gauge, lat, lon, day, mm."""
+    """(id, gauge, mm, km): the nearest gauge with a reading on the observation's day. gauges: gauge, lat, lon, day, mm. Gauges are dealt
+    to the nine cells around them, so an observation meets those of its day nearby only."""
+    size = max_km / 108.4 * 1.05  # degrees, by the shorter of the two scales
+    shift = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    g = gauges.withColumn("__dy", shift).withColumn("__dx", shift)
+    g = g.withColumns({"cy": cell(F.col("lat"), size) + F.col("__dy"), "cx": cell(F.col("lon"), size) + F.col("__dx")}).alias("g")
+    o = obs.withColumns({"cy": cell(F.col("lat"), size), "cx": cell(F.col("lon"), size)}).alias("o")
     km = F.hypot((F.col("g.lat") - F.col("o.lat")) * 111.32, (F.col("g.lon") - F.col("o.lon")) * 108.4)
-    near = obs.alias("o").join(gauges.alias("g"), F.col("o.day") == F.col("g.day")).withColumn("km", km).filter(F.col("km") <= max_km)
+    same = (F.col("o.day") == F.col("g.day")) & (F.col("o.cy") == F.col("g.cy")) & (F.col("o.cx") == F.col("g.cx"))
+    near = o.join(g, same).withColumn("km", km).filter(F.col("km") <= max_km)
     return near.groupBy(F.col("o.id").alias("id")).agg(F.min(F.struct("km", F.col("g.gauge").alias("gauge"), F.col("g.mm").alias("mm"))).alias("b")).select("id", "b.gauge", "b.mm", "b.km")
+
+
+def nearest_area(points: DataFrame, places: DataFrame, familiar: list[str], familiar_m: float = 1200.0, any_m: float = 2000.0) -> DataFrame:
+    """(id, place_id, distance_m): the nearest place of a familiar kind within familiar_m, else the nearest of any kind within any_m, else
+    null. places: place_id, kind, lat, lon."""
+    known = nearest_point(points, places.filter(F.col("kind").isin(*familiar)), familiar_m, "place_id").select("id", F.col("place_id").alias("__p"), F.col("distance_m").alias("__d"))
+    other = nearest_point(points, places, any_m, "place_id").select("id", "place_id", "distance_m")
+    first = lambda a, b: F.when(F.col("__p").isNotNull(), F.col(a)).otherwise(F.col(b))
+    return known.join(other, "id").select("id", first("__p", "place_id").alias("place_id"), first("__d", "distance_m").alias("distance_m"))
+
+
+def station_climate(daily: DataFrame) -> DataFrame:
+    """(station, lat, lon, annual_mm, wet_p95): rain of a mean year, and the 95th percentile of days with 1 mm or more. daily: station,
+    lat, lon, mm."""
+    wet = F.when(F.col("mm") >= 1, F.col("mm"))
+    return daily.groupBy("station").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), (F.avg("mm") * 365.25).alias("annual_mm"), F.percentile(wet, 0.95).alias("wet_p95"))
+
+
+def nearest_station_climate(points: DataFrame, stations: DataFrame, max_km: float = 150.0) -> DataFrame:
+    """points (id, lat, lon) with the climate of the nearest station; null where that is too far."""
+    near = nearest_point(points, stations, max_km * 1000, "station")
+    return near.join(stations.select("station", "annual_mm", "wet_p95"), "station", "left")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +15,10 @@ def words(text: Column) -> Column:
 
 
 def shingles(tokens: Column, n: int) -> Column:
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """All runs of n tokens, joined. The tokens are bound once by the outer transform, so the cost is linear in them."""
+    runs = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " "))
+    found = F.transform(F.array(tokens), lambda ws: F.when(F.size(ws) >= n, runs(ws)).otherwise(F.array().cast("array<string>")))
+    return F.element_at(found, 1)
 
 
 def ground_quotes(events: DataFrame, sources: DataFrame) -> DataFrame:
@@ -50,10 +57,10 @@ def latest_decision(log: DataFrame, key: list[str], order: list) -> DataFrame:
 
 
 def duplicate_of(items: DataFrame, window_s: int) -> DataFrame:
-    """(id, duplicate_of): the earliest item before it of the same place, condition and source within the window. items: id, t, place,
-    condition, source."""
+    """(id, duplicate_of): the earliest item before it (of one time, the smallest id) of the same place, condition and source within the
+    window. items: id, t, place, condition, source."""
     w = Window.partitionBy("place", "condition", "source").orderBy("t").rangeBetween(-window_s, -1)
-    return items.select("id", F.first("id").over(w).alias("duplicate_of"))
+    return items.select("id", F.min_by("id", F.struct("t", "id")).over(w).alias("duplicate_of"))
 
 
 def fused_top_k(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
@@ -69,13 +76,123 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def vector_top_k(places: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, id, rank) of the nearest places by cosine. queries: a stated, small set; places stay where they are and each task keeps the
-    best of its own rows first."""
-    both = places.crossJoin(F.broadcast(queries)).select("query", F.col("place_id").alias("id"), cosine(F.col("embedding"), F.col("asked")).alias("cos"))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cos"), "id"))).filter(F.col("rank") <= k)
+def vector_top_k(places: DataFrame, queries: DataFrame, k: int, block_bytes: int = 4 << 20) -> DataFrame:
+    """(query, id, rank) of the k nearest places by cosine (to 12 decimals, ties by id). queries: query, asked.
+
+    Queries are taken in blocks of about block_bytes, by hash, each the only data that is sent out; places (place_id, embedding) stay
+    where they are, and a task keeps the k best of its own rows for each query of the block. A null or zero vector is near to none.
+    """
+    width = (queries.agg(F.max(F.size("asked"))).first()[0] or 1) * 8
+    blocks = max(1, -(-queries.count() * width // block_bytes))
+    best = [_block_top_k(places, queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect(), k) for b in range(blocks)]  # block_bytes each
+    tops = best[0]
+    for b in best[1:]:
+        tops = tops.unionByName(b)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cos"), "id"))
+    return tops.withColumn("rank", place).filter(F.col("rank") <= k)
+
+
+def _unit(vectors: list) -> np.ndarray:
+    x = np.array(vectors, np.float64)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(norm > 0, norm, np.nan)
+
+
+def _block_top_k(places: DataFrame, block: list, k: int) -> DataFrame:
+    block = [r for r in block if r["asked"] is not None]
+    asked = _unit([r["asked"] for r in block]) if block else np.zeros((0, 0))
+    names = np.array([r["query"] for r in block], np.int64)
+
+    def tops(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.zeros((len(names), 0), np.int64)
+        cos = np.zeros((len(names), 0))
+        for b in it:
+            b = b.filter(b["embedding"].is_valid())
+            if not len(names) or not b.num_rows:
+                continue
+            near = np.nan_to_num(np.round(asked @ _unit(b["embedding"].to_pylist()).T, 12), nan=-np.inf)
+            ids = np.concatenate([ids, np.tile(b["place_id"].to_numpy(), (len(names), 1))], axis=1)
+            cos = np.concatenate([cos, near], axis=1)
+            order = np.lexsort((ids, -cos), axis=1)[:, :k]
+            ids, cos = np.take_along_axis(ids, order, 1), np.take_along_axis(cos, order, 1)
+        keep = np.isfinite(cos).ravel()
+        columns = [np.repeat(names, ids.shape[1])[keep], ids.ravel()[keep], cos.ravel()[keep]]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["query", "id", "cos"])
+
+    return places.select(F.col("place_id").cast("long"), "embedding").mapInArrow(tops, "query long, id long, cos double")
 
 
 def ungrounded_numbers(text: Column, facts: Column) -> Column:
     """Numbers of a text that are not among the facts (an array of strings)."""
     return F.array_except(F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), facts)
+
+
+def snap_quotes(events: DataFrame, sources: DataFrame, least: int = 4) -> DataFrame:
+    """(id, sentence): the first sentence of the source that holds the place and every word of the quote; null where the quote has fewer
+    than `least` words, or there is none. events: id, item, quote, place; sources: item, text."""
+    spaced = lambda text: F.array_join(words(text), " ")
+    rows = events.join(sources, "item", "left").withColumns({"__asked": words(F.col("quote")), "__place": spaced(F.col("place"))})
+    fits = lambda s: F.contains(spaced(s), F.col("__place")) & (F.size(F.array_except("__asked", words(s))) == 0)
+    found = F.trim(F.get(F.filter(F.split("text", r"(?<=[.!?])\s+"), fits), F.lit(0)))
+    return rows.select("id", F.when(F.size("__asked") >= least, found).alias("sentence"))
+
+
+#: Words and phrases of the record rules.
+INTENTS = [
+    "why_route", "time_distance", "alternatives", "avoided_streets", "route_hazard", "is_safe", "should_go", "confidence", "data_gaps", "travel_mode",
+    "event_state", "accidents", "limits", "departure_time", "offline", "how_it_works", "help", "summary", "out_of_scope",
+]
+FALLBACK, REFUSAL, HEDGE = "I cannot answer that from the route data", "I cannot confirm the condition of any road", "use your own judgement"
+BANNED = r"(?i)\b(safe|safely|safest|unsafe|dry|clear|open|passable|fine|ok|okay|guaranteed)\b|go ahead|green light"
+
+
+def record_problems(split: Column, locale: Column, question: Column, intent: Column, sheet: Column, answer: Column, headline: Column, names: Column) -> Column:
+    """Problems of a question-and-answer record with one answer, as an array in a fixed order. sheet: the facts as text; names: street
+    names of the sheet (array), which are taken out of the answer before its words and numbers are read."""
+    bare = F.aggregate(names, answer, lambda s, n: F.replace(s, n, F.lit(" ")))
+    low = F.coalesce(F.regexp_extract(sheet, r"confidence: (\w+)", 1).isin("low", "stale"), F.lit(False))
+    english = locale == "en"
+    known = F.regexp_extract_all(sheet, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
+    found = F.array(
+        F.when(~split.isin("train", "val"), "split"),
+        F.when(~locale.isin("en", "ta"), "locale"),
+        F.when(~intent.isin(*INTENTS), "intent"),
+        F.when((F.trim(question) == "") | (F.char_length(question) > 200), "question"),
+        F.when(F.trim(answer) == "", "empty"),
+        F.when(answer.startswith(FALLBACK), "fallback"),
+        F.when(english & bare.rlike(BANNED), "banned"),
+        F.when(english & (F.size(ungrounded_numbers(bare, known)) > 0), "number"),
+        F.when(english & (intent == "is_safe") & ~answer.contains(REFUSAL), "refusal"),
+        F.when(english & low & ~answer.contains(HEDGE), "hedge"),
+        F.when(~answer.startswith(headline), "headline"),
+    )
+    return F.filter(found, lambda x: x.isNotNull())
+
+
+#: Capitalised words that are no names; marks of a hedge; phrases that claim safety.
+NO_NAMES = ["Route", "It", "This", "That", "There", "No", "Not", "Use", "Your", "You", "We", "I", "The", "A", "An", "Hazard", "Data", "Confidence", "Always", "Its", "For", "On", "At", "Is", "Are"]
+HEDGES = [
+    "unverified", "unconfirmed", "limited", "no recent data", "not confirmed", "not a guarantee", "use your own judgement", "use your own judgment", "may not", "uncertain", "out of date", "don't have",
+    "do not have", "no data", "not certain", "unclear", "low confidence", "stale", "தரவு குறைவு", "தகவல் குறைவு", "உங்கள் சொந்த முடிவை", "உறுதி இல்லை",
+]
+CLAIMS = [
+    "is safe", "is clear", "is passable", "safe to drive", "safe to travel", "safe to use", "clear to drive", "clear to travel", "nothing to worry", "no issues", "no problem", "all clear", "should be fine",
+    "perfectly fine", "completely safe", "totally safe", "guaranteed safe", "safe route", "safe option", "road is open and safe", "you can safely",
+]
+CLAIM_PATTERN = r"\b(safe|safely|safest|safer|unsafe|dry|drained|receded|subsided|cleared|passable|reopened|fine|ok|okay)\b|\bgo(ing)? ahead\b|\bgood to go\b|\bnot (flooded|waterlogged|blocked|at risk|dangerous)\b"
+
+
+def explanation_faults(text: Column, facts: Column, names: Column, band: Column, tolerance: float = 0.05) -> Column:
+    """Faults of an explanation as an array: 'numeral' (a number that no fact is near to), 'entity' (a capitalised word that is in no
+    name), 'unhedged' (low or stale confidence without a hedge), 'claim' (road said to be safe). facts: numbers; names: words that may
+    be capitalised, taken out before numbers and claims are read."""
+    bare = F.aggregate(names, text, lambda s, n: F.replace(s, n, F.lit(" ")))
+    numbers = F.transform(F.regexp_extract_all(bare, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda x: x.cast("double"))
+    loose = F.exists(numbers, lambda x: ~F.exists(facts, lambda f: F.abs(f - x) <= tolerance))
+    named = F.concat(F.array(*map(F.lit, NO_NAMES)), F.flatten(F.transform(names, lambda n: F.split(n, " "))))
+    odd = F.size(F.array_except(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-zA-Z']*\b"), F.lit(0)), named)) > 0
+    lower = F.lower(text)
+    hedged = F.exists(F.array(*map(F.lit, HEDGES)), lambda h: F.contains(lower, h))
+    said = F.exists(F.array(*map(F.lit, CLAIMS)), lambda p: F.contains(F.lower(bare), p)) | F.lower(bare).rlike(CLAIM_PATTERN)
+    faults = F.array(F.when(loose, "numeral"), F.when(odd, "entity"), F.when(band.isin("low", "stale") & ~hedged, "unhedged"), F.when(said, "claim"))
+    return F.filter(faults, lambda x: x.isNotNull())

@@ -243,11 +243,11 @@ def _(t: Tables):
     return t.events.select("event_id", lo.alias("lo"), hi.alias("hi"))
 
 
-@query("p13_place_category", """SELECT p_partkey, CASE WHEN p_size < 10 THEN 'hospital' WHEN p_size < 20 THEN 'school' WHEN p_type = 'ECONOMY' THEN 'shop' ELSE NULL END AS category FROM {part}""")
+@query("p13_place_category", """SELECT p_partkey, CASE WHEN p_size < 10 THEN 'health' WHEN p_size < 20 THEN 'education' WHEN p_type = 'ECONOMY' THEN 'shop' WHEN p_size % 7 = 0 THEN 'landmark' WHEN p_size % 5 = 0 THEN 'park' ELSE NULL END AS category FROM {part}""")
 def _(t: Tables):
     from hazardspark.operators.places import place_category
 
-    tags = F.create_map(F.lit("amenity"), F.when(c("p_size") < 10, "hospital").when(c("p_size") < 20, "school").otherwise("bench"), F.lit("shop"), F.when(c("p_type") == "ECONOMY", "supermarket"))
+    tags = F.create_map(F.lit("amenity"), F.when(c("p_size") < 10, "hospital").when(c("p_size") < 20, "school").otherwise("bench"), F.lit("shop"), F.when(c("p_type") == "ECONOMY", "supermarket"), F.lit("historic"), F.when(c("p_size") % 7 == 0, "fort"), F.lit("leisure"), F.when(c("p_size") % 5 == 0, "garden"))
     return t.part.select("p_partkey", place_category(tags).alias("category"))
 
 

@@ -266,7 +266,7 @@ def _(t: Tables):
     return fieldlog.hourly_counts(log, "user_id", 300).select("event_id", "in_hour")
 
 
-@query("a23_lag_summary", "SELECT median(l) AS median, max(l) AS most, count(*) AS n FROM (SELECT EPOCH(received_at) - EPOCH(observed_at) AS l FROM {field_log}) x")
+@query("a23_lag_summary", "SELECT median(l) AS median, quantile_cont(l, 0.95) AS p95, max(l) AS most, count(*) AS n FROM (SELECT EPOCH(received_at) - EPOCH(observed_at) AS l FROM {field_log}) x")
 def _(t: Tables):
     return fieldlog.lag_summary(t.field_log)
 

@@ -140,7 +140,7 @@ def _(t: Tables):
 @query("m21_percentile_of_points", "SELECT row, col, round(cume_dist() OVER (ORDER BY elev), 6) AS pct FROM {grid}")
 def _(t: Tables):
     n = t.grid.groupBy("elev").agg(F.count("*").alias("n"))
-    at = n.select("elev", (F.sum("n").over(Window.orderBy("elev")) / F.sum("n").over(Window.partitionBy())).alias("pct"))  # a row for each value
+    at = scoring.running(n, "elev", ["n"]).crossJoin(F.broadcast(t.grid.agg(F.count("*").alias("total")))).select("elev", (c("c_n") / c("total")).alias("pct"))
     return t.grid.join(at, "elev").select("row", "col", r6(c("pct")).alias("pct"))
 
 

@@ -98,6 +98,13 @@ def read_gpx(spark: SparkSession, path: str) -> DataFrame:
     return points.groupBy("trace", "t").agg(F.min(F.struct("lat", "lon")).alias("p")).select("trace", "t", "p.*")
 
 
+def read_csv_traces(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Traces from CSVs with a header: the first column as text, the others (time first) as numbers; rows without a time are left out."""
+    rows = read_csv_bom(spark, path)
+    key, *numbers = columns
+    return rows.select(key, *[F.col(n).try_cast("double").alias(n) for n in numbers]).filter(F.col(numbers[0]).isNotNull())
+
+
 def read_places(spark: SparkSession, path: str) -> DataFrame:
     """(name, lat, lon, kind, alt) from lines of `[name, lat, lon, kind, alt...]`; lines that are not are left out."""
     rows = spark.read.text(path).select(F.from_json("value", "array<string>").alias("a")).filter("size(a) >= 4")
