@@ -102,7 +102,14 @@ def newest_reliable_depth(attached: DataFrame, dominant: DataFrame, sources: Dat
 
 
 def _quantiles(a: pd.Series, b: pd.Series, z: pd.Series) -> pd.Series:
-    return pd.Series(beta_quantile(a.to_numpy(float), b.to_numpy(float), z.to_numpy(float)))
+    """Edges of one prior share parameters: each distinct triple of a batch is solved once, and none without caution."""
+    rows = np.stack([x.to_numpy(float) for x in (a, b, z)], axis=1)
+    out = rows[:, 0] / (rows[:, 0] + rows[:, 1])
+    ask = rows[:, 2] > 0
+    if ask.any():
+        distinct, at = np.unique(rows[ask], axis=0, return_inverse=True)
+        out[ask] = beta_quantile(*distinct.T)[at.ravel()]
+    return pd.Series(out)
 
 
 def pessimistic_beta(a: Column, b: Column, z: Column) -> Column:

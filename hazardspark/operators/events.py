@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazardspark.operators.spatial import points_in_polygons
 
 def drop_licences(df: DataFrame, column: str, unwanted: list[str]) -> DataFrame:
     return df.filter(~F.coalesce(F.col(column).isin(*unwanted), F.lit(False)))
@@ -22,6 +23,14 @@ def link_catalogues(a: DataFrame, b: DataFrame, days: int = 3, on: str = "distri
     return pairs.filter(F.col("month") == F.trunc(F.greatest("a_lo", "b_lo"), "month")).select("a_id", "b_id", on)
 
 
+def link_by_polygon(a: DataFrame, areas: DataFrame, points: DataFrame, rings: DataFrame, days: int = 3) -> DataFrame:
+    """Pairs (a_id, b_id, district) of an event of `a` (district) and one of `areas` (region_id) whose polygon holds the district's point
+    and whose padded periods overlap. points: district, lat, lon."""
+    inside = points_in_polygons(points.withColumnRenamed("district", "id"), rings).select(F.col("id").alias("district"), "region_id")
+    pairs = link_catalogues(a.join(inside, "district"), areas, days, "region_id")
+    return pairs.select("a_id", "b_id").distinct().join(a.select(F.col("event_id").alias("a_id"), "district"), "a_id")
+
+
 def calendar_clusters(a: DataFrame, b: DataFrame, links: DataFrame, components) -> DataFrame:
     """One row for each cluster of linked events; unlinked events of `a` are clusters of their own. Nodes of b are numbered -id - 1."""
     edges = links.select(F.col("a_id").alias("a"), (-F.col("b_id") - 1).alias("b"))

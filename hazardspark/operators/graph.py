@@ -149,28 +149,22 @@ def shortest_costs(edges: DataFrame, sources: DataFrame, written: Written, round
 
 
 def routes(costs: DataFrame, edges: DataFrame, pairs: DataFrame, written: Written, rounds: int = 1_000_000) -> DataFrame:
-    """(source, target, path): nodes from source to target, walked back over the edge that completes the cheapest cost (ties to the
-    lower node); an error where the round limit is met before all have arrived."""
+    """(source, target, path): nodes from source to target, back over the edge that completes the cheapest cost (ties to the lower node).
+
+    Each node knows the part of its path from an ancestor on, and takes over its ancestor's part in each round, so parts double and
+    rounds grow with the logarithm of the longest path; an error where the round limit is met before all have reached their source."""
     steps = edges.filter("cost IS NOT NULL").groupBy("from_node", "to_node").agg(F.min("cost").alias("step"))
     before = costs.select("source", F.col("node").alias("from_node"), F.col("cost").alias("cost0"))
     on = costs.join(steps, costs["node"] == steps["to_node"]).join(before, ["source", "from_node"]).filter("abs(cost0 + step - cost) < 1e-6 AND node <> source")
-    back = written(on.groupBy("source", "node").agg(F.min("from_node").alias("prev")), "predecessors")
-    walk = written(pairs.select("source", "target", F.col("target").alias("node"), F.array("target").alias("path")), "walk")
-    done, kept = [], []
+    parts = written(on.groupBy("source", "node").agg(F.min("from_node").alias("ancestor")).withColumn("path", F.array("node")), "path-parts")
     for _ in range(rounds):
-        done.append(walk.filter("node = source").select("source", "target", "path"))
-        if len(done) == 10:
-            done, kept = [], [*kept, written(_union(done), "routes")]
-        walk = written(walk.filter("node <> source").join(back, ["source", "node"]).select("source", "target", F.col("prev").alias("node"), F.concat(F.array("prev"), "path").alias("path")), "walk")
-        if walk.isEmpty():
+        above = parts.select("source", F.col("node").alias("ancestor"), F.col("ancestor").alias("next"), F.col("path").alias("before"))
+        if parts.join(above, ["source", "ancestor"], "left_semi").isEmpty():
             break
+        joined = parts.join(above, ["source", "ancestor"], "left")
+        parts = written(joined.select("source", "node", F.coalesce("next", "ancestor").alias("ancestor"), F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path")), "path-parts")
     else:
-        raise RuntimeError(f"routes: walks are left after {rounds} rounds")
-    return _union([*kept, *done])
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for d in parts[1:]:
-        out = out.unionByName(d)
-    return out
+        raise RuntimeError(f"routes: parts are left after {rounds} rounds")
+    whole = parts.filter("ancestor = source").select("source", F.col("node").alias("target"), F.concat(F.array("source"), "path").alias("path"))
+    own = costs.filter("node = source").select("source", F.col("node").alias("target"), F.array("node").alias("path"))
+    return pairs.join(whole.unionByName(own), ["source", "target"])

@@ -16,12 +16,13 @@ def city_median(daily: DataFrame, least: int = 5) -> DataFrame:
     return daily.groupBy("day").agg(F.percentile("mm", 0.5).alias("median_mm"), F.count("*").alias("gauges")).filter(F.col("gauges") >= least)
 
 
-def rain_events(medians: DataFrame, wet_mm: float) -> DataFrame:
-    """Runs of days with a median of at least wet_mm; a gap of more than a day splits. One row a day goes in, so one window orders them."""
-    w = Window.orderBy("day")
+def rain_events(medians: DataFrame, wet_mm: float, by: list[str] | None = None) -> DataFrame:
+    """Runs of days with a median of at least wet_mm, in each place (by); a gap of more than a day splits. One row a day and place goes in."""
+    by = by or []
+    w = Window.partitionBy(*by).orderBy("day")
     wet = medians.filter(F.col("median_mm") >= wet_mm)
     runs = wet.withColumn("new", F.when(F.datediff("day", F.lag("day").over(w)) <= 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
-    found = runs.groupBy("run").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days"), F.max("median_mm").alias("max_mm"), F.sum("median_mm").alias("sum_mm"))
+    found = runs.groupBy(*by, "run").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days"), F.max("median_mm").alias("max_mm"), F.sum("median_mm").alias("sum_mm"))
     return found.withColumn("event_id", F.concat(F.lit("rain-"), F.col("first_day").cast("string"))).drop("run")
 
 
@@ -29,9 +30,9 @@ def day_number(day: str = "day") -> Column:
     return F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
 
 
-def previous_days_sum(medians: DataFrame) -> DataFrame:
-    """Sum of the two calendar days before; null unless both are there."""
-    w = Window.orderBy(day_number()).rangeBetween(-2, -1)
+def previous_days_sum(medians: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Sum of the two calendar days before, in each place (by); null unless both are there."""
+    w = Window.partitionBy(*(by or [])).orderBy(day_number()).rangeBetween(-2, -1)
     return medians.withColumn("prev2_mm", F.when(F.count("median_mm").over(w) == 2, F.sum("median_mm").over(w)))
 
 
@@ -53,16 +54,18 @@ def normalised_features(panel: DataFrame, train_until: str) -> DataFrame:
     return out.select("district", "day", (F.col("mm") / F.col("wet_p95")).alias("n_r0"), (F.col("r3") / F.col("p95_3d")).alias("n_r3"), F.sin(angle).alias("doy_sin"), F.cos(angle).alias("doy_cos"))
 
 
-def accumulation(slices: DataFrame, n: int = 6, slot_s: int = 1800) -> DataFrame:
-    """Over the last n slices: rain (mean rate times half an hour), peak and missing slices. One row a slice goes in."""
-    w = Window.orderBy("slot").rangeBetween(-(n - 1) * slot_s, 0)
-    return slices.select("slot", (F.sum("mean_mm_h").over(w) * slot_s / 3600).alias("acc_mm"), F.max("peak_mm_h").over(w).alias("peak_mm_h"), (n - F.count("*").over(w)).alias("missing"))
+def accumulation(slices: DataFrame, n: int = 6, slot_s: int = 1800, by: list[str] | None = None) -> DataFrame:
+    """Over the last n slices of each place (by): rain (mean rate times half an hour), peak and missing slices. One row a slice goes in."""
+    by = by or []
+    w = Window.partitionBy(*by).orderBy("slot").rangeBetween(-(n - 1) * slot_s, 0)
+    return slices.select(*by, "slot", (F.sum("mean_mm_h").over(w) * slot_s / 3600).alias("acc_mm"), F.max("peak_mm_h").over(w).alias("peak_mm_h"), (n - F.count("*").over(w)).alias("missing"))
 
 
-def forecast_ahead(hourly: DataFrame, ahead_s: int = 43200, least: int = 9) -> DataFrame:
-    """hourly (t, mm): three-hour sums where all three stamps are there, and the largest of them in the next 12 h if at least 9 are."""
-    three = Window.orderBy("t").rangeBetween(-7200, 0)
-    ahead = Window.orderBy("t").rangeBetween(1, ahead_s)
+def forecast_ahead(hourly: DataFrame, ahead_s: int = 43200, least: int = 9, by: list[str] | None = None) -> DataFrame:
+    """hourly (t, mm; of each place in by): three-hour sums where all three stamps are there, and the largest of them in the next 12 h if at least 9 are."""
+    place = Window.partitionBy(*(by or [])).orderBy("t")
+    three = place.rangeBetween(-7200, 0)
+    ahead = place.rangeBetween(1, ahead_s)
     sums = hourly.withColumn("mm3", F.when(F.count("mm").over(three) == 3, F.sum("mm").over(three)))
     return sums.withColumn("max3_ahead", F.when(F.count("mm3").over(ahead) >= least, F.max("mm3").over(ahead)))
 
@@ -72,9 +75,9 @@ def area_mean(points: DataFrame, n: int) -> DataFrame:
     return points.groupBy("t").agg(F.when(F.count("mm") == n, F.avg("mm")).alias("mm"))
 
 
-def state_holds(levels: DataFrame, active_s: int = 6 * 3600, watch_s: int = 12 * 3600) -> DataFrame:
-    """levels (t, level 0 to 2): active is held 6 h after it was last read, watch 12 h after watch or more was."""
-    w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+def state_holds(levels: DataFrame, active_s: int = 6 * 3600, watch_s: int = 12 * 3600, by: list[str] | None = None) -> DataFrame:
+    """levels (t, level 0 to 2; of each place in by): active is held 6 h after it was last read, watch 12 h after watch or more was."""
+    w = Window.partitionBy(*(by or [])).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda at: F.last(F.when(F.col("level") >= at, F.col("t")), ignorenulls=True).over(w)
     state = F.when(F.col("t") - last(2) <= active_s, 2).when(F.col("t") - last(1) <= watch_s, 1).otherwise(0)
     return levels.withColumn("state", state)

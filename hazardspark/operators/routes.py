@@ -30,6 +30,14 @@ def main_streets(rows: DataFrame, k: int, least_m: float) -> DataFrame:
     return top.groupBy("route").agg(F.array_join(F.transform(names, lambda x: x["street_name"]), " > ").alias("streets"), F.count("*").alias("n"))
 
 
+def route_report(rows: DataFrame, bands: list[str]) -> DataFrame:
+    """rows (route, signal or null, gap label or null, band) -> (route, signals, gaps, worst_band): distinct signals and gap labels, and
+    the first band in the given order that an edge of the route has."""
+    place = F.array_position(F.array(*map(F.lit, bands)), F.col("band"))
+    out = rows.groupBy("route").agg(F.count_distinct("signal").alias("signals"), F.count_distinct("gap").alias("gaps"), F.min(place).alias("b"))
+    return out.select("route", "signals", "gaps", F.element_at(F.array(*map(F.lit, bands)), F.col("b").cast("int")).alias("worst_band"))
+
+
 def paired(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Rows of both with one key, and none of the others."""
     return a.alias("a").join(b.alias("b"), key)

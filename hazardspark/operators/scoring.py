@@ -81,6 +81,24 @@ def adaptive_ece(df: DataFrame, n: int, p: str = "score", y: str = "y", ties: st
     return cells.agg(F.sum(F.col("n") / n * F.abs(F.col("mp") - F.col("my"))).alias("ece"))
 
 
+def grouped_ece(df: DataFrame, by: list[str], p: str = "score", y: str = "y", ties: str = "id", bins: int = 10) -> DataFrame:
+    """(by, ece): the same in each group, whose bins are by its own size."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    b = F.floor((F.col("rank") - 1) / F.greatest(F.lit(1), F.floor(F.col("__n") / bins)))
+    cells = ranked(df, p, ties, by).join(sizes, by).groupBy(*by, "__n", b.alias("__c")).agg(F.count("*").alias("m"), F.avg(p).alias("mp"), F.avg(F.col(y).cast("double")).alias("my"))
+    return cells.groupBy(*by).agg(F.sum(F.col("m") / F.col("__n") * F.abs(F.col("mp") - F.col("my"))).alias("ece"))
+
+
+def event_recall(alerts: DataFrame, happened: DataFrame, place: str, before: int = 1) -> DataFrame:
+    """One row: events (place, first_day, last_day; event_id), and how many of them have an alert (place, day) from `before` days ahead to
+    their end. Alerts are met by place and month, so a place's alerts are not all held against all its events."""
+    month = lambda d: F.year(d) * 12 + F.month(d)
+    start = F.date_sub("first_day", before)
+    e = happened.select("event_id", place, start.alias("__a"), F.col("last_day").alias("__b")).withColumn("__m", F.explode(F.sequence(month("__a"), month("__b"))))
+    hit = e.join(alerts.select(place, "day").distinct().withColumn("__m", month("day")), [place, "__m"]).filter(F.col("day").between(F.col("__a"), F.col("__b"))).select("event_id").distinct()
+    return happened.agg(F.count("*").alias("events")).crossJoin(hit.agg(F.count("*").alias("found")))  # one row each
+
+
 def log_loss(p: Column, y: Column, eps: float = 1e-12) -> Column:
     q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), p))
     return F.avg(-(y * F.ln(q) + (1 - y) * F.ln(1 - q)))

@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazardspark import config
+from hazardspark.functions.belief import kernel, reliability_weight
 from hazardspark.functions.geo import DEGREE_M, cell, haversine_m
+from hazardspark.operators.beliefs import dominant_class
+from hazardspark.operators.observations import age_s
 
 Written = Callable[[DataFrame, str], DataFrame]
 
@@ -47,6 +51,53 @@ def pareto_sweep(routes: DataFrame, grid: DataFrame) -> DataFrame:
     return rows.groupBy("z", "lam").agg(F.avg(F.col("seconds") * (1 + F.col("lam") * F.col("pt"))).alias("mean_cost"), F.avg("pt").alias("mean_risk"), F.count("*").alias("n"))
 
 
+def config_costs(edges: DataFrame, configured: DataFrame, attached: DataFrame, hazards: DataFrame, sources: DataFrame, at: str, variants: DataFrame, configs: DataFrame, shared_tau_s: float, ttl_s: float) -> DataFrame:
+    """(cfg, edge_id, p, blocked, cost_s): the cost of every edge under every configuration; null where it is closed.
+
+    variants names the ways to weigh reports up to the time `at`: beta (own decay of the class), shared (one decay), ttl (all alike for
+    ttl_s, then none), hindsight (later reports too). configs (cfg, variant or 'none', block, lam): an edge whose probability exceeds
+    `block` is closed, others cost seconds (1 + lam p severity). Reports are read once and combined by edge and variant."""
+    rows = attached.join(F.broadcast(hazards), "hazard_class").join(F.broadcast(sources), "source_class").crossJoin(F.broadcast(variants)).withColumn("age", age_s(at).cast("double"))
+    v, age = F.col("variant"), F.col("age")
+    seen = (v == "hindsight") | ((age >= 0) & ((v != "ttl") | (age <= ttl_s)))
+    fade = F.when(v == "shared", F.exp(-age / shared_tau_s)).when(v == "ttl", 1.0).otherwise(F.exp(-F.greatest(age, F.lit(0.0)) / F.col("tau")))
+    net = rows.filter(seen).groupBy("edge_id", "variant").agg(F.sum(F.col("polarity") * kernel(F.col("distance_m")) * reliability_weight(F.col("alpha")) * fade).alias("s"))
+    every = edges.select("edge_id", "free_flow_seconds").crossJoin(F.broadcast(configs))
+    known = configured.select("edge_id", "prior_p", "severity", F.lit(True).alias("known"))
+    out = every.join(known, "edge_id", "left").join(net, ["edge_id", "variant"], "left")
+    s, n, k = F.coalesce("s", F.lit(0.0)), config.PRIOR_STRENGTH, config.EVIDENCE_SCALE
+    p = F.when(F.col("known") & (v != "none"), (n * F.col("prior_p") + k * F.greatest(s, F.lit(0.0))) / (n + k * F.abs(s)))
+    out = out.withColumn("p", p).withColumn("blocked", F.coalesce(F.col("p") > F.col("block"), F.lit(False)))
+    cost = F.col("free_flow_seconds") * (1 + F.coalesce(F.col("lam") * F.col("p") * F.col("severity"), F.lit(0.0)))
+    return out.select("cfg", "edge_id", "p", "blocked", F.when(~F.col("blocked"), cost).alias("cost_s"))
+
+
+def calibration_scores(attached: DataFrame, prior: DataFrame, hazards: DataFrame, sources: DataFrame, ages_h: list[int], shared_tau_s: float, ttl_s: float, official: str = "official_feed") -> DataFrame:
+    """(edge_id, hazard_class, age_h, scorer, p, y) for every edge with reports that are not official: y, whether it has an official one;
+    p, the probability from the other reports of its dominant class if they were of the given age, by five scorers: the prior, one
+    shared decay, the model (decay of the class), ttl, and reputation."""
+    crowd = attached.filter(F.col("source_class") != official)
+    label = attached.groupBy("edge_id").agg(F.max((F.col("source_class") == official).cast("int")).alias("y"))
+    rows = crowd.join(dominant_class(crowd, hazards).select("edge_id", "hazard_class"), ["edge_id", "hazard_class"]).join(F.broadcast(hazards), "hazard_class").join(F.broadcast(sources), "source_class")
+    near = kernel(F.col("distance_m"))
+    vote = lambda test: F.sum(F.when(test, near * F.col("alpha")).otherwise(0.0))
+    net = rows.groupBy("edge_id", "hazard_class", "tau").agg(F.sum(F.col("polarity") * near * reliability_weight(F.col("alpha"))).alias("s"), vote(F.col("polarity") > 0).alias("r"), vote(F.col("polarity") <= 0).alias("q"))
+    base = net.join(prior, "edge_id").join(label, "edge_id").withColumn("age_h", F.explode(F.array(*map(F.lit, ages_h))))
+    seconds, fade = F.col("age_h") * 3600.0, F.pow(F.lit(config.FORGETTING_PER_HOUR), F.col("age_h"))
+    n, k = config.PRIOR_STRENGTH, config.EVIDENCE_SCALE
+
+    def beta(f):
+        s = F.col("s") * f
+        return (n * F.col("prior_p") + k * F.greatest(s, F.lit(0.0))) / (n + k * F.abs(s))
+
+    scores = {
+        "prior": F.col("prior_p"), "shared": beta(F.exp(-seconds / shared_tau_s)), "model": beta(F.exp(-seconds / F.col("tau"))), "ttl": beta((seconds <= ttl_s).cast("double")),
+        "reputation": (F.col("r") * fade + 1) / ((F.col("r") + F.col("q")) * fade + 2),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("scorer"), p.alias("p")) for name, p in scores.items()])).alias("x")
+    return base.select("edge_id", "hazard_class", "age_h", "y", each).select("edge_id", "hazard_class", "age_h", "x.scorer", "x.p", "y")
+
+
 def compare_modes(edges: DataFrame, by: str) -> DataFrame:
     """edges (by, route, length_m, seconds; null seconds: closed): found routes, median km, minutes and km/h of each mode."""
     routes = edges.groupBy(by, "route").agg(F.sum("length_m").alias("m"), F.sum("seconds").alias("s"), F.count_if(F.col("seconds").isNull()).alias("closed"))

@@ -64,3 +64,23 @@ def local_windows(grid: DataFrame, reach: int) -> DataFrame:
     rows = grid.select("row", "col", "elev", F.sum("elev").over(across).alias("s"), F.count("*").over(across).alias("n"), F.min("elev").over(across).alias("m"))
     out = rows.select("row", "col", "elev", (F.sum("s").over(down) / F.sum("n").over(down)).alias("mean"), F.min("m").over(down).alias("low"))
     return out.withColumns({"tpi": F.col("elev") - F.col("mean"), "relief": F.col("elev") - F.col("low")})
+
+
+def slope(grid: DataFrame, cell_m: float) -> DataFrame:
+    """(row, col, slope): degrees by central differences; null where a neighbour is missing."""
+    at = lambda dr, dc: F.max(F.when((F.col("drow") == dr) & (F.col("dcol") == dc), F.col("other")))
+    near = neighbours(grid).groupBy("row", "col").agg(((at(0, 1) - at(0, -1)) / (2 * cell_m)).alias("x"), ((at(1, 0) - at(-1, 0)) / (2 * cell_m)).alias("y"))
+    return grid.select("row", "col").join(near, ["row", "col"], "left").select("row", "col", F.degrees(F.atan(F.hypot("x", "y"))).alias("slope"))
+
+
+def nearest_masked(grid: DataFrame, mask, reach: int, value: str = "elev") -> DataFrame:
+    """(row, col, cells, value): the nearest cell of the mask within `reach` cells (ties: lower row, then column) and its value; null
+    where there is none. Masked cells are dealt to the squares of side `reach` around them."""
+    side = lambda x: F.floor(F.col(x) / reach)
+    shift = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    m = grid.filter(mask).select(F.col("row").alias("r"), F.col("col").alias("k"), F.col(value).alias("value")).withColumn("dy", shift).withColumn("dx", shift)
+    m = m.withColumns({"sy": side("r") + F.col("dy"), "sx": side("k") + F.col("dx")}).drop("dy", "dx")
+    cells = grid.select("row", "col").withColumns({"sy": side("row"), "sx": side("col")})
+    far = F.pow(F.col("row") - F.col("r"), 2) + F.pow(F.col("col") - F.col("k"), 2)
+    best = cells.join(m, ["sy", "sx"]).withColumn("d", far).filter(F.col("d") <= reach * reach).groupBy("row", "col").agg(F.min(F.struct("d", "r", "k", "value")).alias("b"))
+    return grid.select("row", "col").join(best, ["row", "col"], "left").select("row", "col", F.sqrt("b.d").alias("cells"), "b.value")

@@ -13,12 +13,14 @@ from hazardspark.tables import new_path, written
 c, r6 = F.col, lambda x: F.round(x, 6)
 
 
-def replay(df: DataFrame, name: str) -> DataFrame:
-    """A stream over the rows of a table."""
+def replay(df: DataFrame, name: str, files: int | None = 4) -> DataFrame:
+    """A stream over the rows of a table, a few files at a time; with files=None all of them at once, where later files would fall behind
+    the watermark of earlier ones."""
     spark = df.sparkSession
     path = new_path(spark, f"stream-{name}")
     df.write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    stream = spark.readStream.schema(df.schema)
+    return (stream.option("maxFilesPerTrigger", files) if files else stream).parquet(path)
 
 
 def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -47,20 +49,26 @@ def _(t: Tables):
     SELECT start, round(sum(mean_mm_h) / 2, 6) AS acc_mm, round(max(peak_mm_h), 6) AS peak_mm_h, 6 - count(*) AS missing FROM x WHERE start + 10800 <= (SELECT max(slot) - 7200 FROM {rain_slices}) GROUP BY start""")
 def _(t: Tables):
     slices = t.rain_slices.select(F.timestamp_seconds("slot").alias("ts"), "mean_mm_h", "peak_mm_h")
-    got = finished(streams.rain_windows(replay(slices.orderBy("ts").coalesce(1), "rain")), "rain")
+    got = finished(streams.rain_windows(replay(slices, "rain", None)), "rain")
     return got.select(F.unix_timestamp("start").alias("start"), r6(c("acc_mm")).alias("acc_mm"), r6(c("peak_mm_h")).alias("peak_mm_h"), "missing")
 
 
-@query("st3_event_state")
+@query("st3_event_state", """WITH s AS (SELECT 'r' || slot // 1800 % 3 AS region, slot AS t, CASE WHEN mean_mm_h - 4 >= 15 OR peak_mm_h - 17.2e0 >= 25 THEN 2 WHEN mean_mm_h - 4 >= 8 OR peak_mm_h - 17.2e0 >= 7.6e0 THEN 1 ELSE 0 END AS level, slot // 1800 % 11 = 0 AS stale, slot // 1800 % 7 * 2e0 AS forecast_mm, slot // 1800 % 13 = 5 AS manual FROM {rain_slices}),
+    h AS (SELECT *, max(CASE WHEN level >= 2 AND NOT stale THEN t END) OVER w AS a, max(CASE WHEN level >= 1 AND NOT stale THEN t END) OVER w AS b FROM s WINDOW w AS (PARTITION BY region ORDER BY t)),
+    k AS (SELECT *, CASE WHEN t - a <= 21600 THEN 2 WHEN t - b <= 43200 THEN 1 ELSE 0 END AS held FROM h)
+    SELECT region, t, CASE WHEN manual THEN 2 WHEN stale THEN 1 WHEN held = 0 AND forecast_mm >= 8 THEN 1 ELSE held END AS state FROM k""")
 def _(t: Tables):
-    signals = t.rain_slices.select(F.concat(F.lit("r"), (c("slot") / 1800 % 3).cast("int")).alias("region"), c("slot").alias("t"), (c("mean_mm_h") - 4).alias("acc_mm"), (c("peak_mm_h") - 17.2).alias("peak_mm_h"), F.lit(None).cast("double").alias("manual"))
-    return finished(streams.event_states(replay(signals.orderBy("t").coalesce(1), "state")), "state").select("region", "t", "state")
+    k = F.floor(c("slot") / 1800)
+    signals = t.rain_slices.select(F.concat(F.lit("r"), (k % 3).cast("string")).alias("region"), c("slot").alias("t"), (c("mean_mm_h") - 4).alias("acc_mm"), (c("peak_mm_h") - 17.2).alias("peak_mm_h"), F.when(k % 13 == 5, 2.0).alias("manual"), (k % 11 == 0).alias("stale"), (k % 7 * 2.0).alias("forecast_mm"))
+    return finished(streams.event_states(replay(signals, "state", None), configured=1), "state").select("region", "t", "state")
 
 
-@query("st4_wet_sessions")
+@query("st4_wet_sessions", """WITH s AS (SELECT slot // 1800 % 2 AS place, slot, peak_mm_h FROM {rain_slices} WHERE mean_mm_h >= 3.5e0), n AS (SELECT *, CASE WHEN slot - lag(slot) OVER (PARTITION BY place ORDER BY slot) <= 3600 THEN 0 ELSE 1 END AS new FROM s),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY place ORDER BY slot) AS run FROM n) SELECT place, min(slot) AS start, max(slot) + 3600 AS "end", count(*) AS slices, round(max(peak_mm_h), 6) AS peak_mm_h FROM r GROUP BY place, run HAVING max(slot) + 3600 <= (SELECT max(slot) - 7200 FROM s)""")
 def _(t: Tables):
-    slices = t.rain_slices.select(F.timestamp_seconds("slot").alias("ts"), (c("slot") / 1800 % 2).cast("int").alias("place"), "mean_mm_h", "peak_mm_h")
-    return finished(streams.wet_sessions(replay(slices.orderBy("ts").coalesce(1), "wet"), 3.5, "place"), "wet").drop("batch")
+    slices = t.rain_slices.select(F.timestamp_seconds("slot").alias("ts"), (F.floor(c("slot") / 1800) % 2).alias("place"), "mean_mm_h", "peak_mm_h")
+    got = finished(streams.wet_sessions(replay(slices, "wet", None), 3.5, "place"), "wet")
+    return got.select("place", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "slices", r6(c("peak_mm_h")).alias("peak_mm_h"))
 
 
 @query("st5_edge_belief", """WITH e AS (SELECT edge_id, EPOCH(observed_at) AS t, polarity * CASE WHEN distance_m > 300 THEN 0e0 ELSE exp(-distance_m / 75e0) END * least(1e0, greatest(0e0, ln(alpha / (1 - alpha)) / ln(0.97e0 / 0.03e0))) AS w

@@ -11,6 +11,7 @@ from hazardspark.plans.views import TABLES, VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+WRITTEN_SQL: dict[str, str] = {}
 
 
 def _names(sql: str) -> list[str]:
@@ -62,7 +63,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = twin(sql)
+            ORACLES[name], WRITTEN_SQL[name] = twin(sql), sql
         return build
 
     return register

@@ -77,6 +77,8 @@ VIEWS = {
     "gauge_daily": "SELECT gauge, day, max(mm) AS mm FROM {readings} WHERE mm >= 0 GROUP BY gauge, day",
     "events_a": "SELECT o_orderkey AS event_id, o_custkey % 25 AS district, o_custkey % 7 AS state, CAST(o_orderdate AS DATE) AS first_day, CAST(o_orderdate + INTERVAL '1' DAY * (o_orderkey % 9) AS DATE) AS last_day FROM {orders} WHERE o_orderkey % 40 = 0",
     "events_b": "SELECT o_orderkey AS event_id, o_custkey % 25 AS district, o_custkey % 7 AS state, CAST(o_orderdate AS DATE) AS first_day, CAST(o_orderdate + INTERVAL '1' DAY * (o_orderkey % 9) AS DATE) AS last_day FROM {orders} WHERE o_orderkey % 40 = 1",
+    "catalogue_a": "SELECT o_orderkey AS event_id, o_custkey % 25 AS district, o_custkey % 7 AS state, CAST(o_orderdate AS DATE) AS first_day, CAST(o_orderdate + INTERVAL '1' DAY * (o_orderkey % 9) AS DATE) AS last_day FROM {orders} WHERE o_orderkey % 2 = 0",
+    "catalogue_b": "SELECT o_orderkey AS event_id, o_custkey % 25 AS district, o_custkey % 7 AS state, CAST(o_orderdate AS DATE) AS first_day, CAST(o_orderdate + INTERVAL '1' DAY * (o_orderkey % 9) AS DATE) AS last_day FROM {orders} WHERE o_orderkey % 2 = 1",
     "rain_slices": "SELECT slot, avg(value / 20e0) AS mean_mm_h, max(value / 20e0) AS peak_mm_h, count(*) AS n FROM (SELECT CAST(floor(EPOCH(ts) / 1800e0) AS BIGINT) * 1800 AS slot, value FROM {events}) x GROUP BY slot",
     "routes": "SELECT w.way AS route, w.seq, w.node AS edge_id FROM {way_points} w JOIN {lattice_edges} e ON e.edge_id = w.node",
     "field_log": """SELECT event_id AS entry_id, CASE WHEN user_id % 9 = 0 THEN 'adhoc' ELSE concat('site_', CAST(user_id % 40 AS VARCHAR(10))) END AS site_id,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from hazardspark.functions.belief import kernel, reliability_weight
 from hazardspark.functions.rules import level_number, rain_level
 from hazardspark.operators.observations import coarsen_privacy, validate_observations
 
-ACTIVE_HOLD_S, WATCH_HOLD_S, STALE_S = 6 * 3600, 12 * 3600, 12 * 3600
+ACTIVE_HOLD_S, WATCH_HOLD_S, STALE_S, FORECAST_WATCH_MM = 6 * 3600, 12 * 3600, 12 * 3600, 8.0
 
 
 def ingest(stream: DataFrame, late: str = "14 days") -> DataFrame:
@@ -43,39 +44,58 @@ def enrich(stream: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame
     return stream.join(edges, "edge_id").join(F.broadcast(sources), "source_class")
 
 
-def _event_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _event_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, configured: int = 0, timed: bool = False) -> Iterator[pd.DataFrame]:
     active_at, watch_at, newest = state.get if state.exists else (None, None, None)
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame([(key[0], newest + STALE_S, configured)], columns=["region", "t", "state"])
+        return
     rows = pd.concat(list(batches))
     out = []
-    for t, level, manual in sorted(zip(rows["t"].tolist(), rows["level"].tolist(), rows["manual"].tolist(), strict=True), key=lambda r: (r[0], r[1])):
-        if newest is None or t > newest:  # only newer satellite times extend a hold
+    names = ("t", "level", "manual", "stale", "forecast_mm")
+    for t, level, manual, stale, forecast in sorted(zip(*(rows[n].tolist() for n in names), strict=True), key=lambda r: (r[0], r[1])):
+        if not stale and (newest is None or t > newest):  # only newer satellite times extend a hold
             active_at = t if level >= 2 else active_at
             watch_at = t if level >= 1 else watch_at
             newest = t
         held = 2 if active_at is not None and t - active_at <= ACTIVE_HOLD_S else 1 if watch_at is not None and t - watch_at <= WATCH_HOLD_S else 0
-        out.append((key[0], t, int(manual) if pd.notna(manual) else held))
+        trusted = not stale and newest is not None and t - newest <= STALE_S
+        auto = (max(held, 1) if held == 0 and pd.notna(forecast) and forecast >= FORECAST_WATCH_MM else held) if trusted else configured
+        out.append((key[0], t, int(manual) if pd.notna(manual) else auto))
     state.update((active_at, watch_at, newest))
+    if timed and newest is not None:
+        state.setTimeoutTimestamp(max((newest + STALE_S) * 1000, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame(out, columns=["region", "t", "state"])
 
 
-def event_states(signals: DataFrame) -> DataFrame:
-    """signals (region, t, acc_mm, peak_mm_h, manual): the state of each region after each signal, with holds of 6 h (active) and 12 h
-    (watch); `manual` overrides. The state of a region is three numbers."""
-    rows = signals.select("region", F.col("t").cast("long").alias("t"), level_number(rain_level(F.col("acc_mm"), F.col("peak_mm_h"))).alias("level"), F.col("manual").cast("double").alias("manual"))
-    return rows.groupBy("region").applyInPandasWithState(_event_state, "region string, t long, state int", "active_at long, watch_at long, newest long", "append", GroupStateTimeout.NoTimeout)
+def event_states(signals: DataFrame, configured: int = 0, late: str | None = None) -> DataFrame:
+    """signals (region, t, acc_mm, peak_mm_h, manual, and optionally stale and forecast_mm): the state of each region after each signal,
+    with holds of 6 h (active) and 12 h (watch).
+
+    `manual` overrides; a stale signal extends no hold and gives the configured state; a forecast of 8 mm or more in three hours raises
+    dry to watch and no more. With `late` (a watermark's delay) a region that has sent nothing fresh for 12 h falls to the configured
+    state by a timer. The state of a region is three numbers."""
+    has = lambda k, kind: (F.col(k) if k in signals.columns else F.lit(None)).cast(kind).alias(k)
+    level = level_number(rain_level(F.col("acc_mm"), F.col("peak_mm_h"))).alias("level")
+    rows = signals.select("region", F.col("t").cast("long").alias("t"), level, has("manual", "double"), F.coalesce(has("stale", "boolean"), F.lit(False)).alias("stale"), has("forecast_mm", "double"))
+    timeout = GroupStateTimeout.NoTimeout
+    if late is not None:
+        rows, timeout = rows.withColumn("at", F.timestamp_seconds("t")).withWatermark("at", late), GroupStateTimeout.EventTimeTimeout
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from _event_state(key, batches, state, configured, late is not None)
+
+    return rows.groupBy("region").applyInPandasWithState(step, "region string, t long, state int", "active_at long, watch_at long, newest long", "append", timeout)
 
 
 def _edge_belief(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     s, at, tau = state.get if state.exists else (0.0, None, None)
     for rows in batches:
-        for t, w, k in zip(rows["t"].tolist(), rows["w"].tolist(), rows["tau"].tolist(), strict=True):
-            tau = k
-            if at is None:
-                s, at = w, t
-            elif t >= at:
-                s, at = s * 2.718281828459045 ** (-(t - at) / tau) + w, t
-            else:  # late: the report has decayed since
-                s += w * 2.718281828459045 ** (-(at - t) / tau)
+        tau = float(rows["tau"].iloc[0])
+        t = rows["t"].to_numpy()
+        newest = int(t.max()) if at is None else max(at, int(t.max()))
+        kept = 0.0 if at is None else s * np.exp(-(newest - at) / tau)
+        s, at = float(kept + (rows["w"].to_numpy() * np.exp(-(newest - t) / tau)).sum()), newest
     state.update((s, at, tau))
     yield pd.DataFrame([(key[0], at, s)], columns=["edge_id", "at", "evidence"])
 
