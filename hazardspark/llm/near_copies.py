@@ -148,8 +148,9 @@ def _by_rows(it: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.R
 
 
 def _met(probes: DataFrame, plan: Plan, similarity: float) -> DataFrame:
-    """(hot, a, b). hot false: nodes that agree in a probe, lie at most 32 places apart in its order and may be similar. hot true: part
-    and value of a probe that more than 33 texts share. Memory holds a batch and the last 32 rows, however many texts share a probe."""
+    """(hot, a, b, first). hot false: nodes that agree in a probe, lie at most 32 places apart in its order and may be similar; `first`
+    where b is the closest that one of the two has met in a probe. hot true: part and value of a probe that more than 33 texts share.
+    Memory holds a batch and the last 32 rows, however many texts share a probe."""
     names = ("part", "value", "node", "n", "f1", "f2")
 
     def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +161,7 @@ def _met(probes: DataFrame, plan: Plan, similarity: float) -> DataFrame:
             old = 0 if last is None else len(last["node"])
             last = {c: v[-_WINDOW:].copy() for c, v in x.items()}
             i = np.arange(max(old, 1), len(x["node"]))
-            pairs = []
+            ends, starts, fars = [], [], []
             for d in range(1, _WINDOW + 1):
                 i = i[i >= d]
                 i = i[(x["value"][i] == x["value"][i - d]) & (x["part"][i] == x["part"][i - d])]
@@ -168,15 +169,24 @@ def _met(probes: DataFrame, plan: Plan, similarity: float) -> DataFrame:
                     break
                 j = i - d
                 far = sum(_differ(x[f][i], x[f][j]) for f in ("f1", "f2"))
-                ok = (far <= plan.near) & _fits(x["n"][i], x["n"][j], similarity)
-                pairs.append((x["node"][i[ok]], x["node"][j[ok]]))
-            a, c = (np.concatenate([p[k] for p in pairs] or [np.zeros(0, np.int64)]) for k in (0, 1))
+                ok = (far <= plan.near) & _fits(x["n"][i], x["n"][j], similarity) & (x["node"][i] != x["node"][j])
+                ends.append(i[ok])
+                starts.append(j[ok])
+                fars.append(far[ok])
+            end, start, far = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (ends, starts, fars))
+            order = np.lexsort((far, end))
+            end, start = end[order], start[order]
+            first = np.concatenate([[True], end[1:] != end[:-1]])[: len(end)]
+            a, c = x["node"][end], x["node"][start]
             hot = np.unique(np.stack([x["part"][i].astype(np.int64), x["value"][i]]), axis=1)
-            columns = [np.repeat([False, True], [len(a), hot.shape[1]]), np.concatenate([np.minimum(a, c), hot[0]]), np.concatenate([np.maximum(a, c), hot[1]])]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["hot", "a", "b"])
+            columns = [
+                np.repeat([False, True], [len(a), hot.shape[1]]), np.concatenate([np.minimum(a, c), hot[0]]), np.concatenate([np.maximum(a, c), hot[1]]),
+                np.concatenate([first, np.zeros(hot.shape[1], bool)]),
+            ]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["hot", "a", "b", "first"])
 
     dealt = probes.repartition("part", "value").sortWithinPartitions("part", "value", "f1", "node")
-    return dealt.mapInArrow(near, "hot boolean, a long, b long").distinct()
+    return dealt.mapInArrow(near, "hot boolean, a long, b long, first boolean").groupBy("hot", "a", "b").agg(F.max("first").alias("first"))
 
 
 def _met_in_hot(probes: DataFrame, hot: DataFrame, named: DataFrame, plan: Plan, similarity: float) -> DataFrame:
@@ -241,10 +251,11 @@ def _similar(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, plan: Plan,
 def near_nodes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: float = 0.02) -> DataFrame:
     """(node, component) of the nodes with a link; rows: node (no repeats), text.
 
-    1. A text's wide fingerprint is written, probes are planned, and texts that agree in a probe meet. Close neighbours in a probe's
-       order are compared at once, which is all pairs where up to 33 texts share it.
-    2. Met pairs are held against their whole fingerprints and then their shingle sets; links give components.
-    3. In probes that more texts share, all pairs still in different components are compared, in bounded units.
+    1. A text's wide fingerprint is written, probes are planned, and texts that agree in a probe meet: neighbours up to 32 places apart
+       in its order, which is all pairs where up to 33 texts share it.
+    2. Of these, each text's closest in each probe is held against the whole fingerprint and then the shingle set; links give components.
+    3. All other pairs that met and are still in different components are compared in the same way; so are, in bounded units, those of
+       probes that more texts share. Pairs inside a component need no comparison, so groups of copies cost about a pair a text and probe.
     So a linked pair is lost only if it meets in no probe or its bits lie beyond 3.5 deviations of what its similarity makes likely.
     """
     text_batches(rows.sparkSession)
@@ -262,19 +273,26 @@ def near_nodes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, miss:
     sketches = written(rows.select("node", "text").mapInArrow(sketch, "node long, n int, fp binary"), "wide-fingerprints")
     probes = _probes(sketches, plan_masks(sketches, n, plan), plan)
     met = written(_met(probes, plan, similarity), "near-met")
-    tried = met.filter("NOT hot").select("a", "b").filter("a <> b")
+    tried = met.filter("NOT hot AND first").select("a", "b")
     links = _similar(tried, sketches, rows, plan, shingle, similarity)
     named = written(connected_components(links, written), "near-named")
+    rest = _apart(met.filter("NOT hot AND NOT first").select("a", "b"), named)
     hot = met.filter("hot").select("a", "b")
-    if hot.isEmpty():
-        return named
-    rest = _met_in_hot(probes, hot, named, plan, similarity).join(tried, ["a", "b"], "left_anti")
+    if not hot.isEmpty():
+        rest = rest.unionByName(_met_in_hot(probes, hot, named, plan, similarity)).distinct().join(tried, ["a", "b"], "left_anti")
     more = _similar(rest, sketches, rows, plan, shingle, similarity)
     if more.isEmpty():
         return named
     return connected_components(links.unionByName(more), written)
 
 
+def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs whose nodes are not in one component yet."""
+    side = lambda k: named.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
+    labelled = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return labelled.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs whose id is the smallest among the texts linked to it, step by step, by at least that similarity of their word
     shingles (distinct, A-Z in lower case, ASCII white space between words).
