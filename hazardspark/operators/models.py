@@ -90,13 +90,13 @@ def transfer_eval(rows: DataFrame, inside: Column, features: list[str], replicat
     scored = fitted_gbt(outside, features, label, weight)(rows.filter(inside)).withColumn("single", -F.col(name))
     area = written(scored, "transfer")
     names = sorted(r[0] for r in area.select(block).distinct().collect())  # blocks of one area
-    numbered = rows.sparkSession.createDataFrame(list(enumerate(names)), ["b", block])
+    numbered = rows.sparkSession.createDataFrame(list(enumerate(names)), ["__b", block])
     n = len(names)
-    draws = numbered.select(F.col("b").alias("k")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.select("rep", ((7919 * F.col("k") + 104729 * F.col("rep") + 31 * F.col("k") * F.col("rep")) % n).alias("b")).groupBy("rep", "b").agg(F.count("*").alias("times"))
-    each = area.join(numbered, block).join(F.broadcast(draws), "b").withColumn("__w", F.col(weight) * F.col("times"))
+    draws = numbered.select(F.col("__b").alias("k")).withColumn("__rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    draws = draws.select("__rep", ((7919 * F.col("k") + 104729 * F.col("__rep") + 31 * F.col("k") * F.col("__rep")) % n).alias("__b")).groupBy("__rep", "__b").agg(F.count("*").alias("times"))
+    each = area.join(numbered, block).join(F.broadcast(draws), "__b").withColumn("__w", F.col(weight) * F.col("times"))
     ap = lambda df, s, w, by, to: weighted_ap_auc(df, s, label, w, by).select(*by, F.col("ap").alias(to))
-    diff = ap(each, "p", "__w", ["rep"], "m").join(ap(each, "single", "__w", ["rep"], "s"), "rep").select((F.col("m") - F.col("s")).alias("d"))
+    diff = ap(each, "p", "__w", ["__rep"], "m").join(ap(each, "single", "__w", ["__rep"], "s"), "__rep").select((F.col("m") - F.col("s")).alias("d"))
     bounds = diff.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
     point = ap(area, "p", weight, [], "model_ap").crossJoin(ap(area, "single", weight, [], "single_ap"))
     return point.crossJoin(bounds).select(F.lit(name).alias("single"), "model_ap", "single_ap", (F.col("model_ap") - F.col("single_ap")).alias("gain"), "low", "high")
