@@ -99,6 +99,7 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_simhash, op2_quality, op3_language_id, op4_exact_dedup, op5_decontamination, op6_line_dedup, op7_token_files, op8_packing, op9_chat_formatting, op10_sharding)}
 
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -119,6 +120,16 @@ WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
        row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1 AS kept, sha256(norm) AS text_sha256
 FROM t""",
+        "op5_decontamination": rf"""
+WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_WORD}') AS ws FROM benchmark WHERE text IS NOT NULL),
+w AS (SELECT DISTINCT item, k, array_to_string(ws[p + 1:p + k], ' ') AS words FROM (SELECT item, ws, least(10, len(ws)) AS k, unnest(range(len(ws) - least(10, len(ws)) + 1)) AS p FROM b WHERE len(ws) > 0) x),
+d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS ws FROM documents),
+p AS (SELECT r, k, p, array_to_string(ws[p + 1:p + k], ' ') AS words FROM (SELECT r, ws, k, unnest(range(len(ws) - k + 1)) AS p FROM d CROSS JOIN (SELECT DISTINCT k FROM w) s WHERE len(ws) >= k) x),
+h AS (SELECT DISTINCT r, p.k, p, item FROM p JOIN w ON w.k = p.k AND w.words = p.words),
+n AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT r, k, p FROM h) x) y GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) x GROUP BY r)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN i ON i.r = d.r""",
         "op6_line_dedup": f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
