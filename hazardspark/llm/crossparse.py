@@ -212,22 +212,22 @@ def predict(texts: list[str | None], parser: CrossParser) -> list[tuple[str, flo
     return out
 
 
-def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score added (columns of these names are replaced), predicted from text_col alone.
+def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+    """docs with pred_col and score_col added (columns of these names are replaced), predicted from text_col alone.
 
     Null texts, texts without a letter and all texts when there is no labelled row are 'und' with score 0. Equal counts go to the
     language whose name comes first. Rows stay where they are: nothing is shuffled. The automata are built once, from the bounded
     samples, and sent to the workers (8 bytes a transition and 4.5 MB of symbol codes)."""
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(CrossParser(samples))
-    rows = docs.drop("lang_pred", "lang_score")
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    rows = docs.drop(pred_col, score_col)
+    schema = T.StructType([*rows.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(it, text_col, 4 << 20):
             found = predict(b[text_col].to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names, "lang_pred", "lang_score"]
+                [*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names, pred_col, score_col]
             )
 
     return rows.mapInArrow(batches, schema)

@@ -94,7 +94,8 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "space", size: int = 1024,
     A document is the ids of its whole text (null: empty) by the plain library call without added special tokens (a control string
     in the text gets its own id), and end_id. Every input partition is packed on its own as it is read, so
     nothing is shuffled, memory holds the open windows only, and a lost task packs the same rows again. sequence_id is unique and
-    ascends within a partition (partition number times 2^33 and a count); a partition leaves one window with a gap at most.
+    ascends within a partition (partition number times 2^33 and a count); a partition leaves one window with a gap at most. Ids are
+    cast to long; an id that is no whole number raises.
     """
     text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -14,12 +14,14 @@ def assign_shards(docs: DataFrame, shards: int = 16, seed: str = "interleave-1",
     Rows of each source are shuffled by MD5 of seed and id, row r of n gets the fraction (2r-1)/2n, and the order by fraction
     (then source, hash, id, size, checksum) is cut into equal shards, so each shard takes every source in proportion. A null
     source is a source of its own, a null id hashes as an empty one, a null text has size 1; rows alike in all of these are
-    interchangeable. Ranks are exact: rows are ranked inside buckets of hash (of each source) and then of fraction, and a
-    small table of bucket counts gives each bucket's start, so no source, however large, meets in one task. Texts are not moved.
+    interchangeable. Ranks are exact: rows are ranked inside buckets of hash (of each source), then inside ranges of the whole
+    order, and a small table of counts gives each one's start. So no source, however large, meets in one task, nor do the rows of
+    many sources of one row, whose fractions are all one half. Texts are not moved. Rows of equal texts are not kept together: law
+    `rows` cannot always do so, and their shard follows from source and id alone.
     """
     spark = docs.sparkSession
     text, doc_id = F.col(text_col), F.col(id_col)
-    buckets = max(64, 4 * partitions(spark))
+    buckets = max(64, 4 * partitions(spark))  # of hash, in each source
     rows = docs.select(
         doc_id.alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
@@ -36,9 +38,11 @@ def assign_shards(docs: DataFrame, shards: int = 16, seed: str = "interleave-1",
     )
     rank = F.row_number().over(Window.partitionBy("stratum", "b").orderBy(*order)) + F.col("before")
     ranked = rows.join(starts, ["stratum", "b"]).withColumn("fraction", (2 * rank - 1) / (2 * F.col("total")))
-    ranked = written(ranked.select("doc_id", "size", "text_crc32", "stratum", "k", "fraction", F.floor(F.col("fraction") * buckets).cast("int").alias("f")), "shard-ranks")
+    ranked = ranked.select("doc_id", "size", "text_crc32", "stratum", "k", "fraction")
+    dealt = ranked.repartitionByRange(partitions(spark), "fraction", "stratum", *order)
+    ranked = written(dealt.withColumn("f", F.spark_partition_id()), "shard-ranks")
 
-    counts = ranked.groupBy("f").agg(F.count("*").alias("n"))  # at most `buckets` rows
+    counts = ranked.groupBy("f").agg(F.count("*").alias("n"))  # a row for each range
     starts = counts.select("f", (F.sum("n").over(Window.orderBy("f")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
     place = F.row_number().over(Window.partitionBy("f").orderBy("fraction", "stratum", *order)) + F.col("before") - 1
     placed = ranked.join(F.broadcast(starts), "f").withColumn("place", place).withColumn("shard", F.expr(f"place * {shards} div total"))

@@ -85,7 +85,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, kind: str = "d
     Ids are those of the plain library call without added special tokens: a control string in a text gets its own id.
     path/blocks holds, in Parquet (so Spark commits and reads them in any store), blocks of about 2^18 ids: the documents' ids and
     token counts, the control bytes and the data bytes of the ids' ranks. path/ranks lists the ids by falling frequency over the
-    whole corpus (ties by id), so the most frequent 256 take one byte. Null texts count as empty; an empty table has no blocks.
+    whole corpus (ties by id), so the most frequent 256 take one byte. Null texts count as empty; an empty table has no blocks. Ids are cast to
+    long; an id that is no whole number raises.
     """
     spark = docs.sparkSession
     text_batches(spark)

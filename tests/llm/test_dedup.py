@@ -10,7 +10,7 @@ from hazardspark.llm import crossparse, decontam, exact_dedup, line_dedup, simha
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = ["digest", "salt", "kept", "members", "h", "pos", "rid", "fp", "key", "mask", "n_lines", "n_words", "matches", "lang_pred", "component"]
+EXTRA = ["digest", "salt", "kept", "members", "h", "pos", "rid", "fp", "key", "mask", "n_lines", "n_words", "matches", "lang_pred", "component", "__rid", "__id", "__gone", "__lines", "__keep_id", "__keep_digest"]
 
 
 def make_docs(seed=1, n=60):

@@ -58,3 +58,11 @@ def test_odd_documents(spark, tmp_path):
     bench = [(1, docs[9][1]), (2, None)]
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     check(corpus_pipeline.run(spark, str(tmp_path)).collect(), docs, expected(docs, bench))
+
+
+def test_own_columns_survive(spark):
+    docs = frame(spark, [(1, "some words in a text"), (2, "12 34")], ["lang_pred", "LANG_SCORE", "__keep_id", "__near_node", "n_words", "matches"])
+    for stage in (corpus_pipeline.known_language, corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and {r["lang_pred"] for r in out.collect()} == {"clash"} and {r["__keep_id"] for r in out.collect()} == {"clash"}
+    assert [r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()] == [1]
