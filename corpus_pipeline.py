@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import written
+from hazardspark.llm.common import free_names, written
 from hazardspark.llm.crossparse import identify, sample_texts
 from hazardspark.llm.decontam import drop_contaminated
 from hazardspark.llm.exact_dedup import drop_exact_copies
@@ -15,7 +15,8 @@ from hazardspark.llm.queries import packed_digests
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without a letter go."""
-    return identify(docs, sample_texts(docs)).filter(F.col("lang_pred") != "und").select(docs.columns)
+    pred, score = free_names(docs, "lang_pred", "lang_score")
+    return identify(docs, sample_texts(docs), pred_col=pred, score_col=score).filter(F.col(pred) != "und").select(docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
