@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,7 +72,17 @@ def name_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z]", "")
 
 
-def norm_text(text: Column) -> Column:
+def _nfc(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+
+
+def nfc(text: Column) -> Column:
+    """Composed characters; there is no built-in for it. Texts of ASCII pass as they are."""
+    return F.pandas_udf(_nfc, "string")(text)
+
+
+def norm_text(text: Column, compose: bool = False) -> Column:
+    text = nfc(text) if compose else text
     quotes = F.translate(text, "‘’“”", "''\"\"")
     return F.trim(F.regexp_replace(F.lower(quotes), r"\s+", " "))
 

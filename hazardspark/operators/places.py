@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardspark.functions.geo import DEGREE_M
+from hazardspark.functions.rules import name_key
 
 #: Category by amenity. Fixed values.
 AMENITIES = {
@@ -77,3 +78,34 @@ def with_aliases_and_extras(places: DataFrame, aliases: DataFrame, extras: DataF
     kept = full.unionByName(judged.filter("reason IS NULL").select(full.columns))
     lost = spellings.join(places, "name", "left_anti").select("name", F.lit("no such place").alias("reason"))
     return kept, judged.filter("reason IS NOT NULL").select("name", "reason").unionByName(lost)
+
+
+#: States that were one with another. Fixed values.
+SPLIT_STATES = [("andhrapradesh", "telangana"), ("madhyapradesh", "chhattisgarh"), ("bihar", "jharkhand"), ("uttarpradesh", "uttarakhand"), ("jammuandkashmir", "ladakh")]
+
+
+def state_key(state: Column) -> Column:
+    return name_key(F.replace(state, F.lit("&"), F.lit("and")))
+
+
+def choose_geocode(asked: DataFrame, found: DataFrame, relaxed: bool = False) -> DataFrame:
+    """(id, candidate): the answer of a geocoder to take for each asked place, null where none is in its state.
+
+    asked: id, name, state; found: id, candidate, name, admin1, admin2, feature_code, population. Seats of administration come before
+    other places and these before the rest, then answers whose district has the asked name, then larger ones, then the lower candidate.
+    Relaxed, states that were split count as one, only answers of the same name or district stand, and the district is no tier."""
+    rows = asked.select("id", F.col("name").alias("__name"), state_key(F.col("state")).alias("__state")).join(found, "id")
+    here = state_key(F.coalesce("admin1", F.lit("")))
+    same = name_key(F.coalesce("admin2", F.lit(""))) == name_key(F.col("__name"))
+    code = F.coalesce("feature_code", F.lit(""))
+    size = F.desc(F.coalesce("population", F.lit(0)))
+    if relaxed:
+        one = F.create_map(*[F.lit(x) for a, b in SPLIT_STATES for x in (b, a)])
+        whole = lambda k: F.coalesce(F.element_at(one, k), k)
+        ok = rows.filter((whole(here) == whole(F.col("__state"))) & (same | (name_key(F.coalesce("name", F.lit(""))) == name_key(F.col("__name")))))
+        order = [F.when(code.startswith("PPLA"), 0).otherwise(1), size, "candidate"]
+    else:
+        ok = rows.filter(here == F.col("__state"))
+        order = [F.when(code.startswith("PPLA"), 0).when(code.startswith("PPL"), 1).otherwise(2), F.when(same, 0).otherwise(1), size, "candidate"]
+    best = ok.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(*order))).filter("__n = 1").select("id", "candidate")
+    return asked.select("id").join(best, "id", "left")

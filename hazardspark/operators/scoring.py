@@ -159,10 +159,13 @@ def leave_one_group_out(df: DataFrame, group: str = "grp", place: str = "block",
     return by.select(group, place, F.try_divide(all_s - g_s, all_n - g_n).alias("base"), F.when(p_n > 0, p_s / p_n).alias("history"), "n")
 
 
-def scorecard(df: DataFrame, m: str, b: str) -> DataFrame:
+def scorecard(df: DataFrame, m: str, b: str, low: str | None = None, prevalence: str | None = None) -> DataFrame:
+    """df with skill over the baseline b and a verdict; with the lower bound of the difference (low), no skill is seen where it is not
+    above 0; with the prevalence, the lift of the score over it."""
     skill = (F.col(m) - F.col(b)) / (1 - F.col(b))
-    verdict = F.when(skill < 0, "no evidence of skill (negative)").when(skill >= 0.30, "useful").when(skill >= 0.10, "modest").otherwise("marginal")
-    return df.withColumns({"skill": skill, "verdict": verdict})
+    verdict = F.when(F.coalesce(F.col(low) <= 0, F.lit(False)), "no evidence of skill (interval holds 0)").when(skill < 0, "no evidence of skill (negative)") if low else F.when(skill < 0, "no evidence of skill (negative)")
+    out = df.withColumns({"skill": skill, "verdict": verdict.when(skill >= 0.30, "useful").when(skill >= 0.10, "modest").otherwise("marginal")})
+    return out.withColumn("lift", F.try_divide(F.col(m), F.col(prevalence))) if prevalence else out
 
 
 def allocate_by_rank(df: DataFrame, value: str, score: str, ties: str = "id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazardspark.operators import decisions, graph, places, rain, spatial, textchecks
+from hazardspark.operators import decisions, graph, places, rain, scoring, spatial, studies, textchecks
 from hazardspark.plans.q_belief import _SPLIT
 from hazardspark.plans.q_rain import _HOURLY, _LEVELS, _hourly, _levels
 from hazardspark.plans.registry import Tables, query
@@ -194,6 +194,66 @@ def _(t: Tables):
     return kept.select("name", "kind", F.array_join("alt", "|").alias("alt"))
 
 
+def _state(x: str) -> str:
+    return f"regexp_replace(lower(replace({x}, '&', 'and')), '[^a-z]', '', 'g')"
+
+
+_GEO = """a AS (SELECT s_suppkey AS id, chr(CAST(97 + s_suppkey % 7 AS INT)) || 'town' AS name, CASE s_nationkey % 4 WHEN 0 THEN 'Jammu & Kashmir' WHEN 1 THEN 'Bihar' WHEN 2 THEN 'Telangana' ELSE 'Goa' END AS state FROM {supplier}),
+    g AS (SELECT a.id, p_partkey AS candidate, chr(CAST(65 + p_partkey % 5 AS INT)) || 'TOWN' AS name, CASE p_partkey % 6 WHEN 0 THEN 'Jammu and Kashmir' WHEN 1 THEN 'Ladakh' WHEN 2 THEN 'bihar' WHEN 3 THEN 'Jharkhand' WHEN 4 THEN 'Andhra Pradesh' END AS admin1, chr(CAST(65 + p_partkey % 7 AS INT)) || ' Town' AS admin2,
+      CASE p_size % 4 WHEN 0 THEN 'PPLA2' WHEN 1 THEN 'PPL' WHEN 2 THEN 'ADM1' END AS feature_code, CASE WHEN p_partkey % 3 > 0 THEN p_partkey * 37 % 1000 END AS population FROM a JOIN {part} ON p_partkey % 20 = a.id % 20)"""
+
+
+def _geo(t: Tables):
+    k, n = c("s_suppkey"), c("s_nationkey") % 4
+    letter = lambda base, x: F.char((base + x).cast("int"))
+    asked = t.supplier.select(k.alias("id"), F.concat(letter(F.lit(97), k % 7), F.lit("town")).alias("name"), F.when(n == 0, "Jammu & Kashmir").when(n == 1, "Bihar").when(n == 2, "Telangana").otherwise("Goa").alias("state"))
+    p, m = c("p_partkey"), c("p_partkey") % 6
+    state = F.when(m == 0, "Jammu and Kashmir").when(m == 1, "Ladakh").when(m == 2, "bihar").when(m == 3, "Jharkhand").when(m == 4, "Andhra Pradesh")
+    code = F.when(c("p_size") % 4 == 0, "PPLA2").when(c("p_size") % 4 == 1, "PPL").when(c("p_size") % 4 == 2, "ADM1")
+    answers = t.part.select((p % 20).alias("r"), p.alias("candidate"), F.concat(letter(F.lit(65), p % 5), F.lit("TOWN")).alias("name"), state.alias("admin1"), F.concat(letter(F.lit(65), p % 7), F.lit(" Town")).alias("admin2"), code.alias("feature_code"), F.when(p % 3 > 0, p * 37 % 1000).alias("population"))
+    found = asked.select("id", (c("id") % 20).alias("r")).join(answers, "r").drop("r")
+    return asked, found
+
+
+@query("x10_geocode_tiers", f"""WITH {_GEO}, r AS (SELECT g.id, candidate, row_number() OVER (PARTITION BY g.id ORDER BY CASE WHEN starts_with(coalesce(feature_code, ''), 'PPLA') THEN 0 WHEN starts_with(coalesce(feature_code, ''), 'PPL') THEN 1 ELSE 2 END, CASE WHEN {_state('admin2')} = {_state('a.name')} THEN 0 ELSE 1 END, coalesce(population, 0) DESC, candidate) AS k
+    FROM g JOIN a ON a.id = g.id WHERE {_state("coalesce(admin1, '')")} = {_state('state')}) SELECT a.id, r.candidate FROM a LEFT JOIN r ON r.id = a.id AND r.k = 1""")
+def _(t: Tables):
+    return places.choose_geocode(*_geo(t))
+
+
+@query("x10_geocode_relaxed", f"""WITH {_GEO}, s AS (SELECT *, CASE {_state("coalesce(admin1, '')")} WHEN 'ladakh' THEN 'jammuandkashmir' WHEN 'jharkhand' THEN 'bihar' WHEN 'telangana' THEN 'andhrapradesh' ELSE {_state("coalesce(admin1, '')")} END AS u FROM g),
+    r AS (SELECT s.id, candidate, row_number() OVER (PARTITION BY s.id ORDER BY CASE WHEN starts_with(coalesce(feature_code, ''), 'PPLA') THEN 0 ELSE 1 END, coalesce(population, 0) DESC, candidate) AS k FROM s JOIN a ON a.id = s.id
+      WHERE u = CASE {_state('state')} WHEN 'telangana' THEN 'andhrapradesh' ELSE {_state('state')} END AND ({_state('s.name')} = {_state('a.name')} OR {_state('admin2')} = {_state('a.name')})) SELECT a.id, r.candidate FROM a LEFT JOIN r ON r.id = a.id AND r.k = 1""")
+def _(t: Tables):
+    return places.choose_geocode(*_geo(t), relaxed=True)
+
+
+@query("x4_miner_scores", """WITH m AS (SELECT id AS mined_id, node, hazard_class, source_class, row_number() OVER (PARTITION BY node, hazard_class, source_class ORDER BY id) AS n FROM {obs} WHERE id % 3 > 0), g AS (SELECT id AS gold_id, node, hazard_class, source_class, row_number() OVER (PARTITION BY node, hazard_class, source_class ORDER BY id) AS n FROM {obs} WHERE id % 4 > 0),
+    x AS (SELECT coalesce(m.source_class, g.source_class) AS grp, mined_id, gold_id FROM m FULL JOIN g ON m.node = g.node AND m.hazard_class = g.hazard_class AND m.source_class = g.source_class AND m.n = g.n), y AS (SELECT grp, count(*) FILTER (WHERE mined_id IS NOT NULL AND gold_id IS NOT NULL) AS tp, count(mined_id) AS a, count(gold_id) AS b FROM x GROUP BY ROLLUP (grp))
+    SELECT coalesce(grp, 'overall') AS grp, tp, round(tp / a, 6) AS precision, round(tp / b, 6) AS recall, round(2 * tp / (a + b), 6) AS f1 FROM y""")
+def _(t: Tables):
+    side = lambda k, name: t.obs.filter(c("id") % k > 0).select(c("id").alias(name), "node", "hazard_class", "source_class")
+    pairs = studies.match_to_gold(side(3, "mined_id"), side(4, "gold_id"), ["node", "hazard_class", "source_class"])
+    rows = pairs.select(F.explode(F.array("source_class", F.lit("overall"))).alias("grp"), c("gold_id").isNotNull().alias("in_gold"), c("mined_id").isNotNull().alias("in_mined"))
+    return studies.mined_scores(rows, "grp").select("grp", "tp", *[r6(c(x)).alias(x) for x in ("precision", "recall", "f1")])
+
+
+@query("f9_norm_composed", "SELECT doc_id, md5(trim(regexp_replace(lower(nfc_normalize(CASE WHEN doc_id % 2 = 0 THEN replace(text, 'é', 'e' || chr(769)) ELSE text END)), '\\s+', ' ', 'g'))) AS k FROM {documents} WHERE text NOT LIKE '%’%' AND text NOT LIKE '%“%' AND text NOT LIKE '%ß%'")
+def _(t: Tables):
+    from hazardspark.functions.rules import norm_text
+
+    rows = t.documents.filter("text NOT LIKE '%’%' AND text NOT LIKE '%“%' AND text NOT LIKE '%ß%'")
+    text = F.when(c("doc_id") % 2 == 0, F.replace("text", F.lit("é"), F.lit("e\u0301"))).otherwise(c("text"))
+    return rows.select("doc_id", F.md5(norm_text(text, compose=True)).alias("k"))
+
+
+@query("m20_scorecard_bounds", "SELECT p_partkey, round((m - b) / (1 - b), 6) AS skill, CASE WHEN lo <= 0 THEN 'no evidence of skill (interval holds 0)' WHEN (m - b) / (1 - b) < 0 THEN 'no evidence of skill (negative)' WHEN (m - b) / (1 - b) >= 0.3e0 THEN 'useful' WHEN (m - b) / (1 - b) >= 0.1e0 THEN 'modest' ELSE 'marginal' END AS verdict, round(m / pv, 6) AS lift FROM (SELECT p_partkey, (p_partkey % 100) / 100e0 AS m, (p_partkey % 77) / 99e0 AS b, CASE WHEN p_partkey % 9 > 0 THEN (p_partkey % 5 - 1) / 10e0 END AS lo, (1 + p_partkey % 7) / 20e0 AS pv FROM {part}) x")
+def _(t: Tables):
+    k = c("p_partkey")
+    rows = t.part.select(k, ((k % 100) / 100.0).alias("m"), ((k % 77) / 99.0).alias("b"), F.when(k % 9 > 0, (k % 5 - 1) / 10.0).alias("lo"), ((1 + k % 7) / 20.0).alias("pv"))
+    return scoring.scorecard(rows, "m", "b", "lo", "pv").select("p_partkey", r6(c("skill")).alias("skill"), "verdict", r6(c("lift")).alias("lift"))
+
+
 # readers: a file is written from a table and read back
 
 

@@ -122,9 +122,12 @@ def rate_counts(stream: DataFrame, key: str, late: str = "1 hour", length: str =
 
 
 def split_late(stream: DataFrame, path: str, checkpoint: str, most_days: int = 14):
-    """Appends each batch to path/on_time or path/late (observed more than most_days before it was received)."""
+    """Appends each batch, with lag_s (seconds from observation to receipt) of each entry, to path/on_time or path/late (observed more
+    than most_days before it was received)."""
+
     def put(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("late", F.col("observed_at") < F.col("received_at") - F.expr(f"INTERVAL {most_days} DAYS"))
+        lag = F.unix_timestamp("received_at") - F.unix_timestamp("observed_at")
+        rows = batch.withColumn("lag_s", lag).withColumn("late", F.col("observed_at") < F.col("received_at") - F.expr(f"INTERVAL {most_days} DAYS"))
         for name, test in (("late", F.col("late")), ("on_time", ~F.col("late"))):
             rows.filter(test).drop("late").write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")  # the same batch again replaces itself
 
