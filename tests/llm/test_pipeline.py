@@ -61,8 +61,8 @@ def test_odd_documents(spark, tmp_path):
 
 
 def test_own_columns_survive(spark):
-    docs = frame(spark, [(1, "some words in a text"), (2, "12 34")], ["lang_pred", "LANG_SCORE", "__keep_id", "__near_node", "n_words", "matches"])
+    docs = frame(spark, [*((i, f"some words in text {i} and no other") for i in range(1, 12)), (20, "12 34")], ["lang_pred", "LANG_SCORE", "__keep_id", "__near_node", "n_words", "matches"])
     for stage in (corpus_pipeline.known_language, corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup):
         out = stage(spark, docs, "")
         assert out.columns == docs.columns and {r["lang_pred"] for r in out.collect()} == {"clash"} and {r["__keep_id"] for r in out.collect()} == {"clash"}
-    assert [r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()] == [1]
+    assert {r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()} == set(range(1, 12))
