@@ -81,7 +81,8 @@ def _words(column: pa.Array, words: int) -> np.ndarray:
 
 
 def plan_masks(sketches: DataFrame, n: int, plan: Plan) -> list[tuple[int, int]]:
-    """Probes as (word, mask). Bits of a word are grouped by their correlation over all fingerprints; thresholds of the parts are
+    """Probes as (word, mask). Bits of a word are grouped by their correlation over all fingerprints (bits beyond the width of a part are left
+    out); thresholds of the parts are
     chosen by dynamic programming on the estimated pairs that agree, from the share of ones of each bit over all fingerprints."""
     words = plan.words
 
@@ -101,7 +102,7 @@ def plan_masks(sketches: DataFrame, n: int, plan: Plan) -> list[tuple[int, int]]
     for k, own in enumerate(gram.reshape(words, 64, 64)):
         p = np.diag(own) / max(n, 1)
         same = p * p + (1 - p) ** 2
-        for part in correlated_parts(n, own, 64 // plan.width):
+        for part in (x[: plan.width] for x in correlated_parts(n, own, 64 // plan.width)):
             dist = np.ones(1)
             for b in part:
                 dist = np.convolve(dist, [same[b], 1 - same[b]])

@@ -95,8 +95,12 @@ def test_plan_meets_the_asked_recall():
         assert n / 2**plan.width <= 4
 
 
-def test_planted_recall_of_met_pairs(spark):
-    """Of 400 pairs with similarities from 0.8 to 0.97, at least 97 in 100 are linked."""
+@pytest.mark.parametrize("as_of", [None, 4_000_000])
+def test_planted_recall_of_met_pairs(spark, monkeypatch, as_of):
+    """Of 400 pairs with similarities from 0.8 to 0.97, at least 97 in 100 are linked, also by the wider parts of a large table."""
+    if as_of:
+        plan = near_copies.make_plan
+        monkeypatch.setattr(near_copies, "make_plan", lambda n, s, m: plan(as_of, s, m))
     draw = random.Random(3)
     docs, pairs = [], 0
     for k in range(400):
