@@ -44,7 +44,7 @@ def make_plan(n: int, similarity: float, miss: float) -> Plan:
     width = min(32, max(16, ceil(log2(max(n, 2))) - 2))
     needed = ceil(log(miss) / log(1 - (1 - differ) ** width))
     words = ceil(1.125 * needed / (64 // width))
-    most = lambda bits: ceil(bits * differ + 3.5 * sqrt(bits * differ * (1 - differ)))
+    most = lambda bits: ceil(bits * differ + 3 * sqrt(bits * differ * (1 - differ)))
     return Plan(width, needed, words, most(128), most(64 * words))
 
 
@@ -149,9 +149,9 @@ def _by_rows(it: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.R
 
 
 def _met(probes: DataFrame, plan: Plan, similarity: float) -> DataFrame:
-    """(hot, a, b, first). hot false: nodes that agree in a probe, lie at most 32 places apart in its order and may be similar; `first`
-    where b is the closest that one of the two has met in a probe. hot true: part and value of a probe that more than 33 texts share.
-    Memory holds a batch and the last 32 rows, however many texts share a probe."""
+    """(kind, part, value, a, b) of texts that agree in a probe. kind 0: a pair (a, b) that may be similar, b the closest that a has met
+    among the 32 places before it in the probe's order. kind 1: a probe that more than 33 texts share. kind 2: a text (a) of a probe
+    with further pairs that may be similar. Memory holds a batch and the last 32 rows, however many texts share a probe."""
     names = ("part", "value", "node", "n", "f1", "f2")
 
     def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,72 +170,96 @@ def _met(probes: DataFrame, plan: Plan, similarity: float) -> DataFrame:
                     break
                 j = i - d
                 far = sum(_differ(x[f][i], x[f][j]) for f in ("f1", "f2"))
-                ok = (far <= plan.near) & _fits(x["n"][i], x["n"][j], similarity) & (x["node"][i] != x["node"][j])
+                ok = (far <= plan.near) & _fits(x["n"][i], x["n"][j], similarity)
                 ends.append(i[ok])
                 starts.append(j[ok])
                 fars.append(far[ok])
             end, start, far = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (ends, starts, fars))
             order = np.lexsort((far, end))
-            end, start = end[order], start[order]
+            end, start = end[order].astype(np.int64), start[order].astype(np.int64)
             first = np.concatenate([[True], end[1:] != end[:-1]])[: len(end)]
-            a, c = x["node"][end], x["node"][start]
+            more = np.unique(np.concatenate([end[~first], start[~first]]))
             hot = np.unique(np.stack([x["part"][i].astype(np.int64), x["value"][i]]), axis=1)
+            a, c, none = x["node"][end[first]], x["node"][start[first]], np.zeros
+            sizes = [len(a), hot.shape[1], len(more)]
             columns = [
-                np.repeat([False, True], [len(a), hot.shape[1]]), np.concatenate([np.minimum(a, c), hot[0]]), np.concatenate([np.maximum(a, c), hot[1]]),
-                np.concatenate([first, np.zeros(hot.shape[1], bool)]),
-            ]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["hot", "a", "b", "first"])
+                np.repeat(np.array([0, 1, 2], np.int32), sizes),
+                np.concatenate([none(sizes[0], np.int32), hot[0].astype(np.int32), x["part"][more]]),
+                np.concatenate([none(sizes[0], np.int64), hot[1], x["value"][more]]),
+                np.concatenate([np.minimum(a, c), none(sizes[1], np.int64), x["node"][more]]),
+                np.concatenate([np.maximum(a, c), none(sizes[1] + sizes[2], np.int64)]),
+            ]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["kind", "part", "value", "a", "b"])
 
     dealt = probes.repartition("part", "value").sortWithinPartitions("part", "value", "f1", "node")
-    return dealt.mapInArrow(near, "hot boolean, a long, b long, first boolean").groupBy("hot", "a", "b").agg(F.max("first").alias("first"))
+    return dealt.mapInArrow(near, "kind int, part int, value long, a long, b long").distinct()
 
 
-def _met_in_hot(probes: DataFrame, hot: DataFrame, named: DataFrame, plan: Plan, similarity: float) -> DataFrame:
-    """(a, b): all pairs of different components that share a hot probe and may be similar. A probe's texts are cut by hash into
-    chunks of about 2048, and each pair of chunks is one unit of work, so no task holds a probe whole."""
+def _met_apart(probes: DataFrame, met: DataFrame, named: DataFrame, sketches: DataFrame, masks: list[tuple[int, int]], plan: Plan, similarity: float) -> DataFrame:
+    """(a, b): all further pairs of different components that agree in a probe and may be similar by their whole fingerprints, each
+    once: in the first probe in which they agree. A probe's texts are cut by hash into chunks of about 2048, and each pair of chunks is
+    one unit of work, so no task holds a probe whole."""
+    hot = met.filter("kind = 1").select("part", "value")
+    all_of = probes.join(hot, ["part", "value"]).select("part", "value", "node")
+    rows = all_of.unionByName(met.filter("kind = 2").select("part", "value", F.col("a").alias("node")).join(hot, ["part", "value"], "left_anti"))
     labels = named.select(F.col("node").alias("__n"), "component")
-    rows = probes.join(hot.select(F.col("a").cast("int").alias("part"), F.col("b").alias("value")), ["part", "value"])
     rows = rows.join(labels, rows["node"] == labels["__n"], "left").withColumn("component", F.coalesce("component", "node")).drop("__n")
-    rows = written(rows, "near-hot")
+    rows = written(rows, "near-apart")
     sizes = rows.groupBy("part", "value").agg(F.ceil(F.count("*") / _UNIT).cast("int").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    rows = rows.join(sizes.filter("lo <> hi").drop("lo", "hi"), ["part", "value"]).withColumn("chunk", F.pmod(F.xxhash64("node"), "m").cast("int"))
+    rows = rows.join(sizes.filter("lo <> hi").drop("lo", "hi"), ["part", "value"]).join(sketches.select("node", "n", "fp"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), "m").cast("int"))
     units = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     units = units.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
 
     def compare(table: pa.Table) -> pa.Table:
-        x = {c: table[c].to_numpy() for c in ("node", "n", "f1", "f2", "component", "chunk", "i", "j")}
-        alone, out = x["i"][0] == x["j"][0], []
-        for first in range(0, len(x["node"]), 256):
-            r = slice(first, first + 256)
-            far = sum(_differ(x[f][r, None], x[f][None, :]) for f in ("f1", "f2"))
-            ok = (far <= plan.near) & (x["component"][r, None] != x["component"][None, :]) & _fits(x["n"][r, None], x["n"][None, :], similarity)
-            ok &= (x["node"][r, None] < x["node"][None, :]) & (alone | (x["chunk"][r, None] != x["chunk"][None, :]))
+        x = {c: table[c].to_numpy() for c in ("node", "n", "component", "chunk")}
+        fps = _words(table["fp"], plan.words)
+        alone, part, out = table["i"][0] == table["j"][0], table["part"][0].as_py(), []
+        for first in range(0, len(fps), 128):
+            r = slice(first, first + 128)
+            far = sum(np.bitwise_count(fps[r, None, k] ^ fps[None, :, k]).astype(np.int16) for k in range(plan.words))
+            ok = (far <= plan.wide) & (x["component"][r, None] != x["component"][None, :]) & _fits(x["n"][r, None], x["n"][None, :], similarity)
+            ok &= (x["node"][r, None] < x["node"][None, :]) & (alone or (x["chunk"][r, None] != x["chunk"][None, :]))
             a, b = np.nonzero(ok)
-            out.append((x["node"][a + first], x["node"][b]))
+            a += first
+            before = np.zeros(len(a), bool)
+            for k, mask in masks[:part]:
+                before |= (fps[a, k] ^ fps[b, k]) & np.uint64(mask) == 0
+            out.append((x["node"][a[~before]], x["node"][b[~before]]))
         return pa.table({k: np.concatenate([p[i] for p in out]) for i, k in enumerate("ab")})
 
-    return units.groupBy("part", "value", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return units.select("part", "value", "i", "j", "node", "n", "fp", "component", "chunk").groupBy("part", "value", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def _similar(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, plan: Plan, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity; whole fingerprints are compared first."""
-    sides = lambda df, c: [df.select(F.col("node").alias(k), F.col(c).alias(f"{c}_{k}")) for k in "ab"]
-    fa, fb = sides(sketches, "fp")
+def _shingle_sets(nodes: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """(node, grams): the shingle sets of the texts of some nodes."""
+
+    def grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(it):
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array([shingle_set(t, shingle).tobytes() for t in b["text"].to_pylist()], pa.binary())], ["node", "grams"])
+
+    some = rows.join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"])  # texts cross the network once
+    return written(some.mapInArrow(grams, "node long, grams binary"), "near-sets")
+
+
+def _sides(df: DataFrame, column: str) -> list[DataFrame]:
+    return [df.select(F.col("node").alias(k), F.col(column).alias(f"{column}_{k}")).hint("merge") for k in "ab"]
+
+
+def _close(pairs: DataFrame, sketches: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) that may be similar by their whole fingerprints."""
+    fa, fb = _sides(sketches, "fp")
 
     def close(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             far = np.bitwise_count(_words(b["fp_a"], plan.words) ^ _words(b["fp_b"], plan.words)).sum(axis=1, dtype=np.int64)
-            yield b.select(["a", "b"]).filter(pa.array(far <= plan.wide))
+            yield b.drop_columns(["fp_a", "fp_b"]).filter(pa.array(far <= plan.wide))
 
-    pairs = written(pairs.join(fa, "a").join(fb, "b").mapInArrow(close, "a long, b long"), "near-pairs")
+    return pairs.join(fa, "a").join(fb, "b").select("a", "b", "fp_a", "fp_b").mapInArrow(close, "a long, b long")
 
-    def grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(it):
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array([shingle_set(t, shingle).tobytes() for t in b["text"].to_pylist()], pa.binary())], ["node", "grams"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(rows.join(asked, "node", "left_semi").select("node", "text").mapInArrow(grams, "node long, grams binary"), "near-sets")
-    ga, gb = sides(sets, "grams")
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
+    ga, gb = _sides(sets, "grams")
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(it, "grams_a"):
@@ -246,18 +270,17 @@ def _similar(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, plan: Plan,
                 keep.append(common >= similarity * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(pairs.join(ga, "a").join(gb, "b").mapInArrow(verify, "a long, b long"), "near-links")
+    return written(pairs.join(ga, "a").join(gb, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(verify, "a long, b long"), "near-links")
 
 
 def near_nodes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: float = 0.02) -> DataFrame:
-    """(node, component) of the nodes with a link; rows: node (no repeats), text.
-
-    1. A text's wide fingerprint is written, probes are planned, and texts that agree in a probe meet: neighbours up to 32 places apart
-       in its order, which is all pairs where up to 33 texts share it.
-    2. Of these, each text's closest in each probe is held against the whole fingerprint and then the shingle set; links give components.
-    3. All other pairs that met and are still in different components are compared in the same way; so are, in bounded units, those of
-       probes that more texts share. Pairs inside a component need no comparison, so groups of copies cost about a pair a text and probe.
-    So a linked pair is lost only if it meets in no probe or its bits lie beyond 3.5 deviations of what its similarity makes likely.
+    """(node, component) of the nodes with a link; rows: node, text (rows of one node are alike).
+
+    1. A text's wide fingerprint is written, probes are planned, and texts that agree in a probe meet.
+    2. Each text's closest in each probe is held against the whole fingerprint and then the shingle set; links give components.
+    3. All other pairs that met and are still in different components are compared in the same way, in bounded units. Pairs inside a
+       component need no comparison, so groups of copies cost about a pair a text and probe.
+    So a linked pair is lost only if it meets in no probe or its bits lie beyond 3 deviations of what its similarity makes likely.
     """
     text_batches(rows.sparkSession)
     n = rows.count()
@@ -271,29 +294,25 @@ def near_nodes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, miss:
             fps = pa.array([x.tobytes() for x in wide_fingerprints(found, plan.words)], pa.binary())
             yield pa.RecordBatch.from_arrays([b["node"].filter(some), pa.array(sizes).filter(some), fps.filter(some)], ["node", "n", "fp"])
 
-    sketches = written(rows.select("node", "text").mapInArrow(sketch, "node long, n int, fp binary"), "wide-fingerprints")
-    probes = _probes(sketches, plan_masks(sketches, n, plan), plan)
+    sketches = written(rows.select("node", "text").mapInArrow(sketch, "node long, n int, fp binary").dropDuplicates(["node"]), "wide-fingerprints")
+    masks = plan_masks(sketches, n, plan)
+    probes = _probes(sketches, masks, plan)
     met = written(_met(probes, plan, similarity), "near-met")
-    tried = met.filter("NOT hot AND first").select("a", "b")
-    links = _similar(tried, sketches, rows, plan, shingle, similarity)
+    closest = written(_close(met.filter("kind = 0 AND a <> b").select("a", "b"), sketches, plan), "near-pairs")
+    ends = F.explode(F.array("a", "b")).alias("node")
+    sets = _shingle_sets(closest.select(ends).distinct(), rows, shingle)
+    links = _similar(closest, sets, similarity)
     named = written(connected_components(links, written), "near-named")
-    rest = _apart(met.filter("NOT hot AND NOT first").select("a", "b"), named)
-    hot = met.filter("hot").select("a", "b")
-    if not hot.isEmpty():
-        rest = rest.unionByName(_met_in_hot(probes, hot, named, plan, similarity)).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _similar(rest, sketches, rows, plan, shingle, similarity)
+    rest = written(_met_apart(probes, met, named, sketches, masks, plan, similarity).join(closest, ["a", "b"], "left_anti"), "near-rest")
+    unknown = rest.select(ends).distinct().join(sets.select("node"), "node", "left_anti")
+    if not unknown.isEmpty():
+        sets = sets.unionByName(_shingle_sets(unknown, rows, shingle))
+    more = _similar(rest, sets, similarity)
     if more.isEmpty():
         return named
     return connected_components(links.unionByName(more), written)
 
 
-def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
-    """The pairs whose nodes are not in one component yet."""
-    side = lambda k: named.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
-    labelled = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return labelled.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-
-
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs whose id is the smallest among the texts linked to it, step by step, by at least that similarity of their word
     shingles (distinct, A-Z in lower case, ASCII white space between words).
@@ -304,7 +323,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     node, least = free_names(docs, "__near_node", "__near_id")
     keyed = docs.withColumns({node: F.xxhash64(F.col(id_col), F.col(text_col)), least: F.col(id_col)})
     rows = keyed.select(F.col(node).alias("node"), F.col(least).alias("doc_id"), F.col(text_col).alias("text"))
-    linked = near_nodes(rows.select("node", "text").dropDuplicates(["node"]), shingle, similarity)
+    linked = near_nodes(rows.select("node", "text"), shingle, similarity)
     named = written(rows.select("node", "doc_id").distinct().join(linked, "node"), "near-ids")
     first = named.groupBy("component").agg(F.min("doc_id").alias("first"))
     gone = named.join(first, "component").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("node").alias("__gone_node"), F.col("doc_id").alias("__gone_id"))
