@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,4 +43,30 @@ def cycle_candidates(departures: DataFrame, by: str, t: str, lo: float = 40.0, h
     cycles = F.explode(F.transform(F.sequence(F.lit(0), F.lit(int((hi - lo) / step))), lambda i: F.lit(lo) + i * step)).alias("cycle")
     each = departures.select(by, t, cycles).withColumn("phase", 2 * F.pi() * F.col(t) / F.col("cycle"))
     sums = each.groupBy(by, "cycle").agg(F.sum(F.cos("phase")).alias("x"), F.sum(F.sin("phase")).alias("y"), F.count("*").alias("n"))
-    return sums.select(by, "cycle", (F.hypot("x", "y") / F.col("n")).alias("resultant"), "n")
+    offset = F.pmod(F.atan2("y", "x"), F.lit(2 * math.pi)) / (2 * math.pi) * F.col("cycle")
+    return sums.select(by, "cycle", (F.hypot("x", "y") / F.col("n")).alias("resultant"), "n", offset.alias("offset_s"))
+
+
+def choose_cycle(candidates: DataFrame, by: str, least: float = 0.5, alias: float = 0.9, least_n: int = 8) -> DataFrame:
+    """(by, n, cycle, resultant, offset_s): the cycle of each site, null where it has too few departures or none is periodic enough.
+
+    Multiples of a shorter period explain the departures as well, so the longest candidate within `alias` of the best resultant is taken,
+    and moved up and then down to the local peak it lies on. candidates: a bounded number for each site."""
+    r, every = F.col("resultant"), Window.partitionBy(by)
+    line = every.orderBy("cycle")
+    rows = candidates.withColumns({
+        "best": F.max(r).over(every), "tops": F.lead(r).over(line).isNull() | (F.lead(r).over(line) < r), "bottoms": F.lag(r).over(line).isNull() | (F.lag(r).over(line) <= r),
+    })
+    rows = rows.withColumn("k", F.max(F.when(r >= alias * F.col("best"), F.col("cycle"))).over(every))
+    rows = rows.withColumn("k", F.min(F.when(F.col("tops") & (F.col("cycle") >= F.col("k")), F.col("cycle"))).over(every))
+    rows = rows.withColumn("k", F.max(F.when(F.col("bottoms") & (F.col("cycle") <= F.col("k")), F.col("cycle"))).over(every))
+    good = (F.col("best") >= least) & (F.col("n") >= least_n)
+    return rows.filter(F.col("cycle") == F.col("k")).select(by, "n", *[F.when(good, F.col(c)).alias(c) for c in ("cycle", "resultant", "offset_s")])
+
+
+def red_and_delay(passes: DataFrame, by: str, quantile: float = 0.9, least_stops: int = 8, least_passes: int = 10) -> DataFrame:
+    """passes (by, wait_s: null without a stop, delay_s: null where the pass is not usable): red seconds, as waits of random arrivals lie
+    evenly between none and the red, and the median and 85th percentile of delays; null with too few."""
+    out = passes.groupBy(by).agg(F.count("wait_s").alias("stops"), F.count("delay_s").alias("usable"), F.percentile("wait_s", quantile).alias("w"), F.percentile("delay_s", 0.5).alias("m"), F.percentile("delay_s", 0.85).alias("p"))
+    delay = lambda c: F.when(F.col("usable") >= least_passes, F.col(c))
+    return out.select(by, "stops", F.when(F.col("stops") >= least_stops, F.col("w") / quantile).alias("red_s"), "usable", delay("m").alias("delay_median_s"), delay("p").alias("delay_p85_s"))

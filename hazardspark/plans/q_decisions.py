@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazardspark.operators import decisions, graph, places, rain, scoring, spatial, studies, textchecks
+from hazardspark.operators import decisions, graph, places, rain, scoring, signals, spatial, studies, textchecks
 from hazardspark.plans.q_belief import _SPLIT
 from hazardspark.plans.q_rain import _HOURLY, _LEVELS, _hourly, _levels
 from hazardspark.plans.registry import Tables, query
@@ -128,6 +128,25 @@ def _(t: Tables):
     return decisions.timing_verdict(_timing(t), 3.0).withColumn("median_error_s", r6(c("median_error_s")))
 
 
+@query("m26_chosen_cycle", """WITH e AS (SELECT user_id % 10 AS site, EPOCH(ts) % 86400 AS t FROM {events} WHERE event_type = 'click'), a AS (SELECT site, cycle, round(sqrt(pow(sum(cos(2 * pi() * t / cycle)), 2) + pow(sum(sin(2 * pi() * t / cycle)), 2)) / count(*), 9) AS r, count(*) AS n FROM e CROSS JOIN (SELECT 40 + i * 0.25e0 AS cycle FROM (SELECT unnest(range(561)) AS i) q) c GROUP BY 1, 2),
+    f AS (SELECT *, max(r) OVER (PARTITION BY site) AS best, coalesce(lead(r) OVER w < r, true) AS tops, coalesce(lag(r) OVER w <= r, true) AS bottoms FROM a WINDOW w AS (PARTITION BY site ORDER BY cycle)), g AS (SELECT *, max(CASE WHEN r >= 0.9e0 * best THEN cycle END) OVER (PARTITION BY site) AS k FROM f),
+    h AS (SELECT *, min(CASE WHEN tops AND cycle >= k THEN cycle END) OVER (PARTITION BY site) AS k2 FROM g), i AS (SELECT *, max(CASE WHEN bottoms AND cycle <= k2 THEN cycle END) OVER (PARTITION BY site) AS k3 FROM h)
+    SELECT site, n, CASE WHEN best >= 0.05 AND n >= 8 THEN cycle END AS cycle, CASE WHEN best >= 0.05 AND n >= 8 THEN round(r, 6) END AS resultant FROM i WHERE cycle = k3""")
+def _(t: Tables):
+    rows = t.events.filter("event_type = 'click'").select((c("user_id") % 10).alias("site"), (F.unix_timestamp("ts") % 86400).alias("t"))
+    found = signals.cycle_candidates(rows, "site", "t").withColumn("resultant", F.round("resultant", 9))
+    return signals.choose_cycle(found, "site", least=0.05).select("site", "n", "cycle", r6(c("resultant")).alias("resultant"))
+
+
+@query("m26_red_and_delay", """WITH p AS (SELECT user_id % 40 AS site, CASE WHEN event_id % 3 > 0 THEN value END AS wait_s, CASE WHEN event_id % 4 > 0 THEN value / 3 END AS delay_s FROM {events}), g AS (SELECT site, count(wait_s) AS stops, count(delay_s) AS usable, quantile_cont(wait_s, 0.9) AS w, quantile_cont(delay_s, 0.5) AS m, quantile_cont(delay_s, 0.85) AS q FROM p GROUP BY site)
+    SELECT site, stops, round(CASE WHEN stops >= 8 THEN w / 0.9e0 END, 6) AS red_s, usable, round(CASE WHEN usable >= 20 THEN m END, 6) AS delay_median_s, round(CASE WHEN usable >= 20 THEN q END, 6) AS delay_p85_s FROM g""")
+def _(t: Tables):
+    k = c("event_id")
+    passes = t.events.select((c("user_id") % 40).alias("site"), F.when(k % 3 > 0, c("value")).alias("wait_s"), F.when(k % 4 > 0, c("value") / 3).alias("delay_s"))
+    out = signals.red_and_delay(passes, "site", least_passes=20)
+    return out.withColumns({x: r6(c(x)) for x in ("red_s", "delay_median_s", "delay_p85_s")})
+
+
 def _words(x: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({x}), '[^\\p\x01L\x02\\p\x01N\x02]+'), lambda w: w <> '')"
 

@@ -239,6 +239,18 @@ def test_nearest_masked_and_slope_at_borders(spark):
     assert slope[0, 0] is None and abs(slope[1, 2] - 45) < 1e-9
 
 
+def test_cycle_of_a_planted_signal(spark):
+    """Departures every 90 s (some left out) explain 45 s as well; the longer one is chosen, on its peak."""
+    from hazardspark.operators import signals
+
+    draw = random.Random(6)
+    rows = [(1, 90.0 * k + draw.uniform(0, 4)) for k in range(120) if draw.random() < 0.5] + [(2, draw.uniform(0, 9000)) for _ in range(200)] + [(3, 90.0 * k) for k in range(5)]
+    found = signals.cycle_candidates(spark.createDataFrame(rows, "site long, t double"), "site", "t")
+    got = {r.site: r for r in signals.choose_cycle(found, "site").collect()}
+    assert abs(got[1].cycle - 90) <= 0.25 and got[1].resultant > 0.9 and min(got[1].offset_s, 90 - got[1].offset_s) < 8
+    assert got[2].cycle is None and got[3].cycle is None
+
+
 def test_area_tiers(spark):
     points = spark.createDataFrame([(1, 13.0, 80.0), (2, 14.0, 80.0)], "id long, lat double, lon double")
     places = spark.createDataFrame([(10, "quarter", 13.001, 80.0), (11, "suburb", 13.009, 80.0), (12, "suburb", 14.015, 80.0), (13, "quarter", 14.016, 80.0)], "place_id long, kind string, lat double, lon double")
