@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import acos, ceil, comb, log, log2, pi, sqrt
+from math import acos, ceil, comb, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -28,24 +28,29 @@ _WINDOW, _UNIT = 32, 2048
 @dataclass(frozen=True)
 class Plan:
     """Parts of `width` bits; `needed` is the sum of (threshold + 1) over the parts: pairs within needed - 1 bits are met for sure, and
-    pairs of the asked similarity are missed with probability `miss` at most. A link differs in `near` of 128 and `wide` of all bits at most."""
+    pairs of the asked similarity are missed with probability `miss` at most. A link differs in `near` of 128 bits at most."""
 
     width: int
     needed: int
     words: int
     near: int
-    wide: int
 
 
 def make_plan(n: int, similarity: float, miss: float) -> Plan:
     """For n texts. Parts have about log2(n) bits, so a text meets few others by chance, whatever n; the parts needed for the asked
     recall grow with the width. Words hold an eighth more parts than needed, for the allocation to choose from."""
-    differ = acos(2 * similarity / (1 + similarity)) / pi  # of a bit, for two sets of one size; sets of unequal sizes are closer
+    differ = acos(2 * similarity / (1 + similarity)) / pi  # of a bit, for two sets of one size; sets of other sizes are closer
     width = min(32, max(16, ceil(log2(max(n, 2))) - 2))
     needed = ceil(log(miss) / log(1 - (1 - differ) ** width))
     words = ceil(1.125 * needed / (64 // width))
-    most = lambda bits: ceil(bits * differ + 3 * sqrt(bits * differ * (1 - differ)))
-    return Plan(width, needed, words, most(128), most(64 * words))
+    return Plan(width, needed, words, int(_most(np.ones(1), np.ones(1), 128, similarity)[0]))
+
+
+def _most(m: np.ndarray, n: np.ndarray, bits: int, similarity: float) -> np.ndarray:
+    """Bits in which sets of m and n hashes with that similarity differ, and three deviations."""
+    cosine = similarity / (1 + similarity) * (m + n) / np.sqrt(m.astype(float) * n)
+    differ = np.arccos(np.minimum(cosine, 1)) / np.pi
+    return np.ceil(bits * differ + 3 * np.sqrt(bits * differ * (1 - differ)))
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -217,7 +222,7 @@ def _met_apart(probes: DataFrame, met: DataFrame, named: DataFrame, sketches: Da
         for first in range(0, len(fps), 128):
             r = slice(first, first + 128)
             far = sum(np.bitwise_count(fps[r, None, k] ^ fps[None, :, k]).astype(np.int16) for k in range(plan.words))
-            ok = (far <= plan.wide) & (x["component"][r, None] != x["component"][None, :]) & _fits(x["n"][r, None], x["n"][None, :], similarity)
+            ok = (far <= _most(x["n"][r, None], x["n"][None, :], 64 * plan.words, similarity)) & (x["component"][r, None] != x["component"][None, :]) & _fits(x["n"][r, None], x["n"][None, :], similarity)
             ok &= (x["node"][r, None] < x["node"][None, :]) & (alone or (x["chunk"][r, None] != x["chunk"][None, :]))
             a, b = np.nonzero(ok)
             a += first
@@ -245,18 +250,6 @@ def _sides(df: DataFrame, column: str) -> list[DataFrame]:
     return [df.select(F.col("node").alias(k), F.col(column).alias(f"{column}_{k}")).hint("merge") for k in "ab"]
 
 
-def _close(pairs: DataFrame, sketches: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b) that may be similar by their whole fingerprints."""
-    fa, fb = _sides(sketches, "fp")
-
-    def close(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            far = np.bitwise_count(_words(b["fp_a"], plan.words) ^ _words(b["fp_b"], plan.words)).sum(axis=1, dtype=np.int64)
-            yield b.drop_columns(["fp_a", "fp_b"]).filter(pa.array(far <= plan.wide))
-
-    return pairs.join(fa, "a").join(fb, "b").select("a", "b", "fp_a", "fp_b").mapInArrow(close, "a long, b long")
-
-
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
     ga, gb = _sides(sets, "grams")
@@ -277,8 +270,9 @@ def near_nodes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, miss:
     """(node, component) of the nodes with a link; rows: node, text (rows of one node are alike).
 
     1. A text's wide fingerprint is written, probes are planned, and texts that agree in a probe meet.
-    2. Each text's closest in each probe is held against the whole fingerprint and then the shingle set; links give components.
-    3. All other pairs that met and are still in different components are compared in the same way, in bounded units. Pairs inside a
+    2. Shingle sets of each text and its closest in each probe are compared; links give components.
+    3. All other pairs that met and are still in different components are compared by their whole fingerprints, in bounded units, and
+       then by their shingle sets. Pairs inside a
        component need no comparison, so groups of copies cost about a pair a text and probe.
     So a linked pair is lost only if it meets in no probe or its bits lie beyond 3 deviations of what its similarity makes likely.
     """
@@ -298,7 +292,7 @@ def near_nodes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, miss:
     masks = plan_masks(sketches, n, plan)
     probes = _probes(sketches, masks, plan)
     met = written(_met(probes, plan, similarity), "near-met")
-    closest = written(_close(met.filter("kind = 0 AND a <> b").select("a", "b"), sketches, plan), "near-pairs")
+    closest = met.filter("kind = 0 AND a <> b").select("a", "b")
     ends = F.explode(F.array("a", "b")).alias("node")
     sets = _shingle_sets(closest.select(ends).distinct(), rows, shingle)
     links = _similar(closest, sets, similarity)
