@@ -11,7 +11,10 @@ from hazardspark.llm.crossparse import held_out, identify, sample_texts
 from hazardspark.llm.decontam import find_matches, n_hit
 from hazardspark.llm.exact_dedup import exact_groups
 from hazardspark.llm.line_dedup import dedup_lines
+from hazardspark.llm.negatives import mine_negatives, quantised
 from hazardspark.llm.packing import pack
+from hazardspark.llm.ranked_search import ranked_search
+from hazardspark.llm.secrets import scan_secrets
 from hazardspark.llm.sharding import assign_shards
 from hazardspark.llm.simhash import near_groups
 from hazardspark.llm.token_files import read_token_files, token_file_path, write_token_files
@@ -95,17 +98,88 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example", "live")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = quantised(vectors.withColumn("label", noisy))
+    return mine_negatives(rows, rows.filter(F.col("id") % 100 == 0))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_language_id, op4_exact_dedup, op5_decontamination, op6_line_dedup, op7_token_files, op8_packing, op9_chat_formatting, op10_sharding)}
+    found = (op1_simhash, op2_quality, op3_language_id, op4_exact_dedup, op5_decontamination, op6_line_dedup, op7_token_files, op8_packing, op9_chat_formatting, op10_sharding)
+    return {f.__name__: f for f in (*found, op11_secret_scans, op12_hard_negatives, op13_ranked_search)}
 
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _either_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def _hits_sql(kind: int, pattern: str) -> str:
+    """Matches of a pattern in every text t.text: row r, kind, start and value, from the pieces between the matches."""
+    pattern = pattern.replace("'", "''")
+    return f"""SELECT r, {kind} AS kind, start, v FROM (
+  SELECT r, v, pos, sum(length(gap)) OVER w + coalesce(sum(length(v)) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM (SELECT r, unnest(string_split_regex(text, '{pattern}')) AS gap, unnest(regexp_extract_all(text, '{pattern}')) AS v, generate_subscripts(string_split_regex(text, '{pattern}'), 1) AS pos FROM t) x
+  WINDOW w AS (PARTITION BY r ORDER BY pos)) y WHERE v IS NOT NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
+    key = _either_case("password|passwd|secret|token|api_?key")
+    sep = r"""["']?\x20*[:=]\x20*["']?"""
+    key_sql = f"({key}){sep}".replace("'", "''")
+    alive = r"len(list_distinct(string_split(s, ''))) >= 8 AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND NOT regexp_matches(s, '" + "|".join(map(_either_case, "example sample dummy changeme placeholder your xxxx".split())) + "|0123456789|123456789|" + _either_case("abcdefgh") + "')"
     esc = r"regexp_replace(text, '(<|\[)(\\*)(\|im_start\|>|\|im_end\|>|\|image\|>|\|audio\|>|\|document\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\])', '\1\\\2\3', 'g')"
     return {
+        "op11_secret_scans": rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, source AS owner, coalesce(text, '') AS text FROM documents),
+h AS ({_hits_sql(0, f"(?:{key}){sep}[A-Za-z0-9+/_.=-]+")} UNION ALL {_hits_sql(1, "AKIA[A-Z0-9]{14,}")} UNION ALL {_hits_sql(2, "[0-9a-f]{16,}")} UNION ALL {_hits_sql(3, "[A-Za-z0-9+/_=-]{20,}")}),
+f AS (SELECT r, kind, CAST(start AS BIGINT) AS a, CAST(start + length(v) AS BIGINT) AS b, CASE WHEN kind = 0 THEN regexp_replace(v, '^{key_sql}', '') ELSE v END AS s0, ['assign', 'access', 'hex', 'bare'][kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(v) AS BIGINT) AS said FROM h),
+e AS (SELECT *, regexp_replace(s0, '\.+$', '') AS s FROM f WHERE kind <> 0 OR length(s0) >= 12),
+c AS (SELECT * FROM e WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM e o WHERE o.r = e.r AND o.kind < 3 AND o.a < e.b AND e.a < o.b)),
+p AS (SELECT s, count(*) AS owners FROM (SELECT DISTINCT s, owner FROM c JOIN t USING (r)) x GROUP BY s),
+k AS (SELECT r, kind, a, said, owners >= 3 AS example, owners = 1 AND {alive} AS live FROM c JOIN p USING (s)),
+g AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+        string_agg(said, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base, string_agg(said, ',' ORDER BY a, kind) FILTER (WHERE kind < 3 OR live) AS spans,
+        count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE example AND kind < 3) AS n_example, string_agg(said, ',' ORDER BY a, kind) FILTER (WHERE live) AS live
+      FROM k GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(live, '') AS live
+FROM t LEFT JOIN g USING (r)""",
+        "op12_hard_negatives": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT r, id, label, unnest(q) AS x, generate_subscripts(q, 1) AS d FROM v),
+s AS (SELECT a.r AS ar, b.r AS br, a.id AS anchor_id, b.id AS id, a.label = b.label AS same, CAST(sum(a.x * b.x) AS BIGINT) AS score
+      FROM c a JOIN c b ON a.d = b.d AND a.r <> b.r WHERE a.id % 100 = 0 GROUP BY ALL),
+p AS (SELECT ar, anchor_id, br, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, id, br) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.ar = p.ar AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY p.ar, p.br ORDER BY score DESC, s.id, s.br) QUALIFY row_number() OVER w <= 5""",
+        "op13_ranked_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_WORD}') AS ws FROM documents WHERE text IS NOT NULL),
+j AS (SELECT dense_rank() OVER (ORDER BY item_id, text) AS i, item_id, unnest(list_distinct(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_WORD}'))) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL) x),
+g AS (SELECT count(*) AS n_docs, coalesce(sum(len(ws)), 0) AS n_terms FROM d WHERE len(ws) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) x GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, g GROUP BY term, n_docs),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(ws) * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM j JOIN tf USING (term) JOIN w USING (term) JOIN d USING (r), g GROUP BY i, item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER k AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW k AS (PARTITION BY i ORDER BY score DESC, doc_id, r) QUALIFY row_number() OVER k <= 10""",
         "op9_chat_formatting": f"""
 WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r))
