@@ -15,12 +15,12 @@ from hazardspark.llm.common import held, new_path, written
 
 _STEP = 8  # dimensions added between two prunings
 _ROWS, _ANCHORS = 8192, 256  # pairs that a task holds at once
-_LIMIT = 1 << 24  # of a quantised component
+_LIMIT = 1 << 27  # of a quantised component
 _NONE = -(1 << 62)
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """(row, id, label, q): rows that take part, each component x as floor(scale * x), clipped at 2^24 either way.
+    """(row, id, label, q): rows that take part, each component x as floor(scale * x), clipped at 2^27 either way.
 
     Rows with a null id, label or vector, or with a null or non-finite component, are left out. `row` numbers the rows of the written
     table, so rows that repeat an id stay apart.
@@ -183,7 +183,7 @@ def _negatives(rows: DataFrame, block: dict, dims: np.ndarray, positives: list[l
         open_ = np.flatnonzero(todo.any(axis=1))
         if not len(open_):
             break
-        low = np.where(todo[open_], -(-level * high[open_] // 100), 1 << 62)
+        low = np.where(todo[open_], high[open_] // 100 * level - (-(high[open_] % 100) * level // 100), 1 << 62)  # rounded up, without overflow
         some = _some(block, open_) | {"same": False, "low": low, "high": high[open_]}
         for i, found in _pass(rows, some, dims, k).items():
             at = (int(open_[i // width]), i % width)
@@ -199,7 +199,7 @@ def mine_negatives(
 
     An anchor's positives are the first `positives` other rows of its label by integer inner product, then by smaller id. For each, the
     first `negatives` rows of other labels whose score is at most the positive's and at least `percent` of it. Fewer rows give all of
-    them; an empty table gives none; rows that repeat an id are rows of their own. Scores are exact for components within 2^24.
+    them; an empty table gives none; rows that repeat an id are rows of their own. Scores are exact for components within 2^27 and up to 256 dimensions.
 
     Anchors are taken in blocks of about block_bytes, the only data that is broadcast (and whose firsts reach the driver); each
     threshold is a pass over all rows for the block's anchors that still lack rows. Every task keeps the first few of each window, so
