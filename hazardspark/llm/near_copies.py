@@ -22,7 +22,7 @@ from hazardspark.operators.components import connected_components
 
 _LANES = np.uint64(0x0101010101010101)
 _CHUNK = 255  # a byte counts so many shingles
-_WINDOW, _UNIT = 32, 2048
+_WINDOW, _UNIT, _SHINGLES = 32, 2048, 512
 
 
 @dataclass(frozen=True)
@@ -201,22 +201,32 @@ def _met(probes: DataFrame, plan: Plan, similarity: float) -> DataFrame:
 
 
 def _met_apart(probes: DataFrame, met: DataFrame, named: DataFrame, sketches: DataFrame, masks: list[tuple[int, int]], plan: Plan, similarity: float) -> DataFrame:
-    """(a, b): all further pairs of different components that agree in a probe and may be similar by their whole fingerprints, each
-    once: in the first probe in which they agree. A probe's texts are cut by hash into chunks of about 2048, and each pair of chunks is
-    one unit of work, so no task holds a probe whole."""
+    """(lo, hi, nodes, a, b): all further pairs (a[i], b[i]) of different components that agree in a probe and may be similar by their
+    whole fingerprints, each once: in the first probe in which they agree. A probe's texts are cut by hash into chunks of about 2048
+    texts and a million shingles, and each pair of chunks is one unit of work, so no task holds a probe whole.
+
+    A unit gives its pairs as arrays, by the places of their two texts: a text's place is a chunk of the texts that share a probe with
+    the same lowest text, so the texts of a group have few places and their shingle sets go to few blocks (lo, hi) for the exact check."""
     hot = met.filter("kind = 1").select("part", "value")
     all_of = probes.join(hot, ["part", "value"]).select("part", "value", "node")
     rows = all_of.unionByName(met.filter("kind = 2").select("part", "value", F.col("a").alias("node")).join(hot, ["part", "value"], "left_anti"))
     labels = named.select(F.col("node").alias("__n"), "component")
     rows = rows.join(labels, rows["node"] == labels["__n"], "left").withColumn("component", F.coalesce("component", "node")).drop("__n")
-    rows = written(rows, "near-apart")
-    sizes = rows.groupBy("part", "value").agg(F.ceil(F.count("*") / _UNIT).cast("int").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    rows = rows.join(sizes.filter("lo <> hi").drop("lo", "hi"), ["part", "value"]).join(sketches.select("node", "n", "fp"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), "m").cast("int"))
+    rows = written(rows.join(sketches.select("node", "n"), "node"), "near-apart")
+    chunks = F.ceil(F.greatest(F.count("*") / _UNIT, F.sum("n") / (_UNIT * _SHINGLES))).cast("int").alias("m")
+    sizes = rows.groupBy("part", "value").agg(chunks, F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("first"))
+    rows = rows.join(sizes.filter("lo <> hi").drop("lo", "hi"), ["part", "value"])
+    leader = written(rows.groupBy("node").agg(F.min("first").alias("leader"), F.first("n").alias("n")), "near-leaders")
+    leads = leader.groupBy("leader").agg(chunks)
+    home = leader.join(leads, "leader")
+    place = F.xxhash64("leader", F.pmod(F.xxhash64("node"), "m"))
+    known = home.select("node", place.alias("place")).join(sketches.select("node", "fp"), "node")
+    rows = rows.drop("first").join(known, "node").withColumn("chunk", F.pmod(F.xxhash64("node"), "m").cast("int"))
     units = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     units = units.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
 
     def compare(table: pa.Table) -> pa.Table:
-        x = {c: table[c].to_numpy() for c in ("node", "n", "component", "chunk")}
+        x = {c: table[c].to_numpy() for c in ("node", "n", "component", "chunk", "place")}
         fps = _words(table["fp"], plan.words)
         alone, part, out = table["i"][0] == table["j"][0], table["part"][0].as_py(), []
         for first in range(0, len(fps), 128):
@@ -229,10 +239,55 @@ def _met_apart(probes: DataFrame, met: DataFrame, named: DataFrame, sketches: Da
             before = np.zeros(len(a), bool)
             for k, mask in masks[:part]:
                 before |= (fps[a, k] ^ fps[b, k]) & np.uint64(mask) == 0
-            out.append((x["node"][a[~before]], x["node"][b[~before]]))
-        return pa.table({k: np.concatenate([p[i] for p in out]) for i, k in enumerate("ab")})
-
-    return units.select("part", "value", "i", "j", "node", "n", "fp", "component", "chunk").groupBy("part", "value", "i", "j").applyInArrow(compare, "a long, b long")
+            out.append((a[~before], b[~before]))
+        a, b = (np.concatenate([p[i] for p in out]) for i in (0, 1))
+        lo, hi = np.minimum(x["place"][a], x["place"][b]), np.maximum(x["place"][a], x["place"][b])
+        order = np.lexsort((hi, lo))
+        a, b, lo, hi = a[order], b[order], lo[order], hi[order]
+        starts = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])[: len(lo)])
+        ends = np.append(starts[1:], len(lo))[: len(starts)]
+        lists = [[x["node"][v[s:e]] for s, e in zip(starts, ends, strict=True)] for v in (a, b)]
+        nodes = [np.unique(np.concatenate(p)) for p in zip(*lists, strict=True)]
+        kind = pa.list_(pa.int64())
+        return pa.table({"lo": lo[starts], "hi": hi[starts], "nodes": pa.array(nodes, kind), "a": pa.array(lists[0], kind), "b": pa.array(lists[1], kind)})
+
+    found = units.select("part", "value", "i", "j", "node", "n", "fp", "component", "chunk", "place").groupBy("part", "value", "i", "j")
+    return written(found.applyInArrow(compare, "lo long, hi long, nodes array<long>, a array<long>, b array<long>"), "near-rest")
+
+
+def _similar_in_blocks(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of `_met_apart` whose shingle sets have at least that Jaccard similarity. A block gets each text's set once and its pairs
+    as arrays, so a pair is a row only if it is a link."""
+    texts = found.select(F.col("lo").alias("of_lo"), F.col("hi").alias("of_hi"), F.explode("nodes").alias("node")).distinct().join(sets, "node")
+
+    def verify(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        out = []
+        if pairs.num_rows and texts.num_rows:
+            node = texts["node"].to_numpy()
+            grams = [np.frombuffer(v.as_buffer(), np.uint64) for v in texts["grams"]]
+            sizes = np.array([len(g) for g in grams])
+            starts = np.cumsum(sizes) - sizes
+            vocab, flat = np.unique(np.concatenate(grams), return_inverse=True)
+            order = np.argsort(node)
+            a, b = (order[np.searchsorted(node[order], pairs[c].combine_chunks().flatten().to_numpy())] for c in "ab")
+            by = np.argsort(a, kind="stable")
+            a, b = a[by], b[by]
+            own, first = np.unique(a, return_index=True)
+            marked = np.zeros(len(vocab), bool)
+            for x, s, e in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(a)], strict=True):
+                mine = flat[starts[x] : starts[x] + sizes[x]]
+                marked[mine] = True
+                for part in np.split(b[s:e], np.flatnonzero(np.diff(np.cumsum(sizes[b[s:e]]) >> 20)) + 1):
+                    at = np.cumsum(sizes[part]) - sizes[part]
+                    places = np.arange(int(sizes[part].sum())) + np.repeat(starts[part] - at, sizes[part])
+                    common = np.add.reduceat(marked[flat[places]], at, dtype=np.int64)
+                    ok = common >= similarity * (sizes[x] + sizes[part] - common)
+                    out.append((np.full(int(ok.sum()), node[x]), node[part[ok]]))
+                marked[mine] = False
+        return pa.table({k: np.concatenate([np.zeros(0, np.int64), *(p[i] for p in out)]) for i, k in enumerate("ab")})
+
+    both = found.select("lo", "hi", "a", "b").groupBy("lo", "hi").cogroup(texts.groupBy("of_lo", "of_hi"))
+    return written(both.applyInArrow(verify, "a long, b long"), "near-links")
 
 
 def _shingle_sets(nodes: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
@@ -271,9 +326,9 @@ def near_nodes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, miss:
 
     1. A text's wide fingerprint is written, probes are planned, and texts that agree in a probe meet.
     2. Shingle sets of each text and its closest in each probe are compared; links give components.
-    3. All other pairs that met and are still in different components are compared by their whole fingerprints, in bounded units, and
-       then by their shingle sets. Pairs inside a
-       component need no comparison, so groups of copies cost about a pair a text and probe.
+    3. All other pairs that met and are still in different components are compared by their whole fingerprints and then by their
+       shingle sets, both in bounded units, which give out links only. Pairs inside a component need no comparison, so groups of
+       copies cost about a pair a text and probe.
     So a linked pair is lost only if it meets in no probe or its bits lie beyond 3 deviations of what its similarity makes likely.
     """
     text_batches(rows.sparkSession)
@@ -297,11 +352,11 @@ def near_nodes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, miss:
     sets = _shingle_sets(closest.select(ends).distinct(), rows, shingle)
     links = _similar(closest, sets, similarity)
     named = written(connected_components(links, written), "near-named")
-    rest = written(_met_apart(probes, met, named, sketches, masks, plan, similarity).join(closest, ["a", "b"], "left_anti"), "near-rest")
-    unknown = rest.select(ends).distinct().join(sets.select("node"), "node", "left_anti")
+    rest = _met_apart(probes, met, named, sketches, masks, plan, similarity)
+    unknown = rest.select(F.explode("nodes").alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
     if not unknown.isEmpty():
         sets = sets.unionByName(_shingle_sets(unknown, rows, shingle))
-    more = _similar(rest, sets, similarity)
+    more = _similar_in_blocks(rest, sets, similarity)
     if more.isEmpty():
         return named
     return connected_components(links.unionByName(more), written)

@@ -59,6 +59,22 @@ def test_large_groups_of_edits_of_edits_lose_no_link(spark, monkeypatch, window,
     assert got == {i for i, least in want.items() if i == least}
 
 
+def test_unlinked_texts_of_one_template_make_no_rows_of_pairs(spark, monkeypatch):
+    """500 texts of one template with a passage of their own: all pairs have similarity 0.77 and meet in many probes. They go on as arrays
+    in few blocks, nothing is linked, and the few pairs at 0.8 planted among them are."""
+    made, apart = [], near_copies._met_apart
+    monkeypatch.setattr(near_copies, "_met_apart", lambda *a: made.append(apart(*a)) or made[0])
+    draw = random.Random(4)
+    base = [f"t{draw.randrange(3000)}" for _ in range(200)]
+    own = lambda k: [*base[:20], *(f"own{k}x{i}" for i in range(22)), *base[42:]]
+    docs = [(k, " ".join(own(k))) for k in range(500)]
+    docs += [(1000 + k, " ".join([*own(k)[:190], *(f"end{k}x{i}" for i in range(10))])) for k in range(20)]
+    kept = {r.doc_id for r in near_copies.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == set(range(500))
+    rows = made[0].selectExpr("count(*) n", "sum(size(a)) pairs", "count(distinct lo, hi) blocks").first()
+    assert rows.pairs > 10_000 and rows.n < rows.pairs / 5 and rows.blocks < 300
+
+
 def test_odd_rows(spark):
     docs = make_docs()
     df = frame(spark, docs, [*EXTRA, "__near_node", "__NEAR_ID", "part", "value", "node", "n"])
