@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,42 +130,64 @@ def reachable(edges: DataFrame, sources: DataFrame, written: Written, hops: int
     return seen
 
 
-def shortest_costs(edges: DataFrame, sources: DataFrame, written: Written, rounds: int = 1_000_000, limit: float | None = None) -> DataFrame:
-    """(source, node, cost) of the cheapest paths over priced edges (from_node, to_node, cost; null cost: removed). Each round relaxes
-    the edges out of nodes whose cost has just improved, for all sources at once, until none does; an error where the round limit is met before."""
-    edges = edges.filter("cost IS NOT NULL").groupBy("from_node", "to_node").agg(F.min("cost").alias("step"))
-    best = written(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost")), "costs")
-    front = best
+def shortest_costs(edges: DataFrame, sources: DataFrame, written: Written, rounds: int = 1_000_000, limit: float | None = None, by: tuple[str, ...] = (), compact: int = 8) -> DataFrame:
+    """(by, source, node, cost) of the cheapest paths over priced edges (by, from_node, to_node, cost; null cost: removed). With `by`, each
+    of its values (a variant of the costs, few) is a graph of its own and all are searched at once.
+
+    Each round relaxes the edges out of nodes whose cost has just improved, for all sources, until none does; it writes the improved
+    rows only. The least row of a node counts, and every `compact` rounds the rows are put together. An error where the round limit is
+    met before.
+    """
+    key = [*by, "source", "node"]
+    steps = written(edges.filter("cost IS NOT NULL").groupBy(*by, "from_node", "to_node").agg(F.min("cost").alias("step")), "steps")
+    start = sources.select(F.col("node").alias("source"), "node").distinct()
+    start = start.crossJoin(F.broadcast(steps.select(*by).distinct())) if by else start  # few variants
+    front = written(start.select(*key, F.lit(0.0).alias("cost")), "costs")
+    known = [front]
     for _ in range(rounds):
-        tried = front.join(edges, front["node"] == edges["from_node"]).select("source", F.col("to_node").alias("node"), (F.col("cost") + F.col("step")).alias("new"))
+        tried = front.withColumnRenamed("node", "from_node").join(steps, [*by, "from_node"])
+        tried = tried.groupBy(*by, "source", F.col("to_node").alias("node")).agg(F.min(F.col("cost") + F.col("step")).alias("new"))
         tried = tried if limit is None else tried.filter(F.col("new") <= limit)
-        tried = tried.groupBy("source", "node").agg(F.min("new").alias("new"))
-        merged = written(best.join(tried, ["source", "node"], "full").select("source", "node", F.least("cost", "new").alias("cost"), F.coalesce(F.col("new") < F.col("cost") - 1e-9, F.col("cost").isNull()).alias("better")), "costs")
-        best, front = merged.drop("better"), merged.filter("better").drop("better")
+        best = reduce(DataFrame.unionByName, known)
+        better = tried.join(best, key, "left").groupBy(*key, "new").agg(F.min("cost").alias("cost")).filter("cost IS NULL OR new < cost - 1e-9")
+        front = written(better.select(*key, F.col("new").alias("cost")), "costs")
         if front.isEmpty():
             break
+        known.append(front)
+        if len(known) > compact:
+            known = [written(reduce(DataFrame.unionByName, known).groupBy(*key).agg(F.min("cost").alias("cost")), "costs")]
     else:
         raise RuntimeError(f"shortest_costs: costs still improve after {rounds} rounds")
-    return best
+    return reduce(DataFrame.unionByName, known).groupBy(*key).agg(F.min("cost").alias("cost"))
 
 
-def routes(costs: DataFrame, edges: DataFrame, pairs: DataFrame, written: Written, rounds: int = 1_000_000) -> DataFrame:
-    """(source, target, path): nodes from source to target, back over the edge that completes the cheapest cost (ties to the lower node).
+def routes(costs: DataFrame, edges: DataFrame, pairs: DataFrame, written: Written, rounds: int = 1_000_000, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, source, target, path): nodes from source to target, back over the edge that completes the cheapest cost (ties to the lower node).
 
     Each node knows the part of its path from an ancestor on, and takes over its ancestor's part in each round, so parts double and
-    rounds grow with the logarithm of the longest path; an error where the round limit is met before all have reached their source."""
-    steps = edges.filter("cost IS NOT NULL").groupBy("from_node", "to_node").agg(F.min("cost").alias("step"))
-    before = costs.select("source", F.col("node").alias("from_node"), F.col("cost").alias("cost0"))
-    on = costs.join(steps, costs["node"] == steps["to_node"]).join(before, ["source", "from_node"]).filter("abs(cost0 + step - cost) < 1e-6 AND node <> source")
-    parts = written(on.groupBy("source", "node").agg(F.min("from_node").alias("ancestor")).withColumn("path", F.array("node")), "path-parts")
+    rounds grow with the logarithm of the longest path; an error where the round limit is met before all have reached their source.
+    """
+    at = [*by, "source"]
+    steps = edges.filter("cost IS NOT NULL").groupBy(*by, "from_node", "to_node").agg(F.min("cost").alias("step"))
+    before = costs.select(*at, F.col("node").alias("from_node"), F.col("cost").alias("cost0"))
+    on = costs.withColumnRenamed("node", "to_node").join(steps, [*by, "to_node"]).join(before, [*at, "from_node"]).filter("abs(cost0 + step - cost) < 1e-6 AND to_node <> source")
+    parts = written(on.groupBy(*at, F.col("to_node").alias("node")).agg(F.min("from_node").alias("ancestor")).withColumn("path", F.array("node")), "path-parts")
     for _ in range(rounds):
-        above = parts.select("source", F.col("node").alias("ancestor"), F.col("ancestor").alias("next"), F.col("path").alias("before"))
-        if parts.join(above, ["source", "ancestor"], "left_semi").isEmpty():
+        above = parts.select(*at, F.col("node").alias("ancestor"), F.col("ancestor").alias("next"), F.col("path").alias("before"))
+        if parts.join(above, [*at, "ancestor"], "left_semi").isEmpty():
             break
-        joined = parts.join(above, ["source", "ancestor"], "left")
-        parts = written(joined.select("source", "node", F.coalesce("next", "ancestor").alias("ancestor"), F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path")), "path-parts")
+        joined = parts.join(above, [*at, "ancestor"], "left")
+        parts = written(joined.select(*at, "node", F.coalesce("next", "ancestor").alias("ancestor"), F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path")), "path-parts")
     else:
         raise RuntimeError(f"routes: parts are left after {rounds} rounds")
-    whole = parts.filter("ancestor = source").select("source", F.col("node").alias("target"), F.concat(F.array("source"), "path").alias("path"))
-    own = costs.filter("node = source").select("source", F.col("node").alias("target"), F.array("node").alias("path"))
+    whole = parts.filter("ancestor = source").select(*at, F.col("node").alias("target"), F.concat(F.array("source"), "path").alias("path"))
+    own = costs.filter("node = source").select(*at, F.col("node").alias("target"), F.array("node").alias("path"))
     return pairs.join(whole.unionByName(own), ["source", "target"])
+
+
+def path_edges(paths: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, source, target, seq, edge_id): the edges of paths, of parallel ones the cheapest (ties to the lower id)."""
+    legs = paths.select(*by, "source", "target", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("seq", "from_node"), "path")
+    legs = legs.withColumn("to_node", F.element_at("path", F.col("seq") + 2)).drop("path")
+    cheapest = edges.filter("cost IS NOT NULL").groupBy(*by, "from_node", "to_node").agg(F.min(F.struct("cost", "edge_id")).alias("e"))
+    return legs.join(cheapest, [*by, "from_node", "to_node"]).select(*by, "source", "target", "seq", F.col("e.edge_id").alias("edge_id"), F.col("e.cost").alias("cost"))

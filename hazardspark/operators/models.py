@@ -11,7 +11,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardspark.operators.scoring import ranked, weighted_ap_auc
+from hazardspark.operators.scoring import bootstrap_weights, ranked, weighted_ap_auc
 
 Written = Callable[[DataFrame, str], DataFrame]
 
@@ -83,18 +83,15 @@ def best_single_feature(rows: DataFrame, features: list[str], label: str, weight
 
 def transfer_eval(rows: DataFrame, inside: Column, features: list[str], replicates: int, written: Written, label: str = "y", weight: str = "w", block: str = "block") -> DataFrame:
     """One row: average precision inside an area of a model that has not seen it and of the best single feature outside, their difference,
-    and its 2.5 and 97.5 percent bounds over replicates that draw the area's blocks anew, both scores with the same draws. Replicate r
-    takes block (7919 b + 104729 r + 31 b r) mod n as its b-th draw of n."""
+    and its 2.5 and 97.5 percent bounds over replicates that draw the area's blocks anew, both scores with the same draws
+    (`bootstrap_weights`)."""
     outside = rows.filter(~inside)
     name, _ = best_single_feature(outside, features, label, weight)
     scored = fitted_gbt(outside, features, label, weight)(rows.filter(inside)).withColumn("single", -F.col(name))
     area = written(scored, "transfer")
     names = sorted(r[0] for r in area.select(block).distinct().collect())  # blocks of one area
     numbered = rows.sparkSession.createDataFrame(list(enumerate(names)), ["__b", block])
-    n = len(names)
-    draws = numbered.select(F.col("__b").alias("k")).withColumn("__rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.select("__rep", ((7919 * F.col("k") + 104729 * F.col("__rep") + 31 * F.col("k") * F.col("__rep")) % n).alias("__b")).groupBy("__rep", "__b").agg(F.count("*").alias("times"))
-    each = area.join(numbered, block).join(F.broadcast(draws), "__b").withColumn("__w", F.col(weight) * F.col("times"))
+    each = area.join(numbered, block).join(bootstrap_weights(numbered, replicates, block="__b"), "__b").withColumns({"__w": F.col(weight) * F.col("times"), "__rep": F.col("rep")})
     ap = lambda df, s, w, by, to: weighted_ap_auc(df, s, label, w, by).select(*by, F.col("ap").alias(to))
     diff = ap(each, "p", "__w", ["__rep"], "m").join(ap(each, "single", "__w", ["__rep"], "s"), "__rep").select((F.col("m") - F.col("s")).alias("d"))
     bounds = diff.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))

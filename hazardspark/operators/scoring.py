@@ -117,7 +117,11 @@ def auroc(df: DataFrame, p: str = "score", y: str = "y", by: list[str] | None =
 def weighted_ap_auc(df: DataFrame, score: str = "score", y: str = "y", w: str = "w", by: list[str] | None = None) -> DataFrame:
     """Average precision and AUC with row weights; rows of one score count together, positives before their own negatives' half."""
     by = by or []
-    at = df.groupBy(*by, score).agg(F.sum(F.col(w) * F.col(y)).alias("tp"), F.sum(F.col(w) * (1 - F.col(y))).alias("fp"))
+    return _ap_auc(df.groupBy(*by, score).agg(F.sum(F.col(w) * F.col(y)).alias("tp"), F.sum(F.col(w) * (1 - F.col(y))).alias("fp")), score, by)
+
+
+def _ap_auc(at: DataFrame, score: str, by: list[str]) -> DataFrame:
+    """The same from the weights of the positives (tp) and the others (fp) at each score."""
     pos, neg = F.sum("tp"), F.sum("fp")
     behind = F.sum(F.col("tp") * (F.col("fp") / 2 - F.col("c_fp")))  # the negatives behind a score are neg - c_fp
     return running(at, score, ["tp", "fp"], by, descending=True).groupBy(*by).agg(
@@ -140,13 +144,41 @@ def conformal_rates(df: DataFrame, thresholds: DataFrame, score: str = "score",
     return flags.groupBy(group).agg(share(1).alias("coverage"), share(0).alias("false_flag"), F.count("*").alias("n"))
 
 
-def block_bootstrap(blocks: DataFrame, replicates: int, num: str = "num", den: str = "den", block: str = "b") -> DataFrame:
-    """blocks (b from 0 to n-1, num, den): sums of each block, few rows. Replicate r takes block (7919 b + 104729 r + 31 b r) mod n as its
-    b-th draw; (replicate, value = sum of num over sum of den)."""
+def bootstrap_weights(blocks: DataFrame, replicates: int, seed: int = 1, block: str = "b") -> DataFrame:
+    """(rep, block, times): how often replicate rep draws a block (numbered from 0 to n-1, few rows) in n independent draws with replacement.
+    Draw k takes the block numbered by the first 15 hex digits of MD5("seed:rep:k"), mod n, so another engine draws the same. Blocks
+    that a replicate does not draw have no row."""
     n = blocks.agg(F.count("*").alias("n"))
     draws = blocks.select(F.col(block).alias("k")).crossJoin(F.broadcast(n)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.withColumn(block, (7919 * F.col("k") + 104729 * F.col("rep") + 31 * F.col("k") * F.col("rep")) % F.col("n"))
-    return draws.join(blocks, block).groupBy("rep").agg((F.sum(num) / F.sum(den)).alias("value"))
+    key = F.md5(F.concat_ws(":", F.lit(seed), "rep", F.col("k").cast("long")))
+    drawn = F.conv(F.substring(key, 1, 15), 16, 10).cast("long") % F.col("n")
+    return draws.select("rep", drawn.alias(block)).groupBy("rep", block).agg(F.count("*").alias("times"))
+
+
+def block_bootstrap(blocks: DataFrame, replicates: int, num: str = "num", den: str = "den", block: str = "b", seed: int = 1) -> DataFrame:
+    """blocks (b from 0 to n-1, num, den): sums of each block, few rows. (rep, value = sum of num over sum of den of the blocks drawn)."""
+    drawn = bootstrap_weights(blocks, replicates, seed, block).join(blocks, block)
+    return drawn.groupBy("rep").agg((F.sum(F.col("times") * F.col(num)) / F.sum(F.col("times") * F.col(den))).alias("value"))
+
+
+def joint_block_bootstrap(rows: DataFrame, blocks: DataFrame, scores: list[str], replicates: int, y: str = "y", block: str = "b", top: float = 0.1, seed: int = 1) -> DataFrame:
+    """(rep, scorer, ap, auc, capture) of each score over the blocks drawn, all scores with the same draws; rep null: over all rows.
+
+    capture: share of the positives at or above the score that cuts off the top share of all rows (linear percentile, the same for all
+    replicates). rows: block, y, a column for each score. Rows are combined by score and block before replicates are dealt to them.
+    """
+    cells = rows.unpivot([block, y], scores, "scorer", "value").filter("value IS NOT NULL").groupBy("scorer", "value", block).agg(F.sum(y).cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
+    cut = rows.agg(*[F.percentile(s, 1 - top).alias(s) for s in scores]).unpivot([], scores, "scorer", "cut")  # a row for each score
+    cells = cells.join(F.broadcast(cut), "scorer")
+    every = cells.withColumns({"rep": F.lit(None).cast("int"), "times": F.lit(1).cast("long")})
+    drawn = cells.join(bootstrap_weights(blocks, replicates, seed, block), block).select(every.columns).unionByName(every)
+    by = ["rep", "scorer"]
+    at = drawn.groupBy(*by, "value", "cut").agg(F.sum(F.col("times") * F.col("pos")).alias("tp"), F.sum(F.col("times") * (F.col("n") - F.col("pos"))).alias("fp"))
+    hit = F.sum(F.when(F.col("value") >= F.col("cut"), F.col("tp")).otherwise(0.0))
+    capture = at.groupBy(*by).agg(F.try_divide(hit, F.sum("tp")).alias("capture"))
+    measured = _ap_auc(at.drop("cut"), "value", by)
+    same = measured["rep"].eqNullSafe(capture["rep"]) & (measured["scorer"] == capture["scorer"])
+    return measured.join(capture, same).select(measured["rep"], measured["scorer"], "ap", "auc", "capture")
 
 
 def leave_one_group_out(df: DataFrame, group: str = "grp", place: str = "block", y: str = "y") -> DataFrame:

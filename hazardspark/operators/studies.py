@@ -115,14 +115,6 @@ def route_certificates(routes: DataFrame, scores: DataFrame, tau: float) -> Data
     )
 
 
-def joint_block_bootstrap(blocks: DataFrame, replicates: int, scores: list[str]) -> DataFrame:
-    """blocks (b, den, one sum for each score): all scores of a replicate share its draws."""
-    n = blocks.agg(F.count("*").alias("n"))
-    draws = blocks.select(F.col("b").alias("k")).crossJoin(F.broadcast(n)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.withColumn("b", (7919 * F.col("k") + 104729 * F.col("rep") + 31 * F.col("k") * F.col("rep")) % F.col("n"))
-    return draws.join(blocks, "b").groupBy("rep").agg(*[(F.sum(s) / F.sum("den")).alias(s) for s in scores])
-
-
 def link_neighbours(links: DataFrame, radius_m: float) -> DataFrame:
     """(link, other) whose midpoints lie within the radius: each midpoint is dealt to the nine cells around it."""
     size = radius_m / DEGREE_M * 1.1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hazardspark.operators import routes, scoring, signals, terrain
 from hazardspark.plans.registry import Tables, query
+from hazardspark.plans.views import drawn
 from hazardspark.tables import written
 
 c, r6 = F.col, lambda x: F.round(x, 6)
@@ -77,7 +78,7 @@ def _(t: Tables):
     return test.groupBy("split").agg(r6(F.avg((c("tau").isNull() | (c("score") >= c("tau"))).cast("double"))).alias("coverage"))
 
 
-_BLOCKS = "bl AS (SELECT block, dense_rank() OVER (ORDER BY block) - 1 AS b, sum(pow(score - y, 2)) AS num, sum(pow(score_b - y, 2)) AS num_b, CAST(count(*) AS DOUBLE) AS den FROM {scored} GROUP BY block), nb AS (SELECT count(*) AS n FROM bl), dr AS (SELECT k.b AS k, rep, (7919 * k.b + 104729 * rep + 31 * k.b * rep) % n AS b FROM bl k CROSS JOIN nb CROSS JOIN (SELECT unnest(range(200)) AS rep) r)"
+_BLOCKS = f"bl AS (SELECT block, dense_rank() OVER (ORDER BY block) - 1 AS b, sum(pow(score - y, 2)) AS num, sum(pow(score_b - y, 2)) AS num_b, CAST(count(*) AS DOUBLE) AS den FROM {{scored}} GROUP BY block), {drawn(200)}"
 
 
 def _blocks(t: Tables, num):
@@ -85,13 +86,13 @@ def _blocks(t: Tables, num):
     return sums.withColumn("b", (F.dense_rank().over(Window.orderBy("block")) - 1).cast("long"))  # a row for each block
 
 
-@query("m11_block_bootstrap", f"WITH {_BLOCKS}, v AS (SELECT rep, sum(num) / sum(den) AS v FROM dr JOIN bl ON bl.b = dr.b GROUP BY rep) SELECT round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.5), 6) AS mid, round(quantile_cont(v, 0.975), 6) AS hi, count(*) AS reps FROM v")
+@query("m11_block_bootstrap", f"WITH {_BLOCKS}, v AS (SELECT rep, sum(times * num) / sum(times * den) AS v FROM dr JOIN bl ON bl.b = dr.b GROUP BY rep) SELECT round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.5), 6) AS mid, round(quantile_cont(v, 0.975), 6) AS hi, count(*) AS reps FROM v")
 def _(t: Tables):
     v = scoring.block_bootstrap(_blocks(t, F.pow(c("score") - c("y"), 2)), 200)
     return v.agg(*[r6(F.percentile("value", q)).alias(a) for q, a in ((0.025, "lo"), (0.5, "mid"), (0.975, "hi"))], F.count("*").alias("reps"))
 
 
-@query("m12_paired_bootstrap", f"WITH {_BLOCKS}, v AS (SELECT rep, sum(num - num_b) / sum(den) AS v FROM dr JOIN bl ON bl.b = dr.b GROUP BY rep) SELECT round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM v")
+@query("m12_paired_bootstrap", f"WITH {_BLOCKS}, v AS (SELECT rep, sum(times * (num - num_b)) / sum(times * den) AS v FROM dr JOIN bl ON bl.b = dr.b GROUP BY rep) SELECT round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM v")
 def _(t: Tables):
     v = scoring.block_bootstrap(_blocks(t, F.pow(c("score") - c("y"), 2) - F.pow(c("score_b") - c("y"), 2)), 200)
     return v.agg(*[r6(F.percentile("value", q)).alias(a) for q, a in ((0.025, "lo"), (0.975, "hi"))])

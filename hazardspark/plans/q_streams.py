@@ -13,23 +13,40 @@ from hazardspark.tables import new_path, written
 c, r6 = F.col, lambda x: F.round(x, 6)
 
 
-def replay(df: DataFrame, name: str, files: int | None = 4) -> DataFrame:
-    """A stream over the rows of a table, a few files at a time; with files=None all of them at once, where later files would fall behind
-    the watermark of earlier ones."""
+def replay(df: DataFrame, name: str, files: int = 4) -> DataFrame:
+    """A stream over the rows of a table, a few files at a time."""
     spark = df.sparkSession
     path = new_path(spark, f"stream-{name}")
     df.write.parquet(path)
-    stream = spark.readStream.schema(df.schema)
-    return (stream.option("maxFilesPerTrigger", files) if files else stream).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What the stream has put out once all rows are read."""
+    """What the stream has put out once all rows are read, with the number of the batch."""
     spark = stream.sparkSession
     out = new_path(spark, f"out-{name}")
+    _run(stream, out, new_path(spark, f"log-{name}"), mode)
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{out}/part=*")
+
+
+def _run(stream: DataFrame, out: str, log: str, mode: str) -> None:
     put = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}")
-    run = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", new_path(spark, f"log-{name}")).trigger(availableNow=True).start()
-    run.awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+
+
+def in_parts(df: DataFrame, time: str, build, name: str, parts: int = 4, mode: str = "append") -> DataFrame:
+    """What a stream puts out whose input arrives in parts by falling age: the stream is stopped after each part and started again from its
+    checkpoint, so its state and watermark cross at least as many batches and restarts."""
+    spark = df.sparkSession
+    source, out, log = new_path(spark, f"stream-{name}"), new_path(spark, f"out-{name}"), new_path(spark, f"log-{name}")
+    cuts = sorted(set(df.select(F.col(time).cast("double").alias("t")).approxQuantile("t", [k / parts for k in range(1, parts)], 0.01)))
+    bounds = [None, *cuts, None]
+    at = F.col(time).cast("double")
+    for low, high in zip(bounds, bounds[1:]):
+        part = df if low is None else df.filter(at > low)
+        (part if high is None else part.filter(at <= high)).write.mode("append").parquet(source)
+        stream = build(spark.readStream.schema(df.schema).parquet(source))
+        _run(stream, out, log, mode)
     return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{out}/part=*")
 
 
@@ -37,37 +54,45 @@ def _stamped(t: Tables) -> DataFrame:
     return t.obs.withColumns({"observed_at": c("observed_at").cast("timestamp"), "received_at": c("received_at").cast("timestamp")})
 
 
-@query("st1_ingest", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids, CAST(sum(event_id) AS BIGINT) AS total FROM {events}")
+@query("st1_ingest", "SELECT id, hazard_class, polarity, source_id, EPOCH(observed_at) AS observed, EPOCH(received_at) AS received FROM {obs}")
 def _(t: Tables):
     rows = _stamped(t)
     sent = rows.unionByName(rows.filter("id % 3 = 0")).unionByName(rows.filter("id % 5 = 0").withColumn("polarity", F.lit(7)))
     got = finished(streams.ingest(replay(sent, "ingest")), "ingest")
-    return got.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.sum("id").alias("total"))
+    return got.select("id", "hazard_class", "polarity", "source_id", F.unix_timestamp("observed_at").alias("observed"), F.unix_timestamp("received_at").alias("received"))
 
 
 @query("st2_rain_windows", """WITH w AS (SELECT unnest(range(6)) AS k), x AS (SELECT s.slot - k * 1800 AS start, mean_mm_h, peak_mm_h FROM {rain_slices} s CROSS JOIN w)
-    SELECT start, round(sum(mean_mm_h) / 2, 6) AS acc_mm, round(max(peak_mm_h), 6) AS peak_mm_h, 6 - count(*) AS missing FROM x WHERE start + 10800 <= (SELECT max(slot) - 7200 FROM {rain_slices}) GROUP BY start""")
+    SELECT start, round(sum(mean_mm_h) / 2, 10) AS acc_mm, round(max(peak_mm_h), 6) AS peak_mm_h, 6 - count(*) AS missing FROM x WHERE start + 10800 <= (SELECT max(slot) - 7200 FROM {rain_slices}) GROUP BY start""")
 def _(t: Tables):
     slices = t.rain_slices.select(F.timestamp_seconds("slot").alias("ts"), "mean_mm_h", "peak_mm_h")
-    got = finished(streams.rain_windows(replay(slices, "rain", None)), "rain")
-    return got.select(F.unix_timestamp("start").alias("start"), r6(c("acc_mm")).alias("acc_mm"), r6(c("peak_mm_h")).alias("peak_mm_h"), "missing")
+    got = in_parts(slices, "ts", streams.rain_windows, "rain")
+    return got.select(F.unix_timestamp("start").alias("start"), F.round("acc_mm", 10).alias("acc_mm"), r6(c("peak_mm_h")).alias("peak_mm_h"), "missing")
+
+
+_QUIET = "NOT (slot // 1800 % 3 = 2 AND slot // 86400 % 5 >= 3)"
 
 
-@query("st3_event_state", """WITH s AS (SELECT 'r' || slot // 1800 % 3 AS region, slot AS t, CASE WHEN mean_mm_h - 4 >= 15 OR peak_mm_h - 17.2e0 >= 25 THEN 2 WHEN mean_mm_h - 4 >= 8 OR peak_mm_h - 17.2e0 >= 7.6e0 THEN 1 ELSE 0 END AS level, slot // 1800 % 11 = 0 AS stale, slot // 1800 % 7 * 2e0 AS forecast_mm, slot // 1800 % 13 = 5 AS manual FROM {rain_slices}),
+@query("st3_event_state", f"""WITH s AS (SELECT 'r' || slot // 1800 % 3 AS region, slot AS t, CASE WHEN mean_mm_h - 4 >= 15 OR peak_mm_h - 17.2e0 >= 25 THEN 2 WHEN mean_mm_h - 4 >= 8 OR peak_mm_h - 17.2e0 >= 7.6e0 THEN 1 ELSE 0 END AS level, slot // 1800 % 11 = 0 AS stale, slot // 1800 % 7 * 2e0 AS forecast_mm, slot // 1800 % 13 = 5 AS manual FROM {{rain_slices}} WHERE {_QUIET}),
     h AS (SELECT *, max(CASE WHEN level >= 2 AND NOT stale THEN t END) OVER w AS a, max(CASE WHEN level >= 1 AND NOT stale THEN t END) OVER w AS b FROM s WINDOW w AS (PARTITION BY region ORDER BY t)),
-    k AS (SELECT *, CASE WHEN t - a <= 21600 THEN 2 WHEN t - b <= 43200 THEN 1 ELSE 0 END AS held FROM h)
-    SELECT region, t, CASE WHEN manual THEN 2 WHEN stale THEN 1 WHEN held = 0 AND forecast_mm >= 8 THEN 1 ELSE held END AS state FROM k""")
+    k AS (SELECT *, CASE WHEN t - a <= 21600 THEN 2 WHEN t - b <= 43200 THEN 1 ELSE 0 END AS held FROM h),
+    f AS (SELECT region, t, lead(t) OVER (PARTITION BY region ORDER BY t) AS later FROM s WHERE NOT stale), e AS (SELECT region, max(t) AS last FROM s GROUP BY region)
+    SELECT region, t, CASE WHEN manual THEN 2 WHEN stale THEN 1 WHEN held = 0 AND forecast_mm >= 8 THEN 1 ELSE held END AS state FROM k
+    UNION ALL SELECT f.region, f.t + 43200, 1 FROM f JOIN e ON e.region = f.region WHERE (later IS NULL OR later > f.t + 43200) AND (last > f.t + 43200 OR (SELECT max(t) FROM s) - 3600 >= f.t + 43200)""")
 def _(t: Tables):
+    """Region r2 is silent two days in five, so its timers run out."""
     k = F.floor(c("slot") / 1800)
-    signals = t.rain_slices.select(F.concat(F.lit("r"), (k % 3).cast("string")).alias("region"), c("slot").alias("t"), (c("mean_mm_h") - 4).alias("acc_mm"), (c("peak_mm_h") - 17.2).alias("peak_mm_h"), F.when(k % 13 == 5, 2.0).alias("manual"), (k % 11 == 0).alias("stale"), (k % 7 * 2.0).alias("forecast_mm"))
-    return finished(streams.event_states(replay(signals, "state", None), configured=1), "state").select("region", "t", "state")
+    fed = t.rain_slices.filter(~((k % 3 == 2) & (F.floor(c("slot") / 86400) % 5 >= 3)))
+    signals = fed.select(F.concat(F.lit("r"), (k % 3).cast("string")).alias("region"), c("slot").alias("t"), (c("mean_mm_h") - 4).alias("acc_mm"), (c("peak_mm_h") - 17.2).alias("peak_mm_h"), F.when(k % 13 == 5, 2.0).alias("manual"), (k % 11 == 0).alias("stale"), (k % 7 * 2.0).alias("forecast_mm"))
+    streams.rocksdb(t.spark)
+    return in_parts(signals, "t", lambda s: streams.event_states(s, 1, "1 hour"), "state").select("region", "t", "state")
 
 
 @query("st4_wet_sessions", """WITH s AS (SELECT slot // 1800 % 2 AS place, slot, peak_mm_h FROM {rain_slices} WHERE mean_mm_h >= 3.5e0), n AS (SELECT *, CASE WHEN slot - lag(slot) OVER (PARTITION BY place ORDER BY slot) <= 3600 THEN 0 ELSE 1 END AS new FROM s),
     r AS (SELECT *, sum(new) OVER (PARTITION BY place ORDER BY slot) AS run FROM n) SELECT place, min(slot) AS start, max(slot) + 3600 AS "end", count(*) AS slices, round(max(peak_mm_h), 6) AS peak_mm_h FROM r GROUP BY place, run HAVING max(slot) + 3600 <= (SELECT max(slot) - 7200 FROM s)""")
 def _(t: Tables):
     slices = t.rain_slices.select(F.timestamp_seconds("slot").alias("ts"), (F.floor(c("slot") / 1800) % 2).alias("place"), "mean_mm_h", "peak_mm_h")
-    got = finished(streams.wet_sessions(replay(slices, "wet", None), 3.5, "place"), "wet")
+    got = in_parts(slices, "ts", lambda s: streams.wet_sessions(s, 3.5, "place"), "wet")
     return got.select("place", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "slices", r6(c("peak_mm_h")).alias("peak_mm_h"))
 
 
@@ -76,18 +101,19 @@ def _(t: Tables):
     SELECT e.edge_id, max(newest) AS at, round(sum(w * exp(-(newest - t) / 7200e0)), 6) + 0e0 AS evidence FROM e JOIN m ON m.edge_id = e.edge_id GROUP BY e.edge_id""")
 def _(t: Tables):
     got = finished(streams.edge_beliefs(replay(t.obs_edge.repartition(7), "belief"), t.hazards, t.sources, "flood"), "belief", "update")
-    last = got.groupBy("edge_id").agg(F.max_by(F.struct("at", "evidence"), "batch").alias("b"))
-    return last.select("edge_id", "b.at", (r6(c("b.evidence")) + 0.0).alias("evidence"))
+    last = got.groupBy("edge_id", "era", "tau").agg(F.max_by(F.struct("at", "s"), "batch").alias("b")).select("edge_id", "era", "tau", "b.*")
+    return streams.current_beliefs(last).select("edge_id", "at", (r6(c("evidence")) + 0.0).alias("evidence"))
 
 
-@query("st6_late_reports", "SELECT late, count(*) AS n FROM (SELECT event_id % 50 = 0 AS late FROM {events}) x GROUP BY late")
+@query("st6_late_reports", "SELECT id, id % 50 = 0 AS late, EPOCH(received_at) + CASE WHEN id % 50 = 0 THEN 15 * 86400 ELSE 0 END - EPOCH(observed_at) AS lag_s FROM {obs}")
 def _(t: Tables):
     spark = t.spark
     rows = _stamped(t).withColumn("received_at", c("received_at") + F.when(c("id") % 50 == 0, F.expr("INTERVAL 15 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS")))
     out = new_path(spark, "late")
     streams.split_late(replay(rows, "late"), out, new_path(spark, "log-late")).awaitTermination()
-    side = lambda name: spark.read.schema(rows.schema).parquet(f"{out}/{name}/batch=*").select(F.lit(name == "late").alias("late"))
-    return side("late").unionByName(side("on_time")).groupBy("late").agg(F.count("*").alias("n"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("lag_s", T.LongType())])
+    side = lambda name: spark.read.schema(schema).parquet(f"{out}/{name}/batch=*").select("id", F.lit(name == "late").alias("late"), "lag_s")
+    return side("late").unionByName(side("on_time"))
 
 
 @query("st8_static_join", "SELECT o.id, o.edge_id, s.alpha, e.highway FROM {obs_edge} o JOIN {sources} s ON s.source_class = o.source_class JOIN {lattice_edges} e ON e.edge_id = o.edge_id")
@@ -96,11 +122,12 @@ def _(t: Tables):
     return finished(joined.select("id", "edge_id", "alpha", "highway"), "join").drop("batch")
 
 
-@query("st9_privacy_sweep", "SELECT coarsened, count(*) AS n, count(DISTINCT source_id) AS sources FROM (SELECT observed_at < TIMESTAMP '2024-01-15 00:00:00' AS coarsened, CASE WHEN observed_at < TIMESTAMP '2024-01-15 00:00:00' AND source_class IN ('crowd', 'app_traversal') THEN sha256(source_id) ELSE source_id END AS source_id FROM {obs}) x GROUP BY coarsened")
+@query("st9_privacy_sweep", """SELECT id, old AS coarsened, CASE WHEN old AND source_class IN ('crowd', 'app_traversal') THEN sha256(source_id) ELSE source_id END AS source_id, round(CASE WHEN old THEN round(lat / 0.00135e0) * 0.00135e0 ELSE lat END, 6) AS lat, round(CASE WHEN old THEN round(lon / 0.00135e0) * 0.00135e0 ELSE lon END, 6) AS lon
+    FROM (SELECT *, observed_at < TIMESTAMP '2024-01-15 00:00:00' AS old FROM {obs}) x""")
 def _(t: Tables):
     path = new_path(t.spark, "swept")
     streams.privacy_sweep(t.obs, path, "2024-01-15 00:00:00")
-    return t.spark.read.parquet(path).groupBy("coarsened").agg(F.count("*").alias("n"), F.count_distinct("source_id").alias("sources"))
+    return t.spark.read.parquet(path).select("id", "coarsened", "source_id", r6(c("lat")).alias("lat"), r6(c("lon")).alias("lon"))
 
 
 @query("s1_observations_ndjson", "SELECT CAST(event_id AS VARCHAR) AS id, round(value, 6) AS depth_mm FROM {events} WHERE event_id % 3 = 0")
@@ -114,7 +141,7 @@ def _(t: Tables):
     return read_observations_ndjson(t.spark, path).select("id", r6(c("depth_mm")).alias("depth_mm"))
 
 
-@query("s11_append_log", "SELECT CAST(received_at AS DATE) AS received_date, count(*) AS n FROM {obs} GROUP BY 1")
+@query("s11_append_log", "SELECT id, EPOCH(received_at) AS received, CAST(received_at AS DATE) AS received_date FROM {obs}")
 def _(t: Tables):
     from hazardspark.sources.files import write_append_log
 
@@ -122,7 +149,7 @@ def _(t: Tables):
     rows = _stamped(t).select("id", "received_at")
     for k in (0, 1):
         write_append_log(rows.filter(c("id") % 2 == k), path)
-    return t.spark.read.schema("id long, received_at timestamp, received_date date").json(path).groupBy("received_date").agg(F.count("*").alias("n"))
+    return t.spark.read.schema("id long, received_at timestamp, received_date date").json(path).select("id", F.unix_timestamp("received_at").alias("received"), "received_date")
 
 
 @query("s13_edge_graph", "SELECT e.edge_id, round(p.prior_p, 6) AS prior_p FROM {lattice_edges} e JOIN {edge_prior} p ON p.edge_id = e.edge_id")
@@ -134,12 +161,16 @@ def _(t: Tables):
     return t.spark.read.parquet(f"{path}/prior").select("edge_id", r6(c("prior_p")).alias("prior_p"))
 
 
-@query("s15_corrupt_tolerant", "SELECT count(*) FILTER (WHERE event_id % 10 > 0) AS good, count(*) FILTER (WHERE event_id % 10 = 0) AS torn FROM {events}")
+@query("s15_corrupt_tolerant", """SELECT CASE WHEN torn IS NULL THEN CAST(id AS VARCHAR) END AS id, CASE WHEN torn IS NULL THEN polarity END AS polarity, torn
+    FROM (SELECT id, polarity, CASE WHEN id % 10 = 0 THEN substr(concat('\x01"id":"', CAST(id AS VARCHAR), '","polarity":', CAST(polarity AS VARCHAR), '\x02'), 1, 9) END AS torn FROM {obs}) x""")
 def _(t: Tables):
     from hazardspark.sources.files import read_observations_ndjson, split_corrupt
 
     path = new_path(t.spark, "torn")
     line = F.to_json(F.struct(c("id").cast("string").alias("id"), "polarity"))
     t.obs.select(F.when(c("id") % 10 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(path)
-    good, torn = split_corrupt(written(read_observations_ndjson(t.spark, path), "lines"))
-    return good.agg(F.count("*").alias("good")).crossJoin(torn)  # one row each
+    lines = written(read_observations_ndjson(t.spark, path), "lines")
+    good, _ = split_corrupt(lines)
+    none = F.lit(None)
+    torn = lines.filter("_corrupt IS NOT NULL").select(none.cast("string").alias("id"), none.cast("int").alias("polarity"), c("_corrupt").alias("torn"))
+    return good.select("id", c("polarity").cast("int").alias("polarity"), none.cast("string").alias("torn")).unionByName(torn)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hazardspark import config
 from hazardspark.operators import graph, scoring, spatial, studies, textchecks
 from hazardspark.plans.registry import Tables, query
-from hazardspark.plans.views import haversine
+from hazardspark.plans.views import drawn, haversine
 from hazardspark.tables import written
 
 c, r6 = F.col, lambda x: F.round(x, 6)
@@ -151,14 +151,30 @@ def _(t: Tables):
     return scoring.weighted_ap_auc(s.filter("id % 10 >= 2").join(seen, "blk", "left_anti")).select(r6(c("ap")).alias("ap"))
 
 
-@query("m31_joint_bootstrap", """WITH bl AS (SELECT dense_rank() OVER (ORDER BY block) - 1 AS b, sum(pow(score - y, 2)) AS a, sum(pow(score_b - y, 2)) AS o, CAST(count(*) AS DOUBLE) AS den FROM {scored} GROUP BY block), nb AS (SELECT count(*) AS n FROM bl),
-    dr AS (SELECT rep, (7919 * k.b + 104729 * rep + 31 * k.b * rep) % n AS b FROM bl k CROSS JOIN nb CROSS JOIN (SELECT unnest(range(100)) AS rep) r), v AS (SELECT rep, sum(a) / sum(den) AS a, sum(o) / sum(den) AS o FROM dr JOIN bl ON bl.b = dr.b GROUP BY rep)
-    SELECT round(avg(CASE WHEN a < o THEN 1e0 ELSE 0e0 END), 6) AS a_better, round(quantile_cont(a, 0.5), 6) AS a_mid, round(quantile_cont(o, 0.5), 6) AS o_mid FROM v""")
-def _(t: Tables):
-    sums = t.scored.groupBy("block").agg(F.sum(F.pow(c("score") - c("y"), 2)).alias("a"), F.sum(F.pow(c("score_b") - c("y"), 2)).alias("o"), F.count("*").cast("double").alias("den"))
-    blocks = sums.withColumn("b", (F.dense_rank().over(Window.orderBy("block")) - 1).cast("long"))  # a row for each block
-    v = studies.joint_block_bootstrap(blocks, 100, ["a", "o"])
-    return v.agg(r6(F.avg((c("a") < c("o")).cast("double"))).alias("a_better"), r6(F.percentile("a", 0.5)).alias("a_mid"), r6(F.percentile("o", 0.5)).alias("o_mid"))
+_M31 = f"""WITH bl AS (SELECT block, dense_rank() OVER (ORDER BY block) - 1 AS b FROM {{scored}} GROUP BY block), {drawn(200)},
+    r AS (SELECT bl.b, y, scorer, v FROM (SELECT block, y, 'score' AS scorer, score AS v FROM {{scored}} UNION ALL SELECT block, y, 'score_b', score_b FROM {{scored}}) x JOIN bl ON bl.block = x.block),
+    ct AS (SELECT scorer, quantile_cont(v, 0.9) AS cut FROM r GROUP BY scorer),
+    w AS (SELECT rep, r.*, times FROM r JOIN dr ON dr.b = r.b UNION ALL SELECT NULL, r.*, 1 FROM r),
+    gr AS (SELECT rep, w.scorer, v, v >= cut AS top, CAST(sum(times * y) AS DOUBLE) AS tp, CAST(sum(times * (1 - y)) AS DOUBLE) AS fp FROM w JOIN ct ON ct.scorer = w.scorer GROUP BY 1, 2, 3, 4),
+    cu AS (SELECT *, sum(tp) OVER k AS ctp, sum(fp) OVER k AS cfp, sum(tp) OVER (PARTITION BY rep, scorer) AS p, sum(fp) OVER (PARTITION BY rep, scorer) AS q FROM gr WINDOW k AS (PARTITION BY rep, scorer ORDER BY v DESC)),
+    ms AS (SELECT rep, scorer, CASE WHEN max(p) > 0 THEN sum(tp * ctp / (ctp + cfp)) / max(p) END AS ap, CASE WHEN max(p) > 0 AND max(q) > 0 THEN sum(tp * (q - cfp + fp / 2)) / (max(p) * max(q)) END AS auc, sum(CASE WHEN top THEN tp ELSE 0 END) / nullif(max(p), 0) AS capture FROM cu GROUP BY rep, scorer),
+    lg AS (SELECT rep, measure, max(v) FILTER (WHERE scorer = 'score') AS a, max(v) FILTER (WHERE scorer = 'score_b') AS o FROM (UNPIVOT ms ON ap, auc, capture INTO NAME measure VALUE v) u GROUP BY rep, measure)
+    SELECT measure, round(max(a) FILTER (WHERE rep IS NULL), 6) AS a, round(max(o) FILTER (WHERE rep IS NULL), 6) AS b, round(quantile_cont(a, 0.025) FILTER (WHERE rep IS NOT NULL), 6) AS a_low, round(quantile_cont(a, 0.975) FILTER (WHERE rep IS NOT NULL), 6) AS a_high,
+      round(quantile_cont(a - o, 0.025) FILTER (WHERE rep IS NOT NULL), 6) AS diff_low, round(quantile_cont(a - o, 0.975) FILTER (WHERE rep IS NOT NULL), 6) AS diff_high, round(avg(CASE WHEN a > o THEN 1e0 ELSE 0e0 END) FILTER (WHERE rep IS NOT NULL), 6) AS a_better FROM lg GROUP BY measure"""
+
+
+@query("m31_joint_bootstrap", _M31)
+def _(t: Tables):
+    blocks = t.scored.select("block").distinct().withColumn("b", (F.dense_rank().over(Window.orderBy("block")) - 1).cast("long"))  # a row for each block
+    found = scoring.joint_block_bootstrap(t.scored.join(blocks, "block"), blocks, ["score", "score_b"], 200)
+    long = found.unpivot(["rep", "scorer"], ["ap", "auc", "capture"], "measure", "v").groupBy("rep", "measure").pivot("scorer", ["score", "score_b"]).agg(F.max("v"))
+    rep, a, b = c("rep").isNotNull(), c("score"), c("score_b")
+    point = lambda x: r6(F.max(F.when(~rep, x)))
+    bound = lambda x, q: r6(F.percentile(F.when(rep, x), q))
+    return long.groupBy("measure").agg(
+        point(a).alias("a"), point(b).alias("b"), bound(a, 0.025).alias("a_low"), bound(a, 0.975).alias("a_high"), bound(a - b, 0.025).alias("diff_low"), bound(a - b, 0.975).alias("diff_high"),
+        r6(F.avg(F.when(rep, (a > b).cast("double")))).alias("a_better"),
+    )
 
 
 @query("t6_candidate_order", "SELECT zone_id, row_number() OVER (ORDER BY category = 'Very High' DESC, zone_id % 3 = 0 DESC, area DESC, zone_id) AS place FROM {zones} ORDER BY place LIMIT 25")

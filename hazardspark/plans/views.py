@@ -21,6 +21,12 @@ def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return f"(2e0 * 6371000e0 * asin(sqrt(pow(sin(radians({lat2} - {lat1}) / 2e0), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2e0), 2))))"
 
 
+def drawn(reps: int, seed: int = 1) -> str:
+    """Tables nb (number of blocks of bl) and dr (rep, b, times): draws of blocks by keyed hashes, as `bootstrap_weights` has them."""
+    return f"""nb AS (SELECT count(*) AS n FROM bl), dr AS (SELECT rep, CAST(concat('0x', substr(md5(concat('{seed}:', CAST(rep AS VARCHAR), ':', CAST(CAST(k.b AS BIGINT) AS VARCHAR))), 1, 15)) AS BIGINT) % n AS b, count(*) AS times
+        FROM bl k CROSS JOIN nb CROSS JOIN (SELECT unnest(range({reps})) AS rep) r GROUP BY 1, 2)"""
+
+
 def _num(x: float | None) -> str:
     return "CAST(NULL AS DOUBLE)" if x is None else f"CAST({x!r} AS DOUBLE)"
 
