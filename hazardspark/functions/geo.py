@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,3 +40,36 @@ def mercator_lat(y: Column) -> Column:
 
 def cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
+
+
+def _columns_of(row: Column, size: float) -> Column:
+    """Cells in a row of the grid: as many of at least `size` degrees, stretched by the row's cosine where it is smallest, as fit round it."""
+    far = F.least(F.lit(90.0), F.greatest(F.abs(row * size - 90), F.abs((row + 1) * size - 90)))
+    return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(far)) / size)).cast("long")
+
+
+def _column_at(lon: Column, n: Column) -> Column:
+    return F.floor((lon + 180) / 360 * n).cast("long")
+
+
+def grid_cell(lat: Column, lon: Column, size: float) -> Column:
+    """(cy, cx) of a grid on the sphere: rows `size` degrees high, columns that widen with the latitude and close at 180 degrees."""
+    row = F.floor((lat + 90) / size).cast("long")
+    n = _columns_of(row, size)
+    return F.struct(row.alias("cy"), F.pmod(_column_at(lon, n), n).alias("cx"))
+
+
+def grid_cover(lat: Column, lon: Column, radius_m: float, size: float) -> Column:
+    """All cells (cy, cx) of that grid which the circle around a point touches, also over a pole or 180 degrees; each once."""
+    r = radius_m / (EARTH_M * math.pi / 180) * (1 + 1e-9) + 1e-9
+    reach = F.sin(F.radians(F.lit(min(r, 90.0)))) / F.cos(F.radians(lat))
+    wide = F.when((F.abs(lat) + r < 90) & (reach < 1), F.degrees(F.asin(reach)) + 1e-9).otherwise(F.lit(180.0))
+    first, last = F.floor((lat + 90 - r) / size), F.floor((lat + 90 + r) / size)
+    rows = F.sequence(F.greatest(F.lit(0), first).cast("long"), F.least(F.floor(F.lit(180.0) / size), last).cast("long"))
+
+    def columns(row):
+        n = _columns_of(row, size)
+        west, east = _column_at(lon - wide, n), _column_at(lon + wide, n)
+        return F.transform(F.sequence(west, F.least(east, west + n - 1)), lambda x: F.struct(row.alias("cy"), F.pmod(x, n).alias("cx")))
+
+    return F.flatten(F.transform(rows, columns))

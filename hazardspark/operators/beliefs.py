@@ -101,6 +101,34 @@ def newest_reliable_depth(attached: DataFrame, dominant: DataFrame, sources: Dat
     return good.groupBy("edge_id").agg(F.max_by("depth_mm", F.struct("observed_at", "id")).alias("depth_mm"))
 
 
+def edge_summary(attached: DataFrame, hazards: DataFrame, sources: DataFrame, at: str) -> DataFrame:
+    """(edge_id, hazard_class, n, dropped, s, newest, depth_mm): of each edge with reports the dominant class, the net evidence at the time
+    `at` (null without any), its newest report and the newest reliable depth of the dominant class, as `dominant_class`, `fuse_beta` and
+    `newest_reliable_depth` have them. Reports are read once and combined by edge and class before any edge's rows meet."""
+    rows = attached.join(F.broadcast(hazards.select("hazard_class", "tau", "severity")), "hazard_class").join(F.broadcast(sources), "source_class", "left")
+    near = kernel(F.col("distance_m"))
+    age = age_s(at).cast("double")
+    counts = (age >= 0) & (near > 0) & F.col("alpha").isNotNull()
+    weight = F.col("polarity") * near * decay(age, F.col("tau")) * reliability_weight(F.col("alpha"))
+    deep = F.when((F.col("alpha") >= config.RELIABLE_AT) & F.col("depth_mm").isNotNull(), F.struct("observed_at", "id", "depth_mm"))
+    by = rows.groupBy("edge_id", "hazard_class", "severity").agg(F.count("*").alias("n"), F.sum(F.when(counts, weight)).alias("s"), F.max(F.when(counts, F.col("observed_at"))).alias("newest"), F.max(deep).alias("deep"))
+    first = F.struct((-F.col("n")).alias("a"), (-F.col("severity")).alias("b"), "hazard_class", "n", F.col("deep.depth_mm").alias("depth_mm"))
+    out = by.groupBy("edge_id").agg(F.min(first).alias("f"), F.sum("n").alias("total"), F.sum("s").alias("s"), F.max("newest").alias("newest"))
+    return out.select("edge_id", "f.hazard_class", "f.n", (F.col("total") - F.col("f.n")).alias("dropped"), "s", "newest", "f.depth_mm")
+
+
+def configured_beliefs(summary: DataFrame, prior: DataFrame, hazards: DataFrame, at_least: float = config.PRIOR_ONLY_AT, strength: float = config.PRIOR_STRENGTH, scale: float = config.EVIDENCE_SCALE) -> DataFrame:
+    """`hazard_config`, `fuse_beta` and depths in one table, from an edge summary: edges with reports, and those with a high prior only."""
+    rows = prior.join(summary, "edge_id", "left").withColumn("observed", F.col("hazard_class").isNotNull())
+    rows = rows.withColumn("hazard_class", F.coalesce("hazard_class", F.when(F.col("prior_p") >= at_least, config.PRIOR_ONLY_CLASS))).filter("hazard_class IS NOT NULL")
+    p0 = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("prior_p")))
+    net = lambda s: scale * F.greatest(s, F.lit(0.0))
+    alpha = F.when(F.col("s").isNotNull(), strength * p0 + net(F.col("s")))
+    beta = F.when(F.col("s").isNotNull(), strength * (1 - p0) + net(-F.col("s")))
+    rows = rows.withColumns({"alpha": alpha, "beta": beta}).withColumn("p_mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
+    return rows.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).join(F.broadcast(hazards), "hazard_class")
+
+
 def _quantiles(a: pd.Series, b: pd.Series, z: pd.Series) -> pd.Series:
     """Edges of one prior share parameters: each distinct triple of a batch is solved once, and none without caution."""
     rows = np.stack([x.to_numpy(float) for x in (a, b, z)], axis=1)
@@ -153,9 +181,10 @@ def beta_quantile(a: np.ndarray, b: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.where(todo, (lo + hi) / 2, mean)
 
 
-def priced_edges(edges: DataFrame, belief: DataFrame, depth: DataFrame, configured: DataFrame, users: DataFrame, z_zero: bool = False) -> DataFrame:
-    """Cost in seconds of each edge for each user class; null: removed. Edges without a configuration cost their free-flow time."""
-    rows = configured.select("edge_id", "hazard_class", "severity", "h_max_mm", "epsilon", "prior_p").join(belief.select("edge_id", "alpha", "beta", "p_mean"), "edge_id", "left").join(depth, "edge_id", "left")
+def priced_edges(edges: DataFrame, configured: DataFrame, users: DataFrame, z_zero: bool = False) -> DataFrame:
+    """Cost in seconds of each edge for each user class; null: removed. Edges without a configuration cost their free-flow time. configured:
+    from `configured_beliefs`."""
+    rows = configured.select("edge_id", "hazard_class", "severity", "h_max_mm", "epsilon", "prior_p", "alpha", "beta", "p_mean", "depth_mm")
     rows = edges.select("edge_id", "free_flow_seconds", "free_flow_kmh").join(rows, "edge_id", "left").crossJoin(F.broadcast(users))  # four user classes
     mean = F.coalesce("p_mean", "prior_p", F.lit(0.0))
     p0 = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("prior_p")))

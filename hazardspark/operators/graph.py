@@ -101,13 +101,22 @@ def road_inventory(edges: DataFrame, levels: list[str]) -> DataFrame:
 
 
 def street_stretches(edges: DataFrame, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(street_name, stretch, edges, length_m): edges of one name that share nodes. Each edge is linked to the lowest edge of its name at
-    either end, not to all of them."""
+    """(street_name, stretch, edges, length_m, edge_id, lat, lon): edges of one name that share nodes, and of each stretch the edge whose
+    middle is nearest to the mean of all middles (in degrees; ties within 1e-12: the lowest id), which stands for it on a map. Each edge
+    is linked to the lowest edge of its name at either end, not to all of them. Ends of edges (lat1, lon1, lat2, lon2) may be missing; then
+    no edge stands for the stretch."""
     ends = edges.select("edge_id", "street_name", F.explode(F.array("from_node", "to_node")).alias("node"))
     low = ends.groupBy("street_name", "node").agg(F.min("edge_id").alias("b"))
     named = components(ends.join(low, ["street_name", "node"]).select(F.col("edge_id").alias("a"), "b"))
     rows = edges.join(named, edges["edge_id"] == named["node"], "left").withColumn("stretch", F.coalesce("component", "edge_id"))
-    return rows.groupBy("street_name", "stretch").agg(F.count("*").alias("edges"), F.sum("length_m").alias("length_m"))
+    if not {"lat1", "lon1", "lat2", "lon2"} <= set(edges.columns):
+        return rows.groupBy("street_name", "stretch").agg(F.count("*").alias("edges"), F.sum("length_m").alias("length_m"))
+    by = ["street_name", "stretch"]
+    rows = rows.select(*by, "edge_id", "length_m", ((F.col("lat1") + F.col("lat2")) / 2).alias("lat"), ((F.col("lon1") + F.col("lon2")) / 2).alias("lon"))
+    whole = rows.groupBy(*by).agg(F.count("*").alias("edges"), F.sum("length_m").alias("total_m"), F.avg("lat").alias("clat"), F.avg("lon").alias("clon"))
+    far = F.round(F.pow(F.col("lat") - F.col("clat"), 2) + F.pow(F.col("lon") - F.col("clon"), 2), 12)
+    nearest = rows.join(whole.select(*by, "clat", "clon"), by).groupBy(*by).agg(F.min(F.struct(far.alias("far"), "edge_id", "lat", "lon")).alias("e"))
+    return whole.join(nearest, by).select(*by, "edges", F.col("total_m").alias("length_m"), "e.edge_id", "e.lat", "e.lon")
 
 
 def reachable(edges: DataFrame, sources: DataFrame, written: Written, hops: int | None = None, rounds: int = 1_000_000) -> DataFrame:

@@ -8,31 +8,53 @@ from pyspark.sql import functions as F
 from hazardspark.functions.geo import DEGREE_M
 from hazardspark.functions.rules import name_key
 
-#: Category by amenity. Fixed values.
+#: Category and kind by amenity, and kinds by religion, tourism and leisure.
 AMENITIES = {
-    "hospital": "health", "clinic": "health", "doctors": "health", "pharmacy": "health", "school": "education", "college": "education", "university": "education", "police": "emergency", "fire_station": "emergency",
-    "fuel": "fuel", "bank": "money", "atm": "money", "restaurant": "food", "cafe": "food", "fast_food": "food", "bus_station": "bus", "parking": "parking", "place_of_worship": "worship",
+    "school": ("education", "school"), "kindergarten": ("education", "kindergarten"), "college": ("education", "college"), "university": ("education", "university"),
+    "hospital": ("health", "hospital"), "clinic": ("health", "clinic"), "doctors": ("health", "doctors"), "pharmacy": ("health", "pharmacy"), "dentist": ("health", "dentist"), "health_post": ("health", "health post"),
+    "police": ("police", "police"), "fire_station": ("fire", "fire station"), "bus_station": ("bus", "bus stand"),
+    "restaurant": ("food", "restaurant"), "cafe": ("food", "cafe"), "fast_food": ("food", "fast food"), "food_court": ("food", "food court"),
+    "bank": ("money", "bank"), "atm": ("money", "atm"), "bureau_de_change": ("money", "money exchange"), "fuel": ("fuel", "fuel"), "charging_station": ("fuel", "charging station"), "marketplace": ("shop", "market"),
+    "post_office": ("utility", "post office"), "townhall": ("utility", "town hall"), "community_centre": ("utility", "community centre"), "library": ("utility", "library"), "courthouse": ("utility", "court"), "toilets": ("utility", "toilets"),
+    "drinking_water": ("utility", "drinking water"), "shelter": ("utility", "shelter"), "social_facility": ("utility", "social facility"), "public_building": ("utility", "public building"), "water_point": ("utility", "water point"),
 }
-LANDMARKS, PARKS = ["attraction", "museum", "viewpoint", "hotel", "zoo"], ["park", "garden", "playground", "stadium", "sports_centre"]
+RELIGIONS = {"hindu": "temple", "muslim": "mosque", "christian": "church", "jain": "jain temple", "sikh": "gurdwara", "buddhist": "buddhist temple"}
+TOURISM = {"attraction": "attraction", "museum": "museum", "viewpoint": "viewpoint", "zoo": "zoo", "theme_park": "theme park", "gallery": "gallery", "aquarium": "aquarium"}
+LEISURE = {"park": "park", "garden": "garden", "stadium": "stadium", "sports_centre": "sports centre", "nature_reserve": "nature reserve"}
 
 
-def place_category(tags: Column) -> Column:
-    """The category of a place by its tags; the first rule that holds wins, null where none does."""
+def place_class(tags: Column) -> Column:
+    """(category, kind) of a place by its tags (a map); the first rule that holds wins, null where none does."""
     tag = lambda k: tags[k]
-    is_in = lambda k, *v: tag(k).isin(*v)
-    return F.coalesce(
-        F.element_at(F.create_map(*[F.lit(x) for kv in AMENITIES.items() for x in kv]), tag("amenity")),
-        F.when(is_in("highway", "bus_stop"), "bus"),
-        F.when(is_in("highway", "traffic_signals"), "signal"),
-        F.when(is_in("railway", "station", "halt") | (is_in("public_transport", "station") & tag("railway").isNotNull()), "rail"),
-        F.when(tag("shop") != "", "shop"),
-        F.when(is_in("tourism", *LANDMARKS) | (tag("historic") != ""), "landmark"),
-        F.when(is_in("leisure", *PARKS), "park"),
-        F.when(is_in("emergency", "ambulance_station"), "health"),
-        F.when(is_in("office", "government") | is_in("power", "substation", "plant") | is_in("man_made", "water_tower", "water_works", "wastewater_plant"), "utility"),
+    is_in = lambda k, *v: F.coalesce(tag(k).isin(*v), F.lit(False))
+    some = lambda k: F.coalesce(tag(k) != "", F.lit(False))
+    plain = lambda k: F.replace(tag(k), F.lit("_"), F.lit(" "))
+    table = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+    pair = lambda category, kind: F.struct(F.lit(category).alias("category"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"))
+    amenity = F.struct(F.element_at(table({k: v[0] for k, v in AMENITIES.items()}), tag("amenity")).alias("category"), F.element_at(table({k: v[1] for k, v in AMENITIES.items()}), tag("amenity")).alias("kind"))
+    stop = is_in("railway", "station", "halt") | (is_in("public_transport", "station") & some("railway"))
+    underground = is_in("station", "subway") | is_in("subway", "yes")
+    return (
+        F.when(is_in("amenity", "place_of_worship"), pair("worship", F.coalesce(F.element_at(table(RELIGIONS), tag("religion")), F.lit("place of worship"))))
+        .when(is_in("amenity", *AMENITIES), amenity)
+        .when(is_in("highway", "bus_stop"), pair("bus", "bus stop"))
+        .when(is_in("highway", "traffic_signals"), pair("signal", "traffic signals"))
+        .when(stop, pair("rail", F.when(underground, "metro station").otherwise("railway station")))
+        .when(some("shop"), pair("shop", plain("shop")))
+        .when(is_in("tourism", *TOURISM), pair("landmark", F.element_at(table(TOURISM), tag("tourism"))))
+        .when(some("historic"), pair("landmark", plain("historic")))
+        .when(is_in("leisure", *LEISURE), pair("park", F.element_at(table(LEISURE), tag("leisure"))))
+        .when(is_in("emergency", "ambulance_station"), pair("health", "ambulance station"))
+        .when(is_in("office", "government"), pair("utility", "government office"))
+        .when(is_in("power", "substation", "plant"), pair("utility", F.concat(F.lit("power "), tag("power"))))
+        .when(is_in("man_made", "water_tower", "water_works", "wastewater_plant"), pair("utility", plain("man_made")))
     )
 
 
+def place_category(tags: Column) -> Column:
+    return place_class(tags)["category"]
+
+
 def any_tag_says(tags: Column, names: str, words: list[str]) -> Column:
     """Whether a tag whose name matches holds one of the words, in any case."""
     pattern = "|".join(words)

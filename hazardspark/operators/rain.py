@@ -128,3 +128,15 @@ def slice_stats(pixels: DataFrame, legend: DataFrame, tolerance: int = 6) -> Dat
     near = colours.alias("p").join(F.broadcast(legend).alias("l"), far <= tolerance).groupBy("p.r", "p.g", "p.b").agg(F.min(F.struct(far.alias("d"), "l.mm_h")).alias("m"))
     rows = pixels.join(near.select("r", "g", "b", "m.mm_h"), ["r", "g", "b"], "left")
     return rows.groupBy("slot").agg(F.sum("n").alias("pixels"), F.sum(F.when(F.col("mm_h").isNull(), F.col("n")).otherwise(0)).alias("unmatched"), (F.sum(F.coalesce("mm_h", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("mean_mm_h"), F.max("mm_h").alias("peak_mm_h"))
+
+
+def profile_event_windows(daily: DataFrame, events: DataFrame, before: int, after: int, wet_mm: float) -> DataFrame:
+    """(event_id, n, gauges, p50, p90, wet_share) of the readings in an event's district from `before` days ahead of it to `after` days behind
+    it; events without a reading have n = 0. daily: gauge, district, day, mm; events: event_id, district, first_day, last_day. Both meet by
+    district and month, so a district's readings are not all held against all its events."""
+    month = lambda d: F.year(d) * 12 + F.month(d)
+    span = events.select("event_id", "district", F.date_sub("first_day", before).alias("__a"), F.date_add("last_day", after).alias("__b")).withColumn("__m", F.explode(F.sequence(month("__a"), month("__b"))))
+    met = span.join(daily.withColumn("__m", month("day")), ["district", "__m"]).filter(F.col("day").between(F.col("__a"), F.col("__b")))
+    share = F.avg(F.when(F.col("mm") >= wet_mm, 1.0).otherwise(0.0))
+    found = met.groupBy("event_id").agg(F.count("*").alias("n"), F.count_distinct("gauge").alias("gauges"), F.percentile("mm", 0.5).alias("p50"), F.percentile("mm", 0.9).alias("p90"), share.alias("wet_share"))
+    return events.select("event_id").join(found, "event_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "gauges": F.coalesce("gauges", F.lit(0))})

@@ -37,6 +37,26 @@ def slow_runs(rows: DataFrame, slow: Column, by: str, order: str) -> DataFrame:
     return islands.groupBy(by, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
 
 
+def stops_in_pass(rows: DataFrame, by: str = "pass", stop_speed: float = 1.0, min_stop_s: float = 3.0, zone_m: float = 120.0, half: int = 3, least: int = 5) -> DataFrame:
+    """(by, start, end, where): the last stop of each pass in the queue before the stop line. rows: by, t (seconds, increasing), s (metres
+    along the approach, 0 at the line, negative before it).
+
+    Positions are smoothed by a rolling median of 2 half + 1 samples, speed is the central difference of the smoothed positions over the
+    same span. A stop is a maximal run below stop_speed that lasts min_stop_s or longer, with its median smoothed position from zone_m
+    before the line to 5 m behind it. Passes of fewer than `least` samples have none.
+    """
+    line = Window.partitionBy(by).orderBy("t")
+    span = line.rowsBetween(-half, half)
+    smooth = rows.select(by, "t", F.percentile("s", 0.5).over(span).alias("sm"), F.count("*").over(Window.partitionBy(by)).alias("n")).filter(F.col("n") >= least)
+    ends = lambda c: (F.first(c).over(span), F.last(c).over(span))
+    (s0, s1), (t0, t1) = ends("sm"), ends("t")
+    moved = smooth.withColumn("slow", F.when(t1 > t0, (s1 - s0) / (t1 - t0)).otherwise(0.0) < stop_speed)
+    runs = moved.withColumn("run", F.sum(F.when(F.col("slow"), 0).otherwise(1)).over(line)).filter("slow")
+    found = runs.groupBy(by, "run").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.percentile("sm", 0.5).alias("where"))
+    kept = found.filter((F.col("end") - F.col("start") >= min_stop_s) & F.col("where").between(-zone_m, 5.0))
+    return kept.groupBy(by).agg(F.max(F.struct("start", "end", "where")).alias("b")).select(by, "b.*")
+
+
 def cycle_candidates(departures: DataFrame, by: str, t: str, lo: float = 40.0, hi: float = 180.0, step: float = 0.25) -> DataFrame:
     """Mean resultant length of departure times wrapped on each candidate cycle. Each row is met with every candidate, then sums are
     combined before the shuffle."""

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardspark import config
 from hazardspark.functions.belief import kernel, reliability_weight
-from hazardspark.functions.geo import DEGREE_M, cell, haversine_m
+from hazardspark.functions.geo import DEGREE_M, EARTH_M, cell, grid_cell, grid_cover, haversine_m
 from hazardspark.operators.beliefs import dominant_class
 from hazardspark.operators.observations import age_s
+from hazardspark.operators.spatial import points_near
 
 Written = Callable[[DataFrame, str], DataFrame]
 
@@ -116,13 +119,9 @@ def route_certificates(routes: DataFrame, scores: DataFrame, tau: float) -> Data
 
 
 def link_neighbours(links: DataFrame, radius_m: float) -> DataFrame:
-    """(link, other) whose midpoints lie within the radius: each midpoint is dealt to the nine cells around it."""
-    size = radius_m / DEGREE_M * 1.1
-    shift = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    a = links.select("link", "lat", "lon", cell(F.col("lat"), size).alias("cy"), cell(F.col("lon"), size).alias("cx"))
-    b = a.withColumn("dy", shift).withColumn("dx", shift).select(F.col("link").alias("other"), F.col("lat").alias("olat"), F.col("lon").alias("olon"), (F.col("cy") + F.col("dy")).alias("cy"), (F.col("cx") + F.col("dx")).alias("cx"))
-    near = a.join(b, ["cy", "cx"]).filter("link <> other")
-    return near.filter(haversine_m(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon")) <= radius_m).select("link", "other")
+    """(link, other) whose midpoints lie within the radius, anywhere on the sphere. All pairs are asked for, so a dense place has many."""
+    others = links.select(F.col("link").alias("other"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    return points_near(links.select("link", "lat", "lon"), others, radius_m).filter("link <> other").select("link", "other")
 
 
 def sample_pairs(reached: DataFrame, n: int, seed: int) -> DataFrame:
@@ -168,6 +167,98 @@ def greedy_clusters(zones: DataFrame, radius_m: float, written: Written) -> Data
     return own.unionByName(members.select(F.col("link").alias("zone_id"), "cluster"))
 
 
+def _metres(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
+    p, q = np.radians(lat), np.radians(lats)
+    h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lons - lon) / 2) ** 2
+    return 2 * EARTH_M * np.arcsin(np.sqrt(h))
+
+
+def _settle(rows: pa.Table) -> pa.Table:
+    """One block of one radius: settles, in order, the zones of the block that no earlier unsettled zone within 2.02 radii can touch."""
+    x = {c: rows[c].to_numpy() for c in ("kind", "zone_id", "lat", "lon", "area", "members")}
+    radius = rows["radius"][0].as_py()
+    old = x["kind"] == 2
+    name, lat, lon, area, members = (list(x[c][old]) for c in ("zone_id", "lat", "lon", "area", "members"))
+    born = list(zip((-rows["born_area"].to_numpy()[old]).tolist(), name, strict=True))  # the order of the clusters' first zones
+    changed: dict[int, None] = {}
+    waiting_lat, waiting_lon, settled = [], [], []
+    zones = np.flatnonzero(~old)
+    for i in zones[np.lexsort((x["zone_id"][zones], -x["area"][zones]))]:
+        zone, y, z, weight = int(x["zone_id"][i]), float(x["lat"][i]), float(x["lon"][i]), float(x["area"][i])
+        if x["kind"][i] == 1 or (waiting_lat and _metres(y, z, np.array(waiting_lat), np.array(waiting_lon)).min() <= 2.02 * radius):
+            waiting_lat.append(y)
+            waiting_lon.append(z)
+            continue
+        far = _metres(y, z, np.array(lat), np.array(lon)) if lat else np.zeros(0)
+        near = far.min(initial=np.inf)
+        if near <= radius:
+            k = max(np.flatnonzero(far == near).tolist(), key=lambda c: born[c])  # of equally near ones the youngest
+            total = area[k] + weight
+            if total > 0:
+                lat[k], lon[k] = (lat[k] * area[k] + y * weight) / total, (lon[k] * area[k] + z * weight) / total
+            area[k], members[k] = total, members[k] + 1
+        else:
+            k = len(name)
+            for column, value in ((name, zone), (lat, y), (lon, z), (area, weight), (members, 1), (born, (-weight, zone))):
+                column.append(value)
+        changed[k] = None
+        settled.append((zone, y, z, weight, int(name[k])))
+    some = list(changed)
+    columns = {
+        "radius": [radius] * (len(settled) + len(some)), "kind": [0] * len(settled) + [2] * len(some),
+        "zone_id": [s[0] for s in settled] + [int(name[k]) for k in some], "lat": [s[1] for s in settled] + [float(lat[k]) for k in some], "lon": [s[2] for s in settled] + [float(lon[k]) for k in some],
+        "area": [s[3] for s in settled] + [float(area[k]) for k in some], "members": [1] * len(settled) + [int(members[k]) for k in some],
+        "born_area": [s[3] for s in settled] + [-float(born[k][0]) for k in some], "cluster": [s[4] for s in settled] + [int(name[k]) for k in some],
+    }
+    return pa.table({c: pa.array(v, t) for (c, v), t in zip(columns.items(), _SETTLED.values(), strict=True)})
+
+
+_SETTLED = {"radius": pa.float64(), "kind": pa.int32(), "zone_id": pa.int64(), "lat": pa.float64(), "lon": pa.float64(), "area": pa.float64(), "members": pa.int64(), "born_area": pa.float64(), "cluster": pa.int64()}
+
+
+def running_clusters(zones: DataFrame, radii: list[float], written: Written, rounds: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """Clusters whose centres move: in falling area (ties: lower id) each zone joins the nearest cluster whose centre, the area-weighted mean
+    of its zones so far, lies within the radius (equally near: the youngest), else it starts one. zones: zone_id, lat, lon, area.
+    Returns (radius, zone_id, cluster) and (radius, cluster, lat, lon, area, members); a cluster is named by its first zone. All radii are
+    swept in one pass. Zones without area do not move a centre; zones without
+    an id or a place are left out.
+
+    The zone that joined a centre last lies within a radius of it, so a zone's choice depends only on earlier zones within two radii. A
+    round deals zones to blocks of 16 radii, with the unsettled zones of two radii around them and the clusters in reach; a block settles
+    its zones in order, but for those behind an unsettled one from outside. Blocks that settle in one round cannot touch one cluster.
+    Zones near one another depend on each other's order by definition, so a block is one task; it holds five numbers a zone.
+    """
+    fields = ["radius", "kind", "zone_id", "lat", "lon", "area", "members", "born_area"]
+    spark = zones.sparkSession
+    some = zones.select(F.col("zone_id").cast("long").alias("zone_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.coalesce(F.col("area").cast("double"), F.lit(0.0)).alias("area"))
+    some = some.filter("zone_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    left = some.select(F.explode(F.array(*map(F.lit, map(float, radii)))).alias("radius"), F.lit(0).alias("kind"), "zone_id", "lat", "lon", "area", F.lit(1).cast("long").alias("members"), F.col("area").alias("born_area"))
+    left = written(left, "zones-left")
+    schema = ", ".join(f"{c} {'int' if t == pa.int32() else 'bigint' if t == pa.int64() else 'double'}" for c, t in _SETTLED.items())
+    settled = clusters = spark.createDataFrame([], schema)
+    for _ in range(rounds):
+        if left.isEmpty():
+            return settled.select("radius", "zone_id", "cluster"), clusters.select("radius", "cluster", "lat", "lon", "area", "members")
+        dealt = None
+        for radius in map(float, radii):
+            size = 16 * radius / DEGREE_M
+            mine = lambda df: df.filter(F.col("radius") == radius)  # noqa: B023, E731
+            home = grid_cell(F.col("lat"), F.col("lon"), size)
+            around = F.explode(grid_cover(F.col("lat"), F.col("lon"), 2.02 * radius, size))
+            zone = mine(left).select(*fields, home.alias("home"), around.alias("at")).withColumn("kind", F.when(F.col("home") == F.col("at"), 0).otherwise(1)).drop("home")
+            centre = mine(clusters).select(*fields, F.explode(grid_cover(F.col("lat"), F.col("lon"), 1.01 * radius, size)).alias("at"))
+            both = zone.unionByName(centre)
+            dealt = both if dealt is None else dealt.unionByName(both)
+        dealt = dealt.select(*fields, F.col("at.cy").alias("cy"), F.col("at.cx").alias("cx"))
+        new = written(dealt.groupBy("radius", "cy", "cx").applyInArrow(_settle, schema), "zones-settled")
+        done = new.filter("kind = 0")
+        settled = settled.unionByName(done)
+        left = written(left.join(done.select("radius", "zone_id"), ["radius", "zone_id"], "left_anti"), "zones-left")
+        moved = new.filter("kind = 2")
+        clusters = written(clusters.join(moved.select("radius", "cluster"), ["radius", "cluster"], "left_anti").select(moved.columns).unionByName(moved), "zone-clusters")
+    raise RuntimeError(f"running_clusters: zones are left after {rounds} rounds")
+
+
 def corridor_passes(rows: DataFrame, before_m: float, after_m: float) -> DataFrame:
     """rows (trace, t, s): maximal runs inside [-before, after] that begin near one end and finish near the other."""
     w = Window.partitionBy("trace").orderBy("t")

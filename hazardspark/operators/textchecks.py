@@ -30,19 +30,29 @@ def ground_quotes(events: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.select("id", reason.alias("reason"))
 
 
+def _hashed_grams(texts: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, pos, h1, h2): all runs of n words of `text`, as two independent 64-bit hashes. Words are hashed one by one in the JVM and a run's
+    hash is that of its n words' hashes, so no run is built as text and 16 bytes of it are shuffled."""
+    ws = F.transform(words(F.col("text")), lambda w: F.struct(F.xxhash64(w).alias("a"), F.xxhash64(F.lit(1), w).alias("b")))
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(*(F.xxhash64(*(w[i + k][c] for k in range(n))).alias(f"h_{c}") for c in "ab")))
+    found = F.transform(F.array(ws), lambda w: F.when(F.size(w) >= n, runs(w)))[0]
+    rows = texts.select(key, F.posexplode(found).alias("pos", "g"))
+    return rows.select(key, "pos", F.col("g.h_a").alias("h1"), F.col("g.h_b").alias("h2"))
+
+
 def ngram_runs(draft: DataFrame, sources: DataFrame, n: int = 6) -> DataFrame:
-    """Runs of the draft's words shared with a source for n words or more: (doc, source, first, words). Shingles meet by hash of the draft's
-    distinct ones, and starts that follow each other are merged. draft: doc, text; sources: source, text."""
-    grams = lambda df, key: df.select(key, F.posexplode(shingles(words(F.col("text")), n)).alias("pos", "gram"))
-    theirs = grams(sources, "source").select("source", "gram").distinct()
-    hits = grams(draft, "doc").join(theirs, "gram").select("doc", "source", "pos").distinct()
+    """Runs of the draft's words shared with a source for n words or more: (doc, source, first, words). Runs of n words meet by 128 bits of
+    hash, and starts that follow each other are merged. draft: doc, text; sources: source, text."""
+    theirs = _hashed_grams(sources, "source", n).select("source", "h1", "h2").distinct()
+    hits = _hashed_grams(draft, "doc", n).join(theirs, ["h1", "h2"]).select("doc", "source", "pos").distinct()
     w = Window.partitionBy("doc", "source").orderBy("pos")
     runs = hits.withColumn("run", F.col("pos") - F.row_number().over(w))
     return runs.groupBy("doc", "source", "run").agg(F.min("pos").alias("first"), (F.count("*") + n - 1).alias("words")).drop("run")
 
 
 def distinct_n(texts: DataFrame, by: str, n: int) -> DataFrame:
-    grams = texts.select(by, F.explode(shingles(words(F.col("text")), n)).alias("g")).groupBy(by, "g").agg(F.count("*").alias("k"))
+    """(by, distinct_n, grams): the share of different runs of n words among all of them. Runs are told apart by 128 bits of hash."""
+    grams = _hashed_grams(texts, by, n).groupBy(by, "h1", "h2").agg(F.count("*").alias("k"))
     return grams.groupBy(by).agg((F.count("*") / F.sum("k")).alias("distinct_n"), F.sum("k").alias("grams"))
 
 
@@ -196,3 +206,12 @@ def explanation_faults(text: Column, facts: Column, names: Column, band: Column,
     said = F.exists(F.array(*map(F.lit, CLAIMS)), lambda p: F.contains(F.lower(bare), p)) | F.lower(bare).rlike(CLAIM_PATTERN)
     faults = F.array(F.when(loose, "numeral"), F.when(odd, "entity"), F.when(band.isin("low", "stale") & ~hedged, "unhedged"), F.when(said, "claim"))
     return F.filter(faults, lambda x: x.isNotNull())
+
+
+def split_leakage(rows: DataFrame, key: str, text: str, held: str) -> DataFrame:
+    """(key, source, in_val, in_train): held-out rows whose text, by its letters alone (lower case), also stands in the training part, with
+    the lowest key there and how often it stands on either side. Texts are counted by key and side before they meet."""
+    letters = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}]", " "), " +", " "))
+    q = rows.select(key, held, F.sha2(letters, 256).alias("q"))
+    side = q.groupBy("q").agg(F.count_if(held).alias("in_val"), F.count_if(~F.col(held)).alias("in_train"), F.min(F.when(~F.col(held), F.col(key))).alias("source"))
+    return q.filter(held).join(side.filter("in_train > 0"), "q").select(key, "source", "in_val", "in_train")

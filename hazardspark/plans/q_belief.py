@@ -63,10 +63,8 @@ def _(t: Tables):
 
 
 def priced(t: Tables, z_zero: bool):
-    cfg = beliefs.hazard_config(t.obs_edge, t.edge_prior, t.hazards)
-    belief = beliefs.fuse_beta(t.obs_edge, t.edge_prior, t.hazards, t.sources, AT)
-    depth = beliefs.newest_reliable_depth(t.obs_edge, beliefs.dominant_class(t.obs_edge, t.hazards), t.sources)
-    return beliefs.priced_edges(t.lattice_edges, belief, depth, cfg, t.users, z_zero)
+    summary = beliefs.edge_summary(t.obs_edge, t.hazards, t.sources, AT)
+    return beliefs.priced_edges(t.lattice_edges, beliefs.configured_beliefs(summary, t.edge_prior, t.hazards), t.users, z_zero)
 
 
 _PRICED = f"""WITH {_BETA}, {_CONFIG}, {_DEPTH}, px AS (SELECT e.edge_id, u.user_class, u.lam, cfg.hazard_class, h.severity, h.h_max_mm, h.epsilon, dep.depth_mm, e.free_flow_seconds AS s, e.free_flow_kmh AS v, coalesce(beta.a / (beta.a + beta.b), cfg.prior_p, 0e0) AS p
@@ -216,10 +214,13 @@ def _(t: Tables):
 @query("u6_street_stretches", """WITH RECURSIVE lk AS (SELECT DISTINCT a.edge_id AS a, b.edge_id AS b FROM {lattice_edges} a JOIN {lattice_edges} b ON a.street_name = b.street_name AND (a.from_node IN (b.from_node, b.to_node) OR a.to_node IN (b.from_node, b.to_node))),
     rc AS (SELECT a AS root, b AS e FROM lk UNION SELECT rc.root, lk.b FROM rc JOIN lk ON lk.a = rc.e),
     cm AS (SELECT e, min(root) AS stretch FROM rc GROUP BY e)
-    SELECT x.street_name, cm.stretch, count(*) AS edges, round(sum(x.length_m), 3) AS length_m FROM cm JOIN {lattice_edges} x ON x.edge_id = cm.e GROUP BY 1, 2""")
+    x AS (SELECT e.street_name, cm.stretch, e.edge_id, length_m, (lat1 + lat2) / 2 AS lat, (lon1 + lon2) / 2 AS lon FROM cm JOIN {lattice_edges} e ON e.edge_id = cm.e),
+    y AS (SELECT street_name, stretch, count(*) AS edges, round(sum(length_m), 3) AS length_m, avg(lat) AS clat, avg(lon) AS clon FROM x GROUP BY 1, 2),
+    z AS (SELECT x.*, y.edges, y.length_m AS total_m, row_number() OVER (PARTITION BY x.street_name, x.stretch ORDER BY round(pow(lat - clat, 2) + pow(lon - clon, 2), 12), edge_id) AS k FROM x JOIN y ON y.street_name = x.street_name AND y.stretch = x.stretch)
+    SELECT street_name, stretch, edges, total_m AS length_m, edge_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM z WHERE k = 1""")
 def _(t: Tables):
     rows = graph.street_stretches(t.lattice_edges, lambda e: connected_components(e, written))
-    return rows.select("street_name", "stretch", "edges", F.round("length_m", 3).alias("length_m"))
+    return rows.select("street_name", "stretch", "edges", F.round("length_m", 3).alias("length_m"), "edge_id", r6(c("lat")).alias("lat"), r6(c("lon")).alias("lon"))
 
 
 @query("g3_reachable", """WITH RECURSIVE r AS (SELECT DISTINCT node AS source, node, 0 AS hops FROM {lattice_nodes} WHERE node % 500 = 0

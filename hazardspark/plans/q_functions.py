@@ -28,9 +28,9 @@ def _(t: Tables):
     return rows.select("id", r6(belief.kernel(c("distance_m"))).alias("kappa"), r6(belief.decay(age, c("tau"))).alias("decay"), r6(belief.logit(c("alpha"))).alias("weight"))
 
 
-@query("f3_reliability", "SELECT source_class, round(least(1e0, greatest(0e0, ln(alpha / (1 - alpha)) / ln(0.97e0 / 0.03e0))), 6) AS w FROM {sources}")
+@query("f3_reliability", "SELECT id, o.source_class, round(least(1e0, greatest(0e0, ln(alpha / (1 - alpha)) / ln(0.97e0 / 0.03e0))), 6) AS w FROM {obs} o JOIN {sources} s ON s.source_class = o.source_class")
 def _(t: Tables):
-    return t.sources.select("source_class", r6(belief.reliability_weight(c("alpha"))).alias("w"))
+    return t.obs.join(F.broadcast(t.sources), "source_class").select("id", "source_class", r6(belief.reliability_weight(c("alpha"))).alias("w"))
 
 
 @query("f4_pessimistic_wald", "SELECT edge_id, user_class, round(least(1e0, prior_p + z * sqrt(prior_p * (1 - prior_p) / (edge_id % 5 + 1e0))), 6) AS p_tilde FROM {edge_prior} CROSS JOIN {users}")
@@ -251,6 +251,22 @@ def _(t: Tables):
     return t.part.select("p_partkey", place_category(tags).alias("category"))
 
 
+@query("p13_place_kind", """SELECT p_partkey, CASE WHEN k = 0 THEN 'worship' WHEN k = 1 THEN 'rail' WHEN k = 2 THEN 'shop' WHEN k = 3 THEN 'landmark' WHEN k = 4 THEN 'utility' WHEN k = 5 THEN 'health' WHEN k = 6 THEN 'police' END AS category,
+    CASE k WHEN 0 THEN CASE p_size % 3 WHEN 0 THEN 'temple' WHEN 1 THEN 'church' ELSE 'place of worship' END WHEN 1 THEN CASE WHEN p_size % 2 = 0 THEN 'metro station' ELSE 'railway station' END WHEN 2 THEN replace(p_name, '_', ' ') WHEN 3 THEN 'theme park' WHEN 4 THEN 'power plant' WHEN 5 THEN 'ambulance station' WHEN 6 THEN 'police' END AS kind
+    FROM (SELECT p_partkey, p_size, replace(p_name, ' ', '_') AS p_name, p_partkey % 8 AS k FROM {part}) x""")
+def _(t: Tables):
+    from hazardspark.operators.places import place_class
+
+    k, is_k = c("p_partkey") % 8, lambda n, v: F.when(c("p_partkey") % 8 == n, v)
+    religion = F.when(c("p_size") % 3 == 0, "hindu").when(c("p_size") % 3 == 1, "christian").otherwise("other")
+    tags = {
+        "amenity": F.when(k == 0, "place_of_worship").when(k == 6, "police"), "religion": religion, "public_transport": is_k(1, "station"), "railway": is_k(1, "yes"), "subway": F.when(c("p_size") % 2 == 0, "yes"),
+        "shop": is_k(2, F.replace("p_name", F.lit(" "), F.lit("_"))), "tourism": is_k(3, "theme_park"), "power": is_k(4, "plant"), "emergency": is_k(5, "ambulance_station"),
+    }
+    kind = place_class(F.create_map(*[x for name, v in tags.items() for x in (F.lit(name), v)]))
+    return t.part.select("p_partkey", kind["category"].alias("category"), kind["kind"].alias("kind"))
+
+
 @query("p14_intensity_band", "SELECT event_id, CASE WHEN value / 6 >= 50 THEN 'violent' WHEN value / 6 >= 7.6e0 THEN 'heavy' WHEN value / 6 >= 2.5e0 THEN 'moderate' WHEN value / 6 >= 0.1e0 THEN 'light' ELSE 'none' END AS band FROM {events}")
 def _(t: Tables):
     return t.events.select("event_id", rules.intensity_band(c("value") / 6).alias("band"))

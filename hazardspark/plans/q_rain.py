@@ -192,6 +192,14 @@ def _(t: Tables):
     return t.gauge_daily.groupBy(F.year("day").alias("year")).agg(F.count("*").alias("n"), F.count_distinct("gauge").alias("gauges"), r6(F.percentile("mm", 0.9)).alias("p90"), r6(wet).alias("wet_share"))
 
 
+@query("a17_event_windows", """SELECT e.event_id, count(g.gauge) AS n, count(DISTINCT g.gauge) AS gauges, round(quantile_cont(mm, 0.5), 6) AS p50, round(quantile_cont(mm, 0.9), 6) AS p90, round(avg(CASE WHEN mm >= 60 THEN 1e0 WHEN mm IS NOT NULL THEN 0e0 END), 6) AS wet_share
+    FROM {catalogue_a} e LEFT JOIN {gauge_daily} g ON g.gauge % 25 = e.district AND g.day BETWEEN e.first_day - INTERVAL '3' DAY AND e.last_day + INTERVAL '3' DAY GROUP BY e.event_id""")
+def _(t: Tables):
+    daily = t.gauge_daily.withColumn("district", c("gauge") % 25)
+    out = rain.profile_event_windows(daily, t.catalogue_a, 3, 3, 60.0)
+    return out.select("event_id", "n", "gauges", *[r6(c(x)).alias(x) for x in ("p50", "p90", "wet_share")])
+
+
 @query("a18_class_totals", "SELECT hazard_class, source_class, count(*) AS n FROM {obs} GROUP BY CUBE (hazard_class, source_class)")
 def _(t: Tables):
     return t.obs.cube("hazard_class", "source_class").agg(F.count("*").alias("n"))

@@ -93,6 +93,15 @@ def _(t: Tables):
     return asked.filter("conv_id % 5 = 0").join(asked.filter("conv_id % 5 <> 0").select("q"), "q", "left_semi").select("conv_id").distinct()
 
 
+_PLAIN = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}]', ' ', 'g'), ' +', ' ', 'g'))".replace("{", "\x01").replace("}", "\x02")
+
+
+@query("x7_leaking_questions", f"""WITH t AS (SELECT doc_id, doc_id % 5 = 0 AS val, {_PLAIN} AS q FROM {{documents}} WHERE text IS NOT NULL), s AS (SELECT q, count(*) FILTER (WHERE val) AS in_val, count(*) FILTER (WHERE NOT val) AS in_train, min(doc_id) FILTER (WHERE NOT val) AS source FROM t GROUP BY q)
+    SELECT t.doc_id, s.source, s.in_val, s.in_train FROM t JOIN s ON s.q = t.q WHERE t.val AND in_train > 0""")
+def _(t: Tables):
+    return textchecks.split_leakage(t.documents.filter("text IS NOT NULL").select("doc_id", "text", (c("doc_id") % 5 == 0).alias("val")), "doc_id", "text", "val")
+
+
 @query("u4_set_diff", "SELECT c_custkey AS node FROM {customer} EXCEPT SELECT node FROM {obs}")
 def _(t: Tables):
     return t.customer.select(c("c_custkey").alias("node")).subtract(t.obs.select("node"))

@@ -98,6 +98,11 @@ VIEWS = {
     "link_loss": "SELECT user_id AS link, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, CASE WHEN event_id % 13 <> 0 THEN 40e0 + value / 20e0 END AS loss FROM {events}",
     "traces": "SELECT user_id AS trace, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) * 3e0 - 100e0 + (event_id % 5) AS s FROM {events}",
     "gazetteer": "SELECT e.vec_id AS place_id, p.p_name AS name, e.label AS kind, e.embedding FROM {embeddings} e JOIN {part} p ON p.p_partkey = e.vec_id",
+    "named_places": f"""SELECT place_id, name, concat('NH ', CAST(p.p_size AS VARCHAR(9)), ' ', p.p_type, '-road') AS other, CASE kind WHEN 0 THEN 'city' WHEN 1 THEN 'town' WHEN 2 THEN 'street' WHEN 3 THEN 'suburb' WHEN 4 THEN 'quarter' WHEN 5 THEN 'village' ELSE 'stop' END AS kind,
+        {_lat('place_id')} AS lat, {_lon('place_id')} AS lon, place_id % 50 AS size FROM {{gazetteer}} JOIN {{part}} p ON p.p_partkey = place_id""",
+    "place_queries": f"""SELECT p_partkey AS query_id, CASE p_partkey % 120 WHEN 0 THEN p_name WHEN 20 THEN substr(p_name, 1, 5) WHEN 40 THEN concat('NH-', CAST(p_size AS VARCHAR(9))) WHEN 60 THEN concat('nh', CAST(p_size AS VARCHAR(9)), ' road') WHEN 80 THEN substr(p_name, 2, 6) ELSE concat(substr(p_name, 1, 2), '  ', CAST(p_size % 10 AS VARCHAR(9))) END AS q,
+        CASE WHEN p_partkey % 40 = 0 THEN {_lat('p_partkey')} END AS lat, CASE WHEN p_partkey % 40 = 0 THEN {_lon('p_partkey')} END AS lon FROM {{part}} WHERE p_partkey % 20 = 0""",
+    "approach": "SELECT user_id AS pass, CAST(step AS DOUBLE) AS t, -140e0 + 3e0 * step - least(90e0, greatest(0e0, (step - 15) * 3e0)) * CASE WHEN user_id % 3 = 0 THEN 0e0 ELSE 1e0 END + (event_id % 7) / 10e0 AS s FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM {events}) x",
     "grid": "SELECT CAST(floor(p_partkey / 50e0) AS BIGINT) AS row, p_partkey % 50 AS col, ((p_partkey * 37) % 997) / 10e0 AS elev FROM {part}",
     "panel": "SELECT gauge AS district, day, coalesce(max(mm), 0e0) AS mm, CASE WHEN max(mm) >= 100 THEN 1 ELSE 0 END AS y FROM {gauge_daily} GROUP BY gauge, day",
 }
