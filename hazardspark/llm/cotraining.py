@@ -111,7 +111,7 @@ def _matrices(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(docs: DataFrame, labels: DataFrame, cols: dict[str, str], folds: int) -> DataFrame:
-    """(doc_id, text_x, page_x, y, fold): y is 0 or 1 or null; fold 0 of the labelled rows is for calibration."""
+    """(doc_id, text_x, page_x, y, fold): y is 0 or 1 or null; one fold of the labelled rows is for calibration."""
     c = {k: F.col(v) if v in docs.columns else F.lit(None) for k, v in cols.items()}
     rows = docs.select(
         c["id"].cast("long").alias("doc_id"), c["text"].cast("string").alias("text"), c["lang"].cast("string").alias("lang"), c["source"].cast("string").alias("source"), c["n_chars"].cast("long").alias("n_chars")
@@ -129,8 +129,16 @@ def _features(docs: DataFrame, labels: DataFrame, cols: dict[str, str], folds: i
     return found.join(gold, "doc_id", "left").withColumn("fold", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds).cast("int"))
 
 
-def _class_sums(features: DataFrame, views: tuple[View, View] | None, cuts: list[tuple[float, float]] | None) -> list[dict]:
-    """For each view and class: rows, sum and outer products over the labelled rows outside fold 0, and over the unlabelled rows of
+def _calibration_fold(features: DataFrame, folds: int) -> tuple[int | None, list[int]]:
+    """The first fold with labels of both classes inside and outside it (null where there is none), and the labels of each class."""
+    found = {(r["fold"], r["y"]): r["count"] for r in features.filter("y IS NOT NULL").groupBy("fold", "y").count().collect()}  # two rows a fold
+    total = [sum(n for (_, y), n in found.items() if y == k) for k in (0, 1)]
+    good = (f for f in range(folds) if all(0 < found.get((f, y), 0) < total[y] for y in (0, 1)))
+    return next(good, None), total
+
+
+def _class_sums(features: DataFrame, views: tuple[View, View] | None, cuts: list[tuple[float, float]] | None, calibration: int | None) -> list[dict]:
+    """For each view and class: rows, sum and outer products over the labelled rows outside the calibration fold, and over the unlabelled rows of
     which the other view is sure. Tasks send their sums, of a size fixed by the number of features."""
     widths = (TEXT_WIDTH, PAGE_WIDTH)
     upper = [np.triu_indices(w) for w in widths]
@@ -140,7 +148,7 @@ def _class_sums(features: DataFrame, views: tuple[View, View] | None, cuts: list
         for b in it:
             xs = _matrices(b)
             y = b["y"].to_numpy(zero_copy_only=False).astype(np.float64)
-            train = ~np.isnan(y) & (b["fold"].to_numpy() != 0)
+            train = ~np.isnan(y) & (b["fold"].to_numpy() != (-1 if calibration is None else calibration))
             for v in (0, 1):
                 label = np.where(train, y, -1)
                 if views is not None:
@@ -169,14 +177,15 @@ def _class_sums(features: DataFrame, views: tuple[View, View] | None, cuts: list
     return out
 
 
-def _histograms(features: DataFrame, views: tuple[View, View]) -> list[dict]:
-    """For each view: number of rows by score range, of class 0, 1 (fold 0) and of unlabelled rows."""
+def _histograms(features: DataFrame, views: tuple[View, View], calibration: int | None) -> list[dict]:
+    """For each view: number of rows by score range, of class 0, 1 (in the calibration fold, or all) and of unlabelled rows."""
 
     def counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             xs = _matrices(b)
             y = b["y"].to_numpy(zero_copy_only=False).astype(np.float64)
-            kind = np.where(np.isnan(y), 2, np.where(b["fold"].to_numpy() == 0, y, 3)).astype(np.int64)
+            held = np.full(len(y), True) if calibration is None else b["fold"].to_numpy() == calibration
+            kind = np.where(np.isnan(y), 2, np.where(held, y, 3)).astype(np.int64)
             for v in (0, 1):
                 bins = np.floor(np.clip(views[v].scores(xs[v]), -50, 50) / _BIN).astype(np.int64)
                 keys, n = np.unique(np.stack([kind, bins]), axis=1, return_counts=True)
@@ -222,27 +231,31 @@ def score_quality(
     """(doc_id, text_score, page_score, score, keep) of every row of docs.
 
     The text view sees the whole text, the page view language, source and size; the id is an input of neither. Both are fitted on
-    all labelled rows outside fold 0. In each round, each view labels the unlabelled rows it is surest of, for the other view's next
-    fit. Fold 0 calibrates each view; score adds both views' evidence to the labels' base rate, keep is score >= 0.5.
+    all labelled rows outside one fold. In each round, each view labels the unlabelled rows it is surest of, for the other view's next
+    fit. The fold calibrates each view; score adds both views' evidence to the labels' base rate, keep is score >= 0.5.
+
+    Calibration takes the first of the `folds` folds that has labels of both classes, with both also outside it. Where no fold has (few
+    labels, or few of one class), views are fitted and calibrated on all labelled rows, and their scores are surer than they should be.
+    Without labels of both classes every score is the base rate, (ones + 1) / (labels + 2).
 
     Rows are used in place: a fit is one pass that sends sums of a fixed size, so no sample is drawn and nothing grows on the driver.
-    Texts and metadata may be null; a label table with repeated ids gives the majority (a tie: no label). Without labels of both
-    classes every score is the base rate, (ones + 1) / (labels + 2).
+    Texts and metadata may be null; rows that repeat an id, null ids among them, get a score each; a label table with repeated ids gives
+    the majority (a tie: no label). An empty table of documents gives no rows, one of labels the base rate 0.5.
     """
     text_batches(docs.sparkSession)
     cols = {"id": id_col, "text": text_col, "lang": lang_col, "source": source_col, "n_chars": size_col, "label": label_col}
     features = written(_features(docs, labels, cols, folds), "quality-features")
-    sums = _class_sums(features, None, None)
-    n = [sums[0][k][0] for k in (0, 1)]
+    calibration, n = _calibration_fold(features, folds)
     if min(n) == 0:
         prior = F.lit(float((n[1] + 1) / (sum(n) + 2)))
         return features.select("doc_id", prior.alias("text_score"), prior.alias("page_score"), prior.alias("score"), (prior >= 0.5).alias("keep"))
+    sums = _class_sums(features, None, None, calibration)
     for step in range(rounds + 1):
         views = tuple(View(fit_linear(sums[v], w)) for v, w in enumerate((TEXT_WIDTH, PAGE_WIDTH)))
-        hists = _histograms(features, views)
+        hists = _histograms(features, views, calibration)
         views = tuple(_calibrated(view, hist) for view, hist in zip(views, hists, strict=True))
         if step < rounds:
-            sums = _class_sums(features, views, [_sure(view, hist, share, confidence) for view, hist in zip(views, hists, strict=True)])
+            sums = _class_sums(features, views, [_sure(view, hist, share, confidence) for view, hist in zip(views, hists, strict=True)], calibration)
     held = [sum(hists[0][k].values()) for k in (0, 1)]
     base = float(np.log((held[1] + 1) / (held[0] + 1)))
 

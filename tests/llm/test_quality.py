@@ -76,3 +76,35 @@ def test_exchange_against_rows(spark):
     got = {r.doc_id: r for r in cotraining.score_quality(docs, labels).collect()}
     off = np.array([abs(got[r.doc_id].score - p) for r, p in zip(rows, want)])
     assert len(got) == len(rows) and (off < 0.02).mean() > 0.99 and np.mean([got[r.doc_id].keep == (p >= 0.5) for r, p in zip(rows, want)]) > 0.995
+
+
+def labelled(spark, n, positive):
+    """300 documents with texts by class, of which n have a label; `positive` says which of those are good."""
+    text = lambda k: ("good clean prose of a careful writer " if k % 2 else "BUY now!!! $$$ click click ") * (3 + k % 5) + str(k)
+    docs = spark.createDataFrame([(k, text(k), "en", f"s{k % 7}", 100) for k in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    return docs, [(k, int(k % 2)) for k in range(300) if positive(k)][:n]
+
+
+def in_fold0(k):
+    return zlib.crc32(str(k).encode()) % 5 == 0
+
+
+def test_few_labels_and_none_in_the_first_fold(spark):
+    for n, pick in ((1, lambda k: True), (2, lambda k: True), (3, lambda k: not in_fold0(k)), (8, lambda k: True), (30, lambda k: not in_fold0(k)), (30, lambda k: in_fold0(k) and k % 2 == 0 or not in_fold0(k) and k % 2), (30, in_fold0)):
+        docs, labels = labelled(spark, n, pick)
+        got = cotraining.score_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+        assert len(got) == 300
+        if len({y for _, y in labels}) == 2:
+            assert len(labels) < 30 or np.mean([r.keep == (r.doc_id % 2 == 1) for r in got]) > 0.9, (n, labels)
+            assert len({round(r.score, 3) for r in got}) > 1, (n, labels)
+        else:
+            ones = sum(y for _, y in labels)
+            assert all(abs(r.score - (ones + 1) / (len(labels) + 2)) < 1e-9 for r in got)
+
+
+def test_no_documents_and_no_labels(spark):
+    docs, _ = labelled(spark, 0, lambda k: True)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {(r.score, r.keep) for r in cotraining.score_quality(docs, none).collect()} == {(0.5, True)}
+    some = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert cotraining.score_quality(docs.limit(0), some).count() == 0
