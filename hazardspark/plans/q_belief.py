@@ -213,7 +213,7 @@ def _(t: Tables):
 
 @query("u6_street_stretches", """WITH RECURSIVE lk AS (SELECT DISTINCT a.edge_id AS a, b.edge_id AS b FROM {lattice_edges} a JOIN {lattice_edges} b ON a.street_name = b.street_name AND (a.from_node IN (b.from_node, b.to_node) OR a.to_node IN (b.from_node, b.to_node))),
     rc AS (SELECT a AS root, b AS e FROM lk UNION SELECT rc.root, lk.b FROM rc JOIN lk ON lk.a = rc.e),
-    cm AS (SELECT e, min(root) AS stretch FROM rc GROUP BY e)
+    cm AS (SELECT e, min(root) AS stretch FROM rc GROUP BY e),
     x AS (SELECT e.street_name, cm.stretch, e.edge_id, length_m, (lat1 + lat2) / 2 AS lat, (lon1 + lon2) / 2 AS lon FROM cm JOIN {lattice_edges} e ON e.edge_id = cm.e),
     y AS (SELECT street_name, stretch, count(*) AS edges, round(sum(length_m), 3) AS length_m, avg(lat) AS clat, avg(lon) AS clon FROM x GROUP BY 1, 2),
     z AS (SELECT x.*, y.edges, y.length_m AS total_m, row_number() OVER (PARTITION BY x.street_name, x.stretch ORDER BY round(pow(lat - clat, 2) + pow(lon - clon, 2), 12), edge_id) AS k FROM x JOIN y ON y.street_name = x.street_name AND y.stretch = x.stretch)

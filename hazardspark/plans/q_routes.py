@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from hazardspark import config
 from hazardspark.operators import beliefs, graph, routes, studies
 from hazardspark.plans.q_belief import AT
-from hazardspark.plans.q_models import SHARED_TAU_S, TTL_S
+from hazardspark.plans.q_models import SHARED_TAU_S
 from hazardspark.plans.registry import Tables, query
 from hazardspark.tables import written
 
 c, r6 = F.col, lambda x: F.round(x, 6)
 PAIRS, SEED = 30, 20260914
+CROWD_TTL_S = 30 * 86400.0  # reports of the last thirty days count alike
 #: Weights of risk under which held-out reports are counted.
 LAMBDAS = (0.3, 5.0, 20.0)
 
@@ -51,13 +52,13 @@ def _(t: Tables):
 
 
 def crowd_edges(t: Tables) -> DataFrame:
-    """Edges priced by the prior alone and by prior and crowd reports, for each weight of risk: variant 'prior 0.3', 'crowd 0.3' and so on."""
-    configs = [(f"{name} {lam}", evidence, None, lam) for lam in LAMBDAS for name, evidence in (("prior", "nothing"), ("crowd", "beta"))]
+    """Edges priced by the prior alone and by prior and the crowd's reports of thirty days, for each weight of risk: variant 'prior 0.3', 'crowd 0.3' and so on."""
+    configs = [(f"{name} {lam}", evidence, None, lam) for lam in LAMBDAS for name, evidence in (("prior", "nothing"), ("crowd", "ttl"))]
     configs = t.spark.createDataFrame(configs, "cfg string, variant string, block double, lam double")
-    variants = t.spark.createDataFrame([("beta",)], "variant string")
+    variants = t.spark.createDataFrame([("ttl",)], "variant string")
     crowd = t.obs_edge.filter("source_class = 'crowd'")
     known = beliefs.hazard_config(t.obs_edge, t.edge_prior, t.hazards)
-    priced = studies.config_costs(t.lattice_edges, known, crowd, t.hazards, t.sources, AT, variants, configs, SHARED_TAU_S, TTL_S)
+    priced = studies.config_costs(t.lattice_edges, known, crowd, t.hazards, t.sources, AT, variants, configs, SHARED_TAU_S, CROWD_TTL_S)
     return priced.select(c("cfg").alias("variant"), "edge_id", c("cost_s").alias("cost")).join(t.lattice_edges.select("edge_id", "from_node", "to_node"), "edge_id")
 
 

@@ -34,8 +34,8 @@ def _(t: Tables):
 @query("w16_stops_in_pass", """WITH m AS (SELECT pass, t, median(s) OVER w AS sm, count(*) OVER (PARTITION BY pass) AS n FROM {approach} WINDOW w AS (PARTITION BY pass ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
     v AS (SELECT pass, t, sm, CASE WHEN last_value(t) OVER w > first_value(t) OVER w THEN (last_value(sm) OVER w - first_value(sm) OVER w) / (last_value(t) OVER w - first_value(t) OVER w) ELSE 0 END < 1 AS slow FROM m WHERE n >= 5 WINDOW w AS (PARTITION BY pass ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
     r AS (SELECT *, sum(CASE WHEN slow THEN 0 ELSE 1 END) OVER (PARTITION BY pass ORDER BY t) AS run FROM v),
-    g AS (SELECT pass, run, min(t) AS a, max(t) AS b, median(sm) AS at FROM r WHERE slow GROUP BY pass, run HAVING max(t) - min(t) >= 3 AND median(sm) BETWEEN -120 AND 5)
-    SELECT pass, max(a) AS "start", arg_max(b, a) AS "end", round(arg_max(at, a), 6) AS "where" FROM g GROUP BY pass""")
+    g AS (SELECT pass, run, min(t) AS a, max(t) AS b, median(sm) AS place FROM r WHERE slow GROUP BY pass, run HAVING max(t) - min(t) >= 3 AND median(sm) BETWEEN -120 AND 5)
+    SELECT pass, max(a) AS "start", arg_max(b, a) AS "end", round(arg_max(place, a), 6) AS "where" FROM g GROUP BY pass""")
 def _(t: Tables):
     return signals.stops_in_pass(t.approach).select("pass", "start", "end", r6(c("where")).alias("where"))
 
