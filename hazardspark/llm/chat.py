@@ -101,7 +101,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     text, image, audio and document; an unknown type counts as text. loss holds [start, end) in code points of each body whose
     role is `learn`; attachments hold turn number, kind, reference, place in `formatted` and expanded tokens. Turns are ordered by
     turn (nulls first), then role and text; a null role is empty; a null id is a conversation of its own. Turns are formatted row
-    by row before the shuffle, which moves each formatted turn once; only a conversation's own turns are put together.
+    by row before the shuffle, which moves each formatted turn once; only a conversation's own turns are put together. Turns that
+    repeat all of turn, role and text stay, each once more; an empty table gives no rows; columns that are not named are not read.
     """
     spark_parts = F.col(parts_col) if parts_col else F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text_col, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("double").alias("units")))
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), spark_parts.cast(T.ArrayType(PART)).alias("parts"))

@@ -35,7 +35,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lets Arrow carry at most so many rows at a time: documents are long, and the default of 10,000 would put tens of MB of text, in
-    several copies, into every running task."""
+    several copies, into every running task. It stays set for the session, as plans run later than they are made."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))

@@ -126,7 +126,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     The benchmark is taken in blocks of about block_bytes of text, the only data that is broadcast; with more than one block the
     documents are written between passes. Each batch of documents is a shard with a suffix array of its own. Documents stay where
-    they are: nothing is shuffled. Null texts have no words; a null item id counts as an empty one; repeated items count once.
+    they are: nothing is shuffled. Null texts have no words; a null item id counts as an empty one; repeated items count once. Rows
+    that repeat an id are searched each for itself; an empty benchmark leaves `matches` empty, an empty table gives no rows. A phrase that a
+    document repeats and many items share gives a match for each place and item. The session's Arrow batches stay at 1,000 rows or fewer.
     """
     spark = docs.sparkSession
     text_batches(spark)

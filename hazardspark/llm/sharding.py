@@ -17,7 +17,8 @@ def assign_shards(docs: DataFrame, shards: int = 16, seed: str = "interleave-1",
     interchangeable. Ranks are exact: rows are ranked inside buckets of hash (of each source), then inside ranges of the whole
     order, and a small table of counts gives each one's start. So no source, however large, meets in one task, nor do the rows of
     many sources of one row, whose fractions are all one half. Texts are not moved. Rows of equal texts are not kept together: law
-    `rows` cannot always do so, and their shard follows from source and id alone.
+    `rows` cannot always do so, and their shard follows from source and id alone. An empty table gives no rows; columns other than
+    the three named are not read.
     """
     spark = docs.sparkSession
     text, doc_id = F.col(text_col), F.col(id_col)

@@ -199,7 +199,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     `radius` bits, step by step).
 
     A null or wordless text has fingerprint 0, linked like any other. Rows that share an id keep one row each; a null id gets its
-    component's smallest id (null where all are null). An empty table gives no rows.
+    component's smallest id (null where all are null). An empty table gives no rows. Texts are hashed whole, however long (a million
+    words take about 30 MB in a task); only the two named columns are read, whatever the others are called.
     """
     hashed = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     fps = written(hashed.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-set")
