@@ -14,12 +14,13 @@ from hazardspark.llm.queries import packed_digests
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter go."""
+    """Documents with a language; null texts and those without a letter go, and all of them where nothing is labelled. Rows that repeat stay."""
     pred, score = free_names(docs, "lang_pred", "lang_score")
     return identify(docs, sample_texts(docs), pred_col=pred, score_col=score).filter(F.col(pred) != "und").select(docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (a null counts as empty) the row with the smallest id stays, a null id last; of repeated rows one."""
     return drop_exact_copies(docs)
 
 
@@ -29,10 +30,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item, repeated rows each for itself; null texts stay."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents; a null text is the end id alone, rows that repeat an id are packed each for itself."""
     return packed_digests(docs)
 
 

@@ -87,9 +87,10 @@ def live_reports(attached: DataFrame, hazards: DataFrame, at: str, window: float
 
 
 def gset_merge(a: DataFrame, b: DataFrame, key: str = "id", first: str = "received_at") -> DataFrame:
-    """Union by id where the row of `a` wins, then the earliest; repeats change nothing."""
+    """Union by id where the row of `a` wins, then the earliest (of one time, the lowest in the other columns); repeats change nothing."""
+    rest = [c for c, kind in a.dtypes if c not in (key, first) and not kind.startswith("map")]
     both = a.withColumn("__from", F.lit(0)).unionByName(b.withColumn("__from", F.lit(1)))
-    order = Window.partitionBy(key).orderBy("__from", first)
+    order = Window.partitionBy(key).orderBy("__from", first, *rest)
     return both.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n", "__from")
 
 
@@ -98,6 +99,7 @@ def received_cursor(page: DataFrame) -> DataFrame:
 
 
 def insert_absent(new: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
-    """Rows to append to a store: unknown keys, one row each (the first received)."""
-    once = new.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("received_at"))).filter("__n = 1").drop("__n")
+    """Rows to append to a store: unknown keys, one row each (the first received; of one time, the lowest in the other columns)."""
+    rest = [c for c, kind in new.dtypes if c not in (key, "received_at") and not kind.startswith("map")]
+    once = new.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("received_at", *rest))).filter("__n = 1").drop("__n")
     return once.join(stored.select(key), key, "left_anti")

@@ -105,9 +105,12 @@ def shifted(levels: DataFrame, seconds: list[int]) -> DataFrame:
     return out
 
 
-def window_levels(levels: DataFrame, windows: DataFrame) -> DataFrame:
-    """windows (window_id, lo, hi, expected): highest level inside, steps at watch or more, and whether it is as expected."""
-    rows = levels.join(F.broadcast(windows), (F.col("t") >= F.col("lo")) & (F.col("t") <= F.col("hi")))
+def window_levels(levels: DataFrame, windows: DataFrame, cell_s: int = 86400) -> DataFrame:
+    """windows (window_id, lo, hi, expected): highest level inside, steps at watch or more, and whether it is as expected. Windows are dealt
+    to the days they touch, so a step meets those of its day only."""
+    day = lambda x: F.floor(F.col(x) / cell_s)
+    dealt = windows.withColumn("__d", F.explode(F.sequence(day("lo"), day("hi"))))
+    rows = levels.withColumn("__d", day("t")).join(dealt, "__d").filter((F.col("t") >= F.col("lo")) & (F.col("t") <= F.col("hi")))
     return rows.groupBy("window_id").agg(F.max("level").alias("top"), F.count_if(F.col("level") >= 1).alias("wet_steps"), (F.max("level") == F.first("expected")).alias("as_expected"))
 
 

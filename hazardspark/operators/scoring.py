@@ -139,7 +139,7 @@ def conformal_thresholds(df: DataFrame, alpha: float, score: str = "score", y: s
 
 
 def conformal_rates(df: DataFrame, thresholds: DataFrame, score: str = "score", y: str = "y", group: str = "grp") -> DataFrame:
-    flags = df.join(F.broadcast(thresholds.select(group, "tau")), group, "left").withColumn("flag", F.col("tau").isNull() | (F.col(score) >= F.col("tau")))
+    flags = df.join(thresholds.select(group, "tau"), group, "left").withColumn("flag", F.col("tau").isNull() | (F.col(score) >= F.col("tau")))
     share = lambda k: F.avg(F.when(F.col(y) == k, F.col("flag").cast("double")))
     return flags.groupBy(group).agg(share(1).alias("coverage"), share(0).alias("false_flag"), F.count("*").alias("n"))
 

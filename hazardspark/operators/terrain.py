@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,9 +44,88 @@ def flow_accumulation(grid: DataFrame, written: Callable[[DataFrame, str], DataF
     return total
 
 
-def depression_fill(grid: DataFrame, written: Callable[[DataFrame, str], DataFrame], eps: float = 0.0) -> DataFrame:
-    """Elevations with no cell below all its ways out: max(elevation, lowest filled neighbour + eps), from the border inwards, until
-    nothing changes. Border cells (fewer than eight neighbours) keep theirs."""
+def depression_fill(grid: DataFrame, written: Callable[[DataFrame, str], DataFrame], eps: float = 0.0, tile: int = 256, rounds: int = 1_000_000) -> DataFrame:
+    """Elevations with no cell below all its ways out: the lowest, over all ways to the border, of the highest point on the way. Border
+    cells (fewer than eight neighbours) keep theirs. With eps > 0 each step must rise by it; that goes cell by cell (`_fill_by_steps`).
+
+    Each tile is flooded from its rim by itself, which gives every cell a basin and a level inside the tile, and basins that touch the
+    lowest point between them; basins of neighbouring tiles touch at their rims. On this graph of basins, far smaller than the grid, the
+    lowest way out of each is found by rounds from the border; with shortcuts over four edges the rounds are a quarter of the basins on
+    the longest way, not its cells. A cell's level is the higher of its own and its basin's.
+    """
+    if eps > 0:
+        return _fill_by_steps(grid, written, eps)
+    side = lambda x: F.floor(F.col(x) / tile)
+    dealt = neighbours(grid).groupBy("row", "col").agg(F.count("*").alias("k"), F.count_if((side("row") != F.floor((F.col("row") + F.col("drow")) / tile)) | (side("col") != F.floor((F.col("col") + F.col("dcol")) / tile))).alias("outside"))
+    cells = grid.select("row", "col", F.col("elev").cast("double").alias("elev")).join(dealt, ["row", "col"], "left")
+    cells = cells.select("row", "col", "elev", F.coalesce(F.col("k") < 8, F.lit(True)).alias("border"), F.coalesce(F.col("outside") > 0, F.lit(False)).alias("rim"), side("row").alias("ty"), side("col").alias("tx"))
+    flooded = written(cells.groupBy("ty", "tx").applyInArrow(_flood, "row long, col long, elev double, rim boolean, level double, basin string, basin2 string"), "fill-tiles")
+
+    wet = flooded.filter("basin2 IS NULL")
+    rim = wet.filter("rim").select("row", "col", F.col("level").alias("__l"), F.col("basin").alias("__b"))
+    moves = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in EIGHT])).alias("m")
+    met = rim.select("*", moves).select((F.col("row") + F.col("m.y")).alias("row"), (F.col("col") + F.col("m.x")).alias("col"), F.col("__l").alias("l2"), F.col("__b").alias("b2"))
+    across = rim.join(met, ["row", "col"]).filter("__b <> b2").select(F.col("__b").alias("a"), F.col("b2").alias("b"), F.greatest("__l", "l2").alias("w"))
+    inside = flooded.filter("basin2 IS NOT NULL").select(F.col("basin").alias("a"), F.col("basin2").alias("b"), F.col("level").alias("w"))
+    links = inside.unionByName(inside.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).unionByName(across)
+    lowest = lambda df: df.groupBy("a", "b").agg(F.min("w").alias("w"))
+    links = written(lowest(links), "fill-links")
+    for _ in range(2):
+        on = links.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("w").alias("v"))
+        links = written(lowest(links.unionByName(links.join(on, "b").filter("a <> c").select("a", F.col("c").alias("b"), F.greatest("w", "v").alias("w")))), "fill-links")
+
+    known = written(grid.sparkSession.createDataFrame([(_OCEAN, float("-inf"))], "basin string, out double"), "fill-known")
+    front = known
+    for _ in range(rounds):
+        tried = front.join(links, front["basin"] == links["a"]).groupBy(F.col("b").alias("basin")).agg(F.min(F.greatest("out", "w")).alias("new"))
+        better = tried.join(known, "basin", "left").groupBy("basin", "new").agg(F.min("out").alias("out")).filter("out IS NULL OR new < out")
+        front = written(better.select("basin", F.col("new").alias("out")), "fill-known")
+        if front.isEmpty():
+            break
+        known = written(known.unionByName(front).groupBy("basin").agg(F.min("out").alias("out")), "fill-known")
+    else:
+        raise RuntimeError(f"depression_fill: levels still fall after {rounds} rounds")
+    return wet.join(known, "basin", "left").select("row", "col", "elev", F.greatest("level", "out").alias("fill"))
+
+
+_OCEAN = "border"
+
+
+def _flood(cells: pa.Table) -> pa.Table:
+    """One tile: each cell's level and basin, flooded from the tile's rim and from border cells (one basin), lowest first; and for two basins
+    that touch (basin, basin2) the lowest level at which they do. A basin is named by the cell where it begins."""
+    row, col, elev, border, rim = (cells[c].to_pylist() for c in ("row", "col", "elev", "border", "rim"))
+    at = {k: i for i, k in enumerate(zip(row, col, strict=True))}
+    todo = [(elev[i], 0 if border[i] else 1, i, _OCEAN if border[i] else f"{row[i]}:{col[i]}") for i in range(len(row)) if border[i] or rim[i]]
+    heapq.heapify(todo)
+    level: list[float | None] = [None] * len(row)
+    basin = [""] * len(row)
+    touch: dict[tuple[str, str], float] = {}
+    while todo:
+        here, _, i, name = heapq.heappop(todo)
+        if level[i] is not None:
+            continue
+        level[i], basin[i] = here, name
+        for dy, dx in EIGHT:
+            j = at.get((row[i] + dy, col[i] + dx))
+            if j is None:
+                continue
+            if level[j] is None:
+                heapq.heappush(todo, (max(here, elev[j]), 2, j, name))
+            elif basin[j] != name:
+                pair = (min(name, basin[j]), max(name, basin[j]))
+                touch[pair] = min(touch.get(pair, float("inf")), max(here, level[j]))
+    n, m = len(row), len(touch)
+    names = {
+        "row": row + [None] * m, "col": col + [None] * m, "elev": elev + [None] * m, "rim": rim + [None] * m, "level": level + list(touch.values()),
+        "basin": basin + [a for a, _ in touch], "basin2": [None] * n + [b for _, b in touch],
+    }
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.float64(), pa.string(), pa.string())
+    return pa.table({c: pa.array(v, t) for (c, v), t in zip(names.items(), kinds, strict=True)})
+
+
+def _fill_by_steps(grid: DataFrame, written: Callable[[DataFrame, str], DataFrame], eps: float) -> DataFrame:
+    """max(elevation, lowest filled neighbour + eps), from the border inwards, until nothing changes."""
     degree = neighbours(grid).groupBy("row", "col").agg(F.count("*").alias("k"))
     cells = grid.join(degree, ["row", "col"], "left").withColumn("border", F.coalesce(F.col("k") < 8, F.lit(True)))
     now = written(cells.select("row", "col", "elev", "border", F.when(F.col("border"), F.col("elev")).otherwise(float("inf")).alias("fill")), "fill")

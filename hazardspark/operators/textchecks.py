@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +132,89 @@ def _block_top_k(places: DataFrame, block: list, k: int) -> DataFrame:
     return places.select(F.col("place_id").cast("long"), "embedding").mapInArrow(tops, "query long, id long, cos double")
 
 
+def _finite(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and which of the given ones have a direction."""
+    x = _unit(vectors)
+    ok = np.isfinite(x).all(axis=1)
+    return x[ok], ok
+
+
+def vector_top_k_by_pivots(places: DataFrame, queries: DataFrame, k: int, written: Callable[[DataFrame, str], DataFrame], pivots: int = 32, unit: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(query, id, rank) as `vector_top_k` has them, and one row with how many pairs were compared out of all.
+
+    Places lie with the nearest (by angle) of some pivots, which are places drawn by hash; each pivot knows its farthest place. A query is
+    first held against its own pivot's places, which bounds its k-th angle t. Only pivots whose ball can hold a place within t are met
+    then, and of their places only those whose angle to the pivot differs from the query's by t at most (triangle inequality), so no
+    place that belongs to the first k is missed. Places and queries of a pivot are cut by hash into units of about `unit`, so a hot pivot
+    is no single task. What is saved depends on the data: clustered vectors much, random ones of many dimensions next to nothing.
+    """
+    drawn = places.filter("embedding IS NOT NULL").orderBy(F.xxhash64("place_id"), "place_id").limit(pivots).collect()
+    centre, _ = _finite([r["embedding"] for r in drawn]) if drawn else (np.zeros((0, 1)), None)
+    if not len(centre):
+        none = places.sparkSession.createDataFrame([], "query long, id long, cos double, rank int")
+        return none, places.sparkSession.createDataFrame([(0, 0)], "compared long, pairs long")
+
+    def dealt(key: str, vector: str, all_angles: bool):
+        def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                b = b.filter(b[vector].is_valid())
+                if not b.num_rows:
+                    continue
+                x, ok = _finite(b[vector].to_pylist())
+                angle = np.arccos(np.clip(x @ centre.T, -1, 1))
+                own = angle.argmin(axis=1)
+                seen = [row.tolist() for row in (angle if all_angles else np.take_along_axis(angle, own[:, None], 1))]
+                yield pa.RecordBatch.from_arrays([b[key].filter(pa.array(ok)), pa.array(own, pa.int32()), pa.array(seen, pa.list_(pa.float64())), pa.array(x.tolist(), pa.list_(pa.float64()))], ["id", "pivot", "angles", "v"])
+
+        return deal
+
+    shape = "id long, pivot int, angles array<double>, v array<double>"
+    rows = written(places.select(F.col("place_id").cast("long").alias("place_id"), "embedding").mapInArrow(dealt("place_id", "embedding", False), shape), "pivot-places")
+    asked = written(queries.select(F.col("query").cast("long").alias("query"), "asked").mapInArrow(dealt("query", "asked", True), shape), "pivot-queries")
+    balls = rows.groupBy("pivot").agg(F.max(F.col("angles")[0]).alias("reach"), F.ceil(F.count("*") / unit).cast("int").alias("m"))  # a row for each pivot
+
+    def best(found: pa.Table, ask: pa.Table) -> pa.Table:
+        out = {"query": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "cos": np.zeros(0), "compared": np.zeros(0, np.int64)}
+        if found.num_rows and ask.num_rows:
+            vectors = lambda t: np.array(t["v"].to_pylist())
+            near = np.array([a[0] for a in found["angles"].to_pylist()])
+            close = np.abs(ask["angle"].to_numpy()[:, None] - near[None, :]) <= ask["most"].to_numpy()[:, None] + 1e-6
+            cos = np.where(close, np.round(vectors(ask) @ vectors(found).T, 12), -np.inf)
+            ids = np.tile(found["id"].to_numpy(), (ask.num_rows, 1))
+            order = np.lexsort((ids, -cos), axis=1)[:, :k]
+            top = np.take_along_axis(cos, order, 1).ravel()
+            keep = np.isfinite(top)
+            name = ask["id"].to_numpy()
+            out["query"] = np.concatenate([np.repeat(name, order.shape[1])[keep], name])
+            out["id"] = pa.array(np.concatenate([np.take_along_axis(ids, order, 1).ravel()[keep], name]), mask=np.arange(keep.sum() + len(name)) >= keep.sum())
+            out["cos"] = np.concatenate([top[keep], np.zeros(len(name))])
+            out["compared"] = np.concatenate([np.zeros(keep.sum(), np.int64), close.sum(axis=1)])  # a row without id counts what the query met
+        return pa.table({c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in out.items()})
+
+    def met(ask: DataFrame) -> DataFrame:
+        """ask (id, v, pivot, angle, most): the first k of each query in each unit."""
+        shares = ask.groupBy("pivot").agg(F.ceil(F.count("*") / unit).cast("int").alias("mq")).join(balls.select("pivot", "m"), "pivot")
+        part = lambda m: F.pmod(F.xxhash64("id"), m).cast("int")
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+        a = ask.join(shares, "pivot").withColumns({"j": part("mq")}).withColumn("i", every("m")).select("pivot", "i", "j", "id", "v", "angle", "most")
+        p = rows.join(shares, "pivot").withColumn("i", part("m")).withColumn("j", every("mq")).select(F.col("pivot").alias("p"), F.col("i").alias("pi"), F.col("j").alias("pj"), "id", "angles", "v")
+        both = p.groupBy("p", "pi", "pj").cogroup(a.groupBy("pivot", "i", "j"))
+        return written(both.applyInArrow(best, "query long, id long, cos double, compared long"), "pivot-tops")
+
+    place = Window.partitionBy("query").orderBy(F.desc("cos"), "id")
+    at = lambda p: F.element_at("angles", p + 1)
+    first = met(asked.select("id", "v", "pivot", at(F.col("pivot")).alias("angle"), F.lit(4.0).alias("most")))
+    bound = first.filter("id IS NOT NULL").withColumn("rank", F.row_number().over(place)).filter(F.col("rank") == k).select(F.col("query").alias("id"), F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("cos")))).alias("t"))
+    rest = asked.withColumnRenamed("pivot", "own").join(bound, "id", "left").withColumn("most", F.coalesce("t", F.lit(4.0)))
+    rest = rest.join(F.broadcast(balls.select("pivot", "reach")), (F.col("pivot") != F.col("own")) & (at(F.col("pivot")) - F.col("reach") <= F.col("most") + 1e-6))  # pivots: set number
+    second = met(rest.select("id", "v", "pivot", at(F.col("pivot")).alias("angle"), "most"))
+    tops = first.unionByName(second)
+    ranked = tops.filter("id IS NOT NULL").withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+    counts = tops.agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
+    pairs = rows.agg(F.count("*").alias("n")).crossJoin(asked.agg(F.count("*").alias("m"))).select((F.col("n") * F.col("m")).alias("pairs"))  # one row each
+    return ranked.select("query", "id", "cos", "rank"), counts.crossJoin(pairs)
+
+
 def ungrounded_numbers(text: Column, facts: Column) -> Column:
     """Numbers of a text that are not among the facts (an array of strings)."""
     return F.array_except(F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), facts)
@@ -179,7 +262,7 @@ def record_problems(split: Column, locale: Column, question: Column, intent: Col
     return F.filter(found, lambda x: x.isNotNull())
 
 
-#: Capitalised words that are no names; marks of a hedge; phrases that claim safety.
+#: Capitalised words that are no names; marks of a hedge; phrases, patterns and stems that claim safety.
 NO_NAMES = ["Route", "It", "This", "That", "There", "No", "Not", "Use", "Your", "You", "We", "I", "The", "A", "An", "Hazard", "Data", "Confidence", "Always", "Its", "For", "On", "At", "Is", "Are"]
 HEDGES = [
     "unverified", "unconfirmed", "limited", "no recent data", "not confirmed", "not a guarantee", "use your own judgement", "use your own judgment", "may not", "uncertain", "out of date", "don't have",
@@ -189,21 +272,52 @@ CLAIMS = [
     "is safe", "is clear", "is passable", "safe to drive", "safe to travel", "safe to use", "clear to drive", "clear to travel", "nothing to worry", "no issues", "no problem", "all clear", "should be fine",
     "perfectly fine", "completely safe", "totally safe", "guaranteed safe", "safe route", "safe option", "road is open and safe", "you can safely",
 ]
-CLAIM_PATTERN = r"\b(safe|safely|safest|safer|unsafe|dry|drained|receded|subsided|cleared|passable|reopened|fine|ok|okay)\b|\bgo(ing)? ahead\b|\bgood to go\b|\bnot (flooded|waterlogged|blocked|at risk|dangerous)\b"
+#: Patterns of claims, matched in lower case wherever they stand, also negated or hedged: a rejected sentence costs little.
+CLAIM_PATTERNS = {
+    "safe": r"\b(?:safe|safely|safest|safer|unsafe)\b",
+    "dry": r"\b(?:dry|dried|dries|drying|drained|receded|recedes|subsided|clear|clears|cleared|clearing)\b",
+    "open": r"\b(?:passable|open|opened|reopened|re-opened|usable|unblocked|unobstructed|unaffected)\b",
+    "go": r"\bgo(?:ing)? ahead\b|\bgood to go\b|\bfeel free\b|\bproceed\b|\bcarry on\b",
+    "fine": r"\b(?:fine|ok|okay)\b",
+    "no hazard": r"\bno (?:water|flood(?:ing|s)?|waterlogging|hazards?|risks?|danger|dangers|problems?|issues?|obstruction|blockage|worries)\b|\bnot (?:flooded|waterlogged|blocked|at risk|dangerous)\b|\b(?:free|clear) (?:of|from) \w+|\b(?:hazard|risk|flood)[- ]free\b|\bzero risk\b",
+    "no worry": r"\bnothing (?:to worry|wrong|dangerous|to fear)\b|\bno need to worry\b|\brelax\b",
+    "promise": r"\b(?:won'?t|wouldn'?t|will not|would not) (?:flood|have|be flooded|face|see|encounter|meet|find|get)\b",
+    "state change": r"\bno longer\b|\b(?:is|are|was|has been|have been) (?:over|gone|finished|ended)\b|\bhas (?:ended|stopped|passed)\b",
+    "permission": r"\b(?:can|could|may|might|able to|allowed to)(?: be)?(?: able to)?\s+(?:safely\s+)?(?:pass|passed|cross|crossed|drive|ride|go|get through|travel|proceed|take|taken|use|used|continue)\b",
+    "as usual": r"\b(?:is|are) (?:running|moving)\b|\bnormally\b|\bback to normal\b|\bas usual\b|\bit works\b",
+}
+TAMIL_CLAIMS = [
+    "பாதுகாப்", "வறண்", "காய்ந்", "செல்லலாம்", "போகலாம்", "கடக்கலாம்", "தொடரலாம்", "திறந்", "தெளிவாக", "வெள்ளமின்றி", "வடிந்", "தேங்கவில்லை", "தண்ணீர் இல்லை", "நீர் இல்லை", "வெள்ளம் இல்லை",
+    "பிரச்சனை இல்லை", "ஆபத்தும் இல்லை", "ஆபத்து இல்லா", "தடையும் இல்லை", "கவலைப்பட வேண்டாம்", "சரியாக உள்ளது",
+]
+
+
+def without_names(text: Column, names: Column) -> Column:
+    return F.aggregate(names, text, lambda s, n: F.replace(s, n, F.lit(" ")))
+
+
+def claim_kinds(text: Column, names: Column) -> Column:
+    """The kinds of safety claims in a text, in the order of the list: 'phrase', those of CLAIM_PATTERNS, 'tamil' (stems, anywhere in a word).
+    Names of places are taken out first."""
+    lower = F.lower(without_names(text, names))
+    phrase = F.exists(F.array(*map(F.lit, CLAIMS)), lambda p: F.contains(lower, p))
+    tamil = F.exists(F.array(*map(F.lit, TAMIL_CLAIMS)), lambda p: F.contains(lower, p))
+    found = [F.when(phrase, "phrase"), *(F.when(lower.rlike(p), k) for k, p in CLAIM_PATTERNS.items()), F.when(tamil, "tamil")]
+    return F.array_compact(F.array(*found))
 
 
 def explanation_faults(text: Column, facts: Column, names: Column, band: Column, tolerance: float = 0.05) -> Column:
     """Faults of an explanation as an array: 'numeral' (a number that no fact is near to), 'entity' (a capitalised word that is in no
     name), 'unhedged' (low or stale confidence without a hedge), 'claim' (road said to be safe). facts: numbers; names: words that may
     be capitalised, taken out before numbers and claims are read."""
-    bare = F.aggregate(names, text, lambda s, n: F.replace(s, n, F.lit(" ")))
+    bare = without_names(text, names)
     numbers = F.transform(F.regexp_extract_all(bare, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda x: x.cast("double"))
     loose = F.exists(numbers, lambda x: ~F.exists(facts, lambda f: F.abs(f - x) <= tolerance))
     named = F.concat(F.array(*map(F.lit, NO_NAMES)), F.flatten(F.transform(names, lambda n: F.split(n, " "))))
     odd = F.size(F.array_except(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-zA-Z']*\b"), F.lit(0)), named)) > 0
     lower = F.lower(text)
     hedged = F.exists(F.array(*map(F.lit, HEDGES)), lambda h: F.contains(lower, h))
-    said = F.exists(F.array(*map(F.lit, CLAIMS)), lambda p: F.contains(F.lower(bare), p)) | F.lower(bare).rlike(CLAIM_PATTERN)
+    said = F.size(claim_kinds(text, names)) > 0
     faults = F.array(F.when(loose, "numeral"), F.when(odd, "entity"), F.when(band.isin("low", "stale") & ~hedged, "unhedged"), F.when(said, "claim"))
     return F.filter(faults, lambda x: x.isNotNull())
 

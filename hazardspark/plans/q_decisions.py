@@ -183,6 +183,18 @@ def _(t: Tables):
     return t.conversations.select("conv_id", "turn", F.array_join(found, ",").alias("problems"))
 
 
+_SAID = ["The road is dry now, go ahead", "no longer flooded on Dry Dock Road", "You can drive through", "Nothing moves on Dry Dock Road", "தண்ணீர் இல்லை இங்கே", "It will not flood and it is okay", "Data is limited"]
+_KINDS = ["dry|go", "state change", "permission", "", "", "fine|promise", ""]
+
+
+@query("x9_claim_kinds", f"""SELECT event_id, concat_ws('|', nullif([{", ".join(f"'{k}'" for k in _KINDS)}][event_id % 7 + 1], ''), CASE WHEN event_id % 5 = 0 THEN 'as usual' END, CASE WHEN event_id % 7 = 4 THEN 'tamil' END) AS kinds FROM {{events}}""")
+def _(t: Tables):
+    said = F.element_at(F.array(*map(F.lit, _SAID)), (c("event_id") % 7 + 1).cast("int"))
+    text = F.concat_ws(". ", said, F.when(c("event_id") % 5 == 0, "Back to normal"))
+    kinds = textchecks.claim_kinds(text, F.array(F.lit("Dry Dock Road")))
+    return t.events.select("event_id", F.array_join(kinds, "|").alias("kinds"))
+
+
 @query("x9_explanation_faults", """WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Route A takes 12 min on Dry Dock Road' WHEN 1 THEN 'Flood is passable, go ahead' WHEN 2 THEN 'Use your own judgement, 99 percent sure' WHEN 3 THEN 'Anna Salai is 3.5 km' WHEN 4 THEN 'There is no data for Dry Dock Road' ELSE 'It takes ' || value || ' min' END AS text,
       [12e0, value] AS facts, CASE WHEN event_id % 4 = 0 THEN 'low' WHEN event_id % 4 = 1 THEN 'stale' ELSE 'high' END AS band FROM {events}), b AS (SELECT *, replace(replace(text, 'Dry Dock Road', ' '), 'Route A', ' ') AS bare FROM e)
     SELECT event_id, array_to_string(list_filter([CASE WHEN len(list_filter(regexp_extract_all(bare, '[0-9]+(\\.[0-9]+)?'), lambda x: len(list_filter(facts, lambda f: abs(f - CAST(x AS DOUBLE)) <= 0.05)) = 0)) > 0 THEN 'numeral' END,

@@ -84,7 +84,6 @@ def _(t: Tables):
     k = F.floor(c("slot") / 1800)
     fed = t.rain_slices.filter(~((k % 3 == 2) & (F.floor(c("slot") / 86400) % 5 >= 3)))
     signals = fed.select(F.concat(F.lit("r"), (k % 3).cast("string")).alias("region"), c("slot").alias("t"), (c("mean_mm_h") - 4).alias("acc_mm"), (c("peak_mm_h") - 17.2).alias("peak_mm_h"), F.when(k % 13 == 5, 2.0).alias("manual"), (k % 11 == 0).alias("stale"), (k % 7 * 2.0).alias("forecast_mm"))
-    streams.rocksdb(t.spark)
     return in_parts(signals, "t", lambda s: streams.event_states(s, 1, "1 hour"), "state").select("region", "t", "state")
 
 

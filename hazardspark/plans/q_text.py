@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hazardspark.operators import places, textchecks
 from hazardspark.plans.registry import Tables, query
+from hazardspark.tables import written
 
 c, r6 = F.col, lambda x: F.round(x, 6)
 
@@ -79,6 +80,13 @@ def _(t: Tables):
     return textchecks.vector_top_k(t.gazetteer, asked, 20).select("query", "id", "rank")
 
 
+@query("x11_vector_candidates_pivots", """WITH q AS (SELECT place_id AS query, embedding AS asked FROM {gazetteer} WHERE place_id % 20 = 0), p AS (SELECT q.query, g.place_id AS id, list_dot_product(g.embedding::DOUBLE[], q.asked::DOUBLE[]) / sqrt(list_dot_product(g.embedding::DOUBLE[], g.embedding::DOUBLE[]) * list_dot_product(q.asked::DOUBLE[], q.asked::DOUBLE[])) AS cos FROM {gazetteer} g CROSS JOIN q)
+    SELECT query, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cos DESC, id) AS rank FROM p) x WHERE rank <= 20""")
+def _(t: Tables):
+    asked = t.gazetteer.filter("place_id % 20 = 0").select(c("place_id").alias("query"), c("embedding").alias("asked"))
+    return textchecks.vector_top_k_by_pivots(t.gazetteer, asked, 20, written)[0].select("query", "id", "rank")
+
+
 @query("x6_ungrounded_numbers", "SELECT event_id, len(list_distinct(list_filter(regexp_extract_all('passed ' || value || ' of ' || event_id % 9, '[0-9]+(\\.[0-9]+)?'), lambda x: x <> CAST(event_id % 9 AS VARCHAR)))) AS n FROM {events}")
 def _(t: Tables):
     text = F.concat(F.lit("passed "), c("value").cast("string"), F.lit(" of "), (c("event_id") % 9).cast("string"))

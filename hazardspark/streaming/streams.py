@@ -106,7 +106,8 @@ def event_states(signals: DataFrame, configured: int = 0, late: str | None = Non
     `manual` overrides; a stale signal extends no hold and gives the configured state; a forecast of 8 mm or more in three hours raises
     dry to watch and no more. With `late` (a watermark's delay) a region that has sent nothing fresh for 12 h falls to the configured
     state, by a timer or, where one batch holds later signals of the region too, in their order, so that batches can be cut anywhere.
-    The state of a region is three numbers and a timer. Needs the RocksDB state store (`rocksdb`)."""
+    The state of a region is three numbers and a timer. It lies in RocksDB, which is set for the session (`rocksdb`)."""
+    rocksdb(signals.sparkSession)
     has = lambda k, kind: (F.col(k) if k in signals.columns else F.lit(None)).cast(kind).alias(k)
     level = level_number(rain_level(F.col("acc_mm"), F.col("peak_mm_h"))).alias("level")
     rows = signals.select("region", F.col("t").cast("long").alias("t"), level, has("manual", "double"), F.coalesce(has("stale", "boolean"), F.lit(False)).alias("stale"), has("forecast_mm", "double"))

@@ -17,6 +17,8 @@ PLAIN = {
     "f5_pessimistic_beta": "test_pessimistic_beta", "g4_sample_od_pairs": "test_reach_costs_and_routes", "g5_shortest_costs_all": "test_reach_costs_and_routes", "g6_routes": "test_reach_costs_and_routes",
     "g3_reachable_all": "tests/test_whole_graph.py", "u5_calendar_clusters_all": "tests/test_whole_tables.py", "m13_logistic_leg": "test_logistic_leg", "m15_train_gbt": "test_models_of_scored_rows",
     "m15_gbt_grid": "test_gbt_grid_finds_a_planted_rule", "m18_isotonic": "test_isotonic", "m18_isotonic_out_of_fold": "test_isotonic", "m25_depression_fill": "test_depression_fill", "m28_greedy_clusters": "test_greedy_clusters",
+    "f22_lexical_score": "tests/test_names_and_places.py", "x3_match_by_text": "tests/test_names_and_places.py", "x4_miner_scores_by_text": "tests/test_names_and_places.py", "m28_running_clusters": "tests/test_names_and_places.py",
+    "g13_searched_modes": "tests/test_resampling_and_streams.py", "g14_searched_reports": "tests/test_resampling_and_streams.py",
     "m29_transfer_eval": "test_transfer_gains_over_one_feature", "t7_farthest_points": "test_farthest_points",
 }
 
@@ -180,6 +182,33 @@ def test_depression_fill(spark, sf_dir):
     assert {(r.row, r.col): r.fill for r in queries()["m25_depression_fill"](spark, sf_dir).collect()} == fill
 
 
+def flood(cells):
+    near = lambda k: [(k[0] + i, k[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0) and (k[0] + i, k[1] + j) in cells]
+    fill, todo = {}, [(e, k) for k, e in cells.items() if len(near(k)) < 8]
+    heapq.heapify(todo)
+    while todo:
+        level, k = heapq.heappop(todo)
+        if k not in fill:
+            fill[k] = level
+            for m in near(k):
+                if m not in fill:
+                    heapq.heappush(todo, (max(level, cells[m]), m))
+    return fill
+
+
+@pytest.mark.parametrize("tile", [7, 256])
+def test_depression_fill_by_tiles(spark, tile):
+    """A long winding valley, noise, flats and a hole in the grid, over tiles of several sizes."""
+    draw = random.Random(tile)
+    cells = {(r, c): float(draw.randrange(8)) for r in range(40) for c in range(40)}
+    cells |= {(r, c): 20.0 + draw.randrange(3) for r in range(0, 40, 4) for c in range(1 if r % 8 else 0, 40 if r % 8 else 39)}  # walls with a gap at one end
+    cells |= {(r, c): 30.0 for r in range(40) for c in (0, 39)}
+    for k in [(20, 20), (20, 21)]:
+        del cells[k]
+    grid = spark.createDataFrame([(r, c, e) for (r, c), e in cells.items()], "row long, col long, elev double")
+    assert {(r.row, r.col): r.fill for r in terrain.depression_fill(grid, written, tile=tile).collect()} == flood(cells)
+
+
 def test_greedy_clusters(spark, sf_dir):
     zones = sorted(Tables(spark, sf_dir).zones.collect(), key=lambda z: (-z.area, z.zone_id))
     owner = {}
