@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazardspark.tables import spread
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -36,7 +38,7 @@ def _hashed_grams(texts: DataFrame, key: str, n: int) -> DataFrame:
     ws = F.transform(words(F.col("text")), lambda w: F.struct(F.xxhash64(w).alias("a"), F.xxhash64(F.lit(1), w).alias("b")))
     runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(*(F.xxhash64(*(w[i + k][c] for k in range(n))).alias(f"h_{c}") for c in "ab")))
     found = F.transform(F.array(ws), lambda w: F.when(F.size(w) >= n, runs(w)))[0]
-    rows = texts.select(key, F.posexplode(found).alias("pos", "g"))
+    rows = spread(texts.select(key, "text")).select(key, F.posexplode(found).alias("pos", "g"))
     return rows.select(key, "pos", F.col("g.h_a").alias("h1"), F.col("g.h_b").alias("h2"))
 
 

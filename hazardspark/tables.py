@@ -35,3 +35,9 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as the session has cores, where it is read in fewer (a small table in one file); any other stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
