@@ -47,10 +47,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows that repeat an id and a text leave one of them, whichever."""
+    """The rows of docs that stay, with all their columns. Rows that repeat an id and a text leave one of them, whichever.
+
+    Ids are compared inside a struct, where null equals null: the join then deals rows by the very columns of the last step, so each
+    text crosses the network once here.
+    """
     keep, digest = free_names(docs, "__keep_id", "__keep_digest")
-    keys = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(keep), F.col("digest").alias(digest))
+    keys = exact_groups(docs, id_col, text_col).filter("kept").select(F.struct("doc_id").alias(keep), F.col("digest").alias(digest))
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    rows = docs.withColumns({keep: F.col(id_col), digest: F.unhex(F.sha2(norm, 256))})
-    same = rows[keep].eqNullSafe(keys[keep]) & (rows[digest] == keys[digest])
-    return rows.join(keys, same, "left_semi").dropDuplicates([keep, digest]).select(docs.columns)
+    rows = docs.withColumns({keep: F.struct(F.col(id_col).alias("doc_id")), digest: F.unhex(F.sha2(norm, 256))})
+    return rows.join(keys, [keep, digest], "left_semi").dropDuplicates([keep, digest]).select(docs.columns)

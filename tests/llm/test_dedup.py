@@ -187,3 +187,17 @@ def test_empty_tables(spark):
     assert crossparse.identify(df, crossparse.sample_texts(df)).count() == 0
     one = frame(spark, [(1, "a b")])
     assert decontam.find_matches(one, bench).collect()[0].n_words == 2
+
+
+def test_rows_that_stay_are_dealt_out_once(spark, docs):
+    """Nothing is exchanged above the join that finds them, repeated rows and null ids included."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        left = exact_dedup.drop_exact_copies(frame(spark, docs))
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan.split("SortMergeJoin")[0]
+        assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(x[0]) for x in brute.exact(docs) if x[3])
+    finally:
+        spark.conf.set(name, before)
