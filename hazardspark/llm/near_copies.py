@@ -155,8 +155,8 @@ def _by_rows(it: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.R
 
 def _met(probes: DataFrame, plan: Plan, similarity: float) -> DataFrame:
     """(kind, part, value, a, b) of texts that agree in a probe. kind 0: a pair (a, b) that may be similar, b the closest that a has met
-    among the 32 places before it in the probe's order. kind 1: a probe that more than 33 texts share. kind 2: a text (a) of a probe
-    with further pairs that may be similar. Memory holds a batch and the last 32 rows, however many texts share a probe."""
+    among the 32 places before it in the probe's order. kind 1: a text (a) of a probe with further pairs that may be similar, or of one
+    that 33 texts or more share; so probes are dealt out only here. Memory holds a batch and the last 32 rows, however many texts share a probe."""
     names = ("part", "value", "node", "n", "f1", "f2")
 
     def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,16 +183,18 @@ def _met(probes: DataFrame, plan: Plan, similarity: float) -> DataFrame:
             order = np.lexsort((far, end))
             end, start = end[order].astype(np.int64), start[order].astype(np.int64)
             first = np.concatenate([[True], end[1:] != end[:-1]])[: len(end)]
-            more = np.unique(np.concatenate([end[~first], start[~first]]))
-            hot = np.unique(np.stack([x["part"][i].astype(np.int64), x["value"][i]]), axis=1)
+            shared = np.zeros(len(x["node"]) + 1, np.int64)  # i: rows of the probe of the row _WINDOW places before them
+            np.add.at(shared, i - _WINDOW, 1)
+            np.add.at(shared, i + 1, -1)
+            more = np.unique(np.concatenate([end[~first], start[~first], np.flatnonzero(np.cumsum(shared))]))
             a, c, none = x["node"][end[first]], x["node"][start[first]], np.zeros
-            sizes = [len(a), hot.shape[1], len(more)]
+            sizes = [len(a), len(more)]
             columns = [
-                np.repeat(np.array([0, 1, 2], np.int32), sizes),
-                np.concatenate([none(sizes[0], np.int32), hot[0].astype(np.int32), x["part"][more]]),
-                np.concatenate([none(sizes[0], np.int64), hot[1], x["value"][more]]),
-                np.concatenate([np.minimum(a, c), none(sizes[1], np.int64), x["node"][more]]),
-                np.concatenate([np.maximum(a, c), none(sizes[1] + sizes[2], np.int64)]),
+                np.repeat(np.array([0, 1], np.int32), sizes),
+                np.concatenate([none(sizes[0], np.int32), x["part"][more]]),
+                np.concatenate([none(sizes[0], np.int64), x["value"][more]]),
+                np.concatenate([np.minimum(a, c), x["node"][more]]),
+                np.concatenate([np.maximum(a, c), none(sizes[1], np.int64)]),
             ]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["kind", "part", "value", "a", "b"])
 
@@ -200,22 +202,20 @@ def _met(probes: DataFrame, plan: Plan, similarity: float) -> DataFrame:
     return dealt.mapInArrow(near, "kind int, part int, value long, a long, b long").distinct()
 
 
-def _met_apart(probes: DataFrame, met: DataFrame, named: DataFrame, sketches: DataFrame, masks: list[tuple[int, int]], plan: Plan, similarity: float) -> DataFrame:
+def _met_apart(met: DataFrame, named: DataFrame, sketches: DataFrame, masks: list[tuple[int, int]], plan: Plan, similarity: float) -> DataFrame:
     """(lo, hi, nodes, a, b): all further pairs (a[i], b[i]) of different components that agree in a probe and may be similar by their
     whole fingerprints, each once: in the first probe in which they agree. A probe's texts are cut by hash into chunks of about 2048
     texts and a million shingles, and each pair of chunks is one unit of work, so no task holds a probe whole.
 
     A unit gives its pairs as arrays, by the places of their two texts: a text's place is a chunk of the texts that share a probe with
     the same lowest text, so the texts of a group have few places and their shingle sets go to few blocks (lo, hi) for the exact check."""
-    hot = met.filter("kind = 1").select("part", "value")
-    all_of = probes.join(hot, ["part", "value"]).select("part", "value", "node")
-    rows = all_of.unionByName(met.filter("kind = 2").select("part", "value", F.col("a").alias("node")).join(hot, ["part", "value"], "left_anti"))
+    rows = met.filter("kind = 1").select("part", "value", F.col("a").alias("node"))
     labels = named.select(F.col("node").alias("__n"), "component")
     rows = rows.join(labels, rows["node"] == labels["__n"], "left").withColumn("component", F.coalesce("component", "node")).drop("__n")
     rows = written(rows.join(sketches.select("node", "n"), "node"), "near-apart")
     chunks = F.ceil(F.greatest(F.count("*") / _UNIT, F.sum("n") / (_UNIT * _SHINGLES))).cast("int").alias("m")
     sizes = rows.groupBy("part", "value").agg(chunks, F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("first"))
-    rows = rows.join(sizes.filter("lo <> hi").drop("lo", "hi"), ["part", "value"])
+    rows = written(rows.join(sizes.filter("lo <> hi").drop("lo", "hi"), ["part", "value"]), "near-mixed")
     leader = written(rows.groupBy("node").agg(F.min("first").alias("leader"), F.first("n").alias("n")), "near-leaders")
     leads = leader.groupBy("leader").agg(chunks)
     home = leader.join(leads, "leader")
@@ -345,14 +345,13 @@ def near_nodes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, miss:
 
     sketches = written(rows.select("node", "text").mapInArrow(sketch, "node long, n int, fp binary").dropDuplicates(["node"]), "wide-fingerprints")
     masks = plan_masks(sketches, n, plan)
-    probes = _probes(sketches, masks, plan)
-    met = written(_met(probes, plan, similarity), "near-met")
+    met = written(_met(_probes(sketches, masks, plan), plan, similarity), "near-met")
     closest = met.filter("kind = 0 AND a <> b").select("a", "b")
     ends = F.explode(F.array("a", "b")).alias("node")
     sets = _shingle_sets(closest.select(ends).distinct(), rows, shingle)
     links = _similar(closest, sets, similarity)
     named = written(connected_components(links, written), "near-named")
-    rest = _met_apart(probes, met, named, sketches, masks, plan, similarity)
+    rest = _met_apart(met, named, sketches, masks, plan, similarity)
     unknown = rest.select(F.explode("nodes").alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
     if not unknown.isEmpty():
         sets = sets.unionByName(_shingle_sets(unknown, rows, shingle))

@@ -127,3 +127,19 @@ def test_planted_recall_of_met_pairs(spark, monkeypatch, as_of):
         docs += [(2 * k, a), (2 * k + 1, b)]
     kept = near_copies.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).count()
     assert pairs >= 380 and 800 - kept >= 0.97 * pairs and 800 - kept <= pairs
+
+
+def test_texts_of_shared_probes_are_named_where_they_meet(spark, monkeypatch):
+    """Probes are dealt out once: every text of a probe that more than _WINDOW texts share comes from that pass, over batches of any size."""
+    by_rows = near_copies._by_rows
+    monkeypatch.setattr(near_copies, "_WINDOW", 4)
+    draw = np.random.default_rng(2)
+    sizes = {1: 1, 2: 4, 3: 5, 4: 6, 5: 40, 6: 3}
+    rows = [(part, 7, 100 * part + k, 10, *map(int, draw.integers(-(1 << 63), 1 << 63, 2))) for part, n in sizes.items() for k in range(n)]
+    probes = spark.createDataFrame(rows, "part int, value long, node long, n int, f1 long, f2 long")
+    plan = near_copies.make_plan(100, 0.8, 0.02)
+    for batch in (1, 3, 1 << 16):
+        monkeypatch.setattr(near_copies, "_by_rows", lambda it, batch=batch: (x.slice(k, batch) for x in by_rows(it) for k in range(0, x.num_rows, batch)))
+        got = near_copies._met(probes, plan, 0.8).collect()
+        assert {(r.part, r.value, r.a) for r in got if r.kind == 1} >= {(r[0], 7, r[2]) for r in rows if sizes[r[0]] > 4}
+        assert not {r.part for r in got} & {1, 2, 6} and len(got) == len({tuple(r) for r in got})
