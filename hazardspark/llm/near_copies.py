@@ -23,6 +23,7 @@ from hazardspark.operators.components import connected_components
 _LANES = np.uint64(0x0101010101010101)
 _CHUNK = 255  # a byte counts so many shingles
 _WINDOW, _UNIT, _SHINGLES = 32, 2048, 512
+_FEW = 1 << 20  # nodes, 8 MB of ids
 
 
 @dataclass(frozen=True)
@@ -290,14 +291,14 @@ def _similar_in_blocks(found: DataFrame, sets: DataFrame, similarity: float) ->
     return written(both.applyInArrow(verify, "a long, b long"), "near-links")
 
 
-def _shingle_sets(nodes: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """(node, grams): the shingle sets of the texts of some nodes."""
+def _shingle_sets(nodes: DataFrame, rows: DataFrame, shingle: int, few: bool = False) -> DataFrame:
+    """(node, grams): the shingle sets of the texts of some nodes. Few nodes (_FEW at most) go to the texts, else texts go to them."""
 
     def grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(it):
             yield pa.RecordBatch.from_arrays([b["node"], pa.array([shingle_set(t, shingle).tobytes() for t in b["text"].to_pylist()], pa.binary())], ["node", "grams"])
 
-    some = rows.join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"])  # texts cross the network once
+    some = rows.join(nodes.hint("broadcast" if few else "merge"), "node", "left_semi").dropDuplicates(["node"])  # texts cross the network once
     return written(some.mapInArrow(grams, "node long, grams binary"), "near-sets")
 
 
@@ -353,8 +354,8 @@ def near_nodes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, miss:
     named = written(connected_components(links, written), "near-named")
     rest = _met_apart(met, named, sketches, masks, plan, similarity)
     unknown = rest.select(F.explode("nodes").alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
-    if not unknown.isEmpty():
-        sets = sets.unionByName(_shingle_sets(unknown, rows, shingle))
+    if new := unknown.count():
+        sets = sets.unionByName(_shingle_sets(unknown, rows, shingle, new <= _FEW))
     more = _similar_in_blocks(rest, sets, similarity)
     if more.isEmpty():
         return named

@@ -143,3 +143,15 @@ def test_texts_of_shared_probes_are_named_where_they_meet(spark, monkeypatch):
         got = near_copies._met(probes, plan, 0.8).collect()
         assert {(r.part, r.value, r.a) for r in got if r.kind == 1} >= {(r[0], 7, r[2]) for r in rows if sizes[r[0]] > 4}
         assert not {r.part for r in got} & {1, 2, 6} and len(got) == len({tuple(r) for r in got})
+
+
+def test_few_texts_are_fetched_without_dealing_out_all(spark, monkeypatch):
+    """Shingle sets of a few more texts: their ids go to the texts, so no exchange stands below the join."""
+    plans, write = [], near_copies.written
+    monkeypatch.setattr(near_copies, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    rows = spark.createDataFrame([(k % 40, f"text number {k % 40} with a few words") for k in range(80)], "node long, text string")
+    nodes = spark.createDataFrame([(3,), (5,), (99,)], "node long")
+    for few in (True, False):
+        got = {r.node: bytes(r.grams) for r in near_copies._shingle_sets(nodes, rows, 5, few).collect()}
+        assert got == {k: near_copies.shingle_set(f"text number {k} with a few words", 5).tobytes() for k in (3, 5)}
+    assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
