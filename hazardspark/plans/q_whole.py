@@ -36,8 +36,7 @@ def _(t: Tables):
 
 @query("u5_calendar_clusters_all")
 def _(t: Tables):
-    a, b = catalogue(t, 0), catalogue(t, 1)
-    return events.calendar_clusters(a, b, events.link_catalogues(a, b), lambda e: connected_components(e, written))
+    return events.calendar_clusters_by_days(catalogue(t, 0), catalogue(t, 1), lambda e: connected_components(e, written), written)
 
 
 @query("a10_event_counts_all", _sql("a10_event_counts"))
