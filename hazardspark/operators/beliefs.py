@@ -60,10 +60,15 @@ def prior_only_edges(prior: DataFrame, attached: DataFrame, at_least: float = co
 
 
 def hazard_config(attached: DataFrame, prior: DataFrame, hazards: DataFrame) -> DataFrame:
-    """Edges with reports, with the parameters of their dominant class, and edges that have a high prior only."""
-    seen = dominant_class(attached, hazards).join(prior, "edge_id").select("edge_id", "hazard_class", "prior_p", "n", F.lit(True).alias("observed"))
-    only = prior_only_edges(prior, attached).select("edge_id", F.lit(config.PRIOR_ONLY_CLASS).alias("hazard_class"), "prior_p", F.lit(0).cast("long").alias("n"), F.lit(False).alias("observed"))
-    return seen.unionByName(only).join(F.broadcast(hazards), "hazard_class")
+    """Edges with reports, with the parameters of their dominant class, and edges that have a high prior only. Joins to the prior, and no
+    union of the two kinds of edges: Spark takes a union of sides dealt by edge for dealt by edge itself, and then fails where it reads them
+    as two lists of partitions."""
+    reported = attached.select("edge_id").distinct().withColumn("__reported", F.lit(True))
+    seen = dominant_class(attached, hazards).select("edge_id", "hazard_class", "n")
+    rows = prior.join(reported, "edge_id", "left").join(seen, "edge_id", "left").withColumn("observed", F.col("hazard_class").isNotNull())
+    only = F.when(F.col("__reported").isNull() & (F.col("prior_p") >= config.PRIOR_ONLY_AT), config.PRIOR_ONLY_CLASS)
+    rows = rows.withColumns({"hazard_class": F.coalesce("hazard_class", only), "n": F.coalesce("n", F.lit(0).cast("long"))}).filter("hazard_class IS NOT NULL")
+    return rows.select("edge_id", "hazard_class", "prior_p", "n", "observed").join(F.broadcast(hazards), "hazard_class")
 
 
 def _evidence(attached: DataFrame, hazards: DataFrame, sources: DataFrame, at: str | Column) -> DataFrame:
