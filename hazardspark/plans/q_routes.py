@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardspark import config
-from hazardspark.operators import beliefs, graph, routes, studies
+from hazardspark.operators import beliefs, graph, paths, routes, studies
 from hazardspark.plans.q_belief import AT
 from hazardspark.plans.q_models import SHARED_TAU_S
 from hazardspark.plans.registry import Tables, query
@@ -24,10 +24,10 @@ def searched(t: Tables, edges: DataFrame, by: str, base: str) -> DataFrame:
     nodes that the base variant reaches."""
     sources = written(t.lattice_nodes.select("node").orderBy(F.xxhash64(F.lit(SEED), "node"), "node").limit(PAIRS), "od-sources")
     edges = written(edges, "variants")
-    costs = written(graph.shortest_costs(edges, sources, written, by=(by,)), "variant-costs")
-    pairs = written(studies.sample_pairs(costs.filter(c(by) == base), PAIRS, SEED), "od-pairs")
-    paths = graph.routes(costs.join(pairs.select("source").distinct(), "source", "left_semi"), edges, pairs, written, by=(by,))
-    return written(graph.path_edges(paths, edges, (by,)), "variant-legs")
+    reached = paths.costs_from(edges.filter(c(by) == base), sources, written)
+    pairs = written(studies.sample_pairs(reached, PAIRS, SEED), "od-pairs")
+    found = paths.paths_of(edges, pairs, written, by=(by,))
+    return written(graph.path_edges(found, edges, (by,)), "variant-legs")
 
 
 def mode_edges(t: Tables) -> DataFrame:
