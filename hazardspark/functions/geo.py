@@ -52,8 +52,16 @@ def _column_at(lon: Column, n: Column) -> Column:
     return F.floor((lon + 180) / 360 * n).cast("long")
 
 
+def on_sphere(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """The same place with a latitude from -90 to 90: one beyond a pole lies on the opposite meridian, as distances have it."""
+    turn = F.pmod(lat + 90, F.lit(360.0))
+    folded = F.when(turn <= 180, turn - 90).otherwise(270 - turn)
+    return F.when(F.abs(lat) <= 90, lat).otherwise(folded), F.when((F.abs(lat) <= 90) | (turn <= 180), lon).otherwise(lon + 180)
+
+
 def grid_cell(lat: Column, lon: Column, size: float) -> Column:
     """(cy, cx) of a grid on the sphere: rows `size` degrees high, columns that widen with the latitude and close at 180 degrees."""
+    lat, lon = on_sphere(lat, lon)
     row = F.floor((lat + 90) / size).cast("long")
     n = _columns_of(row, size)
     return F.struct(row.alias("cy"), F.pmod(_column_at(lon, n), n).alias("cx"))
@@ -61,6 +69,7 @@ def grid_cell(lat: Column, lon: Column, size: float) -> Column:
 
 def grid_cover(lat: Column, lon: Column, radius_m: float, size: float) -> Column:
     """All cells (cy, cx) of that grid which the circle around a point touches, also over a pole or 180 degrees; each once."""
+    lat, lon = on_sphere(lat, lon)
     r = radius_m / (EARTH_M * math.pi / 180) * (1 + 1e-9) + 1e-9
     reach = F.sin(F.radians(F.lit(min(r, 90.0)))) / F.cos(F.radians(lat))
     wide = F.when((F.abs(lat) + r < 90) & (reach < 1), F.degrees(F.asin(reach)) + 1e-9).otherwise(F.lit(180.0))

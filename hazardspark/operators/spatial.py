@@ -62,20 +62,23 @@ def edges_within(points: DataFrame, edges: DataFrame, radius_m: float = 75.0, li
     return top(close, limit).unionByName(top(edges_near(alone, edges, wider_m), wider_limit)).select("id", "edge_id", "distance_m", "rank")
 
 
-def points_near(points: DataFrame, places: DataFrame, radius_m: float, size: float | None = None) -> DataFrame:
+def points_near(points: DataFrame, places: DataFrame, radius_m: float, size: float | None = None, box: float | None = None) -> DataFrame:
     """All pairs of points (any columns; lat, lon) and places (key columns; plat, plon) within the radius, with distance_m, anywhere on the
-    sphere: a place is dealt to the cells that its circle touches, a point lies in one."""
+    sphere: a place is dealt to the cells that its circle touches, a point lies in one. With `box`, both degrees as they are written also
+    differ by less than that, which at high latitudes is less than the circle."""
     size = size or max(radius_m / DEGREE_M, 1e-6)
     a = points.withColumn("__c", grid_cell(F.col("lat"), F.col("lon"), size)).withColumns({"__cy": F.col("__c.cy"), "__cx": F.col("__c.cx")}).drop("__c")
     b = places.withColumn("__c", F.explode(grid_cover(F.col("plat"), F.col("plon"), radius_m, size))).withColumns({"__cy": F.col("__c.cy"), "__cx": F.col("__c.cx")}).drop("__c")
     d = haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    return a.join(b, ["__cy", "__cx"]).withColumn("distance_m", d).filter(F.col("distance_m") <= radius_m).drop("__cy", "__cx")
+    met = a.join(b, ["__cy", "__cx"])
+    met = met if box is None else met.filter((F.abs(F.col("lat") - F.col("plat")) < box) & (F.abs(F.col("lon") - F.col("plon")) < box))
+    return met.withColumn("distance_m", d).filter(F.col("distance_m") <= radius_m).drop("__cy", "__cx")
 
 
-def nearest_point(points: DataFrame, places: DataFrame, radius_m: float, key: str, size: float | None = None) -> DataFrame:
-    """points with the nearest place (key, distance_m) within the radius, ties to the lower key; null where there is none. places: key,
-    lat, lon."""
-    near = points_near(points.select("id", "lat", "lon"), places.select(key, F.col("lat").alias("plat"), F.col("lon").alias("plon")), radius_m, size)
+def nearest_point(points: DataFrame, places: DataFrame, radius_m: float, key: str, size: float | None = None, box: float | None = None) -> DataFrame:
+    """points with the nearest place (key, distance_m) within the radius (and the box, as in `points_near`), ties to the lower key; null
+    where there is none. places: key, lat, lon."""
+    near = points_near(points.select("id", "lat", "lon"), places.select(key, F.col("lat").alias("plat"), F.col("lon").alias("plon")), radius_m, size, box)
     best = near.groupBy("id").agg(F.min(F.struct("distance_m", key)).alias("__b")).select("id", F.col(f"__b.{key}").alias(key), "__b.distance_m")
     return points.join(best, "id", "left")
 
