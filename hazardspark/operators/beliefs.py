@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from hazardspark import config
 from hazardspark.functions.belief import decay, edge_cost, kernel, logit, reliability_weight, sigmoid
-from hazardspark.functions.geo import cell, haversine_m
 from hazardspark.operators.observations import age_s, live_reports, window_by_clock
+from hazardspark.operators.spatial import points_near
 
 
 def attach_snap(obs: DataFrame, snap: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,16 +30,12 @@ def attach_reverse_twins(attached: DataFrame, edges: DataFrame) -> DataFrame:
     return attached.unionByName(other).dropDuplicates(["edge_id", "id"])
 
 
-def zone_prior(edges: DataFrame, zones: DataFrame, radius_m: float = config.ZONE_RADIUS_M, size: float = 0.01) -> DataFrame:
+def zone_prior(edges: DataFrame, zones: DataFrame, radius_m: float = config.ZONE_RADIUS_M, box: float | None = None) -> DataFrame:
     """(edge_id, prior_p, prior_logodds, n_zones): mean of the zones' probabilities around the edge's middle, weighted 1 - d / radius; the
-    lowest category where there is none. zones: lat, lon, p. Each zone is dealt to the cells around it, so the range join is an
-    equality join by cell."""
-    reach = int(radius_m / (size * 111320.0)) + 1
-    shifts = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    spread = zones.withColumn("dx", shifts).withColumn("dy", shifts).select("lat", "lon", "p", (cell(F.col("lat"), size) + F.col("dx")).alias("cy"), (cell(F.col("lon"), size) + F.col("dy")).alias("cx"))
-    mid = edges.select("edge_id", ((F.col("lat1") + F.col("lat2")) / 2).alias("mlat"), ((F.col("lon1") + F.col("lon2")) / 2).alias("mlon"))
-    mid = mid.withColumns({"cy": cell(F.col("mlat"), size), "cx": cell(F.col("mlon"), size)})
-    near = mid.join(spread, ["cy", "cx"]).withColumn("w", 1 - haversine_m(F.col("mlat"), F.col("mlon"), F.col("lat"), F.col("lon")) / radius_m).filter("w >= 0")
+    lowest category where there is none. zones: lat, lon, p. Zones within the radius are those of `points_near`, in a box if one is given."""
+    mid = edges.select("edge_id", ((F.col("lat1") + F.col("lat2")) / 2).alias("lat"), ((F.col("lon1") + F.col("lon2")) / 2).alias("lon"))
+    near = points_near(mid, zones.select(F.col("lat").alias("plat"), F.col("lon").alias("plon"), "p"), radius_m, box=box)
+    near = near.withColumn("w", 1 - F.col("distance_m") / radius_m).filter("w >= 0")
     sums = near.groupBy("edge_id").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("p")).alias("swp"), F.count("*").alias("n_zones"))
     p = F.when(F.col("sw") > 0, F.col("swp") / F.col("sw")).otherwise(config.ZONE_FLOOR)
     out = edges.select("edge_id").join(sums, "edge_id", "left").select("edge_id", p.alias("prior_p"), F.coalesce("n_zones", F.lit(0)).alias("n_zones"))
