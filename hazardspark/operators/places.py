@@ -110,24 +110,26 @@ def state_key(state: Column) -> Column:
     return name_key(F.replace(state, F.lit("&"), F.lit("and")))
 
 
-def choose_geocode(asked: DataFrame, found: DataFrame, relaxed: bool = False) -> DataFrame:
+def choose_geocode(asked: DataFrame, found: DataFrame, relaxed: bool = False, on: str = "id") -> DataFrame:
     """(id, candidate): the answer of a geocoder to take for each asked place, null where none is in its state.
 
-    asked: id, name, state; found: id, candidate, name, admin1, admin2, feature_code, population. Seats of administration come before
+    asked: id, name, state and the column `on`, if it is another; found: on (what the answers were found for), candidate, name, admin1, admin2, feature_code, population. Seats of administration come before
     other places and these before the rest, then answers whose district has the asked name, then larger ones, then the lower candidate.
-    Relaxed, states that were split count as one, only answers of the same name or district stand, and the district is no tier."""
-    rows = asked.select("id", F.col("name").alias("__name"), state_key(F.col("state")).alias("__state")).join(found, "id")
-    here = state_key(F.coalesce("admin1", F.lit("")))
-    same = name_key(F.coalesce("admin2", F.lit(""))) == name_key(F.col("__name"))
+    Relaxed, states that were split count as one, only answers of the same name or district stand, and the district is no tier.
+
+    Places that ask the same are one question, which meets the answers in its state only."""
+    asked = asked.withColumn("__question", F.struct(on, "name", "state"))
+    one = F.create_map(*[F.lit(x) for a, b in SPLIT_STATES for x in (b, a)])
+    whole = lambda k: F.coalesce(F.element_at(one, k), k) if relaxed else k
+    questions = asked.select("__question").distinct().select("__question", F.col(f"__question.{on}").alias("__on"), name_key(F.col("__question.name")).alias("__name"), whole(state_key(F.col("__question.state"))).alias("__state"))
     code = F.coalesce("feature_code", F.lit(""))
-    size = F.desc(F.coalesce("population", F.lit(0)))
-    if relaxed:
-        one = F.create_map(*[F.lit(x) for a, b in SPLIT_STATES for x in (b, a)])
-        whole = lambda k: F.coalesce(F.element_at(one, k), k)
-        ok = rows.filter((whole(here) == whole(F.col("__state"))) & (same | (name_key(F.coalesce("name", F.lit(""))) == name_key(F.col("__name")))))
-        order = [F.when(code.startswith("PPLA"), 0).otherwise(1), size, "candidate"]
-    else:
-        ok = rows.filter(here == F.col("__state"))
-        order = [F.when(code.startswith("PPLA"), 0).when(code.startswith("PPL"), 1).otherwise(2), F.when(same, 0).otherwise(1), size, "candidate"]
-    best = ok.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(*order))).filter("__n = 1").select("id", "candidate")
-    return asked.select("id").join(best, "id", "left")
+    answers = found.select(
+        F.col(on).alias("__on"), "candidate", whole(state_key(F.coalesce("admin1", F.lit("")))).alias("__state"), name_key(F.coalesce("name", F.lit(""))).alias("__own"), name_key(F.coalesce("admin2", F.lit(""))).alias("__district"),
+        F.when(code.startswith("PPLA"), 0).when(F.lit(not relaxed) & code.startswith("PPL"), 1).otherwise(2).alias("__tier"), (-F.coalesce("population", F.lit(0))).alias("__size"),
+    )
+    rows = questions.join(answers, ["__on", "__state"])
+    same = F.col("__district") == F.col("__name")
+    rows = rows.filter(same | (F.col("__own") == F.col("__name"))) if relaxed else rows
+    tier = F.lit(0) if relaxed else F.when(same, 0).otherwise(1)
+    best = rows.groupBy("__question").agg(F.min(F.struct("__tier", tier.alias("__same"), "__size", "candidate")).alias("__best")).select("__question", "__best.candidate")
+    return asked.select("id", "__question").join(best, "__question", "left").select("id", "candidate")

@@ -242,21 +242,20 @@ def _geo(t: Tables):
     state = F.when(m == 0, "Jammu and Kashmir").when(m == 1, "Ladakh").when(m == 2, "bihar").when(m == 3, "Jharkhand").when(m == 4, "Andhra Pradesh")
     code = F.when(c("p_size") % 4 == 0, "PPLA2").when(c("p_size") % 4 == 1, "PPL").when(c("p_size") % 4 == 2, "ADM1")
     answers = t.part.select((p % 20).alias("r"), p.alias("candidate"), F.concat(letter(F.lit(65), p % 5), F.lit("TOWN")).alias("name"), state.alias("admin1"), F.concat(letter(F.lit(65), p % 7), F.lit(" Town")).alias("admin2"), code.alias("feature_code"), F.when(p % 3 > 0, p * 37 % 1000).alias("population"))
-    found = asked.select("id", (c("id") % 20).alias("r")).join(answers, "r").drop("r")
-    return asked, found
+    return asked.withColumn("r", c("id") % 20), answers
 
 
 @query("x10_geocode_tiers", f"""WITH {_GEO}, r AS (SELECT g.id, candidate, row_number() OVER (PARTITION BY g.id ORDER BY CASE WHEN starts_with(coalesce(feature_code, ''), 'PPLA') THEN 0 WHEN starts_with(coalesce(feature_code, ''), 'PPL') THEN 1 ELSE 2 END, CASE WHEN {_state('admin2')} = {_state('a.name')} THEN 0 ELSE 1 END, coalesce(population, 0) DESC, candidate) AS k
     FROM g JOIN a ON a.id = g.id WHERE {_state("coalesce(admin1, '')")} = {_state('state')}) SELECT a.id, r.candidate FROM a LEFT JOIN r ON r.id = a.id AND r.k = 1""")
 def _(t: Tables):
-    return places.choose_geocode(*_geo(t))
+    return places.choose_geocode(*_geo(t), on="r")
 
 
 @query("x10_geocode_relaxed", f"""WITH {_GEO}, s AS (SELECT *, CASE {_state("coalesce(admin1, '')")} WHEN 'ladakh' THEN 'jammuandkashmir' WHEN 'jharkhand' THEN 'bihar' WHEN 'telangana' THEN 'andhrapradesh' ELSE {_state("coalesce(admin1, '')")} END AS u FROM g),
     r AS (SELECT s.id, candidate, row_number() OVER (PARTITION BY s.id ORDER BY CASE WHEN starts_with(coalesce(feature_code, ''), 'PPLA') THEN 0 ELSE 1 END, coalesce(population, 0) DESC, candidate) AS k FROM s JOIN a ON a.id = s.id
       WHERE u = CASE {_state('state')} WHEN 'telangana' THEN 'andhrapradesh' ELSE {_state('state')} END AND ({_state('s.name')} = {_state('a.name')} OR {_state('admin2')} = {_state('a.name')})) SELECT a.id, r.candidate FROM a LEFT JOIN r ON r.id = a.id AND r.k = 1""")
 def _(t: Tables):
-    return places.choose_geocode(*_geo(t), relaxed=True)
+    return places.choose_geocode(*_geo(t), relaxed=True, on="r")
 
 
 @query("x4_miner_scores", """WITH m AS (SELECT id AS mined_id, node, hazard_class, source_class, row_number() OVER (PARTITION BY node, hazard_class, source_class ORDER BY id) AS n FROM {obs} WHERE id % 3 > 0), g AS (SELECT id AS gold_id, node, hazard_class, source_class, row_number() OVER (PARTITION BY node, hazard_class, source_class ORDER BY id) AS n FROM {obs} WHERE id % 4 > 0),
