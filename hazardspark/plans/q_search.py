@@ -63,13 +63,13 @@ def mined_records(t: Tables) -> tuple[DataFrame, DataFrame]:
 @query("x3_match_by_text")
 def _(t: Tables):
     gold, mined = mined_records(t)
-    return matching.one_to_one(matching.match_candidates(mined, gold), written)
+    return matching.match_records(mined, gold, written)
 
 
 @query("x4_miner_scores_by_text")
 def _(t: Tables):
     gold, mined = mined_records(t)
-    pairs = matching.one_to_one(matching.match_candidates(mined, gold), written)
+    pairs = written(matching.match_records(mined, gold, written), "matches")
     both = pairs.join(gold.select(c("id").alias("gold_id"), "condition"), "gold_id").select("condition", F.lit(True).alias("in_gold"), F.lit(True).alias("in_mined"))
     alone = lambda df, key, g, m: df.join(pairs.select(c(key).alias("id")), "id", "left_anti").select("condition", F.lit(g).alias("in_gold"), F.lit(m).alias("in_mined"))
     rows = both.unionByName(alone(gold, "gold_id", True, False)).unionByName(alone(mined, "mined_id", False, True))
