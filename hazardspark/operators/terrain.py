@@ -50,8 +50,8 @@ def depression_fill(grid: DataFrame, written: Callable[[DataFrame, str], DataFra
 
     Each tile is flooded from its rim by itself, which gives every cell a basin and a level inside the tile, and basins that touch the
     lowest point between them; basins of neighbouring tiles touch at their rims. On this graph of basins, far smaller than the grid, the
-    lowest way out of each is found by rounds from the border; with shortcuts over four edges the rounds are a quarter of the basins on
-    the longest way, not its cells. A cell's level is the higher of its own and its basin's.
+    lowest way out of each is found by joining basins over their lowest links (`_ways_out`), in rounds that grow with the logarithm of
+    their number. A cell's level is the higher of its own and its basin's.
     """
     if eps > 0:
         return _fill_by_steps(grid, written, eps)
@@ -69,28 +69,42 @@ def depression_fill(grid: DataFrame, written: Callable[[DataFrame, str], DataFra
     inside = flooded.filter("basin2 IS NOT NULL").select(F.col("basin").alias("a"), F.col("basin2").alias("b"), F.col("level").alias("w"))
     links = inside.unionByName(inside.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).unionByName(across)
     lowest = lambda df: df.groupBy("a", "b").agg(F.min("w").alias("w"))
-    links = written(lowest(links), "fill-links")
-    for _ in range(2):
-        on = links.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("w").alias("v"))
-        links = written(lowest(links.unionByName(links.join(on, "b").filter("a <> c").select("a", F.col("c").alias("b"), F.greatest("w", "v").alias("w")))), "fill-links")
-
-    known = written(grid.sparkSession.createDataFrame([(_OCEAN, float("-inf"))], "basin string, out double"), "fill-known")
-    front = known
-    for _ in range(rounds):
-        tried = front.join(links, front["basin"] == links["a"]).groupBy(F.col("b").alias("basin")).agg(F.min(F.greatest("out", "w")).alias("new"))
-        better = tried.join(known, "basin", "left").groupBy("basin", "new").agg(F.min("out").alias("out")).filter("out IS NULL OR new < out")
-        front = written(better.select("basin", F.col("new").alias("out")), "fill-known")
-        if front.isEmpty():
-            break
-        known = written(known.unionByName(front).groupBy("basin").agg(F.min("out").alias("out")), "fill-known")
-    else:
-        raise RuntimeError(f"depression_fill: levels still fall after {rounds} rounds")
+    known = _ways_out(written(lowest(links), "fill-links"), written, rounds)
     return wet.join(known, "basin", "left").select("row", "col", "elev", F.greatest("level", "out").alias("fill"))
 
 
 _OCEAN = "border"
 
 
+def _ways_out(links: DataFrame, written: Callable[[DataFrame, str], DataFrame], rounds: int) -> DataFrame:
+    """(basin, out): of each basin the lowest, over all ways to the border, of the highest link on the way; none where there is no way.
+    links: (a, b, w) in both directions.
+
+    In a round each group of basins takes its lowest link, by which its lowest way leaves; the links that groups follow one after another
+    never rise, so a basin is raised to its group's link only. Groups that follow one another become one, named by where they end (the
+    border, or the lower of two that chose each other), so each round at least halves those that are left."""
+    own = written(links.select(F.col("a").alias("basin")).distinct().withColumns({"top": F.col("basin"), "out": F.lit(float("-inf"))}), "fill-known")
+    for _ in range(rounds):
+        low = links.filter(F.col("a") != _OCEAN).groupBy("a").agg(F.min(F.struct("w", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))).alias("e"))
+        low = written(low.select("a", F.when(F.col("e.p") == F.col("a"), F.col("e.q")).otherwise(F.col("e.p")).alias("up"), "e.w"), "fill-lowest")
+        if low.isEmpty():
+            return own.filter(F.col("top") == _OCEAN).select("basin", "out")
+        chosen = low.select(F.col("a").alias("up"), F.col("up").alias("back"))
+        ends = (F.col("back") == F.col("a")) & (F.col("a") < F.col("up"))
+        jump = low.join(chosen, "up", "left").select("a", F.when(ends, F.col("a")).otherwise(F.col("up")).alias("up"), F.when(F.coalesce(~ends, F.lit(True)), F.col("w")).alias("w"), F.lit(True).alias("moved"))
+        jump = written(jump, "fill-jumps")
+        while not jump.filter("moved").isEmpty():
+            on = jump.select(F.col("a").alias("up"), F.col("up").alias("next"))
+            end = F.coalesce("next", "up")
+            jump = written(jump.join(on, "up", "left").select("a", end.alias("up"), "w", (end != F.col("up")).alias("moved")), "fill-jumps")
+        group = lambda of, name: jump.select(F.col("a").alias(of), F.col("up").alias(name))  # noqa: B023, E731
+        raised = jump.select(F.col("a").alias("top"), F.col("up").alias("__top"), F.col("w").alias("__w"))
+        own = written(own.join(raised, "top", "left").select("basin", F.coalesce("__top", "top").alias("top"), F.greatest("out", "__w").alias("out")), "fill-known")
+        links = links.join(group("a", "__a"), "a", "left").join(group("b", "__b"), "b", "left").select(F.coalesce("__a", "a").alias("a"), F.coalesce("__b", "b").alias("b"), "w")
+        links = written(links.filter("a <> b").groupBy("a", "b").agg(F.min("w").alias("w")), "fill-links")
+    raise RuntimeError(f"depression_fill: basins are left after {rounds} rounds")
+
+
 def _flood(cells: pa.Table) -> pa.Table:
     """One tile: each cell's level and basin, flooded from the tile's rim and from border cells (one basin), lowest first; and for two basins
     that touch (basin, basin2) the lowest level at which they do. A basin is named by the cell where it begins."""
