@@ -92,7 +92,7 @@ def vector_top_k(places: DataFrame, queries: DataFrame, k: int, block_bytes: int
     """(query, id, rank) of the k nearest places by cosine (to 12 decimals, ties by id). queries: query, asked.
 
     Queries are taken in blocks of about block_bytes, by hash, each the only data that is sent out; places (place_id, embedding) stay
-    where they are, and a task keeps the k best of its own rows for each query of the block. A null or zero vector is near to none.
+    where they are, and a task keeps the k best of its own rows for each query of the block, PAIRS_AT_ONCE cosines at a time. A null or zero vector is near to none.
     """
     width = (queries.agg(F.max(F.size("asked"))).first()[0] or 1) * 8
     blocks = max(1, -(-queries.count() * width // block_bytes))
@@ -110,25 +110,39 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.where(norm > 0, norm, np.nan)
 
 
+#: Cosines that a task holds at once.
+PAIRS_AT_ONCE = 1 << 20
+
+
 def _block_top_k(places: DataFrame, block: list, k: int) -> DataFrame:
     block = [r for r in block if r["asked"] is not None]
     asked = _unit([r["asked"] for r in block]) if block else np.zeros((0, 0))
     names = np.array([r["query"] for r in block], np.int64)
 
     def tops(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.zeros((len(names), 0), np.int64)
-        cos = np.zeros((len(names), 0))
+        row, ids, cos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        floor = np.full(len(names), -np.inf)  # each query's k-th best so far
+
+        def first_k() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            order = np.lexsort((ids, -cos, row))
+            r = row[order]
+            order = order[np.arange(len(r)) - np.searchsorted(r, r) < k]
+            return row[order], ids[order], cos[order]
+
+        step = max(1, PAIRS_AT_ONCE // max(1, len(names)))
         for b in it:
             b = b.filter(b["embedding"].is_valid())
-            if not len(names) or not b.num_rows:
-                continue
-            near = np.nan_to_num(np.round(asked @ _unit(b["embedding"].to_pylist()).T, 12), nan=-np.inf)
-            ids = np.concatenate([ids, np.tile(b["place_id"].to_numpy(), (len(names), 1))], axis=1)
-            cos = np.concatenate([cos, near], axis=1)
-            order = np.lexsort((ids, -cos), axis=1)[:, :k]
-            ids, cos = np.take_along_axis(ids, order, 1), np.take_along_axis(cos, order, 1)
-        keep = np.isfinite(cos).ravel()
-        columns = [np.repeat(names, ids.shape[1])[keep], ids.ravel()[keep], cos.ravel()[keep]]
+            for lo in range(0, b.num_rows if len(names) else 0, step):
+                some = b.slice(lo, step)
+                near = np.round(asked @ _unit(some["embedding"].to_pylist()).T, 12)
+                q, j = np.nonzero(near >= floor[:, None])  # not those without a cosine
+                row, ids, cos = np.concatenate([row, q]), np.concatenate([ids, some["place_id"].to_numpy()[j]]), np.concatenate([cos, near[q, j]])
+                if len(row) > 2 * k * len(names):
+                    row, ids, cos = first_k()
+                    full = np.flatnonzero(np.bincount(row, minlength=len(names)) == k)
+                    floor[full] = cos[np.searchsorted(row, full, "right") - 1]
+        row, ids, cos = first_k()
+        columns = [names[row], ids, cos]
         yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["query", "id", "cos"])
 
     return places.select(F.col("place_id").cast("long"), "embedding").mapInArrow(tops, "query long, id long, cos double")
