@@ -20,7 +20,8 @@ ERA = 300  # e^300 is far below what a double holds
 
 def ingest(stream: DataFrame, late: str = "14 days") -> DataFrame:
     """Valid observations, each id once, however often it is sent. The watermark runs on arrival, so reports that were made long ago still
-    count; ids are remembered for `late`."""
+    count; ids are remembered for `late`, in RocksDB, which is set for the session (`rocksdb`)."""
+    rocksdb(stream.sparkSession)
     valid = validate_observations(stream).filter("reason IS NULL").drop("reason")
     return valid.withWatermark("received_at", late).dropDuplicatesWithinWatermark(["id"])
 
