@@ -45,17 +45,19 @@ def search_places(queries: DataFrame, places: DataFrame, limit: int = 8, gram: i
     letters find nothing.
 
     The index has a posting for each name and run of three letters of its words, and for names with digits also of the name without
-    spaces. A query takes the postings of its rarest run (or of shorter words' runs of two or one), and only those names are ranked, so
-    no query meets all places unless all hold what it asks for.
+    spaces. A text takes the postings of its rarest run (or of shorter words' runs of two or one), and only those names are ranked, so
+    no text meets all places unless all hold what it asks for. Names and places are ranked once for all queries of one text; a query
+    without a point then takes its text's first places, one with a point meets those of the name ranks and tiers that can be among them.
     """
     sizes = range(1, gram + 1)
     names = places.select("place_id", F.explode("names").alias("full")).withColumn("name", normalised(F.col("full"))).filter("name <> ''")
     kinds = [("w", F.col("name")), ("c", F.when(F.col("name").rlike("[0-9]"), F.replace("name", F.lit(" "), F.lit(""))))]
     tagged = lambda grams, tag: F.transform(grams, lambda g: F.concat(F.lit(tag), g))
     cut = [tagged(_grams(text, n), f"{k}{n}:") for k, text in kinds for n in sizes]
-    postings = names.select("place_id", "name", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*cut))))).alias("gram"))
+    postings = names.select("name").distinct().select("name", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*cut))))).alias("gram"))
 
     asked = queries.select("query_id", normalised(F.col("q")).alias("q"), F.col("lat").alias("qlat"), F.col("lon").alias("qlon")).filter(F.char_length("q") >= 2)
+    texts = asked.select("q").distinct()
     digits = F.col("q").rlike("[0-9]")
     tight = F.replace("q", F.lit(" "), F.lit(""))
 
@@ -64,14 +66,17 @@ def search_places(queries: DataFrame, places: DataFrame, limit: int = 8, gram: i
         word = lambda w: F.when(F.char_length(w) >= gram, F.transform(_grams(w, gram), lambda g: F.concat(F.lit(f"{kind}{gram}:"), g))).otherwise(F.array(F.concat(F.lit(kind), F.char_length(w).cast("string"), F.lit(":"), w)))
         return F.flatten(F.transform(F.split(text, " "), word))
 
-    wanted = asked.select("query_id", F.explode(F.array_distinct(F.when(digits, runs(tight, "c")).otherwise(runs(F.col("q"), "w")))).alias("gram"))
+    wanted = texts.select("q", F.explode(F.array_distinct(F.when(digits, runs(tight, "c")).otherwise(runs(F.col("q"), "w")))).alias("gram"))
     common = postings.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = wanted.join(common, "gram", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "gram")).alias("g")).filter("g.n > 0")
-    pairs = rarest.select("query_id", F.col("g.gram").alias("gram")).join(postings, "gram").join(asked, "query_id")
-    best = pairs.withColumn("r", name_rank(F.col("name"), F.col("q"))).filter("r IS NOT NULL").groupBy("query_id", "place_id").agg(F.min("r").alias("name_rank"), F.first("qlat").alias("qlat"), F.first("qlon").alias("qlon"))
+    rarest = wanted.join(common, "gram", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "gram")).alias("g")).filter("g.n > 0")
+    pairs = rarest.select("q", F.col("g.gram").alias("gram")).join(postings, "gram").withColumn("r", name_rank(F.col("name"), F.col("q"))).filter("r IS NOT NULL")
+    best = pairs.select("q", "name", "r").join(names.select("place_id", "name"), "name").groupBy("q", "place_id").agg(F.min("r").alias("name_rank"))
 
     tier = reduce(lambda c, kv: c.when(F.col("kind") == kv[0], kv[1]), TIERS.items(), F.when(F.lit(False), 0)).otherwise(5)
     found = best.join(places.select("place_id", F.col("names")[0].alias("place"), "kind", "lat", "lon", "size"), "place_id").withColumn("tier", tier)
+    group, alike = (Window.partitionBy("q").orderBy("name_rank", "tier", *more) for more in ((), (F.desc("size"), "place", "place_id")))
+    found = found.withColumn("group", F.rank().over(group)).filter(F.col("group") <= limit).withColumn("alike", F.row_number().over(alike)).drop("group")
+    found = asked.join(found, "q").filter(F.col("qlat").isNotNull() & F.col("qlon").isNotNull() | (F.col("alike") <= limit))
     dx, dy = (F.col("lon") - F.col("qlon")) * 111320 * F.cos(F.radians("qlat")), (F.col("lat") - F.col("qlat")) * 110574
     found = found.withColumn("distance_m", F.sqrt(dx * dx + dy * dy))
     order = Window.partitionBy("query_id").orderBy("name_rank", "tier", F.coalesce("distance_m", F.lit(0.0)), F.desc("size"), "place", "place_id")
